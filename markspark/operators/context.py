@@ -2,7 +2,7 @@
 
 The context of a candidate letter is the `k` characters on either side of it, lower-cased and
 without marks. Training counts labels per context; scoring takes the longest context with
-enough support. Long texts are cut into windows whose kept parts have full context.
+enough support.
 """
 
 from __future__ import annotations
@@ -15,49 +15,39 @@ from pyspark.sql import functions as F
 from markspark.functions import codec, marks
 from markspark.operators import lookup as lookups
 from markspark.operators.evaluation import metrics_summary
-from markspark.operators.windows import windows_text
 from markspark.profile import ROMANIAN, MarkProfile
 from markspark.storage import materialize
 
 SIZES = (6, 4, 2, 0)
 EDGE = "\x02"  # stands before and after the text
-WINDOW = 128
 
 
 def _lower_per_letter(text: Column) -> Column:
-    """Lower case that never changes the length nor depends on neighbours."""
-    return F.lower(F.translate(text, "İΣ", "Iσ"))
+    """Lower case that never changes the length, depends on no neighbour, and makes no
+    candidate of a letter that is none."""
+    return F.lower(F.translate(text, "İΣ", "ıσ"))
 
 
-def _window_pieces(
-    documents: DataFrame, size: int, text: str, profile: MarkProfile
-) -> DataFrame:
-    edge = F.lit(EDGE * size)
-    padded = F.concat(edge, marks.fix_cedilla(F.col(text), profile), edge)
-    return windows_text(documents.withColumn(text, padded), WINDOW + 2 * size, 2 * size, text)
-
-
-def _letters(size: int, profile: MarkProfile) -> Column:
-    """`array<struct<p, letter, label, ctx>>` of one window's kept candidate letters."""
-    piece = F.col("piece")
-    stripped = marks.strip_marks(piece, profile)
-    context = _lower_per_letter(stripped)
-    first, last = F.col("keep_from") - F.col("start"), F.col("keep_to") - F.col("start") - 1
-    # A text of at most one window keeps its edges too; they are no candidates.
-    spots = F.filter(
-        F.sequence(first, last),
-        lambda p: F.substring(piece, p + 1, F.lit(1)).isin(*profile.candidates, *profile.marked),
-    )
+def _letter_class(profile: MarkProfile) -> str:
+    return f"[{profile.candidates}{profile.marked}]"
 
-    def describe(p: Column) -> Column:
-        return F.struct(
-            p.alias("p"),
-            F.substring(stripped, p + 1, F.lit(1)).alias("letter"),
-            marks.label_of(F.substring(piece, p + 1, F.lit(1)), profile).alias("label"),
-            F.substring(context, p + 1 - size, F.lit(2 * size + 1)).alias("ctx"),
-        )
 
-    return F.transform(spots, describe)
+def _letters(fixed: Column, profile: MarkProfile) -> Column:
+    """All candidate letters of a text in order, with their marks."""
+    return F.regexp_extract_all(fixed, F.lit(f"({_letter_class(profile)})"), F.lit(1))
+
+
+def _contexts(fixed: Column, size: int, profile: MarkProfile) -> Column:
+    """The contexts of the same letters, in the same order.
+
+    One regular expression steps through the text; from every character it looks ahead over a
+    whole context with a candidate in the middle. The time is linear in the text's length.
+    """
+    lower = _lower_per_letter(marks.strip_marks(fixed, profile))
+    padded = F.concat(F.lit(EDGE * (size + 1)), lower, F.lit(EDGE * size))
+    middle = "".join(sorted(set(profile.candidates.lower())))
+    rule = f"(?s).(?=(.{{{size}}}[{middle}].{{{size}}}))"
+    return F.regexp_extract_all(padded, F.lit(rule), F.lit(1))
 
 
 def context_rows(
@@ -66,11 +56,20 @@ def context_rows(
     text: str = "text",
     profile: MarkProfile = ROMANIAN,
 ) -> DataFrame:
-    """One row per candidate letter: the other columns, `pos`, `letter`, `label`, `ctx`."""
+    """One row per candidate letter: the other columns, `nth` (its place among the text's
+    candidates), `letter`, `label`, `ctx`."""
     others = [c for c in documents.columns if c != text]
-    pieces = _window_pieces(documents, size, text, profile)
-    return pieces.select(*others, "start", F.inline(_letters(size, profile))).select(
-        *others, (F.col("start") + F.col("p") - size).alias("pos"), "letter", "label", "ctx"
+    fixed = marks.fix_cedilla(F.col(text), profile)
+    zipped = F.arrays_zip(
+        _letters(fixed, profile).alias("marked"), _contexts(fixed, size, profile).alias("ctx")
+    )
+    exploded = documents.select(*others, F.posexplode(zipped).alias("nth", "l"))
+    return exploded.select(
+        *others,
+        "nth",
+        marks.strip_marks(F.col("l.marked"), profile).alias("letter"),
+        marks.label_of(F.col("l.marked"), profile).alias("label"),
+        F.col("l.ctx").alias("ctx"),
     )
 
 
@@ -176,59 +175,53 @@ def restore_context(
 ) -> DataFrame:
     """Adds `output`: the stripped text with every sufficiently confident label applied.
 
-    Each kept part of a window is taken apart into candidate letters and what stands before
-    them, and put together again after scoring. Partitioning by `key` first means that the
-    parts of one document never leave their task when the model can be broadcast.
+    Each text is taken apart into candidate letters and what stands before them, and put
+    together again after scoring. Partitioning by `key` first means that the parts of one
+    document never leave their task when the model can be broadcast.
     """
     size = sizes[0]
     others = [c for c in documents.columns if c not in (key, text)]
-    letters = f"[{profile.candidates}{profile.marked}]"
-    pieces = _window_pieces(documents.repartition(key), size, text, profile)
-    kept = F.substring(
-        F.col("piece"),
-        F.col("keep_from") - F.col("start") + 1,
-        F.col("keep_to") - F.col("keep_from"),
+    fixed = marks.fix_cedilla(F.col(text), profile)
+    zipped = F.arrays_zip(
+        F.split(fixed, _letter_class(profile), -1).alias("gap"),
+        _letters(fixed, profile).alias("marked"),
+        _contexts(fixed, size, profile).alias("ctx"),
     )
     parts = (
-        pieces.withColumn("_gaps", F.split(kept, letters, -1))
-        .withColumn("_letters", _letters(size, profile))
+        documents.repartition(key)
+        .select(key, *others, F.posexplode(zipped).alias("nth", "l"))
         .select(
-            key, *others, "win_no", F.posexplode(F.arrays_zip("_gaps", "_letters")).alias("_i", "t")
-        )
-        .select(
-            key, *others, "win_no", "_i", F.col("t._gaps").alias("gap"), "t._letters.letter",
-            "t._letters.label", F.coalesce("t._letters.ctx", F.lit("")).alias("ctx"),
+            key,
+            *others,
+            "nth",
+            F.col("l.gap").alias("gap"),
+            F.coalesce("l.marked", F.lit("")).alias("marked"),
+            F.coalesce("l.ctx", F.lit("")).alias("ctx"),  # what follows the last letter
         )
-    )
+    )
     scored = score(parts, model, sizes, max_rows, max_bytes)
+    letter = marks.strip_marks(F.col("marked"), profile)
     decoded = F.when(
-        F.col("confidence") >= threshold, codec.mark_letter(F.col("letter"), F.col("pred"), profile)
-    ).otherwise(F.col("letter"))
-    original = (
-        F.when(F.col("label") == 0, F.col("letter"))
-        .otherwise(codec.mark_letter(F.col("letter"), F.col("label"), profile))
-    )
+        F.col("confidence") >= threshold, codec.mark_letter(letter, F.col("pred"), profile)
+    ).otherwise(letter)
     rebuilt = (
         scored.select(
             key,
             *others,
             F.struct(
-                "win_no",
-                "_i",
-                F.concat("gap", F.coalesce(original, F.lit(""))).alias("before"),
-                F.concat("gap", F.coalesce(decoded, F.lit(""))).alias("after"),
+                "nth",
+                F.concat("gap", "marked").alias("before"),
+                F.concat("gap", decoded).alias("after"),
             ).alias("piece"),
         )
         .groupBy(key, *others)
         .agg(F.array_sort(F.collect_list("piece")).alias("_all"))
     )
-
-    def whole(side: str) -> Column:
-        joined = F.array_join(f"_all.{side}", "")
-        return F.substring(joined, F.lit(size + 1), F.length(joined) - 2 * size)
-
     return rebuilt.select(
-        key, *others, whole("before").alias(text), whole("after").alias(output)
+        key,
+        *others,
+        F.array_join("_all.before", "").alias(text),
+        F.array_join("_all.after", "").alias(output),
     )
 
 

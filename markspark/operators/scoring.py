@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,37 +21,46 @@ Predict = Callable[[Sequence[str]], Sequence[np.ndarray]]
 def score_windows(
     windows: DataFrame, load: Callable[[], Predict], batch_size: int = 64
 ) -> DataFrame:
-    """Adds `predictions`, one `struct(label, confidence)` per character of `piece`.
+    """Adds `pred` and `confidence`, two arrays with one value per character of `piece`.
 
     `load` runs once per Python task. Windows of one batch are ordered by length, so that a
     padding model spends no work on short ones. Equal probabilities give the lowest label.
     """
-    one = T.StructType(
-        [T.StructField("label", T.ByteType()), T.StructField("confidence", T.DoubleType())]
+    schema = T.StructType(
+        [
+            *windows.schema.fields,
+            T.StructField("pred", T.ArrayType(T.ByteType())),
+            T.StructField("confidence", T.ArrayType(T.DoubleType())),
+        ]
     )
-    schema = T.StructType([*windows.schema.fields, T.StructField("predictions", T.ArrayType(one))])
+    place = windows.columns.index("piece")
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = load()
-        for frame in frames:
-            pieces = frame["piece"].tolist()
-            order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
-            out: list = [None] * len(pieces)
+        for batch in batches:
+            pieces = batch.column(place).to_pylist()
+            lengths = np.array([len(p) for p in pieces], dtype=np.int64)
+            order = np.argsort(lengths, kind="stable")
+            answers: list = [None] * len(pieces)
             for at in range(0, len(order), batch_size):
                 chosen = order[at : at + batch_size]
-                answers = predict([pieces[i] for i in chosen])
-                for i, answer in zip(chosen, answers, strict=True):
-                    if len(answer) != len(pieces[i]):
-                        raise ValueError(f"{len(answer)} predictions for {len(pieces[i])} characters")
-                    labels = answer.argmax(axis=1)
-                    best = answer.max(axis=1)
-                    out[i] = [
-                        {"label": int(a), "confidence": float(b)}
-                        for a, b in zip(labels, best, strict=True)
-                    ]
-            yield frame.assign(predictions=out)
+                given = predict([pieces[i] for i in chosen])
+                for i, answer in zip(chosen, given, strict=True):
+                    if len(answer) != lengths[i]:
+                        raise ValueError(f"{len(answer)} predictions for {lengths[i]} characters")
+                    answers[i] = answer
+            flat = np.concatenate([np.empty((0, 3)), *answers])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+            labels = pa.array(flat.argmax(axis=1).astype(np.int8))
+            best = pa.array(flat.max(axis=1))
+            columns = [
+                *batch.columns,
+                pa.ListArray.from_arrays(offsets, labels),
+                pa.ListArray.from_arrays(offsets, best),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "pred", "confidence"])
 
-    return windows.mapInPandas(score, schema)
+    return windows.mapInArrow(score, schema)
 
 
 def restore_scored(
@@ -70,8 +79,12 @@ def restore_scored(
     scored = score_windows(windows_text(stripped, window, overlap, text), load)
     first = F.col("keep_from") - F.col("start") + 1
     count = F.col("keep_to") - F.col("keep_from")
+    predictions = F.arrays_zip(
+        F.slice("pred", first, count).alias("label"),
+        F.slice("confidence", first, count).alias("confidence"),
+    )
     part = codec.decode_restore(
-        F.substring("piece", first, count), F.slice("predictions", first, count), threshold, profile
+        F.substring("piece", first, count), predictions, threshold, profile
     )
     return (
         scored.select(key, F.struct("win_no", part.alias("part")).alias("w"))

@@ -671,6 +671,8 @@ def quantization_error(spark, sf_dir):
 def _document_stream(spark, sf_dir) -> DataFrame:
     schema = table(spark, sf_dir, "documents").schema
     stream = spark.readStream.schema(schema).parquet(sf_dir, pathGlobFilter="documents.parquet")
+    # The table is one file, hence one partition of one batch.
+    stream = stream.repartition(spark.sparkContext.defaultParallelism, "doc_id")
     return sources.table_documents(
         stream.withColumn("text", F.expr(ROMANISED)), keep=("lang", "source")
     )
