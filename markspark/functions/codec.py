@@ -12,24 +12,40 @@ from markspark.functions.marks import (
     fix_cedilla,
     labels_of,
 )
-from markspark.profile import ROMANIAN, MarkProfile
+from markspark.language import FIRST_CHAR_ID, ROMANIAN, UNK_ID, MarkProfile
 
 
-def encode_chars(text: Column, alphabet: str | Column) -> Column:
+TABLE_LIMIT = 0x3000  # code points below are looked up in a table, the others searched for
+
+
+def _by_code_point(values: dict[str, int], default: int) -> Column:
+    """A constant array with a small number per code point. Spark folds it to one literal."""
+    last = max((ord(c) for c in values if ord(c) < TABLE_LIMIT), default=0)
+    numbers = ",".join(str(values.get(chr(cp), default)) for cp in range(last + 1))
+    return F.split(F.lit(numbers), ",").cast("array<smallint>")
+
+
+def encode_chars(text: Column, alphabet: str) -> Column:
     """Character ids: 2 + place in the sorted alphabet, 1 for characters outside it.
 
-    The alphabet is one short string (at most 254 characters), so a character's id is its
-    1-based place in it plus one, and "not found" (0) becomes the unknown id by itself.
+    A character's place in the alphabet plus one is its id, and "not found" (0) becomes the
+    unknown id by itself. Common characters need no search, their ids come from a table.
     """
-    alphabet = F.lit(alphabet) if isinstance(alphabet, str) else alphabet
-    return F.transform(
-        chars(text), lambda c: (F.instr(alphabet, c) + F.lit(1)).cast("smallint")
-    )
+    ids = {c: i + FIRST_CHAR_ID for i, c in enumerate(alphabet)}
+    table = _by_code_point(ids, UNK_ID)
+    far = "".join(c for c in alphabet if ord(c) >= TABLE_LIMIT)
+    offset = len(alphabet) - len(far)  # sorted: the far characters stand last
 
+    def searched(c: Column) -> Column:
+        if not far:
+            return F.lit(UNK_ID).cast("smallint")
+        place = F.instr(F.lit(far), c)
+        return F.when(place > 0, place + F.lit(1 + offset)).otherwise(UNK_ID).cast("smallint")
 
-def encode_example(
-    text: Column, alphabet: str | Column, profile: MarkProfile = ROMANIAN
-) -> Column:
+    return F.transform(chars(text), lambda c: F.coalesce(F.get(table, F.ascii(c)), searched(c)))
+
+
+def encode_example(text: Column, alphabet: str, profile: MarkProfile = ROMANIAN) -> Column:
     """`struct(input_ids, labels, candidates)` of correct text, three arrays of equal length."""
     stripped = fix_and_strip(text, profile)
     return F.struct(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from markspark.profile import LABEL_NAMES, MAX_CHARS, ROMANIAN, MarkProfile
+from markspark.language import LABEL_NAMES, MAX_CHARS, ROMANIAN, MarkProfile
 
 
 def fix_cedilla(text: Column, profile: MarkProfile = ROMANIAN) -> Column:

@@ -1,11 +1,11 @@
-"""Tokens and white space, with Unicode classes spelled out (Java's `\\w` and `\\s` are ASCII)."""
+"""Tokens and white space, with Unicode classes (Java's `\\w` and `\\s` are ASCII by default)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from markspark.profile import LETTER_RUN, LINE_BREAK, REPORT_PUNCTUATION, WHITESPACE, WORD_RUN
+from markspark.language import LETTER_RUN, LINE_BREAK, REPORT_PUNCTUATION, WHITESPACE, WORD_RUN
 
 
 def tokenize_w(text: Column) -> Column:
@@ -25,13 +25,13 @@ def gaps_between_letters(text: Column) -> Column:
 
 def split_ws(text: Column) -> Column:
     """Words between Unicode white space, without empty ones."""
-    return F.filter(F.split(text, f"{WHITESPACE}+"), lambda w: w != "")
+    return F.filter(F.split(text, f"(?U){WHITESPACE}+"), lambda w: w != "")
 
 
 def strip_ws(text: Column) -> Column:
     """The text without leading and trailing Unicode white space."""
-    leading = F.regexp_replace(text, f"^{WHITESPACE}+", "")
-    return F.regexp_replace(leading, f"(?<!{WHITESPACE}){WHITESPACE}+\\z", "")
+    leading = F.regexp_replace(text, f"(?U)^{WHITESPACE}+", "")
+    return F.regexp_replace(leading, f"(?U)(?<!{WHITESPACE}){WHITESPACE}+\\z", "")
 
 
 def strip_punct(word: Column, punctuation: str = REPORT_PUNCTUATION) -> Column:

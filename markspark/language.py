@@ -27,7 +27,7 @@ QUANT_GROUP = 32
 REPORT_PUNCTUATION = ".,;:!?\"'()„”«»"
 
 # Unicode white space as `str.split()` sees it, and line breaks as `str.splitlines()` does.
-WHITESPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WHITESPACE = r"[\s\x1c-\x1f]"  # with (?U), which makes \s mean Unicode white space
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 # Letters without digits and underscore; letters, digits and underscore.

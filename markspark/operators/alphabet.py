@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from markspark.functions import marks
 from markspark.operators.ordering import arrival_key
-from markspark.profile import FIRST_CHAR_ID, PAD_ID, ROMANIAN, UNK_ID, MarkProfile
+from markspark.language import FIRST_CHAR_ID, PAD_ID, ROMANIAN, UNK_ID, MarkProfile
 
 
 def char_counts(documents: DataFrame, profile: MarkProfile = ROMANIAN) -> DataFrame:
@@ -42,7 +42,7 @@ def build_alphabet(counts: DataFrame, max_size: int) -> DataFrame:
 
 def alphabet_string(alphabet: DataFrame) -> str:
     """The alphabet's characters in id order as one string of at most 254 characters."""
-    chars = alphabet.agg(F.array_join(F.array_sort(F.collect_list("ch")), "")).first()[0]
+    chars = alphabet.agg(F.array_join(F.sort_array(F.collect_list("ch")), "")).first()[0]
     if len(set(chars)) != len(chars):
         raise ValueError("alphabet has duplicate characters")
     return chars

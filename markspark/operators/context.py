@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from markspark.functions import codec, marks
 from markspark.operators import lookup as lookups
 from markspark.operators.evaluation import metrics_summary
-from markspark.profile import ROMANIAN, MarkProfile
+from markspark.language import ROMANIAN, MarkProfile
 from markspark.storage import materialize
 
 SIZES = (6, 4, 2, 0)
@@ -215,7 +215,7 @@ def restore_context(
             ).alias("piece"),
         )
         .groupBy(key, *others)
-        .agg(F.array_sort(F.collect_list("piece")).alias("_all"))
+        .agg(F.sort_array(F.collect_list("piece")).alias("_all"))
     )
     return rebuilt.select(
         key,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from markspark.functions import marks, quality
 from markspark.operators.ordering import first_rows
-from markspark.profile import ROMANIAN, MarkProfile
+from markspark.language import ROMANIAN, MarkProfile
 from markspark.settings import CorpusSettings
 
 

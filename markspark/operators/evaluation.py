@@ -12,32 +12,87 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markspark.functions import marks, words
-from markspark.profile import LABEL_NAMES, ROMANIAN, MarkProfile
+from markspark.language import LABEL_NAMES, ROMANIAN, MarkProfile
 
 N_LABELS = len(LABEL_NAMES)
 WORD_WRONG, WORD_RIGHT = N_LABELS * N_LABELS, N_LABELS * N_LABELS + 1
 
 
-def _codes(reference: Column, restored: Column, profile: MarkProfile) -> Column:
-    """Per candidate letter `true * 3 + pred`, and per word right or wrong, as one array."""
-    letters = F.zip_with(
-        marks.chars(reference),
-        marks.chars(restored),
-        lambda r, o: F.when(
-            r.isin(*profile.candidates, *profile.marked),
-            marks.label_of(marks.fix_cedilla(r, profile), profile) * F.lit(N_LABELS)
-            + marks.label_of(marks.fix_cedilla(o, profile), profile),
-        ),
-    )
+def _aligned(
+    texts: DataFrame,
+    reference: Column,
+    restored: Column,
+    keep: Sequence[Column | str],
+    profile: MarkProfile,
+) -> DataFrame:
+    """Per text: `alike`, its equal words in one string, the number of `right` and `wrong`
+    words, and `pairs`, the candidate letters that have to be compared one by one.
+
+    When the texts differ in marks only, their words stand at the same places, and only letters
+    of unequal words are compared. Any other two texts are compared letter by letter.
+    """
+    same_base = marks.strip_marks(reference, profile) == marks.strip_marks(restored, profile)
     by_word = F.zip_with(
         words.split_ws(reference),
         words.split_ws(restored),
-        lambda r, o: F.when(r.eqNullSafe(o), F.lit(WORD_RIGHT)).otherwise(F.lit(WORD_WRONG)),
+        lambda r, o: F.struct(r.alias("r"), o.alias("o")),
     )
-    codes = F.concat(F.filter(letters, lambda c: c.isNotNull()), by_word)
-    return F.when(F.length(reference) == F.length(restored), codes).otherwise(
-        F.raise_error(F.lit("reference and restored text differ in length")).cast("array<int>")
+    failure = F.raise_error(F.lit("reference and restored text differ in length"))
+    by_letter = F.arrays_zip(marks.chars(reference).alias("r"), marks.chars(restored).alias("o"))
+    split = texts.select(
+        *keep,
+        F.when(F.length(reference) == F.length(restored), by_word)
+        .otherwise(failure.cast("array<struct<r:string,o:string>>"))
+        .alias("words"),
+        F.when(~same_base, by_letter).alias("letters"),
     )
+    kept = split.columns[: len(keep)]
+    sorted_out = split.select(
+        *kept,
+        "letters",
+        F.filter("words", lambda w: w.r.eqNullSafe(w.o))["r"].alias("equal"),
+        F.filter("words", lambda w: ~w.r.eqNullSafe(w.o)).alias("unequal"),
+    )
+    letters_of_words = F.flatten(
+        F.transform(
+            "unequal",
+            lambda w: F.arrays_zip(marks.chars(w.r).alias("r"), marks.chars(w.o).alias("o")),
+        )
+    )
+    return sorted_out.select(
+        *kept,
+        F.when(F.col("letters").isNull(), F.array_join("equal", "")).otherwise("").alias("alike"),
+        F.size("equal").alias("right"),
+        F.size("unequal").alias("wrong"),
+        F.filter(
+            F.coalesce("letters", letters_of_words),
+            lambda p: p.r.isin(*profile.candidates, *profile.marked),
+        ).alias("pairs"),
+    )
+
+
+def _item(code: Column | int, n: Column | int) -> Column:
+    code = F.lit(code) if isinstance(code, int) else code
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.struct(code.cast("int").alias("code"), n.cast("long").alias("n"))
+
+
+def _items(profile: MarkProfile) -> Column:
+    """`array<struct<code, n>>` from the columns of `_aligned`."""
+
+    def compared(pair: Column) -> Column:
+        true = marks.label_of(pair.r, profile)
+        pred = marks.label_of(marks.fix_cedilla(pair.o, profile), profile)
+        return _item(true * F.lit(N_LABELS) + pred, 1)
+
+    # Letters of equal words are counted in bulk, label by label.
+    alike = F.col("alike")
+    bulk = [
+        _item(i * (N_LABELS + 1), F.length(alike) - F.length(F.translate(alike, letters, "")))
+        for i, letters in enumerate((profile.candidates, profile.breve_comma, profile.circumflex))
+    ]
+    by_word = [_item(WORD_RIGHT, F.col("right")), _item(WORD_WRONG, F.col("wrong"))]
+    return F.concat(F.array(*bulk, *by_word), F.transform("pairs", compared))
 
 
 def tallies(
@@ -46,11 +101,18 @@ def tallies(
     restored: str = "restored",
     by: Sequence[str] = (),
     profile: MarkProfile = ROMANIAN,
+    flags: Mapping[int, Column] | None = None,
 ) -> DataFrame:
-    """`(by..., code, n)`: at most 11 rows per group leave each task."""
-    codes = _codes(F.col(reference), F.col(restored), profile)
-    exploded = texts.select(*by, F.explode(codes).alias("code"))
-    return exploded.groupBy(*by, "code").agg(F.count("*").alias("n"))
+    """`(by..., code, n)`: at most 11 rows per group leave each task.
+
+    `flags` counts texts for which a condition holds under further codes.
+    """
+    flagged = [_item(code, condition.cast("long")) for code, condition in (flags or {}).items()]
+    keep = [*by, F.array(*flagged).alias("flags")] if flagged else [*by]
+    aligned = _aligned(texts, F.col(reference), F.col(restored), keep, profile)
+    items = F.concat(_items(profile), "flags") if flagged else _items(profile)
+    exploded = aligned.select(*by, F.inline(items))
+    return exploded.groupBy(*by, "code").agg(F.sum("n").alias("n"))
 
 
 def pair_tallies(rows: DataFrame, true: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
@@ -164,15 +226,8 @@ def corrections_summary(
     The two counts ride along as further codes, so the texts are read and restored once.
     """
     sentence, miss = WORD_RIGHT + 1, WORD_RIGHT + 2
-    changed = F.col(reference) != F.col(restored)
-    per_text = F.when(changed, F.array(F.lit(sentence), F.lit(miss))).otherwise(
-        F.array(F.lit(sentence))
-    )
-    codes = F.concat(_codes(F.col(reference), F.col(restored), profile), per_text)
-    counts = (
-        texts.select(F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
-    )
-
+    flags = {sentence: F.lit(True), miss: F.col(reference) != F.col(restored)}
+    counts = tallies(texts, reference, restored, (), profile, flags)
     return metrics_summary(counts, extra={"sentences": sentence, "still_wrong": miss})
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from markspark.functions import codec, marks, words
 from markspark.operators import lookup as lookups
 from markspark.operators.ordering import arrival_key
-from markspark.profile import ROMANIAN, MarkProfile
+from markspark.language import ROMANIAN, MarkProfile
 from markspark.storage import materialize
 
 
@@ -113,7 +113,7 @@ def restore_frequent(
             ),
         ).alias("piece"),
     )
-    whole = pieces.groupBy(key, *others).agg(F.array_sort(F.collect_list("piece")).alias("_all"))
+    whole = pieces.groupBy(key, *others).agg(F.sort_array(F.collect_list("piece")).alias("_all"))
     return whole.select(
         key,
         *others,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from markspark.functions import marks
 from markspark.operators.ordering import number_rows
-from markspark.profile import MAX_CHARS, ROMANIAN, MarkProfile
+from markspark.language import MAX_CHARS, ROMANIAN, MarkProfile
 from markspark.storage import materialize
 
 
@@ -125,7 +125,7 @@ def restore_grouped(
                  F.when(F.col("step") < 0, F.col("head")).alias("head")).alias("end"),
     )
     ends = sent.groupBy(group, "piece_no").agg(
-        F.array_sort(F.collect_list("end")).alias("ends")
+        F.sort_array(F.collect_list("end")).alias("ends")
     )  # at most 2 * reach per piece
     before = F.filter("ends", lambda e: e.tail.isNotNull())
     after = F.filter("ends", lambda e: e["head"].isNotNull())

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from markspark.functions import codec, marks
 from markspark.operators.windows import windows_text
-from markspark.profile import ROMANIAN, MarkProfile
+from markspark.language import ROMANIAN, MarkProfile
 
 Predict = Callable[[Sequence[str]], Sequence[np.ndarray]]
 """Texts of at most one window in, one `(len(text), 3)` array of probabilities each out."""
@@ -89,5 +89,5 @@ def restore_scored(
     return (
         scored.select(key, F.struct("win_no", part.alias("part")).alias("w"))
         .groupBy(key)
-        .agg(F.array_join(F.array_sort(F.collect_list("w"))["part"], "").alias(output))
+        .agg(F.array_join(F.sort_array(F.collect_list("w"))["part"], "").alias(output))
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markspark.profile import QUANT_GROUP
+from markspark.language import QUANT_GROUP
 
 SMALLEST_SCALE = 1e-8
 LEVELS = 7

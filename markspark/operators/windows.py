@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markspark.functions import codec, marks
-from markspark.profile import LABEL_NONE, PAD_ID, ROMANIAN, MarkProfile
+from markspark.language import LABEL_NONE, PAD_ID, ROMANIAN, MarkProfile
 
 
 def _check(window: int, overlap: int) -> None:
@@ -158,7 +158,7 @@ def window_stitch(scored: DataFrame, key: str, value: str, output: str) -> DataF
     return (
         scored.select(key, F.struct("win_no", kept.alias("part")).alias("w"))
         .groupBy(key)
-        .agg(F.flatten(F.array_sort(F.collect_list("w"))["part"]).alias(output))
+        .agg(F.flatten(F.sort_array(F.collect_list("w"))["part"]).alias(output))
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from markspark.operators import alphabet as alphabets
 from markspark.operators import corpus
 from markspark.operators.windows import windows_train
-from markspark.profile import ROMANIAN, MarkProfile
+from markspark.language import ROMANIAN, MarkProfile
 from markspark.settings import Settings
 from markspark.sources import sinks
 from markspark.storage import Build, materialize_stamped

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from markspark.operators import corpus, evaluation, lexicon
 from markspark.operators.ordering import first_rows
-from markspark.profile import EVAL_DOCUMENTS, ROMANIAN, MarkProfile
+from markspark.language import EVAL_DOCUMENTS, ROMANIAN, MarkProfile
 from markspark.settings import Settings
 from markspark.sources import sinks
 

@@ -7,7 +7,7 @@ parts: the romanised view, the usable documents, the word forms and the restored
 from __future__ import annotations
 
 from markspark.plans.queries import OVERLAP, ROMANISED, ROMANISED_PLAIN, VALID_EVERY, WINDOW
-from markspark.profile import ROMANIAN as P
+from markspark.language import ROMANIAN as P
 
 L = r"[\p{L}\p{Nl}\p{No}]"
 NOT_L = r"[^\p{L}\p{Nl}\p{No}]"

@@ -27,7 +27,7 @@ from markspark.operators import (
 )
 from markspark.operators.ordering import first_rows, number_rows, spread
 from markspark.plans import dataset, evaluate
-from markspark.profile import ROMANIAN
+from markspark.language import ROMANIAN
 from markspark.settings import CorpusSettings, Settings
 from markspark.sources import documents as sources
 from markspark.sources import lines, sinks

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from markspark.functions import marks, words
 from markspark.operators.corpus import hash_sample
-from markspark.profile import ROMANIAN, MarkProfile
+from markspark.language import ROMANIAN, MarkProfile
 
 COLUMNS = ("doc_id", "text", "source_rank", "ord")
 COMMENT = "#"

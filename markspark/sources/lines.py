@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from markspark.functions import quality, words
-from markspark.profile import LINES_PER_DOCUMENT
+from markspark.language import LINES_PER_DOCUMENT
 from markspark.sources.documents import SourceUnavailable, _uri
 
 
@@ -78,7 +78,7 @@ def line_chunks(
         "doc_id", "ord", F.struct("line_no", words.strip_ws(F.col("value")).alias("line")).alias("l")
     )
     groups = trimmed.groupBy("doc_id", "ord").agg(
-        F.array_sort(F.collect_list("l")).alias("lines")
+        F.sort_array(F.collect_list("l")).alias("lines")
     )
     return groups.filter(F.size("lines") == size).select(
         "doc_id",

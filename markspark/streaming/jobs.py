@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from markspark.operators import corpus, evaluation, lexicon
-from markspark.profile import ROMANIAN, MarkProfile
+from markspark.language import ROMANIAN, MarkProfile
 from markspark.settings import CorpusSettings
 
 
@@ -91,18 +91,16 @@ def restore_line_stream(
 ) -> StreamingQuery:
     """Line in, restored line out: `value` stays, `restored` is added.
 
-    Lines carry no key. Equal lines are restored alike, so a batch is reduced to its distinct
-    lines with their counts before it is taken apart, and multiplied again at the end.
+    Lines carry no key. Their place in the batch's partitions serves as one: a partition that
+    is read again holds the same lines in the same order.
     """
 
     def step(batch: DataFrame) -> DataFrame:
-        distinct = batch.groupBy("value").agg(F.count("*").alias("times"))
-        keyed = distinct.withColumn("line_key", F.sha2("value", 256))
+        keyed = batch.withColumn("line_key", F.monotonically_increasing_id())
         restored = lexicon.restore_frequent(
             keyed, dictionary, key="line_key", text="value", profile=profile
         )
-        copies = F.explode(F.sequence(F.lit(1), F.col("times")))
-        return restored.withColumn("copy", copies).select("value", "restored")
+        return restored.select("value", "restored")
 
     return _per_batch(lines, step, output, checkpoint)
 
