@@ -128,7 +128,8 @@ def score(
         level = table.filter(F.col("k") == k).select(F.col("ctx").alias(f"_c{k}"), "hit")
         level = level.withColumnRenamed("hit", f"_h{k}")
         base = base.withColumn(f"_c{k}", _shorter(F.col("ctx"), size, k))
-        base = lookups.lookup(base, level, [f"_c{k}"], max_rows, max_bytes).drop(f"_c{k}")
+        fits = True if small else None  # a part of what fits
+        base = lookups.lookup(base, level, [f"_c{k}"], max_rows, max_bytes, fits).drop(f"_c{k}")
     hits = [f"_h{k}" for k in sizes]
     base = base.withColumn("_hit", F.coalesce(*hits)).drop(*hits)
     if not small:

@@ -96,18 +96,16 @@ def restore_grouped(
 ) -> DataFrame:
     """Restore every piece as if its group's pieces were one text, joined by line breaks.
 
-    The whole group is never put together: a restorer that looks at most `reach` characters
-    to either side needs only that much of its neighbours. `restore` gets columns `piece_no`
-    and `text` and adds `output`, changing no length. A word restorer needs no neighbours at
-    all, since a line break ends every word.
+    The whole group is never put together, however many pieces it has: a restorer that looks at
+    most `reach` characters to either side needs only that much of its neighbours. A word
+    restorer needs none at all, since a line break ends every word. `restore` gets a unique
+    column `piece_no` and the text, adds `output` and changes no length.
     """
-    numbered = number_rows(pieces, [group, order], "piece_no")
     if reach == 0:
-        own = restore(numbered.select("piece_no", text))
-        return numbered.drop(text).join(own.select("piece_no", text, output), "piece_no").drop(
-            "piece_no"
-        )
+        keyed = pieces.withColumn("piece_no", F.struct(group, order))
+        return restore(keyed).select(*pieces.columns, output)
 
+    numbered = number_rows(pieces, [group, order], "piece_no")
     numbered = materialize(numbered, "pieces")
     # Every piece hands its ends to at most `reach` neighbours: each one adds a line break at
     # least, so pieces further away are out of reach.

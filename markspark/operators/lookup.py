@@ -34,16 +34,18 @@ def lookup(
     on: Sequence[str],
     max_rows: int = BROADCAST_ROWS,
     max_bytes: int = BROADCAST_BYTES,
+    fits: bool | None = None,
 ) -> DataFrame:
     """`left LEFT JOIN table USING (on)`, where the table has one row per key.
 
     A table of checked size is broadcast. A larger one is joined by shuffle, with the hot keys
     taken apart: fewer than `HOT_KEYS` keys can each hold more than one `HOT_KEYS`-th of the
     rows, so their table rows are few enough to broadcast, and the rows that carry them are
-    dealt out over all tasks instead of meeting in one.
+    dealt out over all tasks instead of meeting in one. `fits` is the answer of
+    `fits_broadcast` where the caller has asked already.
     """
     on = list(on)
-    if fits_broadcast(table, max_rows, max_bytes):
+    if fits if fits is not None else fits_broadcast(table, max_rows, max_bytes):
         return left.join(F.broadcast(table), on, "left")
 
     hot = _hot_keys(left, on)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from markspark.language import EVAL_DOCUMENTS, ROMANIAN, MarkProfile
 from markspark.settings import Settings
 from markspark.sources import sinks
 
+Restore = Callable[[DataFrame], DataFrame]
+"""Takes documents with `doc_id` and `text`, adds `restored`."""
+
 
 def fit_and_restore(
     usable: DataFrame,
@@ -45,6 +50,29 @@ def baseline(
     return summary
 
 
+def evaluate_restorer(
+    usable: DataFrame,
+    restore: Restore,
+    valid_every: int,
+    sample: int = EVAL_DOCUMENTS,
+    profile: MarkProfile = ROMANIAN,
+) -> DataFrame:
+    """Metrics of any restorer on the first `sample` validation documents, as one row."""
+    valid = first_rows(corpus.validation(usable, valid_every), sample)
+    return evaluation.summary_of(restore(valid), profile=profile)
+
+
+def corrections_report(
+    corrections: DataFrame, restore: Restore, profile: MarkProfile = ROMANIAN
+) -> tuple[DataFrame, DataFrame]:
+    """(the sentences a restorer still gets wrong, word by word; one row of totals)."""
+    restored = restore(corrections.select("doc_id", "text"))
+    return (
+        evaluation.still_wrong(restored),
+        evaluation.corrections_summary(restored, profile=profile),
+    )
+
+
 def split_metrics(
     restored: DataFrame, by: str = "split", profile: MarkProfile = ROMANIAN
 ) -> DataFrame:

@@ -7,7 +7,6 @@ language's own accented letters to ă ș ț â î, so that the rules have someth
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,13 +24,14 @@ from markspark.operators import (
     vectors,
     windows,
 )
-from markspark.operators.ordering import first_rows, number_rows, spread
+from markspark.operators.lookup import lookup
+from markspark.operators.ordering import number_rows, spread
 from markspark.plans import dataset, evaluate
 from markspark.language import ROMANIAN
 from markspark.settings import CorpusSettings, Settings
 from markspark.sources import documents as sources
 from markspark.sources import lines, sinks
-from markspark.storage import materialize, materialize_stamped, new_path
+from markspark.storage import materialize, new_path
 from markspark.streaming import jobs
 
 VALID_EVERY = 5
@@ -69,9 +69,14 @@ def usable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.usable(romanised(spark, sf_dir), SETTINGS.corpus)
 
 
+def usable_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usable documents, written once, for jobs that read them more than once."""
+    return materialize(usable(spark, sf_dir), "usable")
+
+
 def restored_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validation documents restored by the forms of the training documents."""
-    return evaluate.fit_and_restore(usable(spark, sf_dir), VALID_EVERY)
+    return evaluate.fit_and_restore(usable_table(spark, sf_dir), VALID_EVERY)
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +158,7 @@ def src_lines(spark, sf_dir):
 
 
 def _window_rows(spark, sf_dir) -> tuple[str, DataFrame]:
-    docs = usable(spark, sf_dir)
+    docs = usable_table(spark, sf_dir)
     chars = alphabet.alphabet_string(alphabet.build_alphabet(alphabet.char_counts(docs), 256))
     split = corpus.with_split(docs, VALID_EVERY)
     return chars, windows.windows_train(split, chars, WINDOW, OVERLAP)
@@ -272,14 +277,14 @@ def tokenize_letters(spark, sf_dir):
 
 
 def encode_chars(spark, sf_dir):
-    docs = usable(spark, sf_dir)
+    docs = usable_table(spark, sf_dir)
     chars = alphabet.alphabet_string(alphabet.build_alphabet(alphabet.char_counts(docs), 40))
     stripped = marks.fix_and_strip(F.col("text"))
     return docs.select("doc_id", joined(codec.encode_chars(stripped, chars)).alias("ids"))
 
 
 def encode_example(spark, sf_dir):
-    docs = usable(spark, sf_dir)
+    docs = usable_table(spark, sf_dir)
     chars = alphabet.alphabet_string(alphabet.build_alphabet(alphabet.char_counts(docs), 256))
     example = docs.select("doc_id", codec.encode_example(F.col("text"), chars).alias("e"))
     mask = F.transform("e.candidates", lambda c: c.cast("int"))
@@ -370,15 +375,12 @@ def usable_(spark, sf_dir):
 
 def join_dictionary(spark, sf_dir):
     """Every distinct word of the validation documents with the form it is looked up as."""
-    from markspark.operators.lookup import lookup
-
-    valid = corpus.validation(usable(spark, sf_dir), VALID_EVERY)
+    docs = usable_table(spark, sf_dir)
+    valid = corpus.validation(docs, VALID_EVERY)
     stripped = marks.fix_and_strip(F.col("text"))
     tokens = valid.select(F.explode(words.tokenize_letters(stripped)).alias("word"))
     keys = tokens.groupBy(F.lower("word").alias("key")).agg(F.count("*").alias("n"))
-    forms = lexicon.fit(
-        corpus.training(usable(spark, sf_dir), VALID_EVERY), prune=False
-    )
+    forms = lexicon.fit(corpus.training(docs, VALID_EVERY), prune=False)
     return lookup(keys, forms, ["key"])
 
 
@@ -492,7 +494,7 @@ def metrics_summary(spark, sf_dir):
 
 
 def eval_sample(spark, sf_dir):
-    sample = evaluate.fit_and_restore(usable(spark, sf_dir), VALID_EVERY, 40)
+    sample = evaluate.fit_and_restore(usable_table(spark, sf_dir), VALID_EVERY, 40)
     return rounded(evaluation.summary_of(sample))
 
 
@@ -511,7 +513,7 @@ def split_counts(spark, sf_dir):
 
 def corrections_accuracy(spark, sf_dir):
     """Accuracy on validation documents beside that on training documents seen already."""
-    docs = usable(spark, sf_dir)
+    docs = usable_table(spark, sf_dir)
     forms = lexicon.fit(corpus.training(docs, VALID_EVERY))
     restored = lexicon.restore_frequent(corpus.with_split(docs, VALID_EVERY), forms)
     return rounded(evaluate.split_metrics(restored))
@@ -519,7 +521,7 @@ def corrections_accuracy(spark, sf_dir):
 
 def best_on_validation(spark, sf_dir):
     """Identity and most-frequent-form model, the better one on validation documents."""
-    docs = corpus.with_split(usable(spark, sf_dir), VALID_EVERY)
+    docs = corpus.with_split(usable_table(spark, sf_dir), VALID_EVERY)
     forms = lexicon.fit(docs.filter(F.col("split") == "train"))
     restored = lexicon.restore_frequent(docs, forms)
     models = F.array(
@@ -592,14 +594,14 @@ def train_context(spark, sf_dir):
 
 
 def restore_context(spark, sf_dir):
-    docs = usable(spark, sf_dir)
+    docs = usable_table(spark, sf_dir)
     valid = corpus.validation(docs, VALID_EVERY).select("doc_id", "text")
     restored = context.restore_context(valid, _context_model(docs), 0.6)
     return restored.select("doc_id", "restored")
 
 
 def _scored_letters(spark, sf_dir) -> DataFrame:
-    docs = usable(spark, sf_dir)
+    docs = usable_table(spark, sf_dir)
     valid = corpus.validation(docs, VALID_EVERY).select("doc_id", "lang", "text")
     return context.score(context.context_rows(valid), _context_model(docs))
 
@@ -614,8 +616,8 @@ def threshold_sweep(spark, sf_dir):
     return rounded(context.threshold_sweep(_scored_letters(spark, sf_dir)))
 
 
-def letter_classifier(spark, sf_dir):
-    docs = usable(spark, sf_dir).select("doc_id", "lang", "text")
+def train_letter_classifier(spark, sf_dir):
+    docs = usable_table(spark, sf_dir).select("doc_id", "lang", "text")
     train = context.context_rows(corpus.training(docs, VALID_EVERY))
     model = classifier.train_letter_classifier(train, max_iter=8)
     rows = classifier.classify_letters(
@@ -724,7 +726,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         still_wrong, corrections_summary, split_counts, corrections_accuracy, best_on_validation,
         windows_train, windows_plan, window_stitch,
         restore_frequent, identity, train_context, restore_context, candidate_log_loss,
-        threshold_sweep, letter_classifier, score_windows, vector_quantize, quantization_error,
+        threshold_sweep, train_letter_classifier, score_windows, vector_quantize, quantization_error,
         stream_filter, stream_restore, stream_metrics,
     )
 }

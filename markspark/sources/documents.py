@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markspark.functions import marks, words
 from markspark.operators.corpus import hash_sample
+from markspark.operators.lookup import lookup
+from markspark.operators.ordering import number_rows
 from markspark.language import ROMANIAN, MarkProfile
 
 COLUMNS = ("doc_id", "text", "source_rank", "ord")
@@ -37,37 +39,41 @@ def parquet_documents(
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     try:
-        shards = spark.read.parquet(*paths)
-        if len(paths) > 1 or len(shards.inputFiles()) > 1:
-            shards = _with_file_rank(spark, shards, paths)
+        shards = spark.read.parquet(*paths).select(
+            id_col,
+            text_col,
+            F.col("_metadata.row_index").alias("_row"),
+            uri("_metadata.file_path").alias("_file"),
+        )
+        if len(paths) == 1 and len(shards.inputFiles()) == 1:
+            shards = shards.withColumn("rank", F.lit(0).cast("long"))
         else:
-            shards = shards.withColumn("_file_rank", F.lit(0).cast("long"))
+            ranks = file_ranks(spark, paths, spark.read.parquet)
+            shards = lookup(shards, ranks, ["_file"])
         documents = shards.select(
             F.col(id_col).cast("string").alias("doc_id"),
             F.col(text_col).alias("text"),
             F.lit(rank).alias("source_rank"),
-            (
-                F.shiftleft("_file_rank", _ROWS_PER_FILE_BITS) + F.col("_metadata.row_index")
-            ).alias("ord"),
+            (F.shiftleft("rank", _ROWS_PER_FILE_BITS) + F.col("_row")).alias("ord"),
         )
     except AnalysisException as err:
         raise SourceUnavailable(f"read {', '.join(paths)}: {err.getCondition()}") from err
     return hash_sample(documents, every)
 
 
-def _with_file_rank(spark: SparkSession, shards: DataFrame, paths: list[str]) -> DataFrame:
-    """Adds the file's place: paths as listed, files inside one path by name."""
+def file_ranks(
+    spark: SparkSession, paths: Sequence[str], read: Callable[[str], DataFrame]
+) -> DataFrame:
+    """`(_file, rank)`: each input file's place, paths as listed, files in one path by name."""
     files: dict[str, int] = {}
     for path in paths:
-        for file in sorted(spark.read.parquet(path).inputFiles()):
+        for file in sorted(read(path).inputFiles()):
             files.setdefault(file, len(files))
-    # One row per input file, a list that the driver holds for the scan anyway.
-    ranks = spark.createDataFrame(list(files.items()), "_file STRING, _file_rank LONG")
-    ranks = ranks.select(_uri("_file").alias("_file"), "_file_rank")
-    return shards.join(F.broadcast(ranks), _uri("_metadata.file_path") == F.col("_file"), "left")
+    ranks = spark.createDataFrame(list(files.items()), "_file STRING, rank LONG")
+    return ranks.select(uri("_file").alias("_file"), "rank")
 
 
-def _uri(column: str):
+def uri(column: str) -> Column:
     """File names as Spark reports them differ in the number of slashes after the scheme."""
     return F.regexp_replace(F.col(column), "^([a-z0-9]+):/+", "$1:/")
 
@@ -96,7 +102,7 @@ def read_text_files(spark: SparkSession, directory: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
-def file_stem(path: str = "path"):
+def file_stem(path: str = "path") -> Column:
     """File name without directories and without its last extension."""
     name = F.element_at(F.split(F.col(path), "/"), -1)
     return F.regexp_replace(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), r"\.[^.]*$", "")
@@ -108,11 +114,9 @@ def documents_of_files(files: DataFrame, rank: int = 0) -> DataFrame:
     Files arrive in name order. A directory has no numbers to order by, so the place is a
     count of smaller names, taken on the names alone.
     """
-    from markspark.operators.ordering import number_rows
-
     named = files.select("path", file_stem().alias("doc_id"), F.col("content").alias("text"))
     places = number_rows(named.select("path"), ["path"], "ord")
-    return named.join(places, "path").select(
+    return lookup(named, places, ["path"]).select(
         "doc_id", "text", F.lit(rank).alias("source_rank"), F.col("ord").cast("long").alias("ord")
     )
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from markspark.functions import quality, words
 from markspark.language import LINES_PER_DOCUMENT
-from markspark.sources.documents import SourceUnavailable, _uri
+from markspark.operators.lookup import lookup
+from markspark.sources.documents import SourceUnavailable, file_ranks, uri
+from markspark.storage import materialize
 
 
 def text_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -25,33 +27,29 @@ def text_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """`(line_no, value)`: lines numbered from 0 through all files, in path order.
 
-    Splits are read in parallel. A small table with one row per split (its file, its offset,
+    The files are read once, in parallel splits (a compressed file is one), into a table that
+    notes where each line was found. A small table with one row per split (its file, its offset,
     how many lines it holds) gives each split its first number; a line's number follows from
-    its place in the split. Compressed files are one split each.
+    its place in the split.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    lines = text_lines(spark, paths).select(
+    found = text_lines(spark, paths).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("mid"),
     )
-    files: dict[str, int] = {}
-    for path in paths:
-        for file in sorted(spark.read.text(path).inputFiles()):
-            files.setdefault(file, len(files))
-    ranks = spark.createDataFrame(list(files.items()), "ranked STRING, rank LONG").select(
-        _uri("ranked").alias("ranked"), "rank"
-    )
+    lines = materialize(found, "lines")
+    ranks = file_ranks(spark, paths, spark.read.text)
     splits = lines.groupBy("file", "block").agg(
         F.min("mid").alias("first_mid"), F.count("*").alias("n")
     )
     before = Window.orderBy("rank", "block").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = splits.join(F.broadcast(ranks), _uri("file") == F.col("ranked")).select(
+    ranked = lookup(splits.withColumn("_file", uri("file")), ranks, ["_file"])
+    firsts = ranked.select(
         "file", "block", "first_mid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")
     )
-    # One row per split of the input, which the driver has planned one by one.
-    placed = lines.join(F.broadcast(firsts), ["file", "block"])
+    placed = lookup(lines, materialize(firsts, "splits"), ["file", "block"])
     return placed.select(
         (F.col("first") + F.col("mid") - F.col("first_mid")).alias("line_no"), "value"
     )

@@ -199,3 +199,54 @@ def test_metrics_stream_merges_batches(spark, docs, tmp_path):
     jobs.metrics_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     merged = jobs.merged_tallies(spark, str(tmp_path / "out"))
     assert metrics_summary(merged).first() == summary_of(texts).first()
+
+
+# --- models -----------------------------------------------------------------------------------
+
+
+def test_models_are_saved_checked_and_loaded(spark, corpus_docs, docs, tmp_path):
+    from markspark.operators import context
+    from markspark.plans import models
+
+    texts = docs("dupa masa fara casa")
+    frequent, contexts = str(tmp_path / "f"), str(tmp_path / "c")
+    models.save_model(spark, frequent, lexicon.fit(corpus_docs), models.ModelConfig("frequent"))
+    rows = context.context_rows(corpus_docs.select("doc_id", "text"))
+    models.save_model(spark, contexts, context.train(rows), models.ModelConfig("context", 0.6))
+    for location in (frequent, contexts):
+        restore = models.load_restorer(spark, location)
+        assert restore(texts).first().restored == "după masă fără casă"
+    with pytest.raises(ValueError, match="holds no model"):
+        models.load_restorer(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError, match="labels must be.*|threshold"):
+        models.ModelConfig("context", threshold=2, labels=("a",))
+    sinks.write_json_row(spark, '{"format_version": 99}', str(tmp_path / "old" / "config"))
+    with pytest.raises(ValueError, match="format 99"):
+        models.load_config(spark, str(tmp_path / "old"))
+
+
+def test_only_a_strictly_better_model_replaces_the_best(spark, tmp_path):
+    from markspark.plans import models
+
+    def offer(name, accuracy):
+        table = spark.createDataFrame([(name, name)], "key STRING, form STRING")
+        config = models.ModelConfig("frequent", candidate_accuracy=accuracy)
+        best = models.save_if_better(spark, str(tmp_path), table, config)
+        return spark.read.parquet(f"{best}/table").first().key
+
+    assert [offer("a", 0.5), offer("b", 0.5), offer("c", 0.7), offer("d", 0.6), offer("e", 0.9)] == [
+        "a", "a", "c", "c", "e"
+    ]
+
+
+def test_reports_of_any_restorer(spark, corpus_docs, docs):
+    from markspark.functions import marks
+
+    def identity(df):
+        return df.withColumn("restored", marks.strip_marks(F.col("text")))
+
+    row = evaluate.evaluate_restorer(corpus_docs, identity, 2, sample=1).first()
+    assert row.precision_none < 1.0 and row.recall_none == 1.0
+    wrong, totals = evaluate.corrections_report(docs("fără", "bine"), identity)
+    assert [tuple(r) for r in wrong.collect()] == [("0", "fara", "fără")]
+    assert (totals.first().sentences, totals.first().still_wrong) == (2, 1)
