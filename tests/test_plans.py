@@ -208,14 +208,14 @@ def test_models_are_saved_checked_and_loaded(spark, corpus_docs, docs, tmp_path)
     from markspark.operators import context
     from markspark.plans import models
 
-    texts = docs("dupa masa fara casa")
+    texts = docs("Si daca tara dupa asa, fara casa cand si ea.")
     frequent, contexts = str(tmp_path / "f"), str(tmp_path / "c")
     models.save_model(spark, frequent, lexicon.fit(corpus_docs), models.ModelConfig("frequent"))
     rows = context.context_rows(corpus_docs.select("doc_id", "text"))
     models.save_model(spark, contexts, context.train(rows), models.ModelConfig("context", 0.6))
     for location in (frequent, contexts):
         restore = models.load_restorer(spark, location)
-        assert restore(texts).first().restored == "după masă fără casă"
+        assert restore(texts).first().restored == SENTENCES[0]
     with pytest.raises(ValueError, match="holds no model"):
         models.load_restorer(spark, str(tmp_path / "none"))
     with pytest.raises(ValueError, match="labels must be.*|threshold"):
