@@ -92,11 +92,8 @@ def decode_restore(
         ),
         "",
     )
-    message = F.concat(
-        F.size(predictions).cast("string"),
-        F.lit(" predictions for "),
-        F.size(letters).cast("string"),
-        F.lit(" characters"),
+    message = F.format_string(
+        "a text of length %d got %d predictions", F.size(letters), F.size(predictions)
     )
     return F.when(F.size(letters) == F.size(predictions), restored).otherwise(
         F.raise_error(message).cast("string")

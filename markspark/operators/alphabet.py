@@ -34,7 +34,7 @@ def build_alphabet(counts: DataFrame, max_size: int) -> DataFrame:
     that one window needs no partitions.
     """
     if max_size <= FIRST_CHAR_ID:
-        raise ValueError(f"max_size must be > {FIRST_CHAR_ID}")
+        raise ValueError(f"an alphabet of {max_size} ids has no room for characters")
     kept = counts.orderBy(F.desc("n"), "first_seen").limit(max_size - FIRST_CHAR_ID)
     place = F.row_number().over(Window.orderBy("ch"))
     return kept.select("ch", (place + FIRST_CHAR_ID - 1).cast("smallint").alias("char_id"), "n")
@@ -44,7 +44,7 @@ def alphabet_string(alphabet: DataFrame) -> str:
     """The alphabet's characters in id order as one string of at most 254 characters."""
     chars = alphabet.agg(F.array_join(F.sort_array(F.collect_list("ch")), "")).first()[0]
     if len(set(chars)) != len(chars):
-        raise ValueError("alphabet has duplicate characters")
+        raise ValueError("a character stands twice in the alphabet")
     return chars
 
 
@@ -57,8 +57,8 @@ def alphabet_table(spark: SparkSession, text: str) -> DataFrame:
     """`(ch, char_id)` from the JSON of `alphabet_json`."""
     chars = json.loads(text)["chars"]
     if not isinstance(chars, str):
-        raise ValueError("alphabet chars must be a string")
+        raise ValueError("chars is no text")
     if len(set(chars)) != len(chars):
-        raise ValueError("alphabet has duplicate characters")
+        raise ValueError("a character stands twice in the alphabet")
     one = spark.range(1).select(F.posexplode(marks.chars(F.lit(chars))).alias("pos", "ch"))
     return one.select("ch", (F.col("pos") + FIRST_CHAR_ID).cast("smallint").alias("char_id"))

@@ -113,33 +113,55 @@ def score(
     sizes: Sequence[int] = SIZES,
     max_rows: int = lookups.BROADCAST_ROWS,
     max_bytes: int = lookups.BROADCAST_BYTES,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Adds `k`, `pred`, `confidence` and the label counts `n0..n2` of the context used.
 
     A letter whose contexts are all unknown gets label 0 with confidence 0. Ties between
-    labels go to the lowest one. The model is joined to the distinct contexts, not to the
-    letters, when it is too large to broadcast.
+    labels go to the lowest one.
     """
     size = sizes[0]
     table = model.select("k", "ctx", F.struct("k", "n0", "n1", "n2").alias("hit"))
-    small = lookups.fits_broadcast(table, max_rows, max_bytes)
-    base = rows if small else rows.select("ctx").distinct()
-    for k in sizes:
-        level = table.filter(F.col("k") == k).select(F.col("ctx").alias(f"_c{k}"), "hit")
-        level = level.withColumnRenamed("hit", f"_h{k}")
-        base = base.withColumn(f"_c{k}", _shorter(F.col("ctx"), size, k))
-        fits = True if small else None  # a part of what fits
-        base = lookups.lookup(base, level, [f"_c{k}"], max_rows, max_bytes, fits).drop(f"_c{k}")
-    hits = [f"_h{k}" for k in sizes]
-    base = base.withColumn("_hit", F.coalesce(*hits)).drop(*hits)
-    if not small:
-        resolved = materialize(base.filter(F.col("_hit").isNotNull()), "contexts")
-        base = lookups.lookup(rows, resolved, ["ctx"], max_rows, max_bytes)
-    return _with_prediction(base).select(
+    fits = lookups.fits_broadcast(table, max_rows, max_bytes) if fits is None else fits
+    found = _found_in_broadcast if fits else _found_by_shuffle
+    return _with_prediction(found(rows, table, size, sizes)).select(
         *rows.columns, "k", "pred", "confidence", "n0", "n1", "n2"
     )
 
 
+def _found_in_broadcast(
+    rows: DataFrame, table: DataFrame, size: int, sizes: Sequence[int]
+) -> DataFrame:
+    for k in sizes:
+        level = table.filter(F.col("k") == k).select(
+            F.col("ctx").alias("_ctx"), F.col("hit").alias(f"_hit{k}")
+        )
+        rows = rows.withColumn("_ctx", _shorter(F.col("ctx"), size, k))
+        rows = lookups.lookup(rows, level, ["_ctx"], fits=True).drop("_ctx")  # a part of what fits
+    hits = [f"_hit{k}" for k in sizes]
+    return rows.withColumn("_hit", F.coalesce(*hits)).drop(*hits)
+
+
+def _found_by_shuffle(
+    rows: DataFrame, table: DataFrame, size: int, sizes: Sequence[int]
+) -> DataFrame:
+    """The model is joined to the distinct contexts, all lengths at once, and what it says about
+    each of them to the letters. Both joins take hot contexts apart."""
+    counts = lookups.key_counts(rows, ["ctx"])
+    levels = F.array(
+        *[
+            F.struct(F.lit(k).alias("k"), _shorter(F.col("ctx"), size, k).alias("_ctx"))
+            for k in sizes
+        ]
+    )
+    asked = counts.select("ctx", F.inline(levels))
+    answers = lookups.lookup(
+        asked, table.withColumnRenamed("ctx", "_ctx"), ["k", "_ctx"], fits=False
+    )
+    best = answers.filter(F.col("hit").isNotNull()).groupBy("ctx").agg(F.max("hit").alias("_hit"))
+    return lookups.lookup(rows, materialize(best, "contexts"), ["ctx"], counts=counts)
+
+
 def _with_prediction(df: DataFrame) -> DataFrame:
     n0, n1, n2 = (F.coalesce(F.col(f"_hit.n{i}"), F.lit(0)) for i in range(3))
     pred = F.when((n0 >= n1) & (n0 >= n2), 0).when(n1 >= n2, 1).otherwise(2)
@@ -188,9 +210,10 @@ def restore_context(
         _letters(fixed, profile).alias("marked"),
         _contexts(fixed, size, profile).alias("ctx"),
     )
+    fits = lookups.fits_broadcast(model, max_rows, max_bytes)
+    placed = documents.repartition(key) if fits else documents
     parts = (
-        documents.repartition(key)
-        .select(key, *others, F.posexplode(zipped).alias("nth", "l"))
+        placed.select(key, *others, F.posexplode_outer(zipped).alias("nth", "l"))
         .select(
             key,
             *others,
@@ -200,7 +223,7 @@ def restore_context(
             F.coalesce("l.ctx", F.lit("")).alias("ctx"),  # what follows the last letter
         )
     )
-    scored = score(parts, model, sizes, max_rows, max_bytes)
+    scored = score(parts, model, sizes, fits=fits)
     letter = marks.strip_marks(F.col("marked"), profile)
     decoded = F.when(
         F.col("confidence") >= threshold, codec.mark_letter(letter, F.col("pred"), profile)
@@ -218,11 +241,12 @@ def restore_context(
         .groupBy(key, *others)
         .agg(F.sort_array(F.collect_list("piece")).alias("_all"))
     )
+    known = F.col("_all")[0]["before"].isNotNull()
     return rebuilt.select(
         key,
         *others,
-        F.array_join("_all.before", "").alias(text),
-        F.array_join("_all.after", "").alias(output),
+        F.when(known, F.array_join("_all.before", "")).alias(text),
+        F.when(known, F.array_join("_all.after", "")).alias(output),
     )
 
 

@@ -37,7 +37,7 @@ def _aligned(
         words.split_ws(restored),
         lambda r, o: F.struct(r.alias("r"), o.alias("o")),
     )
-    failure = F.raise_error(F.lit("reference and restored text differ in length"))
+    failure = F.raise_error(F.lit("texts of different lengths cannot be compared"))
     by_letter = F.arrays_zip(marks.chars(reference).alias("r"), marks.chars(restored).alias("o"))
     split = texts.select(
         *keep,

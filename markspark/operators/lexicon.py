@@ -90,18 +90,20 @@ def restore_frequent(
     be broadcast. `documents` must hold the key, the text and columns that can be grouped by.
     """
     others = [c for c in documents.columns if c not in (key, text)]
+    if "key" in (key, *others):
+        raise ValueError("a column may not be named key")
+    forms = dictionary.select("key", "form")
+    fits = lookups.fits_broadcast(forms, max_rows, max_bytes)
+    placed = documents.repartition(key) if fits else documents
     tokens = (
-        documents.repartition(key)
-        .withColumn("_words", words.tokenize_letters(F.col(text)))
+        placed.withColumn("_words", words.tokenize_letters(F.col(text)))
         .withColumn("_gaps", words.gaps_between_letters(F.col(text)))
         .select(key, *others, F.posexplode_outer(F.arrays_zip("_gaps", "_words")).alias("_p", "t"))
         .select(key, *others, "_p", F.col("t._gaps").alias("_gap"), F.col("t._words").alias("_w"))
         .withColumn("_s", marks.fix_and_strip(F.col("_w"), profile))
         .withColumn("key", F.lower("_s"))
     )
-    if "key" in (key, *others):
-        raise ValueError("a column may not be named key")
-    found = lookups.lookup(tokens, dictionary.select("key", "form"), ["key"], max_rows, max_bytes)
+    found = lookups.lookup(tokens, forms, ["key"], fits=fits)
     pieces = found.select(
         key,
         *others,

@@ -35,20 +35,23 @@ def lookup(
     max_rows: int = BROADCAST_ROWS,
     max_bytes: int = BROADCAST_BYTES,
     fits: bool | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """`left LEFT JOIN table USING (on)`, where the table has one row per key.
 
     A table of checked size is broadcast. A larger one is joined by shuffle, with the hot keys
     taken apart: fewer than `HOT_KEYS` keys can each hold more than one `HOT_KEYS`-th of the
     rows, so their table rows are few enough to broadcast, and the rows that carry them are
-    dealt out over all tasks instead of meeting in one. `fits` is the answer of
-    `fits_broadcast` where the caller has asked already.
+    dealt out over all tasks instead of meeting in one.
+
+    `fits` is the answer of `fits_broadcast`, and `counts` the result of `key_counts`, where
+    the caller has them already.
     """
     on = list(on)
     if fits if fits is not None else fits_broadcast(table, max_rows, max_bytes):
         return left.join(F.broadcast(table), on, "left")
 
-    hot = _hot_keys(left, on)
+    hot = _hot_keys(key_counts(left, on) if counts is None else counts, on)
     values = [c for c in table.columns if c not in on]
     packed = table.select(*on, F.struct(*values).alias("_cold"))
     hot_rows = packed.withColumnRenamed("_cold", "_found").join(F.broadcast(hot), on, "left_semi")
@@ -67,7 +70,11 @@ def lookup(
     return joined.select(*left.columns, *[found[v].alias(v) for v in values])
 
 
-def _hot_keys(left: DataFrame, on: list[str]) -> DataFrame:
-    counts = materialize(left.groupBy(*on).agg(F.count("*").alias("_n")), "key-counts")
+def key_counts(left: DataFrame, on: Sequence[str]) -> DataFrame:
+    """`(on..., _n)`: rows per key, counted in every task before the shuffle, kept as a table."""
+    return materialize(left.groupBy(*on).agg(F.count("*").alias("_n")), "key-counts")
+
+
+def _hot_keys(counts: DataFrame, on: list[str]) -> DataFrame:
     total = counts.agg(F.sum("_n")).first()[0] or 0
     return materialize(counts.filter(F.col("_n") * HOT_KEYS > total).select(*on), "hot-keys")

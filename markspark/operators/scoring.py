@@ -47,7 +47,7 @@ def score_windows(
                 given = predict([pieces[i] for i in chosen])
                 for i, answer in zip(chosen, given, strict=True):
                     if len(answer) != lengths[i]:
-                        raise ValueError(f"{len(answer)} predictions for {lengths[i]} characters")
+                        raise ValueError(f"a text of length {lengths[i]} got {len(answer)} predictions")
                     answers[i] = answer
             flat = np.concatenate([np.empty((0, 3)), *answers])
             offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())

@@ -11,9 +11,9 @@ from markspark.language import LABEL_NONE, PAD_ID, ROMANIAN, MarkProfile
 
 def _check(window: int, overlap: int) -> None:
     if window <= 0:
-        raise ValueError("window must be positive")
+        raise ValueError("a window holds at least one character")
     if not 0 <= overlap < window:
-        raise ValueError("overlap must be in [0, window)")
+        raise ValueError("an overlap is at least 0 and shorter than the window")
 
 
 def blocks(text: Column, size: int) -> Column:

@@ -36,7 +36,7 @@ class ModelConfig:
                 f"unsupported model format {self.format_version}",
             ),
             (self.kind in KINDS, f"unknown kind of model {self.kind!r}"),
-            (0 <= self.threshold <= 1, "threshold must be in [0, 1]"),
+            (0 <= self.threshold <= 1, "threshold is a share between 0 and 1"),
             (tuple(self.labels) == LABEL_NAMES, f"labels must be {', '.join(LABEL_NAMES)}"),
             (
                 len(self.context_sizes) > 0
@@ -46,7 +46,7 @@ class ModelConfig:
         ]
         problems = [message for ok, message in checks if not ok]
         if problems:
-            raise ValueError("invalid model: " + "; ".join(problems))
+            raise ValueError("this is no usable model: " + "; ".join(problems))
 
 
 def save_model(spark: SparkSession, location: str, table: DataFrame, config: ModelConfig) -> None:

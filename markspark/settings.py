@@ -50,26 +50,26 @@ class Settings:
     def __post_init__(self) -> None:
         c, w, m = self.corpus, self.windows, self.model
         checks = [
-            (w.vocab_size <= 256, "vocab_size must be <= 256"),
-            (w.vocab_size > 2, "vocab_size must be > 2"),
-            (0 <= w.overlap < w.window, "overlap must be in [0, window)"),
-            (c.valid_every >= 2, "valid_every must be >= 2"),
-            (min(c.lines_every, c.web_every) >= 1, "lines_every and web_every must be >= 1"),
-            (c.max_documents >= 0, "max_documents must be >= 0"),
-            (0 <= c.min_mark_ratio <= 1, "min_mark_ratio must be in [0, 1]"),
-            (0 <= m.threshold <= 1, "threshold must be in [0, 1]"),
-            (m.corrections_repeat >= 0, "corrections_repeat must be >= 0"),
-            (m.min_support >= 1, "min_support must be >= 1"),
+            (w.vocab_size <= 256, "vocab_size is at most 256"),
+            (w.vocab_size > 2, "vocab_size is more than 2"),
+            (0 <= w.overlap < w.window, "overlap is at least 0 and less than window"),
+            (c.valid_every >= 2, "valid_every is at least 2"),
+            (min(c.lines_every, c.web_every) >= 1, "lines_every and web_every are at least 1"),
+            (c.max_documents >= 0, "max_documents is not negative"),
+            (0 <= c.min_mark_ratio <= 1, "min_mark_ratio is a share between 0 and 1"),
+            (0 <= m.threshold <= 1, "threshold is a share between 0 and 1"),
+            (m.corrections_repeat >= 0, "corrections_repeat is not negative"),
+            (m.min_support >= 1, "min_support is at least 1"),
             (
                 len(m.context_sizes) > 0
                 and list(m.context_sizes) == sorted(set(m.context_sizes), reverse=True)
                 and m.context_sizes[-1] >= 0,
-                "context_sizes must be distinct, descending and >= 0",
+                "context_sizes are distinct, descending and not negative",
             ),
         ]
         problems = [message for ok, message in checks if not ok]
         if problems:
-            raise ValueError("invalid settings: " + "; ".join(problems))
+            raise ValueError("these settings do not work: " + "; ".join(problems))
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None, **overrides: Any) -> Settings:

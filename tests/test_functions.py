@@ -148,7 +148,7 @@ def test_decode(spark):
 
 def test_decode_length_mismatch_is_an_error(spark):
     df = spark.createDataFrame([("ab", [(0, 0.9)], 0.5)], PREDICTIONS)
-    with pytest.raises(Exception, match="1 predictions for 2 characters"):
+    with pytest.raises(Exception, match="length 2 got 1 predictions"):
         df.select(codec.decode_restore(F.col("text"), F.col("p"), 0.5)).collect()
 
 

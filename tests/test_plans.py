@@ -78,7 +78,7 @@ def test_corrections_are_mixed_into_training(spark, corpus_docs, tmp_path):
     assert dataset.training_windows(spark, location, TINY).count() == train
     known.mkdir()
     (known / "known.txt").write_text(
-        "# comment\n\nPe masă erau mere.\nFata mea a mâncat o pară.\n", encoding="utf-8"
+        "# known\n\nPe câmp erau flori.\nMama ei a cules o floare.\n", encoding="utf-8"
     )
     rows = dataset.build_corrections(
         spark, sources.correction_documents(spark, str(known)), location, TINY
