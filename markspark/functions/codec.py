@@ -5,53 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from markspark.functions.marks import (
-    candidates_of,
-    chars,
-    fix_and_strip,
-    fix_cedilla,
-    labels_of,
-)
+from markspark.functions import marks
+from markspark.functions.marks import chars, fix_cedilla
 from markspark.language import FIRST_CHAR_ID, ROMANIAN, UNK_ID, MarkProfile
 
 
 TABLE_LIMIT = 0x3000  # code points below are looked up in a table, the others searched for
 
 
-def _by_code_point(values: dict[str, int], default: int) -> Column:
-    """A constant array with a small number per code point. Spark folds it to one literal."""
-    last = max((ord(c) for c in values if ord(c) < TABLE_LIMIT), default=0)
-    numbers = ",".join(str(values.get(chr(cp), default)) for cp in range(last + 1))
-    return F.split(F.lit(numbers), ",").cast("array<smallint>")
-
-
-def encode_chars(text: Column, alphabet: str) -> Column:
+def encode_chars(text: Column, alphabet: str, profile: MarkProfile | None = None) -> Column:
     """Character ids: 2 + place in the sorted alphabet, 1 for characters outside it.
 
-    A character's place in the alphabet plus one is its id, and "not found" (0) becomes the
-    unknown id by itself. Common characters need no search, their ids come from a table.
+    Common characters find their id in a table by code point. With a `profile`, marked and
+    legacy letters get the ids of their base letters, as if the text had been stripped first.
     """
     ids = {c: i + FIRST_CHAR_ID for i, c in enumerate(alphabet)}
-    table = _by_code_point(ids, UNK_ID)
+    near = {c: i for c, i in ids.items() if ord(c) < TABLE_LIMIT}
+    if profile is not None:
+        fixed = dict(zip(profile.legacy, profile.legacy_fixed, strict=True))
+        for c in profile.marked + profile.legacy:
+            near[c] = ids.get(profile.base_of[fixed.get(c, c)], UNK_ID)
+    table = marks.by_code_point(near, UNK_ID)
     far = "".join(c for c in alphabet if ord(c) >= TABLE_LIMIT)
-    offset = len(alphabet) - len(far)  # sorted: the far characters stand last
+    before = len(alphabet) - len(far)  # sorted: the far characters stand last
 
     def searched(c: Column) -> Column:
         if not far:
             return F.lit(UNK_ID).cast("smallint")
         place = F.instr(F.lit(far), c)
-        return F.when(place > 0, place + F.lit(1 + offset)).otherwise(UNK_ID).cast("smallint")
+        return F.when(place > 0, place + F.lit(1 + before)).otherwise(UNK_ID).cast("smallint")
 
-    return F.transform(chars(text), lambda c: F.coalesce(F.get(table, F.ascii(c)), searched(c)))
+    return F.transform(
+        marks.chars(text), lambda c: F.coalesce(F.get(table, F.ascii(c)), searched(c))
+    )
 
 
 def encode_example(text: Column, alphabet: str, profile: MarkProfile = ROMANIAN) -> Column:
     """`struct(input_ids, labels, candidates)` of correct text, three arrays of equal length."""
-    stripped = fix_and_strip(text, profile)
+    stripped = marks.fix_and_strip(text, profile)
     return F.struct(
-        encode_chars(stripped, alphabet).alias("input_ids"),
-        labels_of(text, profile).alias("labels"),
-        candidates_of(stripped, profile).alias("candidates"),
+        encode_chars(text, alphabet, profile).alias("input_ids"),
+        marks.labels_of(text, profile).alias("labels"),
+        marks.candidates_of(stripped, profile).alias("candidates"),
     )
 
 

@@ -9,8 +9,13 @@ from markspark.language import LABEL_NAMES, MAX_CHARS, ROMANIAN, MarkProfile
 
 
 def fix_cedilla(text: Column, profile: MarkProfile = ROMANIAN) -> Column:
-    """Replace legacy cedilla letters by comma-below ones."""
-    return F.translate(text, profile.legacy, profile.legacy_fixed)
+    """Replace legacy cedilla letters by comma-below ones.
+
+    Most texts hold none; searching for four letters then costs a fraction of a `translate`.
+    """
+    for old, new in zip(profile.legacy, profile.legacy_fixed, strict=True):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
 
 
 def strip_marks(text: Column, profile: MarkProfile = ROMANIAN) -> Column:
@@ -42,6 +47,26 @@ def chars(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
+def count_letters(text: Column, letters: str) -> Column:
+    """How many of these letters a text holds, by the bytes that go when they are deleted."""
+    total = F.lit(0)
+    for letter in letters:
+        gone = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(letter), F.lit("")))
+        width = len(letter.encode())
+        total = total + (gone if width == 1 else F.floor(gone / width).cast("int"))
+    return total
+
+
+def by_code_point(values: dict[str, int], default: int) -> Column:
+    """A constant array with a small number per code point, up to the last one with a value.
+
+    Spark folds it to one literal; `F.get(table, F.ascii(ch))` looks a character up.
+    """
+    last = max((ord(c) for c in values), default=0)
+    numbers = ",".join(str(values.get(chr(cp), default)) for cp in range(last + 1))
+    return F.split(F.lit(numbers), ",").cast("array<smallint>")
+
+
 def is_candidate(ch: Column, profile: MarkProfile = ROMANIAN) -> Column:
     """Whether a mark-free character could carry a mark."""
     return ch.isin(*profile.candidates)
@@ -59,7 +84,12 @@ def label_of(ch: Column, profile: MarkProfile = ROMANIAN) -> Column:
 
 def labels_of(text: Column, profile: MarkProfile = ROMANIAN) -> Column:
     """Per-character labels; cedilla letters count as comma-below ones."""
-    return F.transform(chars(fix_cedilla(text, profile)), lambda c: label_of(c, profile))
+    values = {**dict.fromkeys(profile.breve_comma, 1), **dict.fromkeys(profile.circumflex, 2)}
+    old = zip(profile.legacy, profile.legacy_fixed, strict=True)
+    table = by_code_point(values | {c: values[fixed] for c, fixed in old}, 0)
+    return F.transform(
+        chars(text), lambda c: F.coalesce(F.get(table, F.ascii(c)), F.lit(0)).cast("tinyint")
+    )
 
 
 def candidates_of(stripped: Column, profile: MarkProfile = ROMANIAN) -> Column:

@@ -1,38 +1,70 @@
-"""Text-quality predicates. Letters are counted by deleting them, without exploding."""
+"""Text-quality predicates, without exploding any text."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from markspark.functions.marks import count_letters
 from markspark.functions.words import tokenize_w
 from markspark.language import ROMANIAN, MarkProfile
 
 
-def _count_any(text: Column, letters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, letters, ""))
+def _with_counts(
+    text: Column, profile: MarkProfile, use: Callable[[Callable[[str], Column]], Column]
+) -> Column:
+    """`use(count)`, where `count(letters)` says how many of these letters the text holds.
+
+    A filter evaluates an expression as often as it is written. Here each letter is counted
+    once per text, in the only element of an array that `use` is then applied to.
+    """
+    letters = dict.fromkeys(profile.marked + profile.legacy + profile.candidates)
+    letters |= dict.fromkeys(
+        c for plain, marked, _ in profile.min_marked for p in (plain, marked) for c in p + p.upper()
+    )
+    names = {c: f"u{ord(c):x}" for c in letters}
+    counts = F.struct(*[count_letters(text, c).alias(n) for c, n in names.items()])
 
+    def apply(found: Column) -> Column:
+        def count(wanted: str) -> Column:
+            total = F.lit(0)
+            for c in wanted:
+                total = total + found[names[c]]
+            return total.cast("double")
 
-def mark_ratio(text: Column, profile: MarkProfile = ROMANIAN) -> Column:
-    """Share of candidate letters that carry a mark; 0 when there are none."""
+        return use(count)
+
+    return F.transform(F.array(counts), apply)[0]
+
+
+def _ratio(count: Callable[[str], Column], profile: MarkProfile) -> Column:
     with_marks = profile.marked + profile.legacy
-    marked = _count_any(text, with_marks).cast("double")
-    candidates = _count_any(text, with_marks + profile.candidates).cast("double")
-    return F.coalesce(F.try_divide(marked, candidates), F.lit(0.0))
+    share = F.try_divide(count(with_marks), count(with_marks + profile.candidates))
+    return F.coalesce(share, F.lit(0.0))
 
 
-def marks_every_letter(text: Column, profile: MarkProfile = ROMANIAN) -> Column:
-    """Whether each marked letter, in either case, reaches its least share; an absent letter
-    passes."""
+def _every_letter(count: Callable[[str], Column], profile: MarkProfile) -> Column:
     passes = F.lit(True)
     for plain, marked, least in profile.min_marked:
         with_mark = marked + marked.upper()
-        n_marked = _count_any(text, with_mark).cast("double")
-        n_both = _count_any(text, with_mark + plain + plain.upper()).cast("double")
-        passes = passes & (n_marked >= F.lit(float(least)) * n_both)
+        both = with_mark + plain + plain.upper()
+        passes = passes & (count(with_mark) >= F.lit(float(least)) * count(both))
     return passes
 
 
+def mark_ratio(text: Column, profile: MarkProfile = ROMANIAN) -> Column:
+    """Share of candidate letters that carry a mark; 0 when there are none."""
+    return _with_counts(text, profile, lambda count: _ratio(count, profile))
+
+
+def marks_every_letter(text: Column, profile: MarkProfile = ROMANIAN) -> Column:
+    """Whether each marked letter, in either case, reaches its least share; an absent letter
+    passes."""
+    return _with_counts(text, profile, lambda count: _every_letter(count, profile))
+
+
 def drops_marks(text: Column, profile: MarkProfile = ROMANIAN) -> Column:
     """Whether too many words that always carry marks are written without them."""
     bare_words, marked_words = profile.bare_words, profile.always_marked
@@ -59,12 +91,13 @@ def keep_document(
     profile: MarkProfile = ROMANIAN,
 ) -> Column:
     """All quality rules on cleaned text, cheapest first so that most texts stop early."""
-    return (
-        (F.length(text) >= min_chars)
-        & (mark_ratio(text, profile) >= F.lit(float(min_ratio)))
-        & marks_every_letter(text, profile)
-        & ~drops_marks(text, profile)
+    well_marked = _with_counts(
+        text,
+        profile,
+        lambda count: (_ratio(count, profile) >= F.lit(float(min_ratio)))
+        & _every_letter(count, profile),
     )
+    return (F.length(text) >= min_chars) & well_marked & ~drops_marks(text, profile)
 
 
 def hash_bucket(doc_id: Column, every: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from markspark.functions import marks
-from markspark.operators.ordering import arrival_key
+from markspark.operators.ordering import arrival
 from markspark.language import FIRST_CHAR_ID, PAD_ID, ROMANIAN, UNK_ID, MarkProfile
 
 
@@ -16,14 +16,21 @@ def char_counts(documents: DataFrame, profile: MarkProfile = ROMANIAN) -> DataFr
     """`(ch, n, first_seen)` over the mark-free texts; `first_seen` orders ties by arrival.
 
     Every task reduces its characters to one row per distinct character before the shuffle.
+    The order is worked out on a text's distinct characters only, which come in the order in
+    which they are first seen.
     """
-    stripped = marks.strip_marks(F.col("text"), profile)
-    exploded = documents.select(
-        "source_rank", "ord", F.posexplode(marks.chars(stripped)).alias("pos", "ch")
+    letters = marks.chars(marks.strip_marks(F.col("text"), profile))
+    listed = documents.select(arrival().alias("arrival"), letters.alias("letters"))
+    firsts = F.transform(
+        F.array_distinct("letters"), lambda c, i: F.struct(c.alias("ch"), i.alias("place"))
     )
+    nowhere = F.lit(None).cast("int")
+    everyone = F.transform("letters", lambda c: F.struct(c.alias("ch"), nowhere.alias("place")))
+    exploded = listed.select("arrival", F.inline(F.concat(firsts, everyone)))
+    first_seen = F.when(F.col("place").isNotNull(), F.col("arrival") + F.col("place"))
     return exploded.groupBy("ch").agg(
-        F.count("*").alias("n"),
-        F.min(arrival_key("source_rank", "ord", "pos")).alias("first_seen"),
+        (F.count("*") - F.count("place")).alias("n"),
+        F.min(first_seen.cast("decimal(38,0)")).alias("first_seen"),
     )
 
 

@@ -88,7 +88,7 @@ def _items(profile: MarkProfile) -> Column:
     # Letters of equal words are counted in bulk, label by label.
     alike = F.col("alike")
     bulk = [
-        _item(i * (N_LABELS + 1), F.length(alike) - F.length(F.translate(alike, letters, "")))
+        _item(i * (N_LABELS + 1), marks.count_letters(alike, letters))
         for i, letters in enumerate((profile.candidates, profile.breve_comma, profile.circumflex))
     ]
     by_word = [_item(WORD_RIGHT, F.col("right")), _item(WORD_WRONG, F.col("wrong"))]

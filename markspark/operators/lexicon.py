@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from markspark.functions import codec, marks, words
 from markspark.operators import lookup as lookups
-from markspark.operators.ordering import arrival_key
+from markspark.operators.ordering import arrival
 from markspark.language import ROMANIAN, MarkProfile
 from markspark.storage import materialize
 
@@ -22,15 +22,14 @@ def form_counts(documents: DataFrame, profile: MarkProfile = ROMANIAN) -> DataFr
     alone is enough, and counts are reduced inside each task before the shuffle.
     """
     text = marks.fix_cedilla(F.col("text"), profile)
-    tokens = documents.select(
-        "source_rank", "ord", F.posexplode(words.tokenize_letters(text)).alias("pos", "word")
-    )
+    tokens = documents.select(arrival().alias("arrival"), words.tokenize_letters(text).alias("all"))
+    tokens = tokens.select("arrival", F.posexplode("all").alias("pos", "word"))
     counts = (
         tokens.withColumn("form", F.lower("word"))
         .groupBy("form")
         .agg(
             F.count("*").alias("n"),
-            F.min(arrival_key("source_rank", "ord", "pos")).alias("first_seen"),
+            F.min((F.col("arrival") + F.col("pos")).cast("decimal(38,0)")).alias("first_seen"),
         )
     )
     key = marks.strip_marks(F.col("form"), profile)

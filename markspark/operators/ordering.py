@@ -15,21 +15,17 @@ SMALL_TOP = 1_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its lower 33 bits
 
 
-def arrival_key(rank: Column | str, ord_: Column | str, pos: Column | str) -> Column:
-    """(source_rank, ord, pos) as one decimal number that sorts the same way.
+def arrival(rank: str = "source_rank", ord_: str = "ord") -> Column:
+    """A document's place as one decimal number that leaves room for places inside it.
 
     A number can be kept in a hash aggregate's buffer, a struct cannot: `min` over a struct
-    makes Spark sort all exploded rows first.
+    makes Spark sort all exploded rows first. Compute it before a document is exploded; then
+    `arrival + pos` sorts like (source_rank, ord, pos).
     """
-    head = _col(rank).cast("decimal(8,0)") * F.lit(Decimal(10**19)) + _col(
-        ord_
-    ).cast("decimal(19,0)")
-    head = head.cast("decimal(28,0)") * F.lit(Decimal(10**10))
-    return (head.cast("decimal(38,0)") + _col(pos).cast("decimal(10,0)")).cast("decimal(38,0)")
-
-
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    place = F.col(rank).cast("decimal(8,0)") * F.lit(Decimal(10**19)) + F.col(ord_).cast(
+        "decimal(19,0)"
+    )
+    return (place.cast("decimal(27,0)") * F.lit(Decimal(10**10))).cast("decimal(37,0)")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -72,7 +72,7 @@ def windows_train(
         .select(*others, "win_no", "w.start", "w.piece")
     )
     missing = F.greatest(F.lit(0), F.lit(window) - F.length("piece"))
-    ids = codec.encode_chars(marks.fix_and_strip(F.col("piece"), profile), alphabet)
+    ids = codec.encode_chars(F.col("piece"), alphabet, profile)
     return cut.select(
         *others,
         "win_no",
