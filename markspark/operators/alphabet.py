@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from markspark.functions import marks
-from markspark.operators.ordering import arrival
+from markspark.storage import materialize
 from markspark.language import FIRST_CHAR_ID, PAD_ID, ROMANIAN, UNK_ID, MarkProfile
 
 
@@ -16,21 +16,31 @@ def char_counts(documents: DataFrame, profile: MarkProfile = ROMANIAN) -> DataFr
     """`(ch, n, first_seen)` over the mark-free texts; `first_seen` orders ties by arrival.
 
     Every task reduces its characters to one row per distinct character before the shuffle.
-    The order is worked out on a text's distinct characters only, which come in the order in
-    which they are first seen.
+    That pass notes the first document only. Characters that agree in number and first document
+    are then told apart by their places in it, which reads those few documents again; with no
+    such characters the second pass is empty, and adaptive execution leaves it out.
     """
+    place = ["source_rank", "ord"]
     letters = marks.chars(marks.strip_marks(F.col("text"), profile))
-    listed = documents.select(arrival().alias("arrival"), letters.alias("letters"))
-    firsts = F.transform(
-        F.array_distinct("letters"), lambda c, i: F.struct(c.alias("ch"), i.alias("place"))
+    listed = documents.select(*place, letters.alias("letters"))
+    by_source = (
+        listed.select(*place, F.explode("letters").alias("ch"))
+        .groupBy("ch", "source_rank")
+        .agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
     )
-    nowhere = F.lit(None).cast("int")
-    everyone = F.transform("letters", lambda c: F.struct(c.alias("ch"), nowhere.alias("place")))
-    exploded = listed.select("arrival", F.inline(F.concat(firsts, everyone)))
-    first_seen = F.when(F.col("place").isNotNull(), F.col("arrival") + F.col("place"))
-    return exploded.groupBy("ch").agg(
-        (F.count("*") - F.count("place")).alias("n"),
-        F.min(first_seen.cast("decimal(38,0)")).alias("first_seen"),
+    found = by_source.groupBy("ch").agg(
+        F.sum("n").alias("n"), F.min(F.struct(*place)).alias("doc")
+    )
+    found = materialize(found, "characters")  # one row per distinct character
+
+    alike = found.groupBy("n", "doc").agg(F.count("*").alias("chars")).filter("chars > 1")
+    looked_at = alike.select("doc.source_rank", "doc.ord").distinct()
+    again = listed.join(F.broadcast(looked_at), place, "left_semi")
+    places = again.select(
+        F.struct(*place).alias("doc"), F.posexplode(F.array_distinct("letters")).alias("nth", "ch")
+    )
+    return found.join(places, ["ch", "doc"], "left").select(
+        "ch", "n", F.struct("doc", F.coalesce("nth", F.lit(0)).alias("nth")).alias("first_seen")
     )
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markspark.functions import codec, marks
-from markspark.language import LABEL_NONE, PAD_ID, ROMANIAN, MarkProfile
+from markspark.language import FIRST_CHAR_ID, LABEL_NONE, PAD_ID, ROMANIAN, UNK_ID, MarkProfile
 
 
 def _check(window: int, overlap: int) -> None:
@@ -39,6 +41,49 @@ def training_starts(length: Column, window: int, overlap: int) -> Column:
     return F.when(length > 0, reached).otherwise(F.array().cast("array<int>"))
 
 
+def _row_encoder(alphabet: str, window: int, profile: MarkProfile):
+    """An Arrow UDF from a window's text to its padded ids and labels.
+
+    A whole batch becomes one array of code points, which NumPy maps at once. Lambdas over
+    arrays of characters say the same (`functions.codec`), but are interpreted letter by letter
+    and take several times as long. Ids of marked letters are those of their base letters.
+    """
+    near = 0x3000
+    points = np.array([ord(c) for c in alphabet], dtype=np.uint32)  # in ascending order
+    ids = np.full(near, UNK_ID, dtype=np.int16)
+    labels = np.full(near, LABEL_NONE, dtype=np.int8)
+    for i, point in enumerate(points):
+        if point < near:
+            ids[point] = FIRST_CHAR_ID + i
+    for c, old in [(c, c) for c in profile.marked] + list(
+        zip(profile.legacy_fixed, profile.legacy, strict=True)
+    ):
+        ids[ord(old)] = ids[ord(profile.base_of[c])]
+        labels[ord(old)] = 1 if c in profile.breve_comma else 2
+    unknown, first = UNK_ID, FIRST_CHAR_ID
+
+    def encode(pieces: pa.Array) -> pa.Array:
+        lengths = pc.utf8_length(pieces).to_numpy(zero_copy_only=False)
+        text = "".join(pieces.to_pylist())
+        found = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        common = np.minimum(found, near - 1)
+        row_ids, row_labels = ids[common], labels[common]
+        far = np.flatnonzero(found >= near - 1)
+        if len(far) and len(points):
+            place = np.minimum(np.searchsorted(points, found[far]), len(points) - 1)
+            row_ids[far] = np.where(points[place] == found[far], place + first, unknown)
+        used = np.arange(window) < lengths[:, None]
+        columns = []
+        for values, filler in ((row_ids, PAD_ID), (row_labels, LABEL_NONE)):
+            padded = np.full(used.shape, filler, dtype=values.dtype)
+            padded[used] = values
+            offsets = pa.array(np.arange(len(lengths) + 1) * window, pa.int32())
+            columns.append(pa.ListArray.from_arrays(offsets, pa.array(padded.ravel())))
+        return pa.StructArray.from_arrays(columns, ["input_ids", "labels"])
+
+    return F.arrow_udf(encode, "input_ids array<smallint>, labels array<tinyint>")
+
+
 def windows_train(
     documents: DataFrame,
     alphabet: str,
@@ -52,37 +97,30 @@ def windows_train(
     stride = window - overlap
     others = [c for c in documents.columns if c != "text"]
     cut = (
-        documents.withColumn("_len", F.length("text"))
-        .withColumn("_blocks", blocks(F.col("text"), stride))
-        .withColumn("_starts", training_starts(F.col("_len"), window, overlap))
+        documents.withColumn("_blocks", blocks(F.col("text"), stride))
+        .withColumn("_starts", training_starts(F.length("text"), window, overlap))
         .select(
             *others,
             F.posexplode(
                 F.transform(
                     "_starts",
-                    lambda s: F.struct(
+                    lambda s, i: F.struct(
                         s.alias("start"),
-                        _from_blocks(
-                            F.col("_blocks"), (s / stride).cast("int"), window, stride
-                        ).alias("piece"),
+                        _from_blocks(F.col("_blocks"), i, window, stride).alias("piece"),
                     ),
                 )
             ).alias("win_no", "w"),
         )
         .select(*others, "win_no", "w.start", "w.piece")
     )
-    missing = F.greatest(F.lit(0), F.lit(window) - F.length("piece"))
-    ids = codec.encode_chars(F.col("piece"), alphabet, profile)
-    return cut.select(
+    encode = _row_encoder(alphabet, window, profile)
+    return cut.withColumn("_row", encode("piece")).select(
         *others,
         "win_no",
         "start",
         F.length("piece").alias("n"),
-        F.concat(ids, F.array_repeat(F.lit(PAD_ID).cast("smallint"), missing)).alias("input_ids"),
-        F.concat(
-            marks.labels_of(F.col("piece"), profile),
-            F.array_repeat(F.lit(LABEL_NONE).cast("tinyint"), missing),
-        ).alias("labels"),
+        F.col("_row.input_ids").alias("input_ids"),
+        F.col("_row.labels").alias("labels"),
     )
 
 
