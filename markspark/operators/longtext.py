@@ -28,15 +28,27 @@ def long_text_pieces(text: Column, max_chars: int = MAX_CHARS) -> Column:
     )
     cut = F.regexp_extract_all(text, F.lit(rule), F.lit(1))
     pieces = F.when(text == "", F.array(F.lit(""))).otherwise(cut)
-    lengths = F.transform(pieces, lambda p: F.length(p))
-    return F.transform(
-        pieces,
-        lambda p, i: F.struct(
-            i.alias("no"),
-            F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda s, n: s + n).alias("start"),
-            p.alias("piece"),
+
+    def numbered(found: Column) -> Column:
+        return F.transform(
+            found.pieces,
+            lambda p, i: F.struct(
+                i.alias("no"),
+                F.aggregate(
+                    F.slice(found.lengths, F.lit(1), i), F.lit(0), lambda s, n: s + n
+                ).alias("start"),
+                p.alias("piece"),
+            ),
+        )
+
+    # Bound to variables step by step, so that the text is cut once and measured once.
+    measured = F.transform(
+        F.array(pieces),
+        lambda ps: F.struct(
+            ps.alias("pieces"), F.transform(ps, lambda p: F.length(p)).alias("lengths")
         ),
     )
+    return F.transform(measured, numbered)[0]
 
 
 def split_long_text(

@@ -11,6 +11,7 @@ from markspark.language import QUANT_GROUP
 
 SMALLEST_SCALE = 1e-8
 LEVELS = 7
+GROUPS = "array<struct<scale:double,codes:array<tinyint>>>"
 
 
 def quantize(vector: Column, group: int = QUANT_GROUP) -> Column:
@@ -18,29 +19,30 @@ def quantize(vector: Column, group: int = QUANT_GROUP) -> Column:
 
     Rounds half to even. A length that is no multiple of `group` is an error.
     """
-    values = vector.cast("array<double>")
-    starts = F.sequence(F.lit(1), F.size(values), F.lit(group))
-
-    def one(start: Column) -> Column:
-        part = F.slice(values, start, group)
-        top = F.array_max(F.transform(part, F.abs))
-        scale = F.greatest(top / LEVELS, F.lit(SMALLEST_SCALE))
-        codes = F.transform(
-            part,
-            lambda w: (
-                F.greatest(F.lit(-7.0), F.least(F.lit(7.0), F.rint(w / scale))) + LEVELS + 1
-            ).cast("tinyint"),
+
+    def grouped(values: Column) -> Column:
+        def one(start: Column) -> Column:
+            part = F.slice(values, start, group)
+            top = F.array_max(F.transform(part, lambda w: F.abs(w)))
+            scale = F.greatest(top / LEVELS, F.lit(SMALLEST_SCALE))
+            return F.transform(F.array(scale), lambda s: F.struct(s.alias("scale"), coded(part, s)))[0]
+
+        whole = F.transform(F.sequence(F.lit(1), F.size(values), F.lit(group)), one)
+        message = F.format_string(f"%d values are no multiple of {group}", F.size(values))
+        return (
+            F.when(F.size(values) == 0, F.array().cast(GROUPS))
+            .when(F.size(values) % group == 0, whole)
+            .otherwise(F.raise_error(message).cast(GROUPS))
         )
-        return F.struct(scale.alias("scale"), codes.alias("codes"))
-
-    whole = F.transform(starts, one)
-    none = F.slice(whole, 1, 0)
-    message = F.concat(F.size(values).cast("string"), F.lit(f" values are no multiple of {group}"))
-    return (
-        F.when(F.size(values) == 0, none)
-        .when(F.size(values) % group == 0, whole)
-        .otherwise(F.raise_error(message).cast("array<struct<scale:double,codes:array<tinyint>>>"))
-    )
+
+    def coded(part: Column, scale: Column) -> Column:
+        def code(w: Column) -> Column:
+            step = F.greatest(F.lit(-7.0), F.least(F.lit(7.0), F.rint(w / scale)))
+            return (step + LEVELS + 1).cast("tinyint")
+
+        return F.transform(part, code).alias("codes")
+
+    return F.transform(F.array(vector.cast("array<double>")), grouped)[0]
 
 
 def pack_codes(codes: Column) -> Column:

@@ -23,22 +23,23 @@ def blocks(text: Column, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1))
 
 
-def _from_blocks(all_blocks: Column, i: Column, window: int, stride: int) -> Column:
-    """The window that starts at block `i`: that block and the head of the following ones."""
-    needed = -(-window // stride)
-    return F.left(F.array_join(F.slice(all_blocks, i + 1, needed), ""), F.lit(window))
-
+def _by_block(documents: DataFrame, text: str, window: int, stride: int) -> DataFrame:
+    """One row per block: the other columns, `len` (of the text), `i`, and `around`: the block
+    before, the block itself, and as many after it as a window can touch."""
+    others = [c for c in documents.columns if c != text]
+    cut = documents.select(
+        *others, F.length(text).alias("len"), blocks(F.col(text), stride).alias("b")
+    )
+    touched = -(-window // stride)
+    shifted = [F.concat(F.array(F.lit("")), "b").alias("b_before"), F.col("b").alias("b0")] + [
+        F.slice("b", j + 1, F.size("b")).alias(f"b{j}") for j in range(1, touched)
+    ]
+    return cut.select(*others, "len", F.posexplode(F.arrays_zip(*shifted)).alias("i", "around"))
 
-def training_starts(length: Column, window: int, overlap: int) -> Column:
-    """Start positions: 0, stride, 2*stride ... up to and including the first partial window.
 
-    When the last window is exactly full, one more with only the overlap follows.
-    """
-    _check(window, overlap)
-    stride = window - overlap
-    starts = F.sequence(F.lit(0), length - 1, F.lit(stride))
-    reached = F.filter(starts, lambda s: (s == 0) | (s - stride + window <= length))
-    return F.when(length > 0, reached).otherwise(F.array().cast("array<int>"))
+def _following(window: int, stride: int) -> Column:
+    touched = -(-window // stride)
+    return F.concat(*[F.coalesce(f"around.b{j}", F.lit("")) for j in range(touched)])
 
 
 def _row_encoder(alphabet: str, window: int, profile: MarkProfile):
@@ -96,22 +97,18 @@ def windows_train(
     _check(window, overlap)
     stride = window - overlap
     others = [c for c in documents.columns if c != "text"]
-    cut = (
-        documents.withColumn("_blocks", blocks(F.col("text"), stride))
-        .withColumn("_starts", training_starts(F.length("text"), window, overlap))
-        .select(
-            *others,
-            F.posexplode(
-                F.transform(
-                    "_starts",
-                    lambda s, i: F.struct(
-                        s.alias("start"),
-                        _from_blocks(F.col("_blocks"), i, window, stride).alias("piece"),
-                    ),
-                )
-            ).alias("win_no", "w"),
-        )
-        .select(*others, "win_no", "w.start", "w.piece")
+    # Starts are 0, stride, 2*stride ... up to and including the first window that is not full;
+    # after one that is just full, one more with only the overlap follows.
+    start = F.col("i") * stride
+    reached = (F.col("i") == 0) | (start - stride + window <= F.col("len"))
+    cut = _by_block(documents, "text", window, stride).filter(
+        F.col("around.b0").isNotNull() & reached
+    )
+    cut = cut.select(
+        *others,
+        F.col("i").alias("win_no"),
+        start.alias("start"),
+        F.left(_following(window, stride), F.lit(window)).alias("piece"),
     )
     encode = _row_encoder(alphabet, window, profile)
     return cut.withColumn("_row", encode("piece")).select(
@@ -124,6 +121,27 @@ def windows_train(
     )
 
 
+def _bounds(length: Column, i: Column, window: int, overlap: int) -> dict[str, Column]:
+    """Number of windows less one, and the bounds of window `i`."""
+    stride, half = window - overlap, overlap // 2
+    last = F.when(length <= window, 0).otherwise(F.ceil((length - window) / stride)).cast("int")
+    end_start = F.greatest(length - window, F.lit(0))
+
+    def start(k: Column) -> Column:
+        return F.when(k < last, k * stride).otherwise(end_start)
+
+    return {
+        "last": last,
+        "start": start(i),
+        "end": F.least(start(i) + window, length),
+        "keep_from": F.when(i == 0, F.lit(0)).otherwise(start(i) + half),
+        "keep_to": F.when(i < last, start(i + 1) + half).otherwise(length),
+    }
+
+
+BOUNDS = ("start", "end", "keep_from", "keep_to")
+
+
 def plan_windows(length: Column, window: int, overlap: int) -> Column:
     """Inference windows as `array<struct<start, end, keep_from, keep_to>>`.
 
@@ -131,57 +149,38 @@ def plan_windows(length: Column, window: int, overlap: int) -> Column:
     kept from the window where it lies furthest from an edge.
     """
     _check(window, overlap)
-    stride, half = window - overlap, overlap // 2
-    starts = F.concat(
-        F.sequence(F.lit(0), length - window - 1, F.lit(stride)), F.array(length - window)
-    )
-    many = F.transform(
-        starts,
-        lambda s, i: F.struct(
-            s.alias("start"),
-            (s + window).alias("end"),
-            F.when(i == 0, F.lit(0)).otherwise(s + half).alias("keep_from"),
-            F.coalesce(F.try_element_at(starts, i + 2) + half, length).alias("keep_to"),
-        ),
-    )
-    zero = F.lit(0)
-    one = F.array(
-        F.struct(
-            zero.alias("start"),
-            length.alias("end"),
-            zero.alias("keep_from"),
-            length.alias("keep_to"),
-        )
-    )
-    none = F.slice(one, 1, 0)
-    return F.when(length <= 0, none).when(length <= window, one).otherwise(many)
+
+    def plan(n: Column) -> Column:
+        def one(i: Column) -> Column:
+            found = _bounds(n, i, window, overlap)
+            return F.struct(*[found[name].alias(name) for name in BOUNDS])
+
+        zero = F.lit(0)
+        places = F.sequence(zero, _bounds(n, zero, window, overlap)["last"])
+        return F.transform(F.slice(places, F.lit(1), F.when(n > 0, F.size(places)).otherwise(0)), one)
+
+    return F.transform(F.array(length), plan)[0]  # the length is worked out once
 
 
 def windows_text(
     documents: DataFrame, window: int, overlap: int, text: str = "text"
 ) -> DataFrame:
     """One row per inference window: the other columns, `win_no`, the four bounds and `piece`."""
+    _check(window, overlap)
     stride = window - overlap
     others = [c for c in documents.columns if c != text]
-    planned = (
-        documents.withColumn("_blocks", blocks(F.col(text), stride))
-        .withColumn("_tail", F.right(text, F.lit(window)))
-        .withColumn("_plan", plan_windows(F.length(text), window, overlap))
+    found = _bounds(F.col("len"), F.col("i"), window, overlap)
+    rows = _by_block(documents, text, window, stride).withColumn("_last", found["last"])
+    following = _following(window, stride)
+    piece = F.when(F.col("i") < F.col("_last"), F.left(following, F.lit(window))).otherwise(
+        F.right(F.concat("around.b_before", following), F.lit(window))
     )
-    pieces = F.transform(
-        "_plan",
-        lambda w, i: F.struct(
-            i.alias("win_no"),
-            w["start"].alias("start"),
-            w["end"].alias("end"),
-            w["keep_from"].alias("keep_from"),
-            w["keep_to"].alias("keep_to"),
-            F.when(i == F.size("_plan") - 1, F.col("_tail"))
-            .otherwise(_from_blocks(F.col("_blocks"), i, window, stride))
-            .alias("piece"),
-        ),
+    return rows.filter(F.col("around.b0").isNotNull() & (F.col("i") <= F.col("_last"))).select(
+        *others,
+        F.col("i").alias("win_no"),
+        *[found[name].alias(name) for name in BOUNDS],
+        piece.alias("piece"),
     )
-    return planned.select(*others, F.inline(pieces))
 
 
 def window_stitch(scored: DataFrame, key: str, value: str, output: str) -> DataFrame:

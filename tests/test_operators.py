@@ -416,6 +416,11 @@ def test_quantization_error_bound(spark):
     assert (report.vectors, report.bytes_before, report.bytes_after) == (21, 21 * 256, 21 * 36)
 
 
+def test_quantize_an_empty_vector(spark):
+    df = spark.createDataFrame([([],)], "v ARRAY<DOUBLE>")
+    assert vectors.vector_quantize(df, "v").first().groups == []
+
+
 def test_quantize_needs_whole_groups(spark):
     df = spark.createDataFrame([([1.0, 2.0],)], "v ARRAY<DOUBLE>")
     with pytest.raises(Exception, match="no multiple of 32"):
