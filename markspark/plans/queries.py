@@ -185,7 +185,7 @@ def src_windows(spark, sf_dir):
 
 def sink_alphabet(spark, sf_dir):
     location = new_path(spark, "alphabet")
-    kept = alphabet.build_alphabet(alphabet.char_counts(usable(spark, sf_dir)), 40)
+    kept = alphabet.build_alphabet(alphabet.char_counts(usable_table(spark, sf_dir)), 40)
     sinks.write_alphabet(spark, alphabet.alphabet_string(kept), location)
     text = sinks.read_json_row(spark, f"{location}/alphabet")
     return longs(alphabet.alphabet_table(spark, text))
@@ -386,7 +386,7 @@ def join_dictionary(spark, sf_dir):
 
 def join_alphabet(spark, sf_dir):
     """Characters of all documents with their ids; 1 for those the alphabet does not hold."""
-    counts = alphabet.char_counts(usable(spark, sf_dir))
+    counts = alphabet.char_counts(usable_table(spark, sf_dir))
     kept = alphabet.build_alphabet(counts, 40).select("ch", "char_id")
     seen = alphabet.char_counts(romanised(spark, sf_dir)).select("ch", "n")
     ids = F.coalesce("char_id", F.lit(1)).cast("long")
@@ -446,11 +446,11 @@ def corrections_mix(spark, sf_dir):
 
 
 def char_counts(spark, sf_dir):
-    return alphabet.char_counts(usable(spark, sf_dir)).select("ch", "n")
+    return alphabet.char_counts(usable_table(spark, sf_dir)).select("ch", "n")
 
 
 def alphabet_build(spark, sf_dir):
-    return longs(alphabet.build_alphabet(alphabet.char_counts(usable(spark, sf_dir)), 40))
+    return longs(alphabet.build_alphabet(alphabet.char_counts(usable_table(spark, sf_dir)), 40))
 
 
 def form_counts(spark, sf_dir):
