@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from markspark.llm import bpe, exact, hosts, packing, warc
+from markspark.llm import bpe, exact, hosts, packing, toxicity, warc
 from markspark.llm.common import table
 from markspark.storage import new_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact.exact_duplicates(table(spark, sf_dir, "documents"), every_digest=True)
 
@@ -75,6 +80,7 @@ def op10_pack(spark, sf_dir):
 
 
 LLM_QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_warc": op7_warc,
     "op8_bpe": op8_bpe,
