@@ -5,13 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from markspark.llm import bpe, exact, hosts, packing, toxicity, warc
+from markspark.llm import bpe, exact, hosts, language_model, packing, toxicity, warc
 from markspark.llm.common import table
-from markspark.storage import new_path
+from markspark.storage import materialize, new_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_kneser_ney(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language_model.fit(docs)
+    scored = materialize(language_model.score(docs, model), "scores")
+    model.remove()
+    return scored
+
+
 def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -80,6 +88,7 @@ def op10_pack(spark, sf_dir):
 
 
 LLM_QUERIES = {
+    "op2_kneser_ney": op2_kneser_ney,
     "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_warc": op7_warc,
