@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from markspark.llm import bpe, exact, hosts, language_model, packing, toxicity, warc
+from markspark.llm import bpe, exact, hosts, jaccard, language_model, packing, toxicity, warc
 from markspark.llm.common import table
 from markspark.storage import materialize, new_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_jaccard(spark, sf_dir):
+    return jaccard.similar_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_kneser_ney(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = language_model.fit(docs)
@@ -88,6 +92,7 @@ def op10_pack(spark, sf_dir):
 
 
 LLM_QUERIES = {
+    "op1_jaccard": op1_jaccard,
     "op2_kneser_ney": op2_kneser_ney,
     "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
