@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from markspark.llm import bpe, exact, hosts, jaccard, language_model, packing, toxicity, warc
+from markspark.llm import bpe, exact, hosts, jaccard, language_model, packing, repeats, toxicity, warc
 from markspark.llm.common import table
 from markspark.storage import materialize, new_path
 
@@ -69,6 +69,16 @@ def op8_bpe(spark, sf_dir):
     return bpe.encoded_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_suffix_array(spark, sf_dir):
+    return repeats.cut_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 RULES = [
     hosts.Rule("com", "/", "allow"),
     hosts.Rule("example.com", "/en/", "block"),
@@ -96,6 +106,7 @@ LLM_QUERIES = {
     "op2_kneser_ney": op2_kneser_ney,
     "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_suffix_array": op5_suffix_array,
     "op7_warc": op7_warc,
     "op8_bpe": op8_bpe,
     "op9_url_filter": op9_url_filter,
