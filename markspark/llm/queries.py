@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from markspark.llm import bpe, exact, hosts, jaccard, language_model, packing, repeats, toxicity, warc
+from markspark.llm import bpe, exact, fingerprints, hosts, jaccard, language_model, packing, repeats, toxicity, warc
 from markspark.llm.common import table
 from markspark.storage import materialize, new_path
 
@@ -33,6 +33,10 @@ def op4_exact_dedup(spark, sf_dir):
     return exact.exact_duplicates(table(spark, sf_dir, "documents"), every_digest=True)
 
 
+def op6_fingerprints(spark, sf_dir):
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark, sf_dir):
     path = new_path(spark, "warc")
     warc.write_warc(warc.warc_records(table(spark, sf_dir, "pages")), path)
@@ -107,6 +111,7 @@ LLM_QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_suffix_array": op5_suffix_array,
+    "op6_fingerprints": op6_fingerprints,
     "op7_warc": op7_warc,
     "op8_bpe": op8_bpe,
     "op9_url_filter": op9_url_filter,
