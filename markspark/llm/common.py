@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markspark.storage import new_path
@@ -36,9 +36,17 @@ def join_groups(
     return here.unionByName(moved)
 
 
-def first_of(order: list[Column], value: Column) -> Column:
-    """Aggregate: `value` of the first row in this order; null sorts as Spark sorts it."""
-    return F.min(F.struct(*order, value.alias("value")))["value"]
+BROADCAST_KEYS = 200_000
+
+
+def without(rows: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` that have no equal keys (null-safe) in `dropped`, which is broadcast only if it has
+    at most `BROADCAST_KEYS` rows."""
+    gone = dropped.select(*[F.col(k).alias(f"_gone_{k}") for k in keys])
+    if gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    same = [F.col(k).eqNullSafe(F.col(f"_gone_{k}")) for k in keys]
+    return rows.join(gone, same, "left_anti")
 
 
 def shared_files(spark: SparkSession, name: str) -> str:

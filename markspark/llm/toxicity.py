@@ -22,8 +22,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 FOLDS, HELD_OUT = 5, 0
+THRESHOLD = 0.5
 WINDOW_WORDS = 8
 LEVEL = 3
 WORD = re.compile(r"[^\W_]+")
@@ -228,41 +230,55 @@ def fit(
     return train_model([(r.text, r.toxic) for r in taken], sample)
 
 
-def score(
-    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per row of `docs`: `id_col, held_out, score, predicted`.
-
-    The score lies between 0 and 1 and depends on the whole text alone. Null, empty and blank
-    texts have no windows and get the score of a text that saves nothing. Null ids are not held
-    out. Without labelled rows of both kinds the score is the share of toxic ones (0 without any).
-    Rows that repeat get equal scores; an empty table gives none; other columns are ignored.
-    """
+def with_score(docs: DataFrame, model: Model, text_col: str, score_col: str) -> DataFrame:
+    """`docs` with one column more; the text's place is found by position, names may repeat."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         distance = Distance(model) if len(model.weights) else None
         for batch in batches:
             scores = []
-            for text in batch.column(1):
+            for text in batch.column(place):
                 if distance is None:
                     scores.append(model.prior)
                     continue
                 x = (np.array(features(distance.of(text.as_py()))) - model.centre) / model.scale
                 logit = float(np.clip(model.weights[0] + x @ model.weights[1:], -30, 30))
                 scores.append(1 / (1 + np.exp(-logit)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64())], ["id", "score"]
-            )
+            columns = [*batch.columns, pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, score_col])
 
+    schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
+    return docs.mapInArrow(run, schema)
+
+
+def score(
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per row of `docs`: `id_col, held_out, score, predicted`.
+
+    The score lies between 0 and 1 and depends on the whole text alone. Null, empty and blank
+    texts have no windows and get the score of a text that saves nothing. Null ids are not held
+    out. Without labelled rows of both kinds the score is the share of toxic ones (0 without any).
+    Rows that repeat get equal scores; an empty table gives none; other columns are ignored.
+    """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = source.schema[0].dataType.simpleString()
-    scored = source.mapInArrow(run, f"id {kind}, score DOUBLE")
+    scored = with_score(source, model, "text", "score")
     fold = F.crc32(F.col("id").cast("string").cast("binary")) % FOLDS
     return scored.select(
         F.col("id").alias(id_col),
         F.coalesce(fold == HELD_OUT, F.lit(False)).alias("held_out"),
         "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def keep_clean(
+    docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5
+) -> DataFrame:
+    """The rows of `docs` with a score below the threshold, with all their columns."""
+    return with_score(docs, model, text_col, "_toxicity").filter(
+        F.col("_toxicity") < threshold
+    ).drop("_toxicity")
