@@ -16,10 +16,9 @@ from markspark.storage import materialize
 def _parents_of(rows: DataFrame, column: str, parents: DataFrame, total: int) -> DataFrame:
     """Replaces a column by its parents; many rows may hold the same node."""
     counted = rows.groupBy(column).agg(F.count("*").alias("_n"))
-    table = parents.select(F.col("id").alias(column), "parent").join(counted, column)
-    found = join_groups(rows, table, [column], "_n", total)
-    new = F.coalesce("parent", column)
-    return found.withColumn(column, new).drop("parent", "_n")
+    table = parents.select(F.col("id").alias(column), F.col("parent").alias("_up"))
+    found = join_groups(rows, table.join(counted, column), [column], "_n", total)
+    return found.withColumn(column, F.coalesce("_up", column)).drop("_up", "_n")
 
 
 def _roots(parents: DataFrame) -> DataFrame:
