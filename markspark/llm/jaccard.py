@@ -13,7 +13,8 @@ centres, until there are none. Texts with equal sets are one node from the start
 
 from __future__ import annotations
 
-import math
+import os
+import shutil
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from markspark.llm.common import join_groups
+from markspark.llm import runs
+from markspark.llm.common import join_groups, shared_files, write_file
 from markspark.llm.components import components
 from markspark.llm.wordhash import mix, words_of
 from markspark.storage import materialize
@@ -33,6 +35,10 @@ BATCH_BYTES = 4 << 20
 MORE_CENTRES = 16
 BROADCAST_IDS = 500_000
 PAIRS_PER_SALT = 500
+RANGE_BLOCKS = 4_000_000
+"""Blocks of sketches behind one range of their numbers."""
+KEPT = 2_000_000
+"""Numbers that a task collects before it sends them."""
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -163,6 +169,102 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, elements ARRAY<LONG>")
 
 
+def _block_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all blocks of a batch of sketches (`band, words`), and the row of each."""
+    words = batch.column(batch.schema.get_field_index("words"))
+    offsets = words.offsets.to_numpy().astype(np.int64)
+    sizes = np.diff(offsets)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    band = batch.column(batch.schema.get_field_index("band")).to_numpy()[row]
+    block = np.arange(len(row)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+    values = words.flatten().to_numpy().view(np.uint64)
+    where = (band.astype(np.uint64) << np.uint64(40)) | block.astype(np.uint64)
+    return mix(mix(where + _MULTIPLIERS[0]) ^ values), row
+
+
+def _shared_blocks(sketches: DataFrame) -> DataFrame:
+    """`id, band, key` of the blocks that two or more rows of `sketches` agree in.
+
+    Tasks count the numbers of their blocks and send them as sorted runs, by ranges; a number that
+    comes up twice in its range goes into the range's file. Tasks then map these files and keep
+    the blocks found there. So no row of a block is moved unless it has a partner.
+    """
+    spark = sketches.sparkSession
+    path = shared_files(spark, "shared-blocks")
+    n = sketches.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).first().n
+    ranges = 1 << max(0, int(n) // RANGE_BLOCKS).bit_length()
+    parts_of = ranges.bit_length() - 1
+
+    def part(keys: np.ndarray) -> np.ndarray:
+        shift = np.uint64(64 - parts_of)
+        return (keys >> shift).astype(np.int64) if parts_of else np.zeros(len(keys), np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = runs.Counts(KEPT)
+
+        def out() -> pa.RecordBatch:
+            keys, sums = counts.take()
+            names, first = np.unique(part(keys), return_index=True)
+            ends = [*first[1:], len(keys)]
+            sent = [runs.pack(keys[a:b], np.minimum(sums[a:b], 2)) for a, b in zip(first, ends)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(names), pa.array(sent, pa.binary())], ["part", "run"]
+            )
+
+        for batch in batches:
+            keys, _ = _block_keys(batch)
+            keys, sums = np.unique(keys, return_counts=True)
+            if counts.add(keys, sums.astype(np.int64)):
+                yield out()
+        if counts.size:
+            yield out()
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        found = [runs.unpack(x.as_py()) for x in table.column("run")]
+        keys, sums = runs.group_sums(
+            np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+        )
+        keys = keys[sums > 1]
+        write_file(f"{path}/{key[0].as_py()}", keys.astype("<u8").tobytes())
+        return pa.table({"shared": [len(keys)]})
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps: dict[int, np.ndarray] = {}
+        for batch in batches:
+            keys, row = _block_keys(batch)
+            order = np.argsort(keys)
+            ordered = keys[order]
+            kept = np.zeros(len(keys), bool)
+            names, first = np.unique(part(ordered), return_index=True)
+            for name, a, b in zip(names.tolist(), first, [*first[1:], len(keys)]):
+                if name not in maps:
+                    file = f"{path}/{name}"
+                    there = os.path.exists(file) and os.path.getsize(file)
+                    maps[name] = np.memmap(file, "<u8", "r") if there else np.empty(0, "<u8")
+                known = maps[name]
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, ordered[a:b]), len(known) - 1)
+                    kept[order[a:b]] = known[at] == ordered[a:b]
+            row = pa.array(row[kept])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(row),
+                    batch.column(1).take(row),
+                    pa.array(keys[kept].view(np.int64)),
+                ],
+                ["id", "band", "key"],
+            )
+
+    blocks = sketches.select("band", "words")
+    sent = blocks.mapInArrow(count, "part LONG, run BINARY").groupBy("part")
+    sent.applyInArrow(merge, "shared LONG").agg(F.sum("shared")).first()
+    kind = sketches.schema["id"].dataType.simpleString()
+    rows = sketches.select("id", "band", "words").mapInArrow(keep, f"id {kind}, band INT, key LONG")
+    rows = materialize(rows, "block-members")
+    shutil.rmtree(path, ignore_errors=True)
+    return rows
+
+
 def _both_sides(pairs: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs with the values of `a` and of `b` (columns `_a`, `_b`).
 
@@ -244,15 +346,12 @@ def similar_texts(
         groups.select(*keys, F.col("node").alias("id")), [*keys, "id"], "left_semi"
     ).dropDuplicates(["id", *keys])
     sketches = nodes.select("id", "n_shingles", F.explode("sketches").alias("s"))
-    sketches = sketches.select("id", "n_shingles", "s.band", "s.words")
-    blocks = sketches.select("id", "band", F.posexplode("words").alias("block", "word"))
-    rows = blocks.select("id", "band", F.xxhash64("band", "block", "word").alias("key"))
-
-    # blocks that more than one node agrees in
-    shared = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("b"))
+    sketches = materialize(sketches.select("id", "n_shingles", "s.band", "s.words"), "nodes")
+    members = _shared_blocks(sketches)
+    shared = members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("b"))
     shared = materialize(shared.filter("size > 1"), "shared-blocks")
     n_rows = shared.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
-    members = join_groups(rows, shared, ["key"], "size", max(n_rows, 1)).filter("b IS NOT NULL")
+    members = join_groups(members, shared, ["key"], "size", max(n_rows, 1)).filter("b IS NOT NULL")
     members = materialize(members, "members")
     pairs = members.filter("id <> b").select(F.col("id").alias("a"), "b", "band").distinct()
     tested = materialize(pairs, "pairs")
