@@ -36,16 +36,25 @@ def join_groups(
     return here.unionByName(moved)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 BROADCAST_KEYS = 200_000
 
 
 def without(rows: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
     """`rows` that have no equal keys (null-safe) in `dropped`, which is broadcast only if it has
     at most `BROADCAST_KEYS` rows."""
-    gone = dropped.select(*[F.col(k).alias(f"_gone_{k}") for k in keys])
+    names = [unused(rows, f"gone_{i}") for i in range(len(keys))]
+    gone = dropped.select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
     if gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         gone = F.broadcast(gone)
-    same = [F.col(k).eqNullSafe(F.col(f"_gone_{k}")) for k in keys]
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
     return rows.join(gone, same, "left_anti")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markspark.llm.common import join_groups, without
+from markspark.llm.common import join_groups, unused, without
 from markspark.storage import materialize
 
 SPACES = " \t\n\x0b\f\r"
@@ -115,23 +115,17 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     decided = exact_duplicates(docs, id_col, text_col, every_digest=True)
     decided = materialize(decided, "decisions")
-    marked = docs.withColumn("_sha", digest(F.col(text_col))).withColumn("_id", F.col(id_col))
-    dropped = decided.filter("NOT kept").select(
-        F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")
-    )
-    stay = without(marked, dropped.distinct(), ["_id", "_sha"])
-    twice = (
-        decided.filter("kept AND group_size > 1")
-        .groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-        .agg(F.count("*").alias("_n"))
-        .filter("_n > 1")
-        .select("_id", "_sha")
-    )
+    sha = unused(docs, "_digest")
+    marked = docs.withColumn(sha, digest(F.col(text_col)))
+    keys = [F.col(id_col), F.col("text_sha256").alias(sha)]
+    dropped = decided.filter("NOT kept").select(*keys).distinct()
+    stay = without(marked, dropped, [id_col, sha])
+    alike = decided.filter("kept AND group_size > 1").select(*keys)
+    twice = alike.groupBy(id_col, sha).count().filter("count > 1").select(id_col, sha)
     if not twice.isEmpty():
         twice = materialize(twice, "repeated-rows")
-        same = [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in ("_id", "_sha")]
+        same = [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in (id_col, sha)]
         several = stay.alias("s").join(twice.alias("t"), same, "left_semi")
-        stay = without(stay, twice, ["_id", "_sha"]).unionByName(
-            several.dropDuplicates(["_id", "_sha"])
-        )
-    return stay.drop("_sha", "_id")
+        once = several.dropDuplicates([id_col, sha])
+        stay = without(stay, twice, [id_col, sha]).unionByName(once)
+    return stay.drop(sha)

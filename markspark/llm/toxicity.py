@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from markspark.llm.common import unused
+
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
 WINDOW_WORDS = 8
@@ -279,6 +281,6 @@ def keep_clean(
     docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5
 ) -> DataFrame:
     """The rows of `docs` with a score below the threshold, with all their columns."""
-    return with_score(docs, model, text_col, "_toxicity").filter(
-        F.col("_toxicity") < threshold
-    ).drop("_toxicity")
+    name = unused(docs, "toxicity")
+    scored = with_score(docs, model, text_col, name)
+    return scored.filter(F.col(name) < threshold).drop(name)
