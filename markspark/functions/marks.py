@@ -30,7 +30,7 @@ def fix_and_strip(text: Column, profile: MarkProfile = ROMANIAN) -> Column:
 
 
 def clean_text(text: Column, profile: MarkProfile = ROMANIAN) -> Column:
-    """Precomposed (NFC) characters, then comma-below letters.
+    """Composes characters (NFC) and fixes cedillas.
 
     Spark has no NFC function, but the ICU library it ships for collations does; calling it
     with `reflect` keeps the text inside the JVM. ICU checks first whether anything has to be

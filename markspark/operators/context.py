@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from markspark.functions import codec, marks
 from markspark.operators import lookup as lookups
 from markspark.operators.evaluation import metrics_summary
+from markspark.operators.lexicon import woven
 from markspark.language import ROMANIAN, MarkProfile
 from markspark.storage import materialize
 
@@ -77,6 +78,10 @@ def _shorter(ctx: Column, size: int, k: int) -> Column:
     return F.substring(ctx, size - k + 1, 2 * k + 1)
 
 
+def _all_shorter(contexts: Column, size: int, k: int) -> Column:
+    return F.transform(contexts, lambda c: _shorter(c, size, k))
+
+
 def train(
     rows: DataFrame, sizes: Sequence[int] = SIZES, min_support: int = 2, weight: str | None = None
 ) -> DataFrame:
@@ -198,55 +203,49 @@ def restore_context(
 ) -> DataFrame:
     """Adds `output`: the stripped text with every sufficiently confident label applied.
 
-    Each text is taken apart into candidate letters and what stands before them, and put
-    together again after scoring. Partitioning by `key` first means that the parts of one
-    document never leave their task when the model can be broadcast.
+    With a model that can be broadcast, the contexts of a text are looked up where it lies. With
+    a larger one, the letters of numbered rows are scored by shuffle, and only labels come back.
+    Either way there is one row out for every row in; `key` is not needed for that and may
+    repeat. A missing text stays missing.
     """
     size = sizes[0]
-    others = [c for c in documents.columns if c not in (key, text)]
+    columns = documents.columns
     fixed = marks.fix_cedilla(F.col(text), profile)
-    zipped = F.arrays_zip(
-        F.split(fixed, _letter_class(profile), -1).alias("gap"),
-        _letters(fixed, profile).alias("marked"),
-        _contexts(fixed, size, profile).alias("ctx"),
-    )
-    fits = lookups.fits_broadcast(model, max_rows, max_bytes)
-    placed = documents.repartition(key) if fits else documents
-    parts = (
-        placed.select(key, *others, F.posexplode_outer(zipped).alias("nth", "l"))
-        .select(
-            key,
-            *others,
-            "nth",
-            F.col("l.gap").alias("gap"),
-            F.coalesce("l.marked", F.lit("")).alias("marked"),
-            F.coalesce("l.ctx", F.lit("")).alias("ctx"),  # what follows the last letter
-        )
-    )
-    scored = score(parts, model, sizes, fits=fits)
-    letter = marks.strip_marks(F.col("marked"), profile)
-    decoded = F.when(
-        F.col("confidence") >= threshold, codec.mark_letter(letter, F.col("pred"), profile)
-    ).otherwise(letter)
-    rebuilt = (
-        scored.select(
-            key,
-            *others,
-            F.struct(
-                "nth",
-                F.concat("gap", "marked").alias("before"),
-                F.concat("gap", decoded).alias("after"),
-            ).alias("piece"),
-        )
-        .groupBy(key, *others)
-        .agg(F.sort_array(F.collect_list("piece")).alias("_all"))
-    )
-    known = F.col("_all")[0]["before"].isNotNull()
-    return rebuilt.select(
-        key,
-        *others,
-        F.when(known, F.array_join("_all.before", "")).alias(text),
-        F.when(known, F.array_join("_all.after", "")).alias(output),
+    contexts = _contexts(fixed, size, profile)
+    table = model.select("k", "ctx", "n0", "n1", "n2")
+    if lookups.fits_broadcast(table, max_rows, max_bytes):
+        # a context's length tells its level
+        keys = [_all_shorter(contexts, size, k) for k in sizes]
+        levels = table.filter(F.col("k").isin(*sizes))
+        levels = levels.select(F.col("ctx").alias("key"), "n0", "n1", "n2")
+        found = lookups.lookup_in_rows(documents, keys, levels, "_hits")
+    else:
+        found = _hits_by_shuffle(documents, contexts, model, sizes)
+    letters = F.transform(_letters(fixed, profile), lambda c: marks.strip_marks(c, profile))
+    decoded = F.zip_with(letters, F.col("_hits"), lambda c, h: _decoded(c, h, threshold, profile))
+    restored = woven(F.split(fixed, _letter_class(profile), -1), decoded)
+    return found.select(*columns, restored.alias(output))
+
+
+def _decoded(letter: Column, hit: Column, threshold: float, profile: MarkProfile) -> Column:
+    """The letter with the most frequent label of its context, if that is confident enough."""
+    n0, n1, n2 = (F.coalesce(hit[f"n{i}"], F.lit(0)) for i in range(3))
+    label = F.when((n0 >= n1) & (n0 >= n2), 0).when(n1 >= n2, 1).otherwise(2)
+    share = F.try_divide(F.greatest(n0, n1, n2).cast("double"), (n0 + n1 + n2).cast("double"))
+    sure = F.coalesce(share, F.lit(0.0)) >= threshold
+    return F.when(sure, codec.mark_letter(letter, label, profile)).otherwise(letter)
+
+
+def _hits_by_shuffle(
+    documents: DataFrame, contexts: Column, model: DataFrame, sizes: Sequence[int]
+) -> DataFrame:
+    rows = lookups.with_row_id(documents, "_row")
+    letters = rows.select("_row", F.posexplode(contexts).alias("nth", "ctx"))
+    scored = score(letters, model, sizes, fits=False)
+    hits = F.sort_array(F.collect_list(F.struct("nth", "n0", "n1", "n2")))  # one per letter
+    answers = scored.groupBy("_row").agg(hits.alias("_hits"))
+    return rows.join(answers, "_row", "left").withColumn(
+        "_hits", F.coalesce("_hits", F.array().cast(answers.schema["_hits"].dataType))
     )
 
 

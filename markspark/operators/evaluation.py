@@ -18,6 +18,18 @@ N_LABELS = len(LABEL_NAMES)
 WORD_WRONG, WORD_RIGHT = N_LABELS * N_LABELS, N_LABELS * N_LABELS + 1
 
 
+def zip_words(reference: Column, restored: Column) -> Column:
+    """`array<struct<r, o>>` of the words at equal places; other numbers of words are an error."""
+    wanted, got = words.split_ws(reference), words.split_ws(restored)
+    pairs = F.zip_with(wanted, got, lambda r, o: F.struct(r.alias("r"), o.alias("o")))
+    message = F.format_string(
+        "texts of %d and %d words cannot be compared", F.size(wanted), F.size(got)
+    )
+    failure = F.raise_error(message).cast("array<struct<r:string,o:string>>")
+    missing = reference.isNull() | restored.isNull()
+    return F.when(missing | (F.size(wanted) == F.size(got)), pairs).otherwise(failure)
+
+
 def _aligned(
     texts: DataFrame,
     reference: Column,
@@ -32,11 +44,7 @@ def _aligned(
     of unequal words are compared. Any other two texts are compared letter by letter.
     """
     same_base = marks.strip_marks(reference, profile) == marks.strip_marks(restored, profile)
-    by_word = F.zip_with(
-        words.split_ws(reference),
-        words.split_ws(restored),
-        lambda r, o: F.struct(r.alias("r"), o.alias("o")),
-    )
+    by_word = zip_words(reference, restored)
     failure = F.raise_error(F.lit("texts of different lengths cannot be compared"))
     by_letter = F.arrays_zip(marks.chars(reference).alias("r"), marks.chars(restored).alias("o"))
     split = texts.select(
@@ -200,19 +208,14 @@ def still_wrong(
 ) -> DataFrame:
     """Per text that is not restored exactly: the words written and the words wanted."""
     pairs = F.filter(
-        F.zip_with(
-            words.split_ws(F.col(reference)),
-            words.split_ws(F.col(restored)),
-            lambda want, wrote: F.struct(want.alias("want"), wrote.alias("wrote")),
-        ),
-        lambda p: ~p.want.eqNullSafe(p.wrote),
+        zip_words(F.col(reference), F.col(restored)), lambda p: ~p.r.eqNullSafe(p.o)
     )
     wrong = texts.filter(F.col(reference) != F.col(restored)).select(key, pairs.alias("misses"))
 
     def joined(side: str) -> Column:
         return F.array_join(F.transform("misses", lambda p: words.strip_punct(p[side])), " ")
 
-    return wrong.select(key, joined("wrote").alias("wrote"), joined("want").alias("want"))
+    return wrong.select(key, joined("o").alias("wrote"), joined("r").alias("want"))
 
 
 def corrections_summary(

@@ -84,46 +84,43 @@ def restore_frequent(
 ) -> DataFrame:
     """Adds `output`: the text stripped, every word then in its most frequent form.
 
-    `key` names a row. Documents are partitioned by it *before* they are taken apart, so the
-    words of one document come together again without another shuffle when the dictionary can
-    be broadcast. `documents` must hold the key, the text and columns that can be grouped by.
+    With a dictionary that can be broadcast, every text is restored where it lies. With a larger
+    one, the words of numbered rows are looked up by shuffle, and only the forms come back.
+    Either way there is one row out for every row in; `key` is not needed for that and may
+    repeat. A missing text stays missing.
     """
-    others = [c for c in documents.columns if c not in (key, text)]
-    if "key" in (key, *others):
-        raise ValueError("a column may not be named key")
+    columns = documents.columns
     forms = dictionary.select("key", "form")
-    fits = lookups.fits_broadcast(forms, max_rows, max_bytes)
-    placed = documents.repartition(key) if fits else documents
-    tokens = (
-        placed.withColumn("_words", words.tokenize_letters(F.col(text)))
-        .withColumn("_gaps", words.gaps_between_letters(F.col(text)))
-        .select(key, *others, F.posexplode_outer(F.arrays_zip("_gaps", "_words")).alias("_p", "t"))
-        .select(key, *others, "_p", F.col("t._gaps").alias("_gap"), F.col("t._words").alias("_w"))
-        .withColumn("_s", marks.fix_and_strip(F.col("_w"), profile))
-        .withColumn("key", F.lower("_s"))
+    stripped = F.transform(
+        words.tokenize_letters(F.col(text)), lambda w: marks.fix_and_strip(w, profile)
     )
-    found = lookups.lookup(tokens, forms, ["key"], fits=fits)
-    pieces = found.select(
-        key,
-        *others,
-        F.struct(
-            "_p",
-            F.concat("_gap", F.coalesce("_w", F.lit(""))).alias("before"),
-            F.concat("_gap", F.coalesce(apply_form(F.col("_s"), F.col("form")), F.lit(""))).alias(
-                "after"
-            ),
-        ).alias("piece"),
+    keys = F.transform(stripped, lambda w: F.lower(w))
+    if lookups.fits_broadcast(forms, max_rows, max_bytes):
+        found = lookups.lookup_in_rows(documents, [keys], forms, "_forms")
+    else:
+        found = _forms_by_shuffle(documents, keys, forms)
+    placed = F.zip_with(
+        stripped, F.col("_forms"), lambda w, f: F.coalesce(apply_form(w, f["form"]), w)
     )
-    whole = pieces.groupBy(key, *others).agg(F.sort_array(F.collect_list("piece")).alias("_all"))
-    return whole.select(
-        key,
-        *others,
-        *[
-            F.when(F.col("_all")[0]["before"].isNotNull(), F.array_join(f"_all.{side}", "")).alias(
-                name
-            )
-            for side, name in (("before", text), ("after", output))
-        ],
+    restored = woven(words.gaps_between_letters(F.col(text)), placed)
+    return found.select(*columns, restored.alias(output))
+
+
+def woven(gaps: Column, parts: Column) -> Column:
+    """A text from what stands between its parts (one more than there are) and the parts."""
+    ends = F.concat(parts, F.array(F.lit("")))
+    return F.array_join(F.zip_with(gaps, ends, lambda g, p: F.concat(g, p)), "")
+
+
+def _forms_by_shuffle(documents: DataFrame, keys: Column, forms: DataFrame) -> DataFrame:
+    rows = lookups.with_row_id(documents, "_row")
+    tokens = rows.select("_row", F.posexplode(keys).alias("_p", "key"))
+    found = lookups.lookup(tokens, forms, ["key"], fits=False)
+    answers = found.groupBy("_row").agg(
+        F.sort_array(F.collect_list(F.struct("_p", "form"))).alias("_forms")  # one per word
+    )
+    return rows.join(answers, "_row", "left").withColumn(
+        "_forms", F.coalesce("_forms", F.array().cast(answers.schema["_forms"].dataType))
     )
 
 

@@ -12,6 +12,9 @@ from markspark.operators.ordering import number_rows
 from markspark.language import MAX_CHARS, ROMANIAN, MarkProfile
 from markspark.storage import materialize
 
+RUN = 128
+"""Pieces that are summed up together for the offsets of those that follow."""
+
 
 def long_text_pieces(text: Column, max_chars: int = MAX_CHARS) -> Column:
     """`array<struct<no, start, piece>>`: pieces of at most `max_chars`, joined they are the text.
@@ -29,18 +32,30 @@ def long_text_pieces(text: Column, max_chars: int = MAX_CHARS) -> Column:
     cut = F.regexp_extract_all(text, F.lit(rule), F.lit(1))
     pieces = F.when(text == "", F.array(F.lit(""))).otherwise(cut)
 
+    def total(lengths: Column, first: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(lengths, first + 1, n), F.lit(0), lambda s, x: s + x)
+
     def numbered(found: Column) -> Column:
+        # a start is the sum of whole runs of pieces and of the pieces before it in its run
         return F.transform(
             found.pieces,
             lambda p, i: F.struct(
                 i.alias("no"),
-                F.aggregate(
-                    F.slice(found.lengths, F.lit(1), i), F.lit(0), lambda s, n: s + n
+                (
+                    total(found.runs, F.lit(0), F.floor(i / RUN).cast("int"))
+                    + total(found.lengths, F.floor(i / RUN).cast("int") * RUN, i % RUN)
                 ).alias("start"),
                 p.alias("piece"),
             ),
         )
 
+    def with_runs(found: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor(F.size(found.pieces) / RUN).cast("int"))
+        runs = F.transform(places, lambda r: total(found.lengths, r * RUN, F.lit(RUN)))
+        return F.struct(
+            found.pieces.alias("pieces"), found.lengths.alias("lengths"), runs.alias("runs")
+        )
+
     # Bound to variables step by step, so that the text is cut once and measured once.
     measured = F.transform(
         F.array(pieces),
@@ -48,22 +63,25 @@ def long_text_pieces(text: Column, max_chars: int = MAX_CHARS) -> Column:
             ps.alias("pieces"), F.transform(ps, lambda p: F.length(p)).alias("lengths")
         ),
     )
-    return F.transform(measured, numbered)[0]
+    whole = F.transform(F.transform(measured, with_runs), numbered)[0]
+    return F.when(text.isNotNull(), whole)
 
 
 def split_long_text(
     documents: DataFrame, max_chars: int = MAX_CHARS, text: str = "text"
 ) -> DataFrame:
-    """One row per piece: the other columns, `no`, `start`, `piece`."""
+    """One row per piece: the other columns, `no`, `start`, `piece`. A missing text is one row
+    without a piece."""
     others = [c for c in documents.columns if c != text]
-    return documents.select(*others, F.inline(long_text_pieces(F.col(text), max_chars)))
+    return documents.select(*others, F.inline_outer(long_text_pieces(F.col(text), max_chars)))
 
 
 def max_chars_guard(
     documents: DataFrame, max_chars: int = MAX_CHARS, text: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
-    """(accepted, refused) documents; the refused ones hold more than `max_chars` characters."""
-    ok = marks.within_limit(F.col(text), max_chars)
+    """(accepted, refused) documents; the refused ones hold more than `max_chars` characters.
+    A missing text holds none."""
+    ok = F.coalesce(marks.within_limit(F.col(text), max_chars), F.lit(True))
     return documents.filter(ok), documents.filter(~ok)
 
 
@@ -74,8 +92,9 @@ def restore_where_needed(
     output: str = "restored",
     profile: MarkProfile = ROMANIAN,
 ) -> DataFrame:
-    """`restore` only texts with a plain candidate letter; all others pass through unchanged."""
-    needed = marks.has_candidates(F.col(text), profile)
+    """`restore` only texts with a plain candidate letter; all others, missing ones too, pass
+    through unchanged."""
+    needed = F.coalesce(marks.has_candidates(F.col(text), profile), F.lit(False))
     done = restore(documents.filter(needed))
     rest = documents.filter(~needed).withColumn(output, F.col(text))
     return done.unionByName(rest.select(done.columns))
@@ -102,7 +121,7 @@ def restore_grouped(
     group: str,
     order: str,
     restore: Callable[[DataFrame], DataFrame],
-    reach: int = 0,
+    reach: int,
     text: str = "text",
     output: str = "restored",
 ) -> DataFrame:
@@ -110,7 +129,8 @@ def restore_grouped(
 
     The whole group is never put together, however many pieces it has: a restorer that looks at
     most `reach` characters to either side needs only that much of its neighbours. A word
-    restorer needs none at all, since a line break ends every word. `restore` gets a unique
+    restorer needs none at all (`reach=0`), since a line break ends every word. A context model
+    reaches as far as its longest context, a window model as far as its window. `restore` gets a unique
     column `piece_no` and the text, adds `output` and changes no length.
     """
     if reach == 0:

@@ -3,27 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from markspark.storage import materialize
 
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_KEYS = 1_000
-SALTS = 256
+
+
+def _text_bytes(name: str, kind: str) -> Column:
+    """Bytes of one value: texts as they are, nested values as they would be written."""
+    if kind == "string":
+        return F.coalesce(F.octet_length(name), F.lit(0))
+    if kind in ("struct", "array", "map"):
+        return F.coalesce(F.octet_length(F.to_json(name)), F.lit(0))
+    return F.lit(8)
 
 
 def fits_broadcast(
     table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
-    """Whether a table is small enough to broadcast, by its real row count and text bytes."""
-    texts = [f.name for f in table.schema.fields if f.dataType.typeName() == "string"]
-    size = F.lit(0).cast("long")
-    for name in texts:
-        size = size + F.coalesce(F.octet_length(name), F.lit(0))
-    found = table.agg(F.count("*").alias("n"), F.sum(size + 8 * len(table.columns)).alias("b"))
+    """Whether a table is small enough to broadcast, by its real row count and bytes."""
+    size = F.lit(8 * len(table.columns)).cast("long")
+    for field in table.schema.fields:
+        size = size + _text_bytes(field.name, field.dataType.typeName())
+    found = table.agg(F.count("*").alias("n"), F.sum(size).alias("b"))
     row = found.first()
     return row.n <= max_rows and (row.b or 0) <= max_bytes
 
@@ -39,10 +51,10 @@ def lookup(
 ) -> DataFrame:
     """`left LEFT JOIN table USING (on)`, where the table has one row per key.
 
-    A table of checked size is broadcast. A larger one is joined by shuffle, with the hot keys
-    taken apart: fewer than `HOT_KEYS` keys can each hold more than one `HOT_KEYS`-th of the
-    rows, so their table rows are few enough to broadcast, and the rows that carry them are
-    dealt out over all tasks instead of meeting in one.
+    A table of checked size is broadcast. Above that, fewer than `HOT_KEYS` keys can each hold
+    more than one `HOT_KEYS`-th of the rows: their table rows are few enough to broadcast, and
+    the rows that carry them stay where they are. Only the rows of all other keys are shuffled.
+    Rows without a key match nothing and are not moved either.
 
     `fits` is the answer of `fits_broadcast`, and `counts` the result of `key_counts`, where
     the caller has them already.
@@ -52,22 +64,20 @@ def lookup(
         return left.join(F.broadcast(table), on, "left")
 
     hot = _hot_keys(key_counts(left, on) if counts is None else counts, on)
-    values = [c for c in table.columns if c not in on]
-    packed = table.select(*on, F.struct(*values).alias("_cold"))
-    hot_rows = packed.withColumnRenamed("_cold", "_found").join(F.broadcast(hot), on, "left_semi")
-    hot_side = hot.join(F.broadcast(hot_rows), on, "left").withColumn("_is_hot", F.lit(True))
-    # Both sides get the salt as a further join key. Hot and keyless rows take a random-looking salt that
-    # no table row carries: they need no match (any more), only an even spread.
-    salt = F.pmod(F.xxhash64(*[c for c in left.columns if c not in on] or on), F.lit(SALTS))
-    matchless = F.col("_is_hot")
+    hot_rows = table.join(F.broadcast(hot), on, "left_semi")
+    hot_table = F.broadcast(hot.join(F.broadcast(hot_rows), on, "left"))
+    keyless = F.lit(False)
     for name in on:
-        matchless = matchless | F.col(name).isNull()
-    marked = left.join(F.broadcast(hot_side), on, "left").withColumn(
-        "_salt", F.when(matchless, salt + 1).otherwise(F.lit(0).cast("long"))
+        keyless = keyless | F.col(name).isNull()
+    values = [c for c in table.columns if c not in on]
+    nothing = [F.lit(None).cast(table.schema[v].dataType).alias(v) for v in values]
+    parts = (
+        left.filter(~keyless).join(hot_table, on, "inner"),
+        left.filter(~keyless).join(F.broadcast(hot), on, "left_anti").join(table, on, "left"),
+        left.filter(keyless).select("*", *nothing),
     )
-    joined = marked.join(packed.withColumn("_salt", F.lit(0).cast("long")), [*on, "_salt"], "left")
-    found = F.coalesce(F.col("_found"), F.col("_cold"))
-    return joined.select(*left.columns, *[found[v].alias(v) for v in values])
+    columns = [*left.columns, *values]
+    return reduce(DataFrame.unionByName, [part.select(*columns) for part in parts])
 
 
 def key_counts(left: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -78,3 +88,44 @@ def key_counts(left: DataFrame, on: Sequence[str]) -> DataFrame:
 def _hot_keys(counts: DataFrame, on: list[str]) -> DataFrame:
     total = counts.agg(F.sum("_n")).first()[0] or 0
     return materialize(counts.filter(F.col("_n") * HOT_KEYS > total).select(*on), "hot-keys")
+
+
+def with_row_id(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a written table with a number for every row: an identity that no two rows share,
+    whatever their columns hold."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
+def lookup_in_rows(
+    df: DataFrame, keys: Sequence[Column], table: DataFrame, output: str
+) -> DataFrame:
+    """Looks up whole arrays of keys without taking rows apart; the table has to fit.
+
+    `keys` are arrays of equal lengths, tried in turn. `table` has a unique `key` and values;
+    `output` is an array with a struct of the values for each place, null where no key is known.
+    Each task maps its batches with one look-up per array, so that nothing is shuffled, and rows
+    are neither lost nor merged.
+    """
+    values = [c for c in table.columns if c != "key"]
+    known = table.select("key", F.struct(*values).alias("value")).toArrow().combine_chunks()
+    shared = df.sparkSession.sparkContext.broadcast(
+        [pa.concat_arrays(known.column(c).chunks or [pa.array([], known.schema.field(c).type)])
+         for c in ("key", "value")]
+    )
+    kind = T.ArrayType(known_type(table, values))
+
+    def find(*arrays: pa.Array) -> pa.Array:
+        names, found = shared.value
+        lengths = pc.fill_null(pc.list_value_length(arrays[0]), 0)
+        offsets = np.concatenate([[0], np.cumsum(lengths.to_numpy(zero_copy_only=False))])
+        place = None
+        for array in arrays:
+            here = pc.index_in(array.flatten(), value_set=names)
+            place = here if place is None else pc.coalesce(place, here)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found.take(place))
+
+    return df.withColumn(output, F.arrow_udf(find, kind)(*keys))
+
+
+def known_type(table: DataFrame, values: Sequence[str]) -> T.StructType:
+    return T.StructType([table.schema[v] for v in values])

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from markspark.functions import codec, marks
-from markspark.operators.windows import windows_text
+from markspark.operators.lookup import with_row_id
+from markspark.operators.windows import stitch_parts, windows_text
 from markspark.language import ROMANIAN, MarkProfile
 
 Predict = Callable[[Sequence[str]], Sequence[np.ndarray]]
@@ -74,9 +75,14 @@ def restore_scored(
     output: str = "restored",
     profile: MarkProfile = ROMANIAN,
 ) -> DataFrame:
-    """Strip, window, score, decode the kept part of every window and stitch the parts."""
+    """`key, output`: strip, window, score, decode the kept part of every window, stitch the parts.
+
+    Rows are numbered, so that one comes out for every row that goes in; `key` may repeat. An
+    empty text stays empty, a missing one missing.
+    """
     stripped = documents.select(key, marks.fix_and_strip(F.col(text), profile).alias(text))
-    scored = score_windows(windows_text(stripped, window, overlap, text), load)
+    rows = with_row_id(stripped, "_row")
+    scored = score_windows(windows_text(rows.select("_row", text), window, overlap, text), load)
     first = F.col("keep_from") - F.col("start") + 1
     count = F.col("keep_to") - F.col("keep_from")
     predictions = F.arrays_zip(
@@ -86,8 +92,8 @@ def restore_scored(
     part = codec.decode_restore(
         F.substring("piece", first, count), predictions, threshold, profile
     )
-    return (
-        scored.select(key, F.struct("win_no", part.alias("part")).alias("w"))
-        .groupBy(key)
-        .agg(F.array_join(F.sort_array(F.collect_list("w"))["part"], "").alias(output))
-    )
+    parts = scored.select("_row", "win_no", part.alias("part"))
+    whole = stitch_parts(rows, parts, "_row", "part")
+    # without any window, the text is empty or missing
+    restored = F.coalesce(F.array_join("part", ""), F.col(text))
+    return whole.select(key, restored.alias(output))

@@ -183,20 +183,30 @@ def windows_text(
     )
 
 
-def window_stitch(scored: DataFrame, key: str, value: str, output: str) -> DataFrame:
-    """Per `key`, the kept part of every window's array `value`, in text order.
+def window_stitch(
+    scored: DataFrame, key: str, value: str, output: str, rows: DataFrame | None = None
+) -> DataFrame:
+    """Per `key`, which names a row, the kept part of every window's array `value`, in order.
 
     `scored` holds `win_no`, `start`, `keep_from`, `keep_to` and one array per window; the
-    arrays are cut before they are grouped, so only kept positions are shuffled.
+    arrays are cut before they are grouped, so only kept positions are shuffled. With `rows`,
+    the table the windows were made from, rows without a window (of empty or missing texts) are
+    in the result as well, with a null.
     """
     kept = F.slice(
         F.col(value), F.col("keep_from") - F.col("start") + 1, F.col("keep_to") - F.col("keep_from")
     )
-    return (
-        scored.select(key, F.struct("win_no", kept.alias("part")).alias("w"))
-        .groupBy(key)
-        .agg(F.flatten(F.sort_array(F.collect_list("w"))["part"]).alias(output))
+    parts = scored.select(key, "win_no", kept.alias("part"))
+    whole = stitch_parts(parts.select(key).distinct() if rows is None else rows, parts, key, "part")
+    return whole.withColumn("part", F.flatten("part")).withColumnRenamed("part", output)
+
+
+def stitch_parts(rows: DataFrame, parts: DataFrame, row_id: str, part: str) -> DataFrame:
+    """`rows` with the array of their parts in the order of `win_no`; null where there are none."""
+    grouped = parts.groupBy(row_id).agg(
+        F.sort_array(F.collect_list(F.struct("win_no", part)))[part].alias(part)
     )
+    return rows.join(grouped, row_id, "left")
 
 
 def split_counts(windows: DataFrame, window: int) -> DataFrame:

@@ -20,9 +20,12 @@ def build_dataset(
     directory: str,
     settings: Settings,
     profile: MarkProfile = ROMANIAN,
+    source: str | None = None,
 ) -> Build:
     """Usable documents, the alphabet of both splits, and windows partitioned by split.
 
+    `source` names the corpus and its state (paths and versions, say); a build is skipped only
+    if that and the settings are the same. Without it, one pass over the corpus takes a checksum.
     The corpus is cleaned and filtered once: the usable documents become a table of the
     build, from which everything else is read.
     """
@@ -46,12 +49,20 @@ def build_dataset(
     return materialize_stamped(
         spark,
         directory,
-        settings.stamp(),
+        settings.stamp(corpus_checksum(documents) if source is None else source)
+        + repr(profile),
         build,
         lambda location: sinks.is_complete(spark, location, w.window),
     )
 
 
+def corpus_checksum(documents: DataFrame) -> str:
+    """The same for the same rows, however they are partitioned."""
+    row = F.xxhash64("doc_id", "text", "source_rank", "ord")
+    halves = [F.sum(F.pmod(row, F.lit(1 << 31))), F.bit_xor(row), F.count("*")]
+    return ":".join(map(str, documents.agg(*halves).first()))
+
+
 def build_corrections(
     spark: SparkSession,
     corrections: DataFrame,

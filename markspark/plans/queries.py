@@ -342,6 +342,7 @@ def restore_grouped(spark, sf_dir):
         "conv_id",
         "turn",
         lambda t: lexicon.restore_frequent(t, forms, key="piece_no"),
+        reach=0,
     )
     return out.select("conv_id", "turn", "restored")
 
@@ -409,12 +410,9 @@ def semi_always_marked(spark, sf_dir):
 def zip_positional(spark, sf_dir):
     """Word pairs (wanted, restored) at equal places, counted."""
     restored = restored_valid(spark, sf_dir)
-    pairs = F.arrays_zip(
-        words.split_ws(F.col("text")).alias("want"), words.split_ws(F.col("restored")).alias("got")
-    )
-    return (
-        restored.select(F.inline(pairs)).groupBy("want", "got").agg(F.count("*").alias("n"))
-    )
+    pairs = evaluation.zip_words(F.col("text"), F.col("restored"))
+    words_at = restored.select(F.inline(pairs)).groupBy("r", "o").agg(F.count("*").alias("n"))
+    return words_at.select(F.col("r").alias("want"), F.col("o").alias("got"), "n")
 
 
 def join_class_names(spark, sf_dir):
@@ -566,8 +564,8 @@ def window_stitch(spark, sf_dir):
     docs = romanised(spark, sf_dir).select("doc_id", "text")
     pieces = windows.windows_text(docs, WINDOW, OVERLAP)
     letters = pieces.withColumn("letters", marks.chars(F.col("piece")))
-    whole = windows.window_stitch(letters, "doc_id", "letters", "letters")
-    return whole.select("doc_id", joined("letters", "").alias("text"))
+    whole = windows.window_stitch(letters, "doc_id", "letters", "letters", docs)
+    return whole.select("doc_id", F.coalesce(joined("letters", ""), "text").alias("text"))
 
 
 # --- models -----------------------------------------------------------------------------------

@@ -98,7 +98,7 @@ class Settings:
             raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
         return settings
 
-    def stamp(self) -> str:
-        """Every setting a built dataset depends on; equal stamps need no rebuild."""
+    def stamp(self, source: str = "") -> str:
+        """What the dataset is made from and how: the corpus and all settings that enter it."""
         parts = {**dataclasses.asdict(self.corpus), **dataclasses.asdict(self.windows)}
-        return json.dumps(parts, sort_keys=True)
+        return json.dumps({**parts, "source": source}, sort_keys=True)

@@ -17,7 +17,9 @@ from markspark.language import ROMANIAN, MarkProfile
 
 COLUMNS = ("doc_id", "text", "source_rank", "ord")
 COMMENT = "#"
+RANKS = "ranks"
 _ROWS_PER_FILE_BITS = 36
+_LINES_PER_FILE_BITS = 31
 
 
 class SourceUnavailable(Exception):
@@ -136,17 +138,26 @@ def correction_lines(
     """Sentences of `(stem, content)` files, one per line, as cleaned documents.
 
     The id is `stem:line`, counted from 1 over all lines; blank lines and `#` comments are
-    left out. Each line's place is (file, line), so nothing has to be numbered globally.
+    left out. Files come in the order of their names: only names are numbered, and a line's
+    place is its file's number and its own.
     """
-    lines = files.select("stem", F.posexplode(words.split_lines(F.col("content"))).alias("p", "l"))
+    places = number_rows(files.select("stem").distinct(), ["stem"], "file_no")
+    numbered = lookup(files.select("stem", "content"), places, ["stem"])
+    lines = numbered.select(
+        "stem", "file_no", F.posexplode(words.split_lines(F.col("content"))).alias("p", "l")
+    )
     trimmed = lines.select(
-        "stem", (F.col("p") + 1).alias("line_no"), words.strip_ws(F.col("l")).alias("text")
+        "stem",
+        F.col("file_no").cast("long").alias("file_no"),
+        (F.col("p") + 1).alias("line_no"),
+        words.strip_ws(F.col("l")).alias("text"),
     )
     used = trimmed.filter((F.col("text") != "") & ~F.col("text").startswith(COMMENT))
     return used.select(
         F.concat_ws(":", "stem", "line_no").alias("doc_id"),
         marks.clean_text(F.col("text"), profile).alias("text"),
         F.lit(rank).alias("source_rank"),
+        (F.shiftleft("file_no", _LINES_PER_FILE_BITS) + F.col("line_no")).alias("ord"),
         "stem",
         "line_no",
     )
@@ -166,9 +177,21 @@ def correction_documents(
 
 
 def chain(*sources: DataFrame | None) -> DataFrame:
-    """Sources one after another: `source_rank` is the place in the list, absent ones skipped."""
+    """Sources one after another; absent ones are skipped.
+
+    `source_rank` is the place in the chain. A source that is a chain itself takes as many places
+    as it has ranks (kept with the column), so that its own order and the uniqueness of
+    `(source_rank, ord)` stay. The result has the columns that all sources have.
+    """
     present = [s for s in sources if s is not None]
     if not present:
         raise ValueError("a chain needs at least one source")
-    ranked = [s.withColumn("source_rank", F.lit(i)) for i, s in enumerate(present)]
-    return reduce(DataFrame.unionByName, ranked)
+    shared = [c for c in present[0].columns if all(c in s.columns for s in present)]
+    ranked, first = [], 0
+    for source in present:
+        inner = source.schema["source_rank"].metadata.get(RANKS)
+        place = F.lit(first) if inner is None else F.col("source_rank") + first
+        ranked.append(source.withColumn("source_rank", place.cast("int")).select(*shared))
+        first += 1 if inner is None else inner
+    whole = reduce(DataFrame.unionByName, ranked)
+    return whole.withMetadata("source_rank", {RANKS: first})

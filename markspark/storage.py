@@ -7,7 +7,6 @@ loss of any executor.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -16,26 +15,28 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-_local_folders: dict[str, str] = {}
+CHECKPOINT_DIR, WAREHOUSE = "spark.checkpoint.dir", "spark.sql.warehouse.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's shared folder. Only a local session without one gets a temporary one."""
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors can reach")
-    application = spark.sparkContext.applicationId
-    if application not in _local_folders:
-        _local_folders[application] = tempfile.mkdtemp(prefix="markspark-")
-    return _local_folders[application]
+    """The session's shared folder: the one named for checkpoints, else the warehouse."""
+    return (spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get(WAREHOUSE)).rstrip("/")
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/markspark/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used before."""
-    return f"{shared_folder(spark)}/markspark/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_intermediate(spark: SparkSession) -> None:
+    """Deletes all that this session's jobs wrote to the shared folder. Results that are read
+    from there have to be written elsewhere first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -67,13 +68,15 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def _last_state(spark: SparkSession, directory: str):
+def _last_state(spark: SparkSession, directory: str, status: str | None = None):
     try:
         log = spark.read.schema(_STATE_SCHEMA).json(f"{directory}/state")
     except AnalysisException as err:
         if err.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
+    if status is not None:
+        log = log.filter(F.col("status") == status)
     return log.orderBy(F.desc("seq")).first()
 
 
@@ -83,9 +86,10 @@ def _record(spark: SparkSession, directory: str, seq: int, *state: str) -> None:
 
 
 def current_build(spark: SparkSession, directory: str) -> str | None:
-    """Where the last complete build lies; None when there is none or one was interrupted."""
-    state = _last_state(spark, directory)
-    return state.location if state is not None and state.status == COMPLETE else None
+    """Where the last complete build lies; None when there was none. A build that runs, or that
+    broke off, does not hide it."""
+    state = _last_state(spark, directory, COMPLETE)
+    return state.location if state is not None else None
 
 
 def materialize_stamped(
@@ -97,10 +101,9 @@ def materialize_stamped(
 ) -> Build:
     """Run `build(location)` unless the last complete build has the same stamp.
 
-    The state is a log that is only ever appended to: "building" before the work and
-    "complete" after it, so an interrupted build is never taken for a whole one and readers
-    keep the previous location until the new one is whole. A directory without any state
-    (written before stamps existed) is adopted when `is_complete(directory)` says so.
+    The state is a log that is only ever appended to: a row before the work begins and another
+    when it is done. Each build has a folder of its own, and readers go by the last row that
+    says done. A directory without any log counts as built if `is_complete(directory)` holds.
     """
     state = _last_state(spark, directory)
     seq = state.seq if state is not None else 0

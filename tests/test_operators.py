@@ -111,18 +111,36 @@ def test_alphabet_json_round_trip(spark):
 
 @pytest.mark.parametrize("limits", [{}, {"max_rows": 0}])
 def test_restore_frequent(docs, limits):
-    d = docs("casă casă casa Țara țara", "aşa")
+    d = docs("brânză brânză branza Pâine pâine", "laşi")
     full = lexicon.fit_dictionary(lexicon.form_counts(d))
     assert full.count() == 3
     forms = lexicon.fit(d)
-    texts = docs("Casa tara asa, xyz", "CASA", "İstanbul", "", "?!", "  asa\n")
+    texts = docs("Branza paine lasi; qq", "BRANZA", "İzmir", "", "?!", "  lasi\n")
     out = lexicon.restore_frequent(texts, forms, **limits)
     assert [r.restored for r in out.orderBy("ord").collect()] == [
-        "Casă țara așa, xyz", "CASĂ", "İstanbul", "", "?!", "  așa\n",
+        "Brânză pâine lași; qq", "BRÂNZĂ", "İzmir", "", "?!", "  lași\n",
     ]
     assert pairs(out, "doc_id", "text") == pairs(texts, "doc_id", "text")
 
 
+ODD_ROWS = [("1", "casa"), ("1", "tara"), ("1", "casa"), (None, "casa"), ("2", ""), ("3", None)]
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_rows": 0}])
+def test_restorers_keep_every_row(spark, docs, limits):
+    """Equal ids, equal rows, empty and missing texts: one row out for each that goes in."""
+    d = docs("casă", "casă", "țară", "țară")
+    texts = spark.createDataFrame(ODD_ROWS, "doc_id STRING, text STRING").repartition(3)
+    letters = context.train(context.context_rows(d.select("doc_id", "text"))).cache()
+    by_word = lexicon.restore_frequent(texts, lexicon.fit(d), **limits)
+    by_letter = context.restore_context(texts, letters, **limits)
+    marked = {"casa": "casă", "tara": "țară", "": "", None: None}
+    want = sorted(((i, t, marked[t]) for i, t in ODD_ROWS), key=repr)
+    for out in (by_word, by_letter):
+        got = sorted((tuple(r) for r in out.select("doc_id", "text", "restored").collect()), key=repr)
+        assert got == want
+
+
 def test_ties_between_forms_go_to_the_first_seen(docs):
     d = docs("x fata", "fată fată fata", "fața").repartition(3)
     assert ("fata", "fata") in pairs(
@@ -213,28 +231,27 @@ def test_window_rows_agree_with_the_column_functions(docs):
 
 
 @pytest.mark.parametrize(("window", "overlap"), [(4, 1), (8, 2), (8, 6), (5, 0), (7, 3)])
-def test_training_starts_like_a_walk(docs, window, overlap):
-    texts = ["x" * n for n in range(40)]
-    rows = windows.windows_train(docs(*texts), "x", window, overlap).collect()
-    got = {}
-    for r in rows:
-        got.setdefault(r.doc_id, []).append((r.start, r.n))
+def test_training_starts(docs, window, overlap):
+    """Every full window at a multiple of the stride, and one more for what is left over."""
+    stride = window - overlap
+    rows = windows.windows_train(docs(*["x" * n for n in range(40)]), "x", window, overlap).collect()
     for n in range(40):
-        want, start = [], 0
-        while start < n:
-            size = min(window, n - start)
-            want.append((start, size))
-            if size < window:
-                break
-            start += window - overlap
-        assert sorted(got.get(str(n), [])) == want
+        full = 0 if n < window else (n - window) // stride + 1
+        want = {(k * stride, window) for k in range(full)}
+        if full * stride < n:
+            want.add((full * stride, n - full * stride))
+        assert {(r.start, r.n) for r in rows if r.doc_id == str(n)} == want
 
 
 def test_stitch(docs):
     texts = ["abcdefghijklmnopqrstuvwxyz" * 3, "short"]
     pieces = windows.windows_text(docs(*texts).select("doc_id", "text"), 16, 4)
     lettered = pieces.withColumn("v", marks.chars(F.col("piece")))
-    whole = windows.window_stitch(lettered, "doc_id", "v", "v")
+    assert windows.window_stitch(lettered, "doc_id", "v", "v").count() == 2
+    rows = docs(*texts, "", None)
+    whole = windows.window_stitch(lettered, "doc_id", "v", "v", rows)
+    assert pairs(whole.filter("v IS NULL"), "doc_id") == [("2",), ("3",)]
+    whole = whole.filter("v IS NOT NULL")
     assert pairs(whole.select("doc_id", F.array_join("v", "").alias("t")), "doc_id", "t") == [
         ("0", texts[0]), ("1", texts[1])
     ]
@@ -248,14 +265,21 @@ def texts_df(spark, *rows):
 
 
 def test_metrics(spark):
-    df = texts_df(spark, ("1", "casă în țara", "casa în tara"))
+    """Marked letters: â ă ă ă. The first and second are left bare, the last gets another mark."""
+    df = texts_df(spark, ("1", "lângă pădure stă aici", "langă padure stâ aici"))
     row = evaluation.summary_of(df).first()
-    assert row.recall_circumflex == 1.0 and row.recall_breve_comma == 0.0
-    assert row.word_accuracy == pytest.approx(1 / 3)
-    counts = evaluation.confusion(evaluation.tallies(df))
-    assert counts.count() == 9 and ("1", "0", "2") in {
-        (str(r["true"]), str(r.pred), str(r.n)) for r in counts.collect()
-    }
+    assert row.recall_circumflex == 0.0 and row.recall_breve_comma == pytest.approx(1 / 3)
+    assert row.precision_circumflex == 0.0 and row.precision_breve_comma == 1.0
+    assert row.word_accuracy == pytest.approx(1 / 4)
+    counts = {(r["true"], r.pred): r.n for r in evaluation.confusion(evaluation.tallies(df)).collect()}
+    assert len(counts) == 9 and counts[2, 0] == counts[1, 0] == counts[1, 2] == 1
+
+
+def test_other_numbers_of_words_are_an_error(spark):
+    df = texts_df(spark, ("1", "a b", "a_b"))
+    for result in (evaluation.summary_of(df), evaluation.still_wrong(df)):
+        with pytest.raises(Exception, match="of 2 and 1 words"):
+            result.collect()
 
 
 def test_metrics_without_words_or_candidates(spark):
@@ -430,28 +454,43 @@ def test_quantize_needs_whole_groups(spark):
 # --- long and grouped texts -------------------------------------------------------------------
 
 
-def cut_by_hand(text, most):
-    out = []
-    while len(text) > most:
-        cut = text.rfind("\n", 0, most + 1)
-        if cut < most / 2:
-            cut = text.rfind(" ", 0, most + 1)
-        if cut < most / 2:
-            cut = most
-        out.append(text[:cut])
-        text = text[cut:]
-    return [*out, text]
+def breaks_of(text, most):
+    """Where a text that is too long may be cut: the best places first, a hard cut last."""
+    half = -(-most // 2)
+    spots = range(most, half - 1, -1)
+    for mark in "\n ":
+        if found := [k for k in spots if k < len(text) and text[k] == mark]:
+            return found[0]
+    return most
 
 
 @pytest.mark.parametrize("most", [7, 10, 64])
 def test_split_long_text(docs, most):
     rng = random.Random(most)
     texts = ["".join(rng.choice("abcdef🙂 \n") for _ in range(n)) for n in range(0, 260, 13)]
+    texts.append("word " * (longtext.RUN * most))  # more pieces than are summed up in one run
     rows = longtext.split_long_text(docs(*texts).select("doc_id", "text"), most).collect()
     for i, text in enumerate(texts):
         mine = sorted((r.no, r.start, r.piece) for r in rows if r.doc_id == str(i))
-        assert [p for *_, p in mine] == cut_by_hand(text, most)
-        assert all(text[s : s + len(p)] == p for _, s, p in mine)
+        assert "".join(p for *_, p in mine) == text
+        assert [no for no, *_ in mine] == list(range(len(mine)))
+        for (_, start, piece), following in zip(mine, [*mine[1:], None]):
+            assert text.startswith(piece, start) and len(piece) <= most
+            if following is not None:
+                assert len(piece) == breaks_of(text[start : start + most + 1], most)
+            else:
+                assert start + len(piece) == len(text)
+
+
+def test_missing_texts_are_not_lost(docs):
+    d = docs("abc", None, "xyz")
+    pieces = longtext.split_long_text(d.select("doc_id", "text"), 10).collect()
+    assert sorted((r.doc_id, r.piece) for r in pieces if r.piece) == [("0", "abc"), ("2", "xyz")]
+    assert [r.doc_id for r in pieces if r.piece is None] == ["1"]
+    ok, refused = longtext.max_chars_guard(d, 2)
+    assert [r.doc_id for r in ok.collect()] == ["1"] and refused.count() == 2
+    out = longtext.restore_where_needed(d, lambda t: t.withColumn("restored", F.upper("text")))
+    assert {r.doc_id: r.restored for r in out.collect()} == {"0": "ABC", "1": None, "2": "xyz"}
 
 
 def test_guard(docs):

@@ -3,13 +3,21 @@ import dataclasses
 import pytest
 from pyspark.sql import functions as F
 
-from markspark.operators import lexicon
+from markspark.operators import context, lexicon
 from markspark.operators.lookup import lookup
 from markspark.plans import dataset, evaluate
 from markspark.settings import CorpusSettings, ModelSettings, Settings, WindowSettings
 from markspark.sources import documents as sources
 from markspark.sources import sinks
-from markspark.storage import BUILDING, _record, current_build, shared_folder
+from markspark.storage import (
+    BUILDING,
+    _record,
+    current_build,
+    materialize,
+    new_path,
+    remove_intermediate,
+    shared_folder,
+)
 from markspark.streaming import jobs
 
 SENTENCES = [
@@ -32,7 +40,7 @@ def test_build_is_skipped_when_nothing_changed(spark, corpus_docs, docs, tmp_pat
     directory = str(tmp_path / "d")
     first = dataset.build_dataset(spark, corpus_docs, directory, TINY)
     assert first.rebuilt and current_build(spark, directory) == first.location
-    again = dataset.build_dataset(spark, docs(), directory, TINY)
+    again = dataset.build_dataset(spark, corpus_docs.repartition(3), directory, TINY)
     assert not again.rebuilt and again.location == first.location
     other = dataclasses.replace(TINY, corpus=dataclasses.replace(TINY.corpus, valid_every=3))
     changed = dataset.build_dataset(spark, corpus_docs, directory, other)
@@ -42,6 +50,29 @@ def test_build_is_skipped_when_nothing_changed(spark, corpus_docs, docs, tmp_pat
     assert sinks.split_rows(spark, first.location, "never") == 0
 
 
+def test_another_corpus_is_another_build(spark, corpus_docs, docs, tmp_path):
+    directory = str(tmp_path / "d")
+    first = dataset.build_dataset(spark, corpus_docs, directory, TINY)
+    other = docs(*[" ".join(reversed(SENTENCES)) * 3] * 8)
+    assert dataset.build_dataset(spark, other, directory, TINY).rebuilt
+    # a name given for the corpus is taken at its word
+    assert dataset.build_dataset(spark, other, directory, TINY, source="v2").rebuilt
+    assert not dataset.build_dataset(spark, corpus_docs, directory, TINY, source="v2").rebuilt
+    broken = other.withColumn("text", F.raise_error(F.lit("broken")).cast("string"))
+    last = current_build(spark, directory)
+    with pytest.raises(Exception, match="broken"):
+        dataset.build_dataset(spark, broken, directory, TINY, source="v3")
+    assert current_build(spark, directory) == last != first.location
+
+
+def test_intermediate_tables_can_be_removed(spark, corpus_docs):
+    kept = materialize(corpus_docs.select("doc_id"))
+    assert kept.count() == 8 and new_path(spark, "x").startswith(shared_folder(spark))
+    remove_intermediate(spark)
+    with pytest.raises(Exception):
+        kept.count()
+
+
 def test_interrupted_build_is_never_adopted(spark, corpus_docs, tmp_path):
     directory = str(tmp_path / "d")
     with pytest.raises(Exception, match="broken"):
@@ -128,11 +159,15 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_restore_shuffles_documents_once(spark, corpus_docs, tmp_path):
+def test_texts_are_restored_where_they_lie(spark, corpus_docs, tmp_path):
     forms = lexicon.fit(corpus_docs)
-    plan = plan_of(lexicon.restore_frequent(corpus_docs, forms))
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert "BroadcastHashJoin" in plan and "Python" not in plan
+    letters = context.train(context.context_rows(corpus_docs.select("doc_id", "text")))
+    for out in (
+        lexicon.restore_frequent(corpus_docs, forms),
+        context.restore_context(corpus_docs, materialize(letters, "contexts")),
+    ):
+        plan = plan_of(out)
+        assert "Exchange" not in plan and "Generate" not in plan
 
 
 def test_form_counts_are_hash_aggregated(corpus_docs):
@@ -149,7 +184,20 @@ def test_large_dictionary_is_not_broadcast(spark):
         plan = plan_of(lookup(left, table, ["k"], max_rows=0))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert "SortMergeJoin" in plan and "_salt" in plan
+    assert "SortMergeJoin" in plan
+
+
+def test_a_hot_key_is_spread_over_the_partitions(spark):
+    """One key on nine of ten rows: none of them is shuffled, so they stay spread as they were."""
+    left = spark.range(0, 40_000, 1, 8).selectExpr(
+        "id", "IF(id % 10 < 9, 'hot', concat('k', id)) AS k"
+    )
+    table = spark.range(40_000).selectExpr("concat('k', id) AS k", "id AS v")
+    table = table.unionByName(spark.createDataFrame([("hot", -1)], "k STRING, v LONG"))
+    out = lookup(left, table, ["k"], max_rows=0)
+    assert out.count() == 40_000 and out.filter("k = 'hot' AND v = -1").count() == 36_000
+    by_part = out.filter("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(by_part) >= 8 and max(r["count"] for r in by_part) <= 2 * 36_000 / 8
 
 
 # --- streams ----------------------------------------------------------------------------------

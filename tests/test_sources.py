@@ -4,6 +4,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from markspark.operators.ordering import first_rows
 from markspark.sources import documents as sources
 from markspark.sources import lines, sinks
 from markspark.sources.documents import SourceUnavailable
@@ -95,6 +96,18 @@ def test_corrections(spark, tmp_path):
     assert rows_of(docs, "doc_id", "text") == [("a:3", "Și așa."), ("a:4", "zăpadă")]
 
 
+def test_chains_in_chains_keep_their_order(spark, docs):
+    files = spark.createDataFrame([("b", "doi\ntrei"), ("a", "unu")], "stem STRING, content STRING")
+    fixes = sources.correction_lines(files)
+    inner = sources.chain(docs("a0", "a1"), docs("b0"))
+    chained = sources.chain(inner, None, sources.chain(fixes, docs("d0")), docs("e0"))
+    order = [r.text for r in chained.orderBy("source_rank", "ord").collect()]
+    assert order == ["a0", "a1", "b0", "unu", "doi", "trei", "d0", "e0"]
+    assert chained.columns == list(sources.COLUMNS)
+    assert chained.select("source_rank", "ord").distinct().count() == len(order)
+    assert [r.text for r in first_rows(chained, 3).orderBy("source_rank", "ord").collect()] == order[:3]
+
+
 def test_chain_keeps_the_order_of_its_sources(docs):
     chained = sources.chain(docs("a", "b"), None, docs("c", start=7))
     assert rows_of(chained, "source_rank", "ord", "text") == [(0, 0, "a"), (0, 1, "b"), (1, 7, "c")]
