@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 from markspark.plans.queries import QUERIES
+from markspark.storage import remove_intermediate
 
 HEADLINES = (
     "keep_document",
@@ -51,17 +53,21 @@ def main() -> None:
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))  # one machine
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     chars = documents.selectExpr("sum(length(text)) AS n").first().n
 
+    # the first query of a session pays for starting the JVM's compiler and the Python workers
+    QUERIES["restore_frequent"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds: dict[str, float] = {}
     for name in HEADLINES:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        remove_intermediate(spark)
     total = round(sum(seconds.values()), 3)
     print(
         json.dumps(

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,35 +15,61 @@ from markspark.storage import materialize
 from markspark.language import FIRST_CHAR_ID, PAD_ID, ROMANIAN, UNK_ID, MarkProfile
 
 
+BATCH_CHARS = 1 << 20
+
+
 def char_counts(documents: DataFrame, profile: MarkProfile = ROMANIAN) -> DataFrame:
     """`(ch, n, first_seen)` over the mark-free texts; `first_seen` orders ties by arrival.
 
-    Every task reduces its characters to one row per distinct character before the shuffle.
-    That pass notes the first document only. Characters that agree in number and first document
-    are then told apart by their places in it, which reads those few documents again; with no
-    such characters the second pass is empty, and adaptive execution leaves it out.
+    Characters are counted batch by batch as arrays of code points, so that one row per distinct
+    character leaves a batch: its number, and its first place in the batch's first document.
     """
-    place = ["source_rank", "ord"]
-    letters = marks.chars(marks.strip_marks(F.col("text"), profile))
-    listed = documents.select(*place, letters.alias("letters"))
-    by_source = (
-        listed.select(*place, F.explode("letters").alias("ch"))
-        .groupBy("ch", "source_rank")
-        .agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
+    stripped = documents.select(
+        "source_rank", "ord", marks.strip_marks(F.col("text"), profile).alias("text")
     )
-    found = by_source.groupBy("ch").agg(
-        F.sum("n").alias("n"), F.min(F.struct(*place)).alias("doc")
-    )
-    found = materialize(found, "characters")  # one row per distinct character
-
-    alike = found.groupBy("n", "doc").agg(F.count("*").alias("chars")).filter("chars > 1")
-    looked_at = alike.select("doc.source_rank", "doc.ord").distinct()
-    again = listed.join(F.broadcast(looked_at), place, "left_semi")
-    places = again.select(
-        F.struct(*place).alias("doc"), F.posexplode(F.array_distinct("letters")).alias("nth", "ch")
+    counted = stripped.mapInArrow(
+        _count_batches, "ch STRING, n LONG, source_rank INT, ord LONG, nth INT"
     )
-    return found.join(places, ["ch", "doc"], "left").select(
-        "ch", "n", F.struct("doc", F.coalesce("nth", F.lit(0)).alias("nth")).alias("first_seen")
+    place = F.struct(F.struct("source_rank", "ord").alias("doc"), "nth")
+    found = counted.groupBy("ch").agg(F.sum("n").alias("n"), F.min(place).alias("first_seen"))
+    return materialize(found, "characters")  # one row per distinct character
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ranks, ords = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        texts = batch.column(2)
+        chosen, size = [], 0
+        for i in np.lexsort((ords, ranks)).tolist():
+            text = texts[i].as_py()
+            if text:
+                chosen.append((i, text))
+                size += len(text)
+            if size > BATCH_CHARS:
+                yield _counted(chosen, ranks, ords)
+                chosen, size = [], 0
+        if chosen:
+            yield _counted(chosen, ranks, ords)
+
+
+def _counted(chosen: list[tuple[int, str]], ranks: np.ndarray, ords: np.ndarray) -> pa.RecordBatch:
+    points = np.frombuffer("".join(t for _, t in chosen).encode("utf-32-le"), "<u4")
+    counts = np.bincount(points)
+    seen = np.flatnonzero(counts)
+    first = np.empty(len(counts), np.int64)
+    first[points[::-1]] = np.arange(len(points) - 1, -1, -1)
+    begins = np.cumsum([0, *(len(t) for _, t in chosen[:-1])])
+    doc = np.searchsorted(begins, first[seen], side="right") - 1
+    rows = np.array([i for i, _ in chosen])[doc]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([chr(c) for c in seen]),
+            pa.array(counts[seen].astype(np.int64)),
+            pa.array(ranks[rows].astype(np.int32)),
+            pa.array(ords[rows].astype(np.int64)),
+            pa.array((first[seen] - begins[doc]).astype(np.int32)),
+        ],
+        ["ch", "n", "source_rank", "ord", "nth"],
     )
 
 

@@ -23,10 +23,29 @@ def with_features(rows: DataFrame, size: int = 6) -> DataFrame:
     return rows.withColumns(features)
 
 
+MAX_ROWS = 5_000_000
+"""Labelled letters to fit on; the regression reads them once per iteration."""
+
+
+def labelled_sample(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """About `max_rows` of the rows, chosen by a hash of all their columns; all if they are fewer."""
+    total = rows.count()
+    if total <= max_rows:
+        return rows
+    share = F.lit(int(max_rows / total * (1 << 30)))
+    return rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) < share)
+
+
 def train_letter_classifier(
-    rows: DataFrame, size: int = 6, num_features: int = 1 << 14, max_iter: int = 15
+    rows: DataFrame,
+    size: int = 6,
+    num_features: int = 1 << 14,
+    max_iter: int = 15,
+    max_rows: int = MAX_ROWS,
 ) -> PipelineModel:
-    """Fit on candidate letters only. Save the result with `model.write().save(path)`."""
+    """Fit on a bounded sample of candidate letters. Save the result with
+    `model.write().save(path)`."""
+    rows = labelled_sample(rows, max_rows)
     hasher = FeatureHasher(
         inputCols=list(FEATURES), outputCol="features", numFeatures=num_features
     )

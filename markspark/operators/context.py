@@ -218,7 +218,7 @@ def restore_context(
         keys = [_all_shorter(contexts, size, k) for k in sizes]
         levels = table.filter(F.col("k").isin(*sizes))
         levels = levels.select(F.col("ctx").alias("key"), "n0", "n1", "n2")
-        found = lookups.lookup_in_rows(documents, keys, levels, "_hits")
+        found = lookups.lookup_in_rows(documents, keys, lookups.in_memory(levels), "_hits")
     else:
         found = _hits_by_shuffle(documents, contexts, model, sizes)
     letters = F.transform(_letters(fixed, profile), lambda c: marks.strip_marks(c, profile))

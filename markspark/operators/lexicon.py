@@ -81,13 +81,14 @@ def restore_frequent(
     profile: MarkProfile = ROMANIAN,
     max_rows: int = lookups.BROADCAST_ROWS,
     max_bytes: int = lookups.BROADCAST_BYTES,
+    known: lookups.InMemory | None = None,
 ) -> DataFrame:
     """Adds `output`: the text stripped, every word then in its most frequent form.
 
     With a dictionary that can be broadcast, every text is restored where it lies. With a larger
     one, the words of numbered rows are looked up by shuffle, and only the forms come back.
     Either way there is one row out for every row in; `key` is not needed for that and may
-    repeat. A missing text stays missing.
+    repeat. A missing text stays missing. `known` is the dictionary as `loaded` gave it.
     """
     columns = documents.columns
     forms = dictionary.select("key", "form")
@@ -95,8 +96,9 @@ def restore_frequent(
         words.tokenize_letters(F.col(text)), lambda w: marks.fix_and_strip(w, profile)
     )
     keys = F.transform(stripped, lambda w: F.lower(w))
-    if lookups.fits_broadcast(forms, max_rows, max_bytes):
-        found = lookups.lookup_in_rows(documents, [keys], forms, "_forms")
+    known = known or loaded(forms, max_rows, max_bytes)
+    if known is not None:
+        found = lookups.lookup_in_rows(documents, [keys], known, "_forms")
     else:
         found = _forms_by_shuffle(documents, keys, forms)
     placed = F.zip_with(
@@ -106,6 +108,18 @@ def restore_frequent(
     return found.select(*columns, restored.alias(output))
 
 
+def loaded(
+    dictionary: DataFrame,
+    max_rows: int = lookups.BROADCAST_ROWS,
+    max_bytes: int = lookups.BROADCAST_BYTES,
+) -> lookups.InMemory | None:
+    """The dictionary on every executor, or None if it is too large for that. Streams measure
+    and send it once, not with every batch."""
+    forms = dictionary.select("key", "form")
+    fits = lookups.fits_broadcast(forms, max_rows, max_bytes)
+    return lookups.in_memory(forms) if fits else None
+
+
 def woven(gaps: Column, parts: Column) -> Column:
     """A text from what stands between its parts (one more than there are) and the parts."""
     ends = F.concat(parts, F.array(F.lit("")))

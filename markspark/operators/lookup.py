@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,23 +98,36 @@ def with_row_id(df: DataFrame, name: str) -> DataFrame:
     return materialize(df.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
+@dataclass(frozen=True)
+class InMemory:
+    """A small table on every executor: a broadcast of its keys and values as arrays."""
+
+    arrays: Broadcast
+    values: T.StructType
+
+
+def in_memory(table: DataFrame) -> InMemory:
+    """Sends a table with a unique column `key` to all executors, once. It has to fit."""
+    values = [c for c in table.columns if c != "key"]
+    rows = table.select("key", F.struct(*values).alias("value")).toArrow().combine_chunks()
+    arrays = []
+    for name in ("key", "value"):
+        column = rows.column(name)
+        arrays.append(pa.concat_arrays(column.chunks or [pa.array([], column.type)]))
+    shared = table.sparkSession.sparkContext.broadcast(arrays)
+    return InMemory(shared, T.StructType([table.schema[v] for v in values]))
+
+
 def lookup_in_rows(
-    df: DataFrame, keys: Sequence[Column], table: DataFrame, output: str
+    df: DataFrame, keys: Sequence[Column], table: InMemory, output: str
 ) -> DataFrame:
-    """Looks up whole arrays of keys without taking rows apart; the table has to fit.
+    """Looks up whole arrays of keys without taking rows apart.
 
-    `keys` are arrays of equal lengths, tried in turn. `table` has a unique `key` and values;
-    `output` is an array with a struct of the values for each place, null where no key is known.
-    Each task maps its batches with one look-up per array, so that nothing is shuffled, and rows
-    are neither lost nor merged.
+    `keys` are arrays of equal lengths, tried in turn. `output` is an array with a struct of the
+    table's values for each place, null where no key is known. Each task maps its batches with
+    one look-up per array, so that nothing is shuffled, and rows are neither lost nor merged.
     """
-    values = [c for c in table.columns if c != "key"]
-    known = table.select("key", F.struct(*values).alias("value")).toArrow().combine_chunks()
-    shared = df.sparkSession.sparkContext.broadcast(
-        [pa.concat_arrays(known.column(c).chunks or [pa.array([], known.schema.field(c).type)])
-         for c in ("key", "value")]
-    )
-    kind = T.ArrayType(known_type(table, values))
+    shared = table.arrays
 
     def find(*arrays: pa.Array) -> pa.Array:
         names, found = shared.value
@@ -124,8 +139,4 @@ def lookup_in_rows(
             place = here if place is None else pc.coalesce(place, here)
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found.take(place))
 
-    return df.withColumn(output, F.arrow_udf(find, kind)(*keys))
-
-
-def known_type(table: DataFrame, values: Sequence[str]) -> T.StructType:
-    return T.StructType([table.schema[v] for v in values])
+    return df.withColumn(output, F.arrow_udf(find, T.ArrayType(table.values))(*keys))

@@ -258,13 +258,12 @@ ORACLES: dict[str, str] = {
         from li)
       select doc_id || ':' || no as doc_id, md5({fix('nfc_normalize(l)')}) as h from tr
       where l <> '' and not starts_with(l, '#')""",
-    "src_chain": f"""with {CRC_TABLE}
+    "src_chain": """
       select doc_id::varchar as doc_id, 0::bigint as source_rank, doc_id as ord, md5(text) as h
       from documents
-      union all select conv_id || ':' || turn, 1, conv_id * 100000 + turn, md5(text)
-      from conversations, crct where {crc("(conv_id || ':' || turn)")} % 4 = 0
-      union all select item_id::varchar, 2, item_id, md5(text)
-      from benchmark, crct where {crc('item_id::varchar')} % 4 = 0""",
+      union all select conv_id || ':' || turn, 1, conv_id * 2147483648 + turn, md5(text)
+      from conversations
+      union all select item_id::varchar, 2, item_id, md5(text) from benchmark""",
     "src_lines": f"""with {USABLE}, {FORMS}, li as (select ro.doc_id || ':' || (no - 1) as id, l as text
         from (select doc_id, unnest(string_split(text, chr(10))) as l,
               generate_subscripts(string_split(text, chr(10)), 1) as no from ro) ro),

@@ -136,15 +136,13 @@ def src_corrections(spark, sf_dir):
 def src_chain(spark, sf_dir):
     talks = table(spark, sf_dir, "conversations").withColumn(
         "id", F.concat_ws(":", "conv_id", "turn")
-    ).withColumn("ord", F.col("conv_id") * 100_000 + F.col("turn"))
-    chained = sources.chain(
-        sources.table_documents(table(spark, sf_dir, "documents")),
-        corpus.hash_sample(sources.table_documents(talks, "id", ord_col="ord"), 4),
+    ).withColumn("ord", F.shiftleft("conv_id", 31) + F.col("turn"))
+    inner = sources.chain(
+        sources.table_documents(talks, "id", ord_col="ord"),
         None,
-        corpus.hash_sample(
-            sources.table_documents(table(spark, sf_dir, "benchmark"), "item_id"), 4
-        ),
+        sources.table_documents(table(spark, sf_dir, "benchmark"), "item_id"),
     )
+    chained = sources.chain(sources.table_documents(table(spark, sf_dir, "documents")), inner)
     return longs(chained.select("doc_id", "source_rank", "ord", F.md5("text").alias("h")))
 
 
@@ -261,7 +259,14 @@ merge_keep_marked = _per_document(
 mark_ratio = _per_document(lambda t: F.round(quality.mark_ratio(t), 9), "ratio")
 marks_every_letter = _per_document(quality.marks_every_letter, "passes")
 drops_marks = _per_document(quality.drops_marks, "drops")
-max_chars_guard = _per_document(marks.within_limit, "accepted")
+
+
+def max_chars_guard(spark, sf_dir):
+    accepted, refused = longtext.max_chars_guard(romanised(spark, sf_dir))
+    flagged = [
+        df.select("doc_id", F.lit(ok).alias("accepted")) for df, ok in ((accepted, True), (refused, False))
+    ]
+    return flagged[0].unionByName(flagged[1])
 
 
 def tokenize_w(spark, sf_dir):

@@ -65,21 +65,28 @@ def _per_batch(
     )
 
 
+Restorer = Callable[[DataFrame], DataFrame]
+
+
+def word_restorer(dictionary: DataFrame, text: str, profile: MarkProfile = ROMANIAN) -> Restorer:
+    """A restorer that measures and sends the dictionary once, for all batches."""
+    known = lexicon.loaded(dictionary)
+    return lambda batch: lexicon.restore_frequent(
+        batch, dictionary, text=text, profile=profile, known=known
+    )
+
+
 def restore_stream(
     documents: DataFrame,
-    dictionary: DataFrame,
+    model: DataFrame | Restorer,
     output: str,
     checkpoint: str,
-    key: str = "doc_id",
     profile: MarkProfile = ROMANIAN,
 ) -> StreamingQuery:
-    """Restore each batch's documents or lines with the dictionary."""
-    return _per_batch(
-        documents,
-        lambda batch: lexicon.restore_frequent(batch, dictionary, key=key, profile=profile),
-        output,
-        checkpoint,
-    )
+    """Restore each batch's documents: `model` is a dictionary, or any function from documents to
+    documents with `restored`, such as `models.load_restorer` gives."""
+    restore = model if callable(model) else word_restorer(model, "text", profile)
+    return _per_batch(documents, restore, output, checkpoint)
 
 
 def restore_line_stream(
@@ -89,18 +96,16 @@ def restore_line_stream(
     checkpoint: str,
     profile: MarkProfile = ROMANIAN,
 ) -> StreamingQuery:
-    """Line in, restored line out: `value` stays, `restored` is added.
+    """Line in, restored line out: `value` stays, `restored` and `line_no` are added.
 
-    Lines carry no key. Their place in the batch's partitions serves as one: a partition that
-    is read again holds the same lines in the same order.
+    Lines are restored where they lie; inside a batch, `line_no` ascends in the order in which
+    they were read (file by file, without being consecutive).
     """
+    restore = word_restorer(dictionary, "value", profile)
 
     def step(batch: DataFrame) -> DataFrame:
-        keyed = batch.withColumn("line_key", F.monotonically_increasing_id())
-        restored = lexicon.restore_frequent(
-            keyed, dictionary, key="line_key", text="value", profile=profile
-        )
-        return restored.select("value", "restored")
+        numbered = batch.withColumn("line_no", F.monotonically_increasing_id())
+        return restore(numbered).select("line_no", "value", "restored")
 
     return _per_batch(lines, step, output, checkpoint)
 

@@ -227,6 +227,7 @@ def test_line_stream_restores_every_line(spark, corpus_docs, tmp_path):
         stream, forms, str(tmp_path / "out"), str(tmp_path / "cp")
     ).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
+    assert {"line_no", "value", "restored"} <= set(out.columns)
     assert sorted((r.value, r.restored) for r in out.collect()) == [
         ("", ""), ("Tara si casa", "Țara și casă"), *[("dupa masa", "după masă")] * 3
     ]

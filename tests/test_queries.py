@@ -43,5 +43,5 @@ def test_query(spark, duck, name):
     assert normal(mine) == normal(duck.sql(SQL[name]).df())
 
 
-def test_entry_is_lazy_and_gives_rows(spark):
+def test_entry_gives_rows(spark):
     assert entry.entry(spark).count() > 0
