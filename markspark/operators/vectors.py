@@ -56,6 +56,32 @@ def pack_codes(codes: Column) -> Column:
     )
 
 
+def packed_groups(groups: Column) -> Column:
+    """`array<struct<scale, codes>>` with half a byte per code, for storing."""
+
+    def as_bytes(codes: Column) -> Column:
+        pairs = F.transform(pack_codes(codes), lambda b: F.lpad(F.hex(b), 2, "0"))
+        return F.unhex(F.array_join(pairs, ""))
+
+    return F.transform(
+        groups, lambda g: F.struct(g.scale.alias("scale"), as_bytes(g.codes).alias("codes"))
+    )
+
+
+def unpacked_groups(packed: Column) -> Column:
+    """`quantize`'s groups from `packed_groups`."""
+
+    def as_codes(codes: Column) -> Column:
+        digits = F.hex(codes)
+        places = F.sequence(F.lit(1), F.length(digits), F.lit(2))
+        value = lambda at: F.conv(F.substring(digits, at, 1), 16, 10).cast("tinyint")
+        return F.flatten(F.transform(places, lambda i: F.array(value(i + 1), value(i))))
+
+    return F.transform(
+        packed, lambda g: F.struct(g["scale"].alias("scale"), as_codes(g["codes"]).alias("codes"))
+    )
+
+
 def dequantize(groups: Column) -> Column:
     """Values of `quantize`'s groups."""
     return F.flatten(
@@ -76,8 +102,13 @@ def quantization_error(
 ) -> DataFrame:
     """Largest and mean absolute error, the largest error in steps, and bytes before and after.
 
-    A value takes four bytes before; after, half a byte plus its share of a two-byte scale.
+    A value takes four bytes before; after, its group's packed codes and scale are counted as
+    `packed_groups` makes them.
     """
+    steps = F.flatten(
+        F.transform("groups", lambda g: F.array_repeat(g["scale"], F.size(g["codes"])))
+    )
+    packed = F.transform(packed_groups(F.col("groups")), lambda g: F.octet_length(g["codes"]) + 8)
     errors = (
         vector_quantize(vectors, column, group)
         .withColumn("back", dequantize(F.col("groups")))
@@ -88,16 +119,18 @@ def quantization_error(
         .select(
             *by,
             F.size("err").alias("values"),
-            F.size("groups").alias("n_groups"),
             F.array_max("err").alias("worst"),
             F.aggregate("err", F.lit(0.0), lambda s, e: s + e).alias("total"),
+            F.array_max(F.zip_with("err", steps, lambda e, s: e / s)).alias("worst_steps"),
+            F.aggregate(packed, F.lit(0), lambda s, n: s + n).alias("stored"),
         )
     )
-    values, groups = F.sum("values"), F.sum("n_groups")
+    values = F.sum("values")
     return errors.groupBy(*by).agg(
         F.count("*").alias("vectors"),
         F.max("worst").alias("max_abs_error"),
         (F.sum("total") / values).alias("mean_abs_error"),
+        F.max("worst_steps").alias("max_error_steps"),
         (4 * values).alias("bytes_before"),
-        F.expr("sum(values) div 2 + 2 * sum(n_groups)").alias("bytes_after"),
+        F.sum("stored").alias("bytes_after"),
     )

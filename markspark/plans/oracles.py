@@ -509,11 +509,12 @@ ORACLES: dict[str, str] = {
       g as (select vec_id, label, unnest([e[i:i+31] for i in range(1, len(e), 32)]) as w from v),
       s as (select vec_id, label, w, greatest(list_max(list_transform(w, lambda x: abs(x))) / 7,
         1e-8::double) as scale from g),
-      x as (select vec_id, label, unnest(list_transform(w, lambda x: abs(x - scale *
+      x as (select vec_id, label, scale, unnest(list_transform(w, lambda x: abs(x - scale *
         greatest(-7, least(7, round_even(x / scale, 0)))))) as err from s)
       select label::bigint as label, count(distinct vec_id) as vectors,
         round(max(err), 9) as max_abs_error, round(avg(err), 9) as mean_abs_error,
-        4 * count(*) as bytes_before, count(*) // 2 + 2 * (count(*) // 32) as bytes_after
+        round(max(err / scale), 9) as max_error_steps,
+        4 * count(*) as bytes_before, count(*) // 2 + 8 * (count(*) // 32) as bytes_after
       from x group by label""",
     # --- streams ---
     "stream_filter": f"with {USABLE} select doc_id, lang, {SPLIT}, md5(text) as h from us",

@@ -437,7 +437,11 @@ def test_quantization_error_bound(spark):
         assert max(abs(a - b) for a, b in zip(r.v, r.back)) <= top / 14 + 1e-3
         assert all(1 <= c <= 15 for g in r.groups for c in g.codes)
     report = vectors.quantization_error(df, "v").first()
-    assert (report.vectors, report.bytes_before, report.bytes_after) == (21, 21 * 256, 21 * 36)
+    assert (report.vectors, report.bytes_before, report.bytes_after) == (21, 21 * 256, 21 * 48)
+    assert report.max_error_steps <= 0.5 + 1e-9
+    stored = out.select("groups", vectors.packed_groups(F.col("groups")).alias("p"))
+    back = stored.select("groups", "p", vectors.unpacked_groups(F.col("p")).alias("again")).collect()
+    assert all(r.groups == r.again and [len(g.codes) for g in r.p] == [16, 16] for r in back)
 
 
 def test_quantize_an_empty_vector(spark):
