@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markspark.functions import marks
+from markspark.functions import codec, marks
+from markspark.operators.lookup import with_row_id
 from markspark.operators.ordering import number_rows
 from markspark.language import MAX_CHARS, ROMANIAN, MarkProfile
 from markspark.storage import materialize
@@ -100,6 +101,35 @@ def restore_where_needed(
     return done.unionByName(rest.select(done.columns))
 
 
+def restore_written(
+    documents: DataFrame,
+    restore: Callable[[DataFrame], DataFrame],
+    max_chars: int = MAX_CHARS,
+    text: str = "text",
+    output: str = "restored",
+    profile: MarkProfile = ROMANIAN,
+) -> DataFrame:
+    """What a writer's text goes through: adds `output` and `changed`, the number of letters that
+    differ.
+
+    Texts without a plain candidate letter are left alone. All others are cut into pieces of at
+    most `max_chars`, `restore` adds `output` to each piece, the pieces are joined, and letters
+    that the writer marked stay as they were. One row comes out for every row that goes in;
+    missing texts stay missing, with nothing changed.
+    """
+    columns = documents.columns
+    rows = with_row_id(documents, "_row")
+    needed = F.coalesce(marks.has_candidates(F.col(text), profile), F.lit(False))
+    pieces = split_long_text(rows.filter(needed).select("_row", text), max_chars, text)
+    done = restore(pieces.select("_row", "no", F.col("piece").alias(text)))
+    parts = F.sort_array(F.collect_list(F.struct("no", output)))[output]
+    joined = done.groupBy("_row").agg(F.array_join(parts, "").alias("_joined"))
+    merged = codec.merge_keep_marked(F.col(text), F.col("_joined"), profile)
+    whole = rows.join(joined, "_row", "left").withColumn(output, F.coalesce(merged, F.col(text)))
+    changed = F.coalesce(codec.count_changed(F.col(text), F.col(output)), F.lit(0))
+    return whole.select(*columns, output, F.greatest(changed, F.lit(0)).alias("changed"))
+
+
 def diff_chars(texts: DataFrame, before: str, after: str) -> DataFrame:
     """One row per position where two texts of equal length differ: the other columns,
     `pos`, `from_ch`, `to_ch`. Only differing positions are exploded."""

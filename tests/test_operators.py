@@ -514,6 +514,18 @@ def test_texts_without_candidates_pass_through(docs):
     assert pairs(out, "text", "restored") == [("abc", "ABC"), ("xyz", "xyz"), ("șț", "șț")]
 
 
+def test_what_a_writer_typed(docs):
+    """Skip, cut, restore, join, keep the writer's own marks, count."""
+    forms = lexicon.fit(docs("masă țară", "masă țară"))
+    texts = docs("masa si tara " * 9, "țara mâsa", "xyz", None, "", "masa")
+    out = longtext.restore_written(texts, lambda t: lexicon.restore_frequent(t, forms), 20)
+    assert [(r.text, r.restored, r.changed) for r in out.orderBy("ord").collect()] == [
+        ("masa si tara " * 9, "masă si țară " * 9, 27),
+        ("țara mâsa", "țară mâsă", 2),
+        ("xyz", "xyz", 0), (None, None, 0), ("", "", 0), ("masa", "masă", 1),
+    ]
+
+
 def test_diffs(spark):
     df = spark.createDataFrame([("1", "casa si", "casă și", "casă si")], "id STRING, a STRING, b STRING, p STRING")
     got = longtext.diff_chars(df.select("id", "a", "b"), "a", "b")
