@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markspark.operators import alphabet as alphabets
-from markspark.operators import corpus
+from markspark.operators import context, corpus
 from markspark.operators.windows import windows_train
 from markspark.language import ROMANIAN, MarkProfile
 from markspark.settings import Settings
 from markspark.sources import sinks
+from markspark.sources.documents import chain, parquet_documents
+from markspark.sources.lines import line_documents
 from markspark.storage import Build, materialize_stamped
 
 
+def corpus_source(
+    spark: SparkSession,
+    settings: Settings,
+    articles: Sequence[str] = (),
+    lines: Sequence[str] = (),
+    web: Sequence[str] = (),
+) -> DataFrame:
+    """The corpus that the settings describe: articles, then one in `lines_every` documents of
+    the line dumps, then one in `web_every` web pages. Kinds without paths are left out."""
+    c = settings.corpus
+    return chain(
+        parquet_documents(spark, list(articles)) if articles else None,
+        line_documents(spark, list(lines), every=c.lines_every) if lines else None,
+        parquet_documents(spark, list(web), every=c.web_every) if web else None,
+    )
+
+
+def fit_context(documents: DataFrame, settings: Settings) -> DataFrame:
+    """The context model with the settings' context sizes and support."""
+    m = settings.model
+    rows = context.context_rows(documents.select("doc_id", "text"), m.context_sizes[0])
+    return context.train(rows, m.context_sizes, m.min_support)
+
+
 def build_dataset(
     spark: SparkSession,
     documents: DataFrame,

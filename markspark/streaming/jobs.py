@@ -20,11 +20,11 @@ from markspark.settings import CorpusSettings
 
 
 def line_stream(spark: SparkSession, directory: str, max_files: int | None = None) -> DataFrame:
-    """Lines of text files that arrive in a directory: `value`, file and a per-batch number."""
+    """`value, file`: lines of text files that arrive in a directory."""
     reader = spark.readStream
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.text(directory)
+    return reader.text(directory).select("value", F.col("_metadata.file_path").alias("file"))
 
 
 def filter_stream(
@@ -96,7 +96,7 @@ def restore_line_stream(
     checkpoint: str,
     profile: MarkProfile = ROMANIAN,
 ) -> StreamingQuery:
-    """Line in, restored line out: `value` stays, `restored` and `line_no` are added.
+    """Line in, restored line out: the columns stay, `restored` and `line_no` are added.
 
     Lines are restored where they lie; inside a batch, `line_no` ascends in the order in which
     they were read (file by file, without being consecutive).
@@ -105,7 +105,7 @@ def restore_line_stream(
 
     def step(batch: DataFrame) -> DataFrame:
         numbered = batch.withColumn("line_no", F.monotonically_increasing_id())
-        return restore(numbered).select("line_no", "value", "restored")
+        return restore(numbered)
 
     return _per_batch(lines, step, output, checkpoint)
 

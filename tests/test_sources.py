@@ -123,3 +123,23 @@ def test_summary_and_alphabet_files(spark, tmp_path):
     sinks.write_alphabet(spark, " aș", location)
     assert sinks.read_summary(spark, location, "s") == {"a": 0.5}
     assert sinks.read_alphabet(spark, location) == " aș"
+
+
+def test_corpus_of_the_settings(spark, tmp_path):
+    from markspark.plans.dataset import corpus_source, fit_context
+    from markspark.settings import CorpusSettings, ModelSettings, Settings
+
+    for name in ("wiki", "web"):
+        rows = [(f"{name}{i}", f"casă {name} {i}") for i in range(40)]
+        spark.createDataFrame(rows, "id STRING, text STRING").coalesce(1).write.parquet(str(tmp_path / name))
+    with gzip.open(tmp_path / "lines.txt.gz", "wt") as f:
+        f.write("".join(f"linia {i}\n" for i in range(200)))
+    chosen = Settings(
+        corpus=CorpusSettings(lines_every=1, web_every=2), model=ModelSettings(context_sizes=(2, 0))
+    )
+    docs = corpus_source(
+        spark, chosen, [str(tmp_path / "wiki")], [str(tmp_path / "lines.txt.gz")], [str(tmp_path / "web")]
+    )
+    by_rank = {r.source_rank: r["count"] for r in docs.groupBy("source_rank").count().collect()}
+    assert by_rank[0] == 40 and by_rank[1] == 4 and 0 < by_rank[2] < 40
+    assert {r.k for r in fit_context(docs, chosen).select("k").distinct().collect()} == {2, 0}
