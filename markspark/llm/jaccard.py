@@ -1,10 +1,14 @@
 """Similarity join of texts by the Jaccard similarity of their word n-grams, exact.
 
 Each text's set of n-grams becomes a parity sketch: every n-gram flips one bit. Two sketches differ
-in at most as many bits as the sets differ in elements, so of one block more than that difference
-may be large, at least one block is equal. Texts are taken by bands of set size, since the allowed
-difference grows with the sets; a band decides the number of blocks. Texts that agree in a block
-are candidates, sketches rule most wrong ones out, and the sets themselves decide.
+in at most as many bits as the sets differ in elements, so of more blocks than that difference may
+be large, at least one is untouched. Texts are taken by bands of set size, since the allowed
+difference grows with the sets; a band decides the number of blocks. Besides its bits, a block
+combines the hashes of its n-grams by exclusive or; texts that agree in such a number are
+candidates, the bits of whole sketches rule wrong ones out, and the sets themselves decide.
+
+There are some blocks to spare: linked texts agree in more than `spare` of them. So a text may keep
+quiet about blocks with one n-gram or none, which agree by chance, if it has no more than `spare`.
 
 Candidates of a block are not paired with each other but with a few centres. Links join texts to
 classes; only texts of one block that are still in different classes meet again, with the next
@@ -21,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -32,7 +36,9 @@ from markspark.llm.wordhash import mix, words_of
 from markspark.storage import materialize
 
 BATCH_BYTES = 4 << 20
-MORE_CENTRES = 16
+MORE_CENTRES = 64
+SPARE = 12
+"""One spare block for so many that may differ."""
 BROADCAST_IDS = 500_000
 PAIRS_PER_SALT = 500
 RANGE_BLOCKS = 4_000_000
@@ -63,6 +69,12 @@ class Threshold:
         # |A| + |B| elements, of which the union holds at least (of / (of + least)) of them
         return (small + large) * (self.of - self.least) // (self.of + self.least)
 
+    def spare(self, band: int) -> int:
+        return self.difference(band) // SPARE + 1
+
+    def blocks(self, band: int) -> int:
+        return self.difference(band) + 1 + self.spare(band)
+
 
 @lru_cache(maxsize=64)
 def _bands(least: int, of: int, bits: int) -> tuple[np.ndarray]:
@@ -116,10 +128,34 @@ def _batches(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield first, out
 
 
+def block_numbers(elements: np.ndarray, band: int, threshold: Threshold) -> np.ndarray:
+    """One number for each block that the text has to speak up for."""
+    blocks = threshold.blocks(band)
+    block = (elements % np.uint64(64 * blocks)).astype(np.int64) >> 6
+    order = np.argsort(block, kind="stable")
+    block, hashes = block[order], mix(elements[order] + _MULTIPLIERS[1])
+    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    combined = np.zeros(blocks, np.uint64)
+    combined[block[first]] = np.bitwise_xor.reduceat(hashes, first)
+    held = np.zeros(blocks, np.int64)
+    held[block[first]] = np.diff(np.append(first, len(block)))
+    where = (np.uint64(band) << np.uint64(40)) | np.arange(blocks, dtype=np.uint64)
+    numbers = mix(mix(where + _MULTIPLIERS[0]) ^ combined)
+    few = held <= 1
+    return numbers[~few] if few.sum() <= threshold.spare(band) else numbers
+
+
+def _bands_of(size: int, threshold: Threshold) -> list[int]:
+    """A set's own band and the one below, whose larger partners it may be."""
+    top = threshold.band(size) if size else 0
+    return [b for b in (top, top - 1) if b > 0]
+
+
 def _sketches(docs: DataFrame, n: int, threshold: Threshold) -> DataFrame:
-    """`id, n_shingles, key_a, key_b, sketches` (band and words, for its band and the one below)."""
+    """`id, n_shingles, key_a, key_b, sketches` (band and numbers of its blocks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("band", pa.int32()), ("keys", pa.list_(pa.int64()))]))
         for batch in batches:
             for first, texts in _batches(batch.column(1)):
                 sizes, key_a, key_b, sketches = [], [], [], []
@@ -128,19 +164,19 @@ def _sketches(docs: DataFrame, n: int, threshold: Threshold) -> DataFrame:
                     mixed = mix(s + _MULTIPLIERS[2])
                     key_a.append(int(np.bitwise_xor.reduce(mixed).astype(np.int64)) if len(s) else 0)
                     key_b.append(int(s.sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
-                    top = threshold.band(len(s)) if len(s) else 0
-                    bands = [b for b in (top, top - 1) if b > 0]
                     sketches.append(
-                        [{"band": b, "words": sketch(s, threshold.difference(b) + 1)} for b in bands]
+                        [
+                            {"band": b, "keys": block_numbers(s, b, threshold).view(np.int64)}
+                            for b in _bands_of(len(s), threshold)
+                        ]
                     )
-                words = pa.list_(pa.struct([("band", pa.int32()), ("words", pa.list_(pa.int64()))]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(texts)),
                         pa.array(sizes, pa.int64()),
                         pa.array(key_a, pa.int64()),
                         pa.array(key_b, pa.int64()),
-                        pa.array(sketches, words),
+                        pa.array(sketches, kind),
                     ],
                     ["id", "n_shingles", "key_a", "key_b", "sketches"],
                 )
@@ -149,37 +185,47 @@ def _sketches(docs: DataFrame, n: int, threshold: Threshold) -> DataFrame:
     return docs.mapInArrow(
         run,
         f"id {kind}, n_shingles LONG, key_a LONG, key_b LONG, "
-        "sketches ARRAY<STRUCT<band: INT, words: ARRAY<LONG>>>",
+        "sketches ARRAY<STRUCT<band: INT, keys: ARRAY<LONG>>>",
     )
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """`id, elements` (sorted)."""
+def _sets(docs: DataFrame, n: int, threshold: Threshold) -> DataFrame:
+    """`id, elements` (sorted), `sketches` (band and words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("band", pa.int32()), ("words", pa.list_(pa.int64()))]))
         for batch in batches:
             for first, texts in _batches(batch.column(1)):
-                sets = [s.view(np.int64) for s in shingle_sets(texts, n)]
-                ids = batch.column(0).slice(first, len(texts))
+                sets = shingle_sets(texts, n)
+                sketches = [
+                    [
+                        {"band": b, "words": sketch(s, threshold.blocks(b))}
+                        for b in _bands_of(len(s), threshold)
+                    ]
+                    for s in sets
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(sets, pa.list_(pa.int64()))], ["id", "elements"]
+                    [
+                        batch.column(0).slice(first, len(texts)),
+                        pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                        pa.array(sketches, kind),
+                    ],
+                    ["id", "elements", "sketches"],
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, elements ARRAY<LONG>")
+    return docs.mapInArrow(
+        run,
+        f"id {kind}, elements ARRAY<LONG>, sketches ARRAY<STRUCT<band: INT, words: ARRAY<LONG>>>",
+    )
 
 
 def _block_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of all blocks of a batch of sketches (`band, words`), and the row of each."""
-    words = batch.column(batch.schema.get_field_index("words"))
-    offsets = words.offsets.to_numpy().astype(np.int64)
-    sizes = np.diff(offsets)
+    """All block numbers of a batch of sketches (column `keys`), and the row of each."""
+    keys = batch.column(batch.schema.get_field_index("keys"))
+    sizes = np.diff(keys.offsets.to_numpy().astype(np.int64))
     row = np.repeat(np.arange(len(sizes)), sizes)
-    band = batch.column(batch.schema.get_field_index("band")).to_numpy()[row]
-    block = np.arange(len(row)) - np.repeat(offsets[:-1] - offsets[0], sizes)
-    values = words.flatten().to_numpy().view(np.uint64)
-    where = (band.astype(np.uint64) << np.uint64(40)) | block.astype(np.uint64)
-    return mix(mix(where + _MULTIPLIERS[0]) ^ values), row
+    return keys.flatten().to_numpy().view(np.uint64), row
 
 
 def _shared_blocks(sketches: DataFrame) -> DataFrame:
@@ -191,7 +237,7 @@ def _shared_blocks(sketches: DataFrame) -> DataFrame:
     """
     spark = sketches.sparkSession
     path = shared_files(spark, "shared-blocks")
-    n = sketches.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).first().n
+    n = sketches.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first().n
     ranges = 1 << max(0, int(n) // RANGE_BLOCKS).bit_length()
     parts_of = ranges.bit_length() - 1
 
@@ -255,66 +301,70 @@ def _shared_blocks(sketches: DataFrame) -> DataFrame:
                 ["id", "band", "key"],
             )
 
-    blocks = sketches.select("band", "words")
-    sent = blocks.mapInArrow(count, "part LONG, run BINARY").groupBy("part")
+    sent = sketches.select("keys").mapInArrow(count, "part LONG, run BINARY").groupBy("part")
     sent.applyInArrow(merge, "shared LONG").agg(F.sum("shared")).first()
     kind = sketches.schema["id"].dataType.simpleString()
-    rows = sketches.select("id", "band", "words").mapInArrow(keep, f"id {kind}, band INT, key LONG")
+    rows = sketches.select("id", "band", "keys").mapInArrow(keep, f"id {kind}, band INT, key LONG")
     rows = materialize(rows, "block-members")
     shutil.rmtree(path, ignore_errors=True)
     return rows
 
 
-def _both_sides(pairs: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs with the values of `a` and of `b` (columns `_a`, `_b`).
+def _both_sides(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """Pairs with the values of `a` and of `b` (structs `_a`, `_b`).
 
     A centre (`b`) can be in any number of pairs: its value is repeated, and its pairs dealt out,
     in proportion to that number.
     """
-    value = F.struct(*[c for c in values.columns if c not in ("id", *keys)])
-    of_b = pairs.groupBy("b", *keys).agg(F.count("*").alias("_n"))
+    value = F.struct(*[c for c in values.columns if c != "id"])
+    of_b = pairs.groupBy("b").agg(F.count("*").alias("_n"))
     salts = F.ceil(F.col("_n") / PAIRS_PER_SALT).cast("int")
     of_b = materialize(of_b.withColumn("_salts", salts), "centre-sizes")
-    counted = join_groups(pairs, of_b, ["b", *keys], "_n", pairs.count())
+    total = of_b.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first().n
+    counted = join_groups(pairs, of_b, ["b"], "_n", total)
     salted = counted.withColumn("_salt", F.pmod(F.xxhash64("a"), F.col("_salts")).cast("int"))
     left = salted.drop("_n", "_salts").join(
-        values.select(F.col("id").alias("a"), *keys, value.alias("_a")), ["a", *keys]
+        values.select(F.col("id").alias("a"), value.alias("_a")), "a"
     )
-    right = values.select(F.col("id").alias("b"), *keys, value.alias("_b")).join(
-        of_b.select("b", *keys, "_salts"), ["b", *keys]
+    right = values.select(F.col("id").alias("b"), value.alias("_b")).join(
+        of_b.select("b", "_salts"), "b"
     )
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    return left.join(right.drop("_salts"), ["b", *keys, "_salt"])
+    return left.join(right.drop("_salts"), ["b", "_salt"])
 
 
-def _linked(
-    pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, threshold: Threshold
-) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, n: int, threshold: Threshold) -> DataFrame:
     """The pairs (`a, b, band`) whose sets are similar enough, as `a, b`."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    ids = ids.distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    chosen = docs.join(ids, "id", "left_semi").select("id", "text")
+    both = _both_sides(pairs, materialize(_sets(chosen, n, threshold), "sets"))
+
+    def words(side: str) -> Column:
+        same = F.filter(F.col(f"{side}.sketches"), lambda s: s["band"] == F.col("band"))
+        return F.get(same, F.lit(0))["words"]
+
     bits = F.aggregate(
-        F.zip_with(F.col("_a.words"), F.col("_b.words"), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.zip_with(words("_a"), words("_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
         F.lit(0),
         lambda s, x: s + x,
     )
-    # as many bits as |A| + |B| - 2 * intersection may differ
-    most = F.floor(
-        (F.col("_a.n_shingles") + F.col("_b.n_shingles"))
-        * (threshold.of - threshold.least) / (threshold.of + threshold.least)
-    )
-    near = _both_sides(pairs, sketches, ["band"]).filter(bits <= most).select("a", "b").distinct()
-    near = materialize(near, "near-pairs")
-    ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id")))
-    ids = ids.distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    sets = materialize(_sets(docs.join(ids, "id", "left_semi").select("id", "text"), n), "sets")
-    both = _both_sides(near, sets, [])
+    sizes = F.size("_a.elements") + F.size("_b.elements")
+    # sets that differ in more elements than this are not linked, and sketches differ in no more
+    most = F.floor(sizes * (threshold.of - threshold.least) / (threshold.of + threshold.least))
     shared = F.size(F.array_intersect("_a.elements", "_b.elements"))
-    union = F.size("_a.elements") + F.size("_b.elements") - shared
-    linked = both.filter(shared * threshold.of >= union * threshold.least)
+    similar = shared * threshold.of >= (sizes - shared) * threshold.least
+    linked = both.filter(F.when(bits <= most, similar).otherwise(F.lit(False)))
     return linked.select("a", "b").distinct()
 
 
+def _one_band(pairs: DataFrame) -> DataFrame:
+    """Each pair once, with one of the bands in which it came up."""
+    return pairs.groupBy("a", "b").agg(F.min("band").alias("band"))
+
+
 def similar_texts(
     docs: DataFrame,
     n: int = 3,
@@ -345,21 +395,20 @@ def similar_texts(
     nodes = sets.join(
         groups.select(*keys, F.col("node").alias("id")), [*keys, "id"], "left_semi"
     ).dropDuplicates(["id", *keys])
-    sketches = nodes.select("id", "n_shingles", F.explode("sketches").alias("s"))
-    sketches = materialize(sketches.select("id", "n_shingles", "s.band", "s.words"), "nodes")
+    sketches = nodes.select("id", F.explode("sketches").alias("s"))
+    sketches = materialize(sketches.select("id", "s.band", "s.keys"), "nodes")
     members = _shared_blocks(sketches)
     shared = members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("b"))
     shared = materialize(shared.filter("size > 1"), "shared-blocks")
     n_rows = shared.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
-    members = join_groups(members, shared, ["key"], "size", max(n_rows, 1)).filter("b IS NOT NULL")
+    members = join_groups(members, shared, ["key"], "size", n_rows).filter("id <> b")
     members = materialize(members, "members")
-    pairs = members.filter("id <> b").select(F.col("id").alias("a"), "b", "band").distinct()
-    tested = materialize(pairs, "pairs")
-    links = materialize(_linked(tested, sketches, texts, n, threshold), "links")
-    members = members.filter("id <> b").drop("b", "size")
+    tested = materialize(_one_band(members.select(F.col("id").alias("a"), "b", "band")), "pairs")
+    links = materialize(_linked(tested, texts, n, threshold), "links")
+    members = members.drop("b", "size")
+    classes = materialize(components(links), "classes")
 
     while True:
-        classes = components(links)
         # members in their classes; blocks with a single class are done
         labelled = members.join(classes, "id", "left").withColumn(
             "class", F.coalesce("component", "id")
@@ -375,27 +424,28 @@ def similar_texts(
         members = materialize(members, "open-members")
         by_id = Window.partitionBy("key").orderBy("id")
         centres = members.withColumn("rank", F.row_number().over(by_id))
-        centres = centres.filter(F.col("rank") <= MORE_CENTRES).select(
-            "key", F.col("id").alias("b"), F.col("class").alias("b_class"), "size"
-        )
-        centres = centres.groupBy("key", "size").agg(
-            F.collect_list(F.struct("b", "b_class")).alias("centres")  # at most MORE_CENTRES
+        centres = centres.filter(F.col("rank") <= MORE_CENTRES).groupBy("key", "size").agg(
+            F.collect_list(  # at most MORE_CENTRES
+                F.struct(F.col("id").alias("b"), F.col("class").alias("b_class"))
+            ).alias("centres")
         )
         centres = materialize(centres, "centres")
         met = join_groups(members.drop("size"), centres, ["key"], "size", n_rows)
-        pairs = met.withColumn("c", F.explode("centres")).filter(
-            "id > c.b AND class <> c.b_class"
+        # most members are of their centres' class; only the others leave as pairs
+        others = F.filter(
+            "centres", lambda c: (c["b"] < F.col("id")) & (c["b_class"] != F.col("class"))
         )
-        pairs = pairs.select(F.col("id").alias("a"), F.col("c.b").alias("b"), "band").distinct()
+        pairs = met.select("id", "band", F.explode(others).alias("c"))
+        pairs = _one_band(pairs.select(F.col("id").alias("a"), F.col("c.b").alias("b"), "band"))
         # a pair that was tested is linked, and then of one class, or it is not
-        new = pairs.join(tested.select("a", "b").distinct(), ["a", "b"], "left_anti")
-        new = materialize(new, "pairs")
-        found = _linked(new, sketches, texts, n, threshold)
-        links = materialize(links.unionByName(found), "links")
+        new = materialize(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        found = materialize(_linked(new, texts, n, threshold), "links")
+        if not found.isEmpty():
+            links = materialize(links.unionByName(found), "links")
+            classes = materialize(components(links), "classes")
         tested = tested.unionByName(new)
         is_centre = F.exists("centres", lambda c: c["b"] == F.col("id"))
-        members = met.filter(~is_centre).select("id", "band", "key")
-        members = materialize(members, "members")
+        members = materialize(met.filter(~is_centre).select("id", "band", "key"), "members")
 
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
     counts = ends.groupBy(F.col("id").alias("node")).agg(F.count("*").alias("links_found"))

@@ -98,6 +98,27 @@ def test_sketches_differ_in_at_most_as_many_bits_as_sets_in_elements():
         assert bits <= len(np.setxor1d(a, b)) and (x == y).sum() >= 23 - bits
 
 
+@pytest.mark.parametrize("least", [80, 90])
+def test_linked_sets_agree_in_a_number_they_both_tell(least):
+    rnd = np.random.default_rng(least)
+    t = jaccard.Threshold(least, 100)
+    for size in [1, 2, 5, 9, 10, 11, 19, 30, 64, 100, 333, 1_000]:
+        for _ in range(40):
+            a = np.unique(rnd.integers(0, 1 << 63, size, dtype=np.uint64))
+            out = rnd.integers(0, t.difference(t.band(len(a))) + 1)
+            gone = int(rnd.integers(0, min(out, len(a) - 1) + 1))
+            new = rnd.integers(0, 1 << 63, out - gone, dtype=np.uint64)
+            b = np.unique(np.concatenate([a[gone:], new]))
+            both = len(np.intersect1d(a, b))
+            if 100 * both < least * (len(a) + len(b) - both):
+                continue
+            bands = set(jaccard._bands_of(len(a), t)) & set(jaccard._bands_of(len(b), t))
+            assert any(
+                np.isin(jaccard.block_numbers(a, k, t), jaccard.block_numbers(b, k, t)).any()
+                for k in bands
+            )
+
+
 def test_empty(spark):
     assert jaccard.similar_texts(samples.documents(spark).limit(0)).count() == 0
 
