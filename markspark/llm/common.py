@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from urllib.parse import unquote, urlsplit
 
@@ -58,6 +59,13 @@ def without(rows: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(gone, same, "left_anti")
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs whose results were written and are read from
+    there: it does so when the driver's garbage is collected, which may otherwise be late."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_files(spark: SparkSession, name: str) -> str:
     """A new folder for files that tasks write and map, as a path they can open.
 
