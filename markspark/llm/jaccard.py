@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from markspark.llm import runs
-from markspark.llm.common import join_groups, shared_files, write_file
+from markspark.llm.common import forget_shuffles, join_groups, shared_files, write_file
 from markspark.llm.components import components
 from markspark.llm.wordhash import mix, words_of
 from markspark.storage import materialize
@@ -360,6 +360,20 @@ def _linked(pairs: DataFrame, docs: DataFrame, n: int, threshold: Threshold) ->
     return linked.select("a", "b").distinct()
 
 
+def _ordered() -> tuple[Column, Column]:
+    """A pair's ids, the smaller one first."""
+    return F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
+
+
+def _classes(links: DataFrame) -> DataFrame:
+    """`id, component, class_size`."""
+    found = components(links)
+    sizes = found.groupBy("component").agg(F.count("*").alias("class_size"))
+    return materialize(
+        join_groups(found, sizes, ["component"], "class_size", found.count()), "classes"
+    )
+
+
 def _one_band(pairs: DataFrame) -> DataFrame:
     """Each pair once, with one of the bands in which it came up."""
     return pairs.groupBy("a", "b").agg(F.min("band").alias("band"))
@@ -397,6 +411,7 @@ def similar_texts(
     ).dropDuplicates(["id", *keys])
     sketches = nodes.select("id", F.explode("sketches").alias("s"))
     sketches = materialize(sketches.select("id", "s.band", "s.keys"), "nodes")
+    forget_shuffles(docs.sparkSession)
     members = _shared_blocks(sketches)
     shared = members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("b"))
     shared = materialize(shared.filter("size > 1"), "shared-blocks")
@@ -405,14 +420,18 @@ def similar_texts(
     members = materialize(members, "members")
     tested = materialize(_one_band(members.select(F.col("id").alias("a"), "b", "band")), "pairs")
     links = materialize(_linked(tested, texts, n, threshold), "links")
+    forget_shuffles(docs.sparkSession)
     members = members.drop("b", "size")
-    classes = materialize(components(links), "classes")
+    tested = tested.select(*_ordered())
+    classes = _classes(links)
 
     while True:
         # members in their classes; blocks with a single class are done
-        labelled = members.join(classes, "id", "left").withColumn(
-            "class", F.coalesce("component", "id")
-        ).drop("component")
+        labelled = members.join(classes, "id", "left").select(
+            "id", "band", "key",
+            F.coalesce("component", "id").alias("class"),
+            F.coalesce("class_size", F.lit(1)).alias("class_size"),
+        )
         several = labelled.groupBy("key").agg(
             F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("size")
         )
@@ -422,8 +441,9 @@ def similar_texts(
             break
         members = join_groups(labelled, several, ["key"], "size", n_rows).filter("size IS NOT NULL")
         members = materialize(members, "open-members")
-        by_id = Window.partitionBy("key").orderBy("id")
-        centres = members.withColumn("rank", F.row_number().over(by_id))
+        # the members of small classes: once they have met all others, one class is left
+        smallest = Window.partitionBy("key").orderBy("class_size", "id")
+        centres = members.withColumn("rank", F.row_number().over(smallest))
         centres = centres.filter(F.col("rank") <= MORE_CENTRES).groupBy("key", "size").agg(
             F.collect_list(  # at most MORE_CENTRES
                 F.struct(F.col("id").alias("b"), F.col("class").alias("b_class"))
@@ -431,25 +451,31 @@ def similar_texts(
         )
         centres = materialize(centres, "centres")
         met = join_groups(members.drop("size"), centres, ["key"], "size", n_rows)
-        # most members are of their centres' class; only the others leave as pairs
+        is_centre = F.exists("centres", lambda c: c["b"] == F.col("id"))
+        met = met.withColumn("is_centre", is_centre)
+        # every member meets the centres of other classes, two centres meet once
         others = F.filter(
-            "centres", lambda c: (c["b"] < F.col("id")) & (c["b_class"] != F.col("class"))
+            "centres",
+            lambda c: (c["b_class"] != F.col("class"))
+            & (~F.col("is_centre") | (c["b"] < F.col("id"))),
         )
         pairs = met.select("id", "band", F.explode(others).alias("c"))
         pairs = _one_band(pairs.select(F.col("id").alias("a"), F.col("c.b").alias("b"), "band"))
+        pairs = pairs.withColumns({c: v for c, v in zip(("low", "high"), _ordered())})
         # a pair that was tested is linked, and then of one class, or it is not
-        new = materialize(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        found = materialize(_linked(new, texts, n, threshold), "links")
+        new = pairs.join(tested, ["low", "high"], "left_anti").dropDuplicates(["low", "high"])
+        new = materialize(new, "pairs")
+        found = materialize(_linked(new.drop("low", "high"), texts, n, threshold), "links")
+        forget_shuffles(docs.sparkSession)
         if not found.isEmpty():
             links = materialize(links.unionByName(found), "links")
-            classes = materialize(components(links), "classes")
-        tested = tested.unionByName(new)
-        is_centre = F.exists("centres", lambda c: c["b"] == F.col("id"))
-        members = materialize(met.filter(~is_centre).select("id", "band", "key"), "members")
+            classes = _classes(links)
+        tested = tested.unionByName(new.select("low", "high"))
+        members = materialize(met.filter(~F.col("is_centre")).select("id", "band", "key"), "members")
 
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
     counts = ends.groupBy(F.col("id").alias("node")).agg(F.count("*").alias("links_found"))
-    classes = classes.withColumnRenamed("id", "node")
+    classes = classes.select(F.col("id").alias("node"), "component")
     groups = groups.join(classes, "node", "left").join(counts, "node", "left")
     # an id on rows with different sets joins them
     several = sets.groupBy("id").agg(F.min("key_a").alias("x"), F.max("key_a").alias("y"))
