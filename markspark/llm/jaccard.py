@@ -7,8 +7,10 @@ difference grows with the sets; a band decides the number of blocks. Besides its
 combines the hashes of its n-grams by exclusive or; texts that agree in such a number are
 candidates, the bits of whole sketches rule wrong ones out, and the sets themselves decide.
 
-There are some blocks to spare: linked texts agree in more than `spare` of them. So a text may keep
-quiet about blocks with one n-gram or none, which agree by chance, if it has no more than `spare`.
+There are some blocks to spare: linked texts agree in more than `spare` of them. So each text keeps
+quiet about its `spare` blocks with the fewest n-grams, which agree by chance the most. Of the blocks
+in which two linked texts agree, the fullest has at least `spare` others below it in either text, so
+both tell its number.
 
 Candidates of a block are not paired with each other but with a few centres. Links join texts to
 classes; only texts of one block that are still in different classes meet again, with the next
@@ -37,7 +39,7 @@ from markspark.storage import materialize
 
 BATCH_BYTES = 4 << 20
 MORE_CENTRES = 64
-SPARE = 12
+SPARE = 2
 """One spare block for so many that may differ."""
 BROADCAST_IDS = 500_000
 PAIRS_PER_SALT = 500
@@ -70,7 +72,7 @@ class Threshold:
         return (small + large) * (self.of - self.least) // (self.of + self.least)
 
     def spare(self, band: int) -> int:
-        return self.difference(band) // SPARE + 1
+        return self.difference(band) // SPARE
 
     def blocks(self, band: int) -> int:
         return self.difference(band) + 1 + self.spare(band)
@@ -141,8 +143,8 @@ def block_numbers(elements: np.ndarray, band: int, threshold: Threshold) -> np.n
     held[block[first]] = np.diff(np.append(first, len(block)))
     where = (np.uint64(band) << np.uint64(40)) | np.arange(blocks, dtype=np.uint64)
     numbers = mix(mix(where + _MULTIPLIERS[0]) ^ combined)
-    few = held <= 1
-    return numbers[~few] if few.sum() <= threshold.spare(band) else numbers
+    fullest = np.lexsort((np.arange(blocks), held))[threshold.spare(band) :]
+    return numbers[fullest]
 
 
 def _bands_of(size: int, threshold: Threshold) -> list[int]:
