@@ -77,11 +77,10 @@ def _numbers(raw, starts, ends, fold_case: bool) -> np.ndarray:
         sums[first:] += table[raw[at[first:] + place]] * POWERS[place]
     # what is longer than that is rare: one word at a time, in runs
     for i in range(np.searchsorted(by_length, 48, side="right"), len(order)):
-        factor = np.uint64(1)
         for begin in range(48, int(by_length[i]), RUN):
             stop = min(begin + RUN, int(by_length[i]))
             part = table[raw[at[i] + begin : at[i] + stop]] * POWERS[: stop - begin]
-            factor = factor * np.uint64(0xD6E8FEB86659FD93) + np.uint64(begin)
-            sums[i] += np.bitwise_xor(mix(part.sum(dtype=np.uint64, keepdims=True)), factor)[0]
+            both = np.array([begin, part.sum(dtype=np.uint64)], np.uint64)
+            sums[i : i + 1] += mix(mix(both[:1]) ^ both[1:])
     out[order] = sums
     return mix(out + lengths.astype(np.uint64))
