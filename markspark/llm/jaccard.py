@@ -63,9 +63,11 @@ class Threshold:
 
     def difference(self, band: int) -> int:
         """How many elements linked sets can differ by, if the smaller one is of this band."""
-        starts = _bands(self.least, self.of, 8)[0]
-        if band + 1 >= len(starts):
-            starts = _bands(self.least, self.of, band // 6 + 8)[0]
+        bits = 8
+        starts = _bands(self.least, self.of, bits)[0]
+        while band + 1 >= len(starts):  # how many bands a doubling has depends on the threshold
+            bits += 4
+            starts = _bands(self.least, self.of, bits)[0]
         small = int(starts[band + 1]) - 1
         large = small * self.of // self.least
         # |A| + |B| elements, of which the union holds at least (of / (of + least)) of them

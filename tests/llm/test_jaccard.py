@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from markspark.llm import jaccard
 from markspark.llm.components import components
 from tests.llm import samples
@@ -119,6 +120,26 @@ def test_linked_sets_agree_in_a_number_they_both_tell(least):
             )
 
 
+@pytest.mark.parametrize("least", [70, 75, 80, 90])
+def test_large_sets_have_differences(least):
+    threshold = jaccard.Threshold(least, 100)
+    for size in [*range(2, 200_000, 89), *(1 << k for k in range(18, 33))]:
+        small = -(-size * least // 100)
+        # linked sets of `small` and `size` elements share all of the smaller one
+        assert threshold.difference(threshold.band(small)) >= size - small
+        assert all(threshold.difference(b) >= 0 for b in jaccard._bands_of(size, threshold)), size
+
+
+def test_near_copies_of_a_hundred_thousand_words(spark):
+    words = [f"w{k}" for k in range(100_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-9], "end"])), (3, "w1 w2 w3 w4 w5 w6")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    got = jaccard.similar_texts(docs, 5, jaccard.Threshold(80, 100))
+    assert result(got) == [(1, 99_996, 1), (2, 99_988, 1), (3, 2, 3)]
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_empty(spark):
     assert jaccard.similar_texts(samples.documents(spark).limit(0)).count() == 0
 
