@@ -120,6 +120,34 @@ def test_linked_sets_agree_in_a_number_they_both_tell(least):
             )
 
 
+@pytest.mark.parametrize("elements", [500, 500_000])
+def test_links_are_counted_within_classes(spark, monkeypatch, elements):
+    monkeypatch.setattr(jaccard, "BUCKET_ELEMENTS", elements, raising=False)
+    monkeypatch.setattr(jaccard, "PRODUCT_CELLS", 3_000, raising=False)
+    rnd = random.Random(11)
+    rows = []
+    for size in (60, 150):
+        text = [f"u{rnd.randrange(900)}" for _ in range(size)]
+        for _ in range(40):
+            copy = list(text)
+            for _ in range(rnd.choice([0, 1, 1, 2, 3])):
+                copy[rnd.randrange(size)] = f"x{rnd.randrange(9)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(900, "alone in this table"), (901, ""), (902, None), (None, rows[0][1])]
+    sets = {}
+    for i, t in rows[:-1]:
+        w = samples.words(t)
+        sets[i] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+    want = {
+        i: sum(s != o and 100 * len(s & o) >= 90 * len(s | o) for o in sets.values())
+        for i, s in sets.items()
+    }
+    assert max(want.values()) > 20
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(3)
+    got = {r.doc_id: r.links_found for r in jaccard.similar_texts(docs).collect()}
+    assert got == want | {None: 0}
+
+
 @pytest.mark.parametrize("least", [70, 75, 80, 90])
 def test_large_sets_have_differences(least):
     threshold = jaccard.Threshold(least, 100)
