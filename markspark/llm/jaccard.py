@@ -486,6 +486,7 @@ def similar_texts(
     smallest id reachable by links, the row's own included. `set_copies` counts rows with an equal
     set; `links_found` counts the rows with another set that are linked to the row's own. It takes
     all pairs of a class, however large that is.
+    Where rows with one id have different sets, it is not exact for them and what is linked to them.
 
     Null and empty texts, and texts of white space, have empty sets and no links. Rows with the
     same id are one node. Rows with a null id have a null component and no links. An empty table
