@@ -100,8 +100,101 @@ SELECT page_id, host, path, rule,
 FROM j
 """
 
+_FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = f"regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP11 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+         {_TERMS.format("coalesce(text, '')")} AS terms
+  FROM documents
+), held AS (
+  SELECT row_id, doc_id, terms, len(terms) AS n FROM d WHERE len(terms) > 0
+), facts AS (
+  SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM held
+), items AS (
+  SELECT item_id, term, count(*) AS repeats
+  FROM (SELECT item_id, unnest({_TERMS.format("coalesce(text, '')")}) AS term FROM benchmark)
+  GROUP BY item_id, term
+), tf AS (
+  SELECT row_id, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf
+  FROM (SELECT row_id, doc_id, n, unnest(terms) AS term FROM held)
+  WHERE term IN (SELECT term FROM items) GROUP BY row_id, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tf, facts GROUP BY term
+), scored AS (
+  SELECT item_id, doc_id,
+         sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))))
+           ::BIGINT AS score
+  FROM tf JOIN w USING (term) JOIN items USING (term), facts
+  GROUP BY item_id, row_id, doc_id
+), best AS (
+  SELECT item_id, doc_id, score,
+         row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM best WHERE rank <= 20
+"""
+
+# CRC-32 byte by byte, over a table that SQL works out from the polynomial
+OP13 = f"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_concat([b], range(8)),
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)
+         ORDER BY b) AS t
+  FROM range(256) AS r(b)
+), texts AS (
+  SELECT 'd' AS side, row_number() OVER () AS row_id, doc_id,
+         {_TERMS.format("coalesce(text, '')")} AS w
+  FROM documents
+  UNION ALL
+  SELECT 'b', 0, NULL, {_TERMS.format("coalesce(text, '')")} FROM benchmark
+), grams AS (
+  SELECT side, row_id, unnest(list_concat(w,
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g
+  FROM texts
+), counted AS (
+  SELECT side, row_id, g, count(*) AS n FROM grams GROUP BY side, row_id, g
+), buckets AS (
+  SELECT g, xor(4294967295, list_reduce(
+              list_concat([4294967295], list_transform(range(0, strlen(g)),
+                lambda i: ('0x' || substr(hex(encode(g)), (2 * i + 1)::BIGINT, 2))::BIGINT)),
+              lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) % 10000 AS bucket
+  FROM (SELECT DISTINCT g FROM counted), crc
+), sums AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::BIGINT AS s,
+         coalesce(sum(n) FILTER (side = 'b'), 0)::BIGINT AS t
+  FROM counted JOIN buckets USING (g) GROUP BY bucket
+), totals AS (
+  SELECT sum(s)::BIGINT AS all_s, sum(t)::BIGINT AS all_t FROM sums
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE)
+                                 / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM sums, totals
+), weights AS (
+  SELECT row_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight
+  FROM counted JOIN buckets USING (g) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY row_id
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features,
+         coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln(
+           (('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT
+           AS score
+  FROM texts LEFT JOIN weights USING (row_id) WHERE side = 'd'
+), able AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+  FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN able USING (doc_id)
+"""
+
 LLM_ORACLES: dict[str, str] = {
     "op4_exact_dedup": OP4,
     "op7_warc": OP7,
     "op9_url_filter": OP9,
+    "op11_ranked_search": OP11,
+    "op13_resampling": OP13,
 }

@@ -5,7 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from markspark.llm import bpe, exact, fingerprints, hosts, jaccard, language_model, packing, repeats, toxicity, warc
+from markspark.llm import (
+    bpe,
+    exact,
+    fingerprints,
+    hosts,
+    jaccard,
+    language_model,
+    packing,
+    ranked_search,
+    repeats,
+    resampling,
+    toxicity,
+    warc,
+)
 from markspark.llm.common import table
 from markspark.storage import materialize, new_path
 
@@ -105,6 +118,18 @@ def op10_pack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_ranked_search(spark, sf_dir):
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_resampling(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    gains = resampling.fit(docs, table(spark, sf_dir, "benchmark"))
+    return resampling.ranked(resampling.weigh(docs, gains)).select(
+        "doc_id", "n_features", "weight", "score", "rank"
+    )
+
+
 LLM_QUERIES = {
     "op1_jaccard": op1_jaccard,
     "op2_kneser_ney": op2_kneser_ney,
@@ -116,4 +141,6 @@ LLM_QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_url_filter": op9_url_filter,
     "op10_pack": op10_pack,
+    "op11_ranked_search": op11_ranked_search,
+    "op13_resampling": op13_resampling,
 }
