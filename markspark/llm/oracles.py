@@ -191,10 +191,47 @@ SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN p
 FROM scored LEFT JOIN able USING (doc_id)
 """
 
+
+
+def similar_sets(n: int, least: int) -> str:
+    """Tables for documents' sets of word n-grams and the classes of linked ones: `sets` (doc_id, s,
+    n_shingles) and `classes` (doc_id, component_id)."""
+    return f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_FOLDED.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, s, len(s) AS n_shingles
+  FROM (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(
+           range(1, greatest(len(w) - {n - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {n - 1}], ' ')))) END AS s
+        FROM words)
+), grams AS (
+  SELECT doc_id, n_shingles, unnest(s) AS g FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= {least} * (any_value(a.n_shingles) + any_value(b.n_shingles) - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM sets
+  UNION
+  SELECT doc_id, b FROM reach JOIN links ON a = other
+), classes AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)"""
+
+
+OP12 = f"""{similar_sets(5, 85)}
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept,
+       CASE WHEN n_shingles = 0 THEN 1 ELSE count(*) OVER (PARTITION BY s) END AS set_copies
+FROM sets JOIN classes USING (doc_id)
+"""
+
 LLM_ORACLES: dict[str, str] = {
     "op4_exact_dedup": OP4,
     "op7_warc": OP7,
     "op9_url_filter": OP9,
     "op11_ranked_search": OP11,
+    "op12_chosen_path": OP12,
     "op13_resampling": OP13,
 }

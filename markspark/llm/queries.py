@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from markspark.llm import (
     bpe,
+    chosenpath,
     exact,
     fingerprints,
     hosts,
@@ -122,6 +123,10 @@ def op11_ranked_search(spark, sf_dir):
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_chosen_path(spark, sf_dir):
+    return chosenpath.similar_texts(table(spark, sf_dir, "documents"))
+
+
 def op13_resampling(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     gains = resampling.fit(docs, table(spark, sf_dir, "benchmark"))
@@ -142,5 +147,6 @@ LLM_QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_pack": op10_pack,
     "op11_ranked_search": op11_ranked_search,
+    "op12_chosen_path": op12_chosen_path,
     "op13_resampling": op13_resampling,
 }
