@@ -8,10 +8,11 @@ a linked pair is expected to stay together in one child at least, and unlike set
 independent, and as many as the recall wants.
 
 Comparing means: sets of unequal size and sets that agree in too few of the 64 tokens are ruled out,
-the others are confirmed on their full sets. In every cell, all sets meet the first one of the cell
-before anything else. Links join sets to classes, and pairs of one class need no comparison any more,
-so a cell counts as small when few of its sets are outside its largest class: these few meet all others.
-No cell, however large, has all its pairs tested or written.
+the others are confirmed on their full sets, which travel once per group of pairs, not once per pair.
+Links join sets to classes, and pairs of one class need no comparison any more, so a cell counts as
+small when few of its sets are outside its largest class: these few meet all others. In a large cell
+all sets meet one of them, drawn by hash, before it branches. No cell, however large, has all its
+pairs tested or written.
 
 Rows with equal sets are one node from the start.
 """
@@ -33,14 +34,17 @@ from markspark.llm.wordhash import mix
 from markspark.storage import materialize
 
 BATCH_BYTES = 2 << 20
-SMALL = 32
+GROUP_SETS = 1_000
+"""Sets of one group, about, that are in a task at once to be confirmed."""
+SMALL = 128
 """Sets outside its largest class that a cell may have to be compared exhaustively."""
 DEPTH = 4
 """Levels below the first that the recall is worked out for."""
 BROADCAST_IDS = 500_000
+LABEL_ROUNDS = 3
 LANES, TOKENS = 8, 64
 """Tokens are kept as bytes, eight to a number."""
-MISSED = 1e-9
+MISSED = 1e-5
 """Chance that a linked pair agrees in too few tokens."""
 _LOW_BITS = 0x0101010101010101
 _rng = np.random.default_rng(20_180_416)
@@ -178,48 +182,94 @@ def _may_link(
     )
 
 
-def _sum_of(df: DataFrame, column: str) -> int:
-    return df.agg(F.coalesce(F.sum(column), F.lit(0)).alias("n")).first().n
+def _part(of: str) -> Column:
+    """The group in which a member's pairs are confirmed: one of its cell's (or lead's) groups of
+    some `GROUP_SETS` members."""
+    groups = F.ceil(F.col("size") / GROUP_SETS)
+    return F.xxhash64(of, F.pmod(F.xxhash64("node"), groups))
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[pa.RecordBatch]:
+    """Links within each group of rows (`part, node, label, others, elements`; groups in a row).
+    Pairs that earlier links of the group have joined are left out."""
+
+    def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        sets = {node: (label, elements) for _, node, label, _, elements in rows}
+        above = {label: label for label, _ in sets.values()}
+
+        def top(x: int) -> int:
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        for _, a, label, others, elements in rows:
+            for b in others or ():
+                x, y = top(label), top(sets[b][0])
+                other = sets[b][1]
+                if x != y:
+                    shared = len(np.intersect1d(elements, other, assume_unique=True))
+                    if shared * threshold.of >= threshold.least * (len(elements) + len(other) - shared):
+                        above[max(x, y)] = min(x, y)
+                        yield a, b
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        found = list(links(rows))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"]
+        )
+
+    held: list[tuple] = []
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(4)]
+        for row in zip(*columns, (x.values.to_numpy() for x in batch.column(4))):
+            if held and held[0][0] != row[0]:
+                yield table(held)
+                held = []
+            held.append(row)
+    if held:
+        yield table(held)
 
 
 class _Search:
+    """Links found so far, and a label for each node that has one: nodes with equal labels are of one
+    class. (Nodes of one class may still have different labels; that only costs comparisons.)"""
+
     def __init__(self, texts: DataFrame, nodes: DataFrame, n: int, threshold: Threshold) -> None:
         self.texts, self.nodes, self.n, self.threshold = texts, nodes, n, threshold
         self.sketches = nodes.select("node", "n_shingles", *LANE_COLUMNS)
-        self.links: DataFrame | None = None
-        self.classes: DataFrame | None = None
-        self.tested: DataFrame | None = None
-
-    def cells(self, rows: DataFrame) -> tuple[DataFrame, int]:
-        """`cell, node, size, lead` of the rows (`cell, node`) whose cell has several nodes."""
-        shared = rows.groupBy("cell").agg(F.count("*").alias("size"), F.min("node").alias("lead"))
-        shared = materialize(shared.filter("size > 1"), "cells")
-        total = _sum_of(shared, "size")
-        members = join_groups(rows, shared, ["cell"], "size", total).filter("size IS NOT NULL")
-        return materialize(members, "members"), total
-
-    def labelled(self, rows: DataFrame, node: str = "node", label: str = "class") -> DataFrame:
-        """With the class of a node, which is the node itself while it has no link."""
-        if self.classes is None:
-            return rows.withColumn(label, F.col(node))
-        known = self.classes.select(F.col("id").alias(node), F.col("component").alias(label))
-        return rows.join(known, node, "left").withColumn(label, F.coalesce(label, node))
-
-    def meet_leads(self, members: DataFrame) -> None:
-        """Every member against the first one of its cell, unless they are of one class."""
-        pairs = members.filter("node <> lead").select("node", "lead").distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["node", "lead"], "left_anti")
-            pairs = self.labelled(self.labelled(pairs), "lead", "lead_class").filter(
-                "class <> lead_class"
-            )
-        pairs = materialize(pairs.select("node", "lead"), "lead-pairs")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        leads = pairs.groupBy("lead").agg(F.count("*").alias("uses"))
+        self.links = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        self.labels: DataFrame | None = None
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """`rows` with the column `label`, the node itself while it has no link."""
+        if self.labels is None:
+            return rows.withColumn("label", F.col("node"))
+        found = rows.join(self.labels, "node", "left")
+        return found.withColumn("label", F.coalesce("label", "node"))
+
+    def cells(self, rows: DataFrame) -> DataFrame:
+        """`cell, node, label, lead, size, main, others` of the rows (`cell, node`) whose cell has
+        several labels. `lead` is a node of the cell, `main` its most frequent label, and `others`
+        counts the nodes with another one."""
+        drawn = F.min_by("node", F.xxhash64("cell", "node"))
+        sizes = rows.groupBy("cell").agg(F.count("*").alias("size"), drawn.alias("lead"))
+        rows = rows.join(sizes.filter("size > 1"), "cell")
+        rows = materialize(self.labelled(rows), "members")
+        labels = rows.groupBy("cell", "label").agg(F.count("*").alias("n"))
+        cells = labels.groupBy("cell").agg(
+            (F.sum("n") - F.max("n")).alias("others"), F.max_by("label", "n").alias("main")
+        )
+        cells = materialize(cells.filter("others > 0"), "open-cells")
+        return rows.join(cells, "cell")
+
+    def lead_pairs(self, members: DataFrame) -> DataFrame:
+        """`a, b, part`: members against the lead of their cell, where a link is possible."""
+        pairs = members.filter("label <> lead AND node <> lead")
+        pairs = pairs.select("node", "lead", _part("lead").alias("part"))
+        pairs = pairs.groupBy("node", "lead").agg(F.min("part").alias("part"))
         own = [F.col(c).alias(f"lead_{c}") for c in ("n_shingles", *LANE_COLUMNS)]
-        leads = leads.join(self.sketches.select(F.col("node").alias("lead"), *own), "lead")
-        total = pairs.count()
-        both = join_groups(pairs.join(self.sketches, "node"), leads, ["lead"], "uses", total)
+        leads = self.sketches.select(F.col("node").alias("lead"), *own)
+        both = pairs.join(self.sketches, "node").join(leads, "lead")
         near = _may_link(
             F.col("n_shingles"),
             [F.col(c) for c in LANE_COLUMNS],
@@ -227,32 +277,14 @@ class _Search:
             [F.col(f"lead_{c}") for c in LANE_COLUMNS],
             self.threshold,
         )
-        self.confirm(both.filter(near).select(F.col("node").alias("a"), F.col("lead").alias("b")))
-
-    def open_cells(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members with their class, and the cells with several classes: `cell, size, main`, and
-        `others`, the number of members outside the largest class."""
-        rows = materialize(self.labelled(members.select("cell", "node")), "labelled")
-        classes = rows.groupBy("cell", "class").agg(F.count("*").alias("n"))
-        cells = classes.groupBy("cell").agg(
-            F.sum("n").alias("size"), F.max("n").alias("n"), F.max_by("class", "n").alias("main")
-        )
-        cells = cells.select("cell", "size", "main", (F.col("size") - F.col("n")).alias("others"))
-        return rows, materialize(cells.filter("others > 0"), "open-cells")
+        return both.filter(near).select(F.col("node").alias("a"), F.col("lead").alias("b"), "part")
 
-    def compare(self, rows: DataFrame, cells: DataFrame) -> None:
-        """All members of these cells against the few outside the largest class."""
-        total = _sum_of(cells, "size")
-        if not total:
-            return
-        rows = join_groups(rows, cells, ["cell"], "size", total).filter("size IS NOT NULL")
-        rows = materialize(rows.join(self.sketches, "node"), "compared")
-        few = rows.filter("class <> main").groupBy("cell").agg(
-            F.collect_list(F.struct("node", "class", "n_shingles", *LANE_COLUMNS)).alias("few"),
-            F.min("size").alias("size"),
+    def other_pairs(self, members: DataFrame) -> DataFrame:
+        """`a, b, part`: members of small cells against the few outside the most frequent label."""
+        rows = materialize(members.join(self.sketches, "node"), "compared")
+        few = rows.filter("label <> main").groupBy("cell").agg(  # at most SMALL entries
+            F.collect_list(F.struct("node", "label", "n_shingles", *LANE_COLUMNS)).alias("few")
         )
-        few = materialize(few, "few")  # at most SMALL entries each
-        met = join_groups(rows.drop("size"), few, ["cell"], "size", total)
 
         def worth(x: Column) -> Column:
             near = _may_link(
@@ -262,18 +294,16 @@ class _Search:
                 [x[c] for c in LANE_COLUMNS],
                 self.threshold,
             )
-            once = (F.col("class") == F.col("main")) | (x["node"] < F.col("node"))
-            return F.when((x["class"] != F.col("class")) & once, near).otherwise(F.lit(False))
-
-        found = met.select(F.col("node").alias("a"), F.explode(F.filter("few", worth)).alias("x"))
-        found = found.select(F.least("a", "x.node").alias("a"), F.greatest("a", "x.node").alias("b"))
-        self.confirm(found.distinct())
-
-    def branch(self, rows: DataFrame, cells: DataFrame) -> DataFrame:
-        """`cell, node` of the children of these cells."""
-        total = _sum_of(cells, "size")
-        rows = join_groups(rows, cells, ["cell"], "size", total).filter("size IS NOT NULL")
-        rows = rows.select("cell", "node").join(self.sketches, "node")
+            once = (F.col("label") == F.col("main")) | (x["node"] < F.col("node"))
+            return F.when((x["label"] != F.col("label")) & once, near).otherwise(F.lit(False))
+
+        met = rows.join(few, "cell")
+        found = met.select("node", _part("cell").alias("part"), F.explode(F.filter("few", worth)).alias("x"))
+        return found.select(F.col("node").alias("a"), F.col("x.node").alias("b"), "part")
+
+    def children(self, members: DataFrame) -> DataFrame:
+        """`cell, node` one level below these cells."""
+        rows = members.select("cell", "node").join(self.sketches, "node")
         lanes = F.array(*LANE_COLUMNS)
 
         def child(pick: int) -> Column:
@@ -285,13 +315,19 @@ class _Search:
 
         chance = F.pmod(F.xxhash64("cell", F.lit("second")), F.lit(1_000_000)) / 1_000_000
         second = F.when(chance < second_pick(self.threshold), child(2))
-        return rows.select(F.explode(F.array_compact(F.array(child(1), second))).alias("cell"), "node").distinct()
+        picked = F.array_distinct(F.array_compact(F.array(child(1), second)))
+        return rows.select(F.explode(picked).alias("cell"), "node")
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Keeps the pairs (`a, b`) whose full sets are similar enough, and joins classes by them."""
+        """Adds pairs (`a, b, part`) whose full sets are similar enough to the links: as many as hold
+        their classes together."""
+        low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+        pairs = pairs.select(low, high, "part").groupBy("a", "b").agg(F.min("part").alias("part"))
         pairs = materialize(pairs, "candidates")
-        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-        wanted = self.nodes.select("node", "id", *KEYS).join(asked.distinct(), "node", "left_semi")
+        ends = pairs.groupBy("part", F.col("a").alias("node")).agg(F.collect_list("b").alias("others"))
+        rest = pairs.select("part", F.col("b").alias("node")).distinct()
+        ends = ends.unionByName(rest.withColumn("others", F.lit(None).cast("array<bigint>")))
+        wanted = self.nodes.select("node", "id", *KEYS).join(ends.select("node").distinct(), "node", "left_semi")
         wanted = materialize(wanted, "wanted")
         n_wanted = wanted.count()
         if not n_wanted:
@@ -301,31 +337,43 @@ class _Search:
             ids = F.broadcast(ids)
         sets = _sets(self.texts.join(ids, "id", "left_semi"), self.n)
         sets = sets.join(wanted.drop("id"), KEYS).dropDuplicates(KEYS).select("node", "elements")
-        sets = materialize(sets, "sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
-        both = both.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        either = F.size("x") + F.size("y") - shared
-        linked = both.filter(shared * self.threshold.of >= either * self.threshold.least)
-        links = materialize(linked.select("a", "b"), "links")
+        # each set goes to a group once, whatever the number of its pairs there
+        rows = self.labelled(ends).join(sets, "node").select("part", "node", "label", "others", "elements")
+        threshold = self.threshold
+        rows = rows.repartition(F.col("part")).sortWithinPartitions("part")
+        links = rows.mapInArrow(lambda batches: _confirmed(batches, threshold), "a LONG, b LONG")
+        links = materialize(links, "links")
         if links.isEmpty():
             return
-        self.links = links if self.links is None else materialize(self.links.unionByName(links), "links")
-        self.classes = components(self.links)
+        self.links = self.links.unionByName(links)
+        self._label()
+
+    def _label(self) -> None:
+        """Labels from links: the smallest label of all neighbours, and that label's own, a few times."""
+        ends = self.links.unionByName(self.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = materialize(ends, "ends")
+        labels = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))
+        labels = materialize(labels.select("node", F.least("node", "b").alias("label")), "labels")
+        for _ in range(LABEL_ROUNDS):
+            near = ends.join(labels.withColumnRenamed("node", "b"), "b")
+            near = near.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+            labels = labels.join(near, "node").select("node", F.least("label", "near").alias("label"))
+            up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
+            labels = labels.join(up, "label").select("node", F.col("up").alias("label"))
+            labels = materialize(labels, "labels")
+        self.labels = labels
 
     def run(self, rows: DataFrame) -> None:
         """Links between all nodes that meet in the cells of `rows` (`cell, node`)."""
         while True:
-            members, total = self.cells(rows)
-            if not total:
-                return
-            self.meet_leads(members)
-            members, cells = self.open_cells(members)
-            self.compare(members, cells.filter(F.col("others") <= SMALL))
-            large = cells.filter(F.col("others") > SMALL)
-            if large.isEmpty():
-                return
-            rows = materialize(self.branch(members, large), "children")
+            members = materialize(self.cells(rows), "open-members")
+            few = members.filter(F.col("others") <= SMALL)
+            many = members.filter(F.col("others") > SMALL)
+            pairs = self.other_pairs(few)
+            if many.isEmpty():
+                return self.confirm(pairs)
+            self.confirm(pairs.unionByName(self.lead_pairs(many)))
+            rows = materialize(self.children(many), "children")
 
 
 def similar_texts(
@@ -364,7 +412,6 @@ def similar_texts(
     cells = [F.xxhash64(F.lit(t), f"r{t}") for t in range(trees)]
     search.run(nodes.select(F.explode(F.array(*cells)).alias("cell"), "node"))
 
-    total = sets.count()
     links = search.links
     several = sets.groupBy("id").agg(F.min("key_a").alias("x"), F.max("key_a").alias("y"))
     several = materialize(several.filter("x <> y").select("id"), "several-sets")
@@ -372,17 +419,17 @@ def similar_texts(
         rows = sets.select("id", *KEYS).join(several, "id", "left_semi")
         rows = rows.join(nodes.select(*KEYS, "node"), KEYS).select("id", "node").distinct()
         least = rows.groupBy("id").agg(F.min("node").alias("b"))
-        more = rows.join(least, "id").select(F.col("node").alias("a"), "b")
-        links = more if links is None else links.unionByName(more)
-        search.classes = components(links)
-    groups = search.labelled(nodes.select("node", "id", "set_copies", *KEYS))
+        links = links.unionByName(rows.join(least, "id").select(F.col("node").alias("a"), "b"))
+    classes = components(links).select(F.col("id").alias("node"), F.col("component").alias("class"))
+    groups = nodes.select("node", "id", "set_copies", *KEYS).join(classes, "node", "left")
+    groups = groups.withColumn("class", F.coalesce("class", "node"))
     groups = materialize(groups, "classed")
     classes = groups.groupBy("class").agg(
         F.min("id").alias("component_id"), F.count("*").alias("members")
     )
     groups = join_groups(groups.drop("id"), classes, ["class"], "members", groups.count())
     groups = groups.select(*KEYS, "set_copies", "component_id")
-    found = join_groups(sets.select("id", *KEYS), groups, KEYS, "set_copies", total)
+    found = join_groups(sets.select("id", *KEYS), groups, KEYS, "set_copies", sets.count())
     alone = facts.filter("n_shingles = 0 OR id IS NULL").select(
         "id", "n_shingles", F.lit(1).cast("long").alias("set_copies"), F.col("id").alias("component_id")
     )
