@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from markspark.functions import codec, marks
 from markspark.operators import lookup as lookups
+from markspark.operators.faraway import lookup_in_place
 from markspark.operators.evaluation import metrics_summary
 from markspark.operators.lexicon import woven
 from markspark.language import ROMANIAN, MarkProfile
@@ -200,33 +201,52 @@ def restore_context(
     profile: MarkProfile = ROMANIAN,
     max_rows: int = lookups.BROADCAST_ROWS,
     max_bytes: int = lookups.BROADCAST_BYTES,
+    known: lookups.InMemory | None = None,
 ) -> DataFrame:
     """Adds `output`: the stripped text with every sufficiently confident label applied.
 
-    With a model that can be broadcast, the contexts of a text are looked up where it lies. With
-    a larger one, the letters of numbered rows are scored by shuffle, and only labels come back.
-    Either way there is one row out for every row in; `key` is not needed for that and may
-    repeat. A missing text stays missing.
+    Every text is restored where it lies. A model that can be broadcast goes there; of a larger one,
+    only what it may know about the text's contexts (`faraway`). Either way there is one row out for
+    every row in; `key` is not needed for that and may repeat. A missing text stays missing. `known`
+    is the model as `loaded` gave it.
     """
     size = sizes[0]
     columns = documents.columns
     fixed = marks.fix_cedilla(F.col(text), profile)
     contexts = _contexts(fixed, size, profile)
     table = model.select("k", "ctx", "n0", "n1", "n2")
-    if lookups.fits_broadcast(table, max_rows, max_bytes):
-        # a context's length tells its level
-        keys = [_all_shorter(contexts, size, k) for k in sizes]
-        levels = table.filter(F.col("k").isin(*sizes))
-        levels = levels.select(F.col("ctx").alias("key"), "n0", "n1", "n2")
-        found = lookups.lookup_in_rows(documents, keys, lookups.in_memory(levels), "_hits")
+    # a context's length tells its level
+    keys = [_all_shorter(contexts, size, k) for k in sizes]
+    levels = table.filter(F.col("k").isin(*sizes))
+    levels = levels.select(F.col("ctx").alias("key"), "n0", "n1", "n2")
+    known = known or loaded(model, sizes, max_rows, max_bytes)
+    if known is not None:
+        found = lookups.lookup_in_rows(documents, keys, known, "_hits")
     else:
-        found = _hits_by_shuffle(documents, contexts, model, sizes)
+        found = lookup_in_place(documents, keys, levels, "_hits", F.octet_length(text))
     letters = F.transform(_letters(fixed, profile), lambda c: marks.strip_marks(c, profile))
     decoded = F.zip_with(letters, F.col("_hits"), lambda c, h: _decoded(c, h, threshold, profile))
     restored = woven(F.split(fixed, _letter_class(profile), -1), decoded)
     return found.select(*columns, restored.alias(output))
 
 
+def loaded(
+    model: DataFrame,
+    sizes: Sequence[int] = SIZES,
+    max_rows: int = lookups.BROADCAST_ROWS,
+    max_bytes: int = lookups.BROADCAST_BYTES,
+) -> lookups.InMemory | None:
+    """The model on every executor, or None if it is too large for that. Streams measure and send it
+    once, not with every batch."""
+    if max_rows <= 0:
+        return None
+    table = model.select("k", "ctx", "n0", "n1", "n2")
+    if not lookups.fits_broadcast(table, max_rows, max_bytes):
+        return None
+    levels = table.filter(F.col("k").isin(*sizes))
+    return lookups.in_memory(levels.select(F.col("ctx").alias("key"), "n0", "n1", "n2"))
+
+
 def _decoded(letter: Column, hit: Column, threshold: float, profile: MarkProfile) -> Column:
     """The letter with the most frequent label of its context, if that is confident enough."""
     n0, n1, n2 = (F.coalesce(hit[f"n{i}"], F.lit(0)) for i in range(3))
@@ -236,19 +256,6 @@ def _decoded(letter: Column, hit: Column, threshold: float, profile: MarkProfile
     return F.when(sure, codec.mark_letter(letter, label, profile)).otherwise(letter)
 
 
-def _hits_by_shuffle(
-    documents: DataFrame, contexts: Column, model: DataFrame, sizes: Sequence[int]
-) -> DataFrame:
-    rows = lookups.with_row_id(documents, "_row")
-    letters = rows.select("_row", F.posexplode(contexts).alias("nth", "ctx"))
-    scored = score(letters, model, sizes, fits=False)
-    hits = F.sort_array(F.collect_list(F.struct("nth", "n0", "n1", "n2")))  # one per letter
-    answers = scored.groupBy("_row").agg(hits.alias("_hits"))
-    return rows.join(answers, "_row", "left").withColumn(
-        "_hits", F.coalesce("_hits", F.array().cast(answers.schema["_hits"].dataType))
-    )
-
-
 def threshold_sweep(
     scored: DataFrame,
     steps: int = 10,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from markspark.functions import codec, marks, words
 from markspark.operators import lookup as lookups
+from markspark.operators.faraway import lookup_in_place
 from markspark.operators.ordering import arrival
 from markspark.language import ROMANIAN, MarkProfile
 from markspark.storage import materialize
@@ -85,8 +86,8 @@ def restore_frequent(
 ) -> DataFrame:
     """Adds `output`: the text stripped, every word then in its most frequent form.
 
-    With a dictionary that can be broadcast, every text is restored where it lies. With a larger
-    one, the words of numbered rows are looked up by shuffle, and only the forms come back.
+    Every text is restored where it lies. A dictionary that can be broadcast goes there; of a larger
+    one, only the forms of words that it may know (`faraway`).
     Either way there is one row out for every row in; `key` is not needed for that and may
     repeat. A missing text stays missing. `known` is the dictionary as `loaded` gave it.
     """
@@ -100,7 +101,7 @@ def restore_frequent(
     if known is not None:
         found = lookups.lookup_in_rows(documents, [keys], known, "_forms")
     else:
-        found = _forms_by_shuffle(documents, keys, forms)
+        found = lookup_in_place(documents, [keys], forms, "_forms", F.octet_length(text))
     placed = F.zip_with(
         stripped, F.col("_forms"), lambda w, f: F.coalesce(apply_form(w, f["form"]), w)
     )
@@ -115,6 +116,8 @@ def loaded(
 ) -> lookups.InMemory | None:
     """The dictionary on every executor, or None if it is too large for that. Streams measure
     and send it once, not with every batch."""
+    if max_rows <= 0:
+        return None
     forms = dictionary.select("key", "form")
     fits = lookups.fits_broadcast(forms, max_rows, max_bytes)
     return lookups.in_memory(forms) if fits else None
@@ -126,18 +129,6 @@ def woven(gaps: Column, parts: Column) -> Column:
     return F.array_join(F.zip_with(gaps, ends, lambda g, p: F.concat(g, p)), "")
 
 
-def _forms_by_shuffle(documents: DataFrame, keys: Column, forms: DataFrame) -> DataFrame:
-    rows = lookups.with_row_id(documents, "_row")
-    tokens = rows.select("_row", F.posexplode(keys).alias("_p", "key"))
-    found = lookups.lookup(tokens, forms, ["key"], fits=False)
-    answers = found.groupBy("_row").agg(
-        F.sort_array(F.collect_list(F.struct("_p", "form"))).alias("_forms")  # one per word
-    )
-    return rows.join(answers, "_row", "left").withColumn(
-        "_forms", F.coalesce("_forms", F.array().cast(answers.schema["_forms"].dataType))
-    )
-
-
 def fit(
     documents: DataFrame, profile: MarkProfile = ROMANIAN, prune: bool = True
 ) -> DataFrame:

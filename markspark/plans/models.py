@@ -70,16 +70,28 @@ def load_config(spark: SparkSession, location: str) -> ModelConfig | None:
 def load_restorer(
     spark: SparkSession, location: str, profile: MarkProfile = ROMANIAN, key: str = "doc_id"
 ) -> Restore:
-    """The restorer a folder holds, for use in batches and streams alike."""
+    """The restorer a folder holds, for use in batches and streams alike. The model is measured, and
+    sent to the executors if it is small enough, here and not with every use."""
     config = load_config(spark, location)
     if config is None:
         raise ValueError(f"{location} holds no model")
     table = spark.read.parquet(f"{location}/table")
     if config.kind == "frequent":
-        return partial(lexicon.restore_frequent, dictionary=table, key=key, profile=profile)
+        known = lexicon.loaded(table)
+        return partial(
+            lexicon.restore_frequent,
+            dictionary=table,
+            key=key,
+            profile=profile,
+            known=known,
+            max_rows=0,
+        )
+    known = context.loaded(table, config.context_sizes)
     return partial(
         context.restore_context,
         model=table,
+        known=known,
+        max_rows=0,
         threshold=config.threshold,
         sizes=config.context_sizes,
         key=key,

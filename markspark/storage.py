@@ -46,6 +46,15 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, by: str, buckets: int, name: str = "table") -> DataFrame:
+    """Like `materialize`, but what groups or joins the result by `by` alone need not shuffle it:
+    each task writes its rows to the files of their buckets, and nothing moves."""
+    path = new_path(df.sparkSession, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(buckets, by).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 # --- stamped builds ---------------------------------------------------------------------------
 
 _STATE_SCHEMA = "seq LONG, status STRING, stamp STRING, location STRING"

@@ -91,21 +91,23 @@ def restore_stream(
 
 def restore_line_stream(
     lines: DataFrame,
-    dictionary: DataFrame,
+    model: DataFrame | Restorer,
     output: str,
     checkpoint: str,
     profile: MarkProfile = ROMANIAN,
 ) -> StreamingQuery:
     """Line in, restored line out: the columns stay, `restored` and `line_no` are added.
 
-    Lines are restored where they lie; inside a batch, `line_no` ascends in the order in which
+    `model` is a dictionary, or any function from documents (`text`) to documents with `restored`,
+    such as `models.load_restorer` gives. Lines are restored where they lie; inside a batch, `line_no` ascends in the order in which
     they were read (file by file, without being consecutive).
     """
-    restore = word_restorer(dictionary, "value", profile)
+    restore = model if callable(model) else word_restorer(model, "text", profile)
 
     def step(batch: DataFrame) -> DataFrame:
         numbered = batch.withColumn("line_no", F.monotonically_increasing_id())
-        return restore(numbered)
+        restored = restore(numbered.withColumnRenamed("value", "text"))
+        return restored.withColumnRenamed("text", "value")
 
     return _per_batch(lines, step, output, checkpoint)
 

@@ -170,6 +170,38 @@ def test_texts_are_restored_where_they_lie(spark, corpus_docs, tmp_path):
         assert "Exchange" not in plan and "Generate" not in plan
 
 
+def exchanges_above_text(df):
+    """The shuffles that rows with a column `text` go through."""
+    found = []
+
+    def walk(node, above):
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return walk(node.initialPlan(), above)
+        name = node.nodeName()
+        if "Exchange" in name:
+            above = [*above, node.simpleString(200)]
+        if "Scan" in name and "text#" in node.output().toString():
+            found.append(above)
+        for i in range(node.children().size()):
+            walk(node.children().apply(i), above)
+
+    walk(df._jdf.queryExecution().executedPlan(), [])
+    return found
+
+
+def test_texts_stay_where_they_lie_under_a_large_model(spark, corpus_docs, tmp_path):
+    forms = lexicon.fit(corpus_docs)
+    letters = context.train(context.context_rows(corpus_docs.select("doc_id", "text")))
+    for out in (
+        lexicon.restore_frequent(corpus_docs, forms, max_rows=0),
+        context.restore_context(corpus_docs, materialize(letters, "contexts"), max_rows=0),
+    ):
+        whole, *asking = exchanges_above_text(out)
+        assert whole == []  # the rows that come out
+        for above in asking:  # what is asked for, and what comes back
+            assert above and all("_part" in x or "key" in x for x in above)
+
+
 def test_form_counts_are_hash_aggregated(corpus_docs):
     plan = plan_of(lexicon.form_counts(corpus_docs))
     assert plan.count("Exchange") == 1 and "SortAggregate" not in plan
