@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markspark.functions import codec, marks
+from markspark.operators.halo import with_neighbours
 from markspark.operators.lookup import with_row_id
-from markspark.operators.ordering import number_rows
 from markspark.language import MAX_CHARS, ROMANIAN, MarkProfile
-from markspark.storage import materialize
 
 RUN = 128
 """Pieces that are summed up together for the offsets of those that follow."""
@@ -160,54 +159,25 @@ def restore_grouped(
     The whole group is never put together, however many pieces it has: a restorer that looks at
     most `reach` characters to either side needs only that much of its neighbours. A word
     restorer needs none at all (`reach=0`), since a line break ends every word. A context model
-    reaches as far as its longest context, a window model as far as its window. `restore` gets a unique
-    column `piece_no` and the text, adds `output` and changes no length.
+    reaches as far as its longest context, a window model as far as its window. `restore` gets the
+    pieces' columns and `piece_no`, keeps them, adds `output` and changes no length. The texts are
+    sorted once and never joined to anything (`halo`).
     """
     if reach == 0:
         keyed = pieces.withColumn("piece_no", F.struct(group, order))
         return restore(keyed).select(*pieces.columns, output)
 
-    numbered = number_rows(pieces, [group, order], "piece_no")
-    numbered = materialize(numbered, "pieces")
-    # Every piece hands its ends to at most `reach` neighbours: each one adds a line break at
-    # least, so pieces further away are out of reach.
-    steps = F.sequence(F.lit(1), F.lit(reach))
-    sent = numbered.select(
-        group,
-        F.col("piece_no").alias("sender"),
-        F.right(text, F.lit(reach)).alias("tail"),
-        F.left(text, F.lit(reach)).alias("head"),
-        F.explode(F.concat(steps, F.transform(steps, lambda s: -s))).alias("step"),
-    ).select(
-        group,
-        (F.col("sender") + F.col("step")).alias("piece_no"),
-        F.struct("sender", F.when(F.col("step") > 0, F.col("tail")).alias("tail"),
-                 F.when(F.col("step") < 0, F.col("head")).alias("head")).alias("end"),
-    )
-    ends = sent.groupBy(group, "piece_no").agg(
-        F.sort_array(F.collect_list("end")).alias("ends")
-    )  # at most 2 * reach per piece
-    before = F.filter("ends", lambda e: e.tail.isNotNull())
-    after = F.filter("ends", lambda e: e["head"].isNotNull())
-    left = F.array_join(F.transform(before, lambda e: F.concat(e.tail, F.lit("\n"))), "")
-    right = F.array_join(F.transform(after, lambda e: F.concat(F.lit("\n"), e["head"])), "")
-    framed = numbered.join(ends, [group, "piece_no"], "left").select(
-        "piece_no",
-        F.coalesce(F.right(left, F.lit(reach)), F.lit("")).alias("_left"),
-        F.coalesce(F.left(right, F.lit(reach)), F.lit("")).alias("_right"),
-        F.col(text).alias("_own"),
-    )
+    framed = with_neighbours(pieces, group, order, text, reach, "_left", "_right")
     joined = framed.select(
-        "piece_no",
+        *[c for c in pieces.columns if c != text],
+        F.struct(group, order).alias("piece_no"),
         F.length("_left").alias("_skip"),
-        F.length("_own").alias("_length"),
-        F.concat("_left", "_own", "_right").alias(text),
-    )
-    restored = restore(joined)
-    own = restored.select(
-        "piece_no", F.substring(F.col(output), F.col("_skip") + 1, F.col("_length")).alias(output)
+        F.col(text).alias("_own"),
+        F.concat("_left", text, "_right").alias(text),
     )
-    return numbered.join(own, "piece_no").drop("piece_no")
+    own = F.substring(F.col(output), F.col("_skip") + 1, F.length("_own"))
+    restored = restore(joined).withColumn(output, own).drop(text)
+    return restored.withColumnRenamed("_own", text).select(*pieces.columns, output)
 
 
 def fresh_changes(texts: DataFrame, before: str, previous: str, after: str) -> DataFrame:

@@ -210,8 +210,7 @@ model as (select k, ctx, count(*) filter (label = 0) as n0, count(*) filter (lab
   from (select label, unnest([6, 4, 2, 0]) as k, unnest([c6, c4, c2, c0]) as ctx from cx_l)
   group by k, ctx having count(*) >= 2)"""
 
-CONTEXT_SCORED = f"""{USABLE}, {CONTEXT_MODEL}, {contexts('us', 'vx', 'valid')},
-hit as (select v.doc_id, v.lang, v.pos, v.letter, v.label,
+SCORED = """hit as (select v.doc_id, v.lang, v.pos, v.letter, v.label,
   coalesce(m6.n0, m4.n0, m2.n0, m0.n0, 0) as n0, coalesce(m6.n1, m4.n1, m2.n1, m0.n1, 0) as n1,
   coalesce(m6.n2, m4.n2, m2.n2, m0.n2, 0) as n2
   from vx_l v left join model m6 on m6.k = 6 and m6.ctx = c6
@@ -219,6 +218,7 @@ hit as (select v.doc_id, v.lang, v.pos, v.letter, v.label,
   left join model m0 on m0.k = 0 and m0.ctx = c0),
 sc as (select *, case when n0 >= n1 and n0 >= n2 then 0 when n1 >= n2 then 1 else 2 end as pred,
   coalesce(greatest(n0, n1, n2)::double / nullif(n0 + n1 + n2, 0), 0) as confidence from hit)"""
+CONTEXT_SCORED = f"{USABLE}, {CONTEXT_MODEL}, {contexts('us', 'vx', 'valid')}, {SCORED}"
 
 
 def marked_letter(c: str, lab: str) -> str:
@@ -365,6 +365,21 @@ ORACLES: dict[str, str] = {
         rows between unbounded preceding and 1 preceding), 0)::bigint as skip from turns)
       select conv_id, turn, substr(restored, skip + 1, length(text)) as restored
       from pl join re using (conv_id)""",
+    "restore_grouped_context": f"""with {USABLE}, {CONTEXT_MODEL},
+      turns as (select conv_id, turn, {ROMANISED_PLAIN} as text from conversations),
+      gr as (select conv_id as doc_id, '' as lang, string_agg(text, chr(10) order by turn) as text
+        from turns group by 1),
+      {contexts('gr', 'vx', 'true')}, {SCORED},
+      le as (select doc_id, unnest(string_split({strip('text')}, '')) as c,
+        generate_subscripts(string_split(text, ''), 1) - 1 as pos from gr),
+      re as (select doc_id as conv_id, string_agg(case when confidence >= 0.6::double
+          then {marked_letter('c', 'pred')} else c end, '' order by pos) as restored
+        from le left join (select doc_id, pos, pred, confidence from sc) s using (doc_id, pos)
+        group by doc_id),
+      pl as (select *, coalesce(sum(length(text) + 1) over (partition by conv_id order by turn
+        rows between unbounded preceding and 1 preceding), 0)::bigint as skip from turns)
+      select conv_id, turn, substr(restored, skip + 1, length(text)) as restored
+      from pl join re using (conv_id)""",
     # --- filters ---
     "diacritic_ratio": per_document(f"round({ratio('text')}, 9)", "ratio"),
     "marks_every_letter": per_document(f"({every_letter('text')})", "passes"),
@@ -470,6 +485,7 @@ ORACLES: dict[str, str] = {
     "identity": f"""with {USABLE}, st as (select lang, text, {strip('text')} as restored from us
         where valid), {tallies('st', 'lang')} select lang, {metrics()} from ta group by lang""",
     "train_context": f"with {USABLE}, {CONTEXT_MODEL} select k::bigint as k, ctx, n0, n1, n2 from model",
+    "restore_frequent_large": f"with {RESTORED} select doc_id, lang, text, restored from re",
     "restore_context": f"""with {CONTEXT_SCORED}, va as (select doc_id, unnest(string_split(
         {strip('text')}, '')) as c, generate_subscripts(string_split(text, ''), 1) - 1 as pos
         from us where valid)
@@ -486,6 +502,20 @@ ORACLES: dict[str, str] = {
           and {marked_letter('letter', 'pred')} <> letter then pred else 0 end as code,
           count(*) as n from sc, th group by all)
       select threshold, {metrics(LETTER_METRICS)} from ta group by threshold""",
+    "choose_threshold": f"""with {CONTEXT_SCORED},
+      co as (select lang, confidence, count(*) as n, count(*) filter (pred = label) as hits
+        from sc where {marked_letter('letter', 'pred')} <> letter group by all),
+      cu as (select lang, confidence,
+          sum(n) over (partition by lang order by confidence desc)::bigint as placed,
+          sum(hits) over (partition by lang order by confidence desc)::bigint as correct from co),
+      lo as (select *, correct::double / placed as p, 1.6448536269514722::double as z from cu),
+      bo as (select lang, confidence, placed, correct, (p + z * z / (2.0::double * placed)
+          - sqrt(p * (1 - p) / placed + z * z / (4.0::double * placed * placed)) * z)
+          / (1 + z * z / placed) as lower from lo),
+      be as (select lang, min(confidence) as confidence from bo where lower >= 0.6::double group by lang),
+      ma as (select lang, count(*) filter (label <> 0) as marked from sc group by lang)
+      select lang, round(be.confidence, 9) as threshold, placed, correct, round(lower, 9) as lower, marked
+      from ma left join be using (lang) left join bo using (lang, confidence)""",
     "score_windows": f"""with {RO}, c as (select doc_id, {strip('text')} as t,
         unnest(string_split({strip('text')}, '')) as c,
         unnest(list_concat(['x'], string_split({strip('text')}, '')[1:-2])) as before,
@@ -523,3 +553,4 @@ ORACLES: dict[str, str] = {
     "stream_metrics": f"""with {RO}, st as (select lang, text, {strip('text')} as restored from ro),
       {tallies('st', 'lang')} select lang, {metrics()} from ta group by lang""",
 }
+ORACLES["restore_context_large"] = ORACLES["restore_context"]

@@ -21,6 +21,7 @@ from markspark.operators import (
     lexicon,
     longtext,
     scoring,
+    threshold,
     vectors,
     windows,
 )
@@ -352,6 +353,19 @@ def restore_grouped(spark, sf_dir):
     return out.select("conv_id", "turn", "restored")
 
 
+def restore_grouped_context(spark, sf_dir):
+    """Turns of a conversation by a context model, which looks over the ends of a turn."""
+    model = _context_model(usable_table(spark, sf_dir))
+    out = longtext.restore_grouped(
+        romanised_turns(spark, sf_dir),
+        "conv_id",
+        "turn",
+        lambda t: context.restore_context(t, model, 0.6, key="piece_no"),
+        reach=context.SIZES[0],
+    )
+    return out.select("conv_id", "turn", "restored")
+
+
 # --- filters ----------------------------------------------------------------------------------
 
 
@@ -603,6 +617,27 @@ def restore_context(spark, sf_dir):
     return restored.select("doc_id", "restored")
 
 
+def restore_frequent_large(spark, sf_dir):
+    """As with a dictionary that is too large to be sent."""
+    docs = usable_table(spark, sf_dir)
+    forms = lexicon.fit(corpus.training(docs, VALID_EVERY))
+    valid = corpus.validation(docs, VALID_EVERY).select("doc_id", "lang", "text")
+    return lexicon.restore_frequent(valid, forms, max_rows=0)
+
+
+def restore_context_large(spark, sf_dir):
+    """As with a model that is too large to be sent."""
+    docs = usable_table(spark, sf_dir)
+    valid = corpus.validation(docs, VALID_EVERY).select("doc_id", "text")
+    restored = context.restore_context(valid, _context_model(docs), 0.6, max_rows=0)
+    return restored.select("doc_id", "restored")
+
+
+def choose_threshold(spark, sf_dir):
+    chosen = threshold.choose_threshold(_scored_letters(spark, sf_dir), 0.6, ["lang"])
+    return rounded(longs(chosen))
+
+
 def _scored_letters(spark, sf_dir) -> DataFrame:
     docs = usable_table(spark, sf_dir)
     valid = corpus.validation(docs, VALID_EVERY).select("doc_id", "lang", "text")
@@ -721,6 +756,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         src_lines, sink_windows, src_windows, sink_alphabet, sink_summary, materialize_stamped_,
         tokenize_w, tokenize_letters, encode_chars, encode_example, decode_restore,
         skip_no_candidates, diff_chars, count_changed, split_long_text, restore_grouped,
+        restore_grouped_context, restore_frequent_large, restore_context_large, choose_threshold,
         keep_document, is_validation, filtered, usable_,
         join_dictionary, join_alphabet, semi_always_marked, zip_positional, join_class_names,
         cross_repeat, corrections_mix,
