@@ -248,6 +248,12 @@ ORACLES: dict[str, str] = {
         from li group by 1 having count(*) = 50)
       select 'subtitles:' || ord as doc_id, ord, length(text) as n, md5(text) as h from g, crct
       where {crc("('subtitles:' || ord)")} % 2 = 0""",
+    "src_line_files": f"""with li as (select row_number() over (order by doc_id) - 1 as line_no,
+        regexp_replace(regexp_replace(translate(text, chr(13) || chr(10), '  '), '^{WS}+', ''),
+          '{WS}+$', '') as line from documents),
+      g as (select line_no // 50 as ord, string_agg(line, chr(10) order by line_no) as text
+        from li group by 1 having count(*) = 50)
+      select 'subtitles:' || ord as doc_id, ord, length(text) as n, md5(text) as h from g""",
     "src_text_files": """select 'page ' || page_id || '.v1' as doc_id, md5(html) as h,
         row_number() over (order by '/pages/page ' || page_id || '.v1.txt') - 1 as ord from pages""",
     "src_corrections": f"""with {RO}, li as (select doc_id,

@@ -120,6 +120,17 @@ def src_line_chunks(spark, sf_dir):
     return chunks.select("doc_id", "ord", F.length("text").alias("n"), F.md5("text").alias("h"))
 
 
+def src_line_files(spark, sf_dir):
+    """All documents as lines of files, read back in fifties."""
+    one_line = F.translate(F.coalesce("text", F.lit("")), "\r\n", "  ")
+    raw = table(spark, sf_dir, "documents").select("doc_id", one_line.alias("value"))
+    ordered = raw.repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id")
+    path = new_path(spark, "lines")
+    ordered.select("value").write.text(path)
+    chunks = lines.line_documents(spark, path, every=1)
+    return chunks.select("doc_id", "ord", F.length("text").alias("n"), F.md5("text").alias("h"))
+
+
 def src_text_files(spark, sf_dir):
     files = table(spark, sf_dir, "pages").select(
         F.concat(F.lit("/pages/page "), "page_id", F.lit(".v1.txt")).alias("path"),
@@ -752,7 +763,7 @@ def stream_metrics(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__.rstrip("_"): q
     for q in (
-        src_parquet, src_hash_sample, src_line_chunks, src_text_files, src_corrections, src_chain,
+        src_parquet, src_hash_sample, src_line_chunks, src_line_files, src_text_files, src_corrections, src_chain,
         src_lines, sink_windows, src_windows, sink_alphabet, sink_summary, materialize_stamped_,
         tokenize_w, tokenize_letters, encode_chars, encode_example, decode_restore,
         skip_no_candidates, diff_chars, count_changed, split_long_text, restore_grouped,

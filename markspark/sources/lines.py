@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from markspark.functions import quality, words
 from markspark.language import LINES_PER_DOCUMENT
 from markspark.operators.lookup import lookup
 from markspark.sources.documents import SourceUnavailable, file_ranks, uri
-from markspark.storage import materialize
 
 
 def text_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -24,35 +27,60 @@ def text_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         raise SourceUnavailable(f"read {', '.join(paths)}: {err.getCondition()}") from err
 
 
+def _split_key() -> Column:
+    return F.xxhash64("_metadata.file_path", "_metadata.file_block_start")
+
+
+def _numbers(firsts: Broadcast) -> Callable[[Column], Column]:
+    """Line numbers from the keys of their splits. A split's lines follow one another in its task."""
+
+    def number(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        keys, numbers = firsts.value
+        current, count = None, 0
+        for batch in batches:
+            found = batch.to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(keys, found), max(len(keys) - 1, 0))
+            if len(found) and not (len(keys) and (keys[at] == found).all()):
+                raise ValueError("the files, or how they are split, changed while they were read")
+            starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))[: len(found)]
+            place = np.arange(len(found)) - np.repeat(starts, np.diff([*starts, len(found)]))
+            if len(found) and found[0] == current:
+                same = starts[1] if len(starts) > 1 else len(found)
+                place[:same] += count
+            if len(found):
+                current, count = found[-1], int(place[-1]) + 1
+            yield pa.array(numbers[at] + place if len(found) else place, pa.int64())
+
+    number.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    # where it stands in the plan matters: no filter may come before it
+    return F.arrow_udf(number, T.LongType()).asNondeterministic()
+
+
 def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """`(line_no, value)`: lines numbered from 0 through all files, in path order.
 
-    The files are read once, in parallel splits (a compressed file is one), into a table that
-    notes where each line was found. A small table with one row per split (its file, its offset,
-    how many lines it holds) gives each split its first number; a line's number follows from
-    its place in the split.
+    The files are read twice, in parallel splits (a compressed file is one): first only to count the
+    lines of each split, which gives every split its first number, 16 bytes each; then, the lines
+    are numbered while they are read. They are not copied, and none leaves its task for it.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    found = text_lines(spark, paths).select(
-        "value",
+    found = text_lines(spark, paths)
+    splits = found.groupBy(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("mid"),
-    )
-    lines = materialize(found, "lines")
+        _split_key().alias("key"),
+    ).agg(F.count("*").alias("n"))
     ranks = file_ranks(spark, paths, spark.read.text)
-    splits = lines.groupBy("file", "block").agg(
-        F.min("mid").alias("first_mid"), F.count("*").alias("n")
-    )
-    before = Window.orderBy("rank", "block").rowsBetween(Window.unboundedPreceding, -1)
     ranked = lookup(splits.withColumn("_file", uri("file")), ranks, ["_file"])
-    firsts = ranked.select(
-        "file", "block", "first_mid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")
-    )
-    placed = lookup(lines, materialize(firsts, "splits"), ["file", "block"])
-    return placed.select(
-        (F.col("first") + F.col("mid") - F.col("first_mid")).alias("line_no"), "value"
-    )
+    before = Window.orderBy("rank", "block").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = ranked.select("key", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    table = firsts.toArrow()  # one row per split
+    keys, numbers = (table.column(c).to_numpy() for c in ("key", "first"))
+    order = np.argsort(keys, kind="stable")
+    if len(np.unique(keys)) < len(keys):
+        raise ValueError("two splits have the same key; read with another split size")
+    shared = spark.sparkContext.broadcast((keys[order], numbers[order]))
+    return found.select(_numbers(shared)(_split_key()).alias("line_no"), "value")
 
 
 def line_chunks(

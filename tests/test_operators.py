@@ -15,6 +15,7 @@ from markspark.operators import (
     lexicon,
     longtext,
     scoring,
+    threshold,
     vectors,
     windows,
 )
@@ -560,3 +561,40 @@ def test_restore_grouped_equals_restoring_the_joined_text(spark, docs):
     assert any(got[c, t] != text for c, t, text in turns)
     for c in range(5):
         assert "\n".join(got[c, t] for t in range(12)) == joined[str(c)]
+
+
+# --- thresholds -------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("precision", [0.5, 0.8, 0.9, 1.1])
+def test_choose_threshold(spark, precision):
+    rnd = random.Random(8)
+    rows = []
+    for lang, sure in (("ro", 0.95), ("en", 0.3), (None, 0.8)):
+        for _ in range(700):
+            confidence = rnd.randrange(40) / 40
+            pred = rnd.choice([0, 1, 2])
+            right = rnd.random() < sure * (0.4 + 0.6 * confidence)
+            rows.append((lang, "s", pred if right else (pred + 1) % 3, pred, confidence))
+    df = spark.createDataFrame(rows, "lang STRING, letter STRING, label INT, pred INT, confidence DOUBLE")
+    got = {r.lang: r for r in threshold.choose_threshold(df.repartition(5), precision, ["lang"]).collect()}
+    for lang in ("ro", "en", None):
+        # label 2 is no mark of an s, so such a prediction places nothing
+        mine = [r for r in rows if r[0] == lang]
+        best = None
+        for t in sorted({r[4] for r in mine}):
+            placed = [r for r in mine if r[4] >= t and r[3] == 1]
+            n, hits = len(placed), sum(r[2] == r[3] for r in placed)
+            if not n:
+                continue
+            z, p = threshold.Z, hits / n
+            low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+            if low >= precision and any(r[4] == t and r[3] == 1 for r in mine):
+                best = (t, n, hits, low)
+                break
+        r = got[lang]
+        assert r.marked == sum(x[2] != 0 for x in mine)
+        if best is None:
+            assert (r.threshold, r.placed, r.correct, r.lower) == (None,) * 4
+        else:
+            assert (r.threshold, r.placed, r.correct) == best[:3] and abs(r.lower - best[3]) < 1e-12

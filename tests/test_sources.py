@@ -62,6 +62,32 @@ def test_line_dump(spark, tmp_path):
     assert sampled == {d for d in docs if zlib.crc32(d.encode()) % 2 == 0}
 
 
+def test_lines_are_numbered_where_they_are_read(spark, tmp_path):
+    """Many small splits and batches; a filter does not change the numbers; nothing is shuffled before
+    the sample; files that change in between are noticed."""
+    content = [f"{i} " + "x" * (i * 7 % 90) for i in range(3_000)]
+    for k in range(3):
+        (tmp_path / f"{k}.txt").write_text("\n".join(content[k * 1_000 : (k + 1) * 1_000]) + "\n")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    old = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ("5000", "7")):
+        spark.conf.set(n, v)
+    try:
+        numbered = lines.numbered_lines(spark, str(tmp_path))
+        got = sorted((r.line_no, r.value) for r in numbered.collect())
+        assert got == list(enumerate(content))
+        some = {r.line_no for r in numbered.filter("value LIKE '%7 %'").collect()}
+        assert some == {i for i, t in enumerate(content) if "7 " in t}
+        plan = lines.line_chunks(numbered, every=4)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "crc32" in plan[plan.index("Exchange") :]
+        spark.conf.set(names[0], "6001")
+        with pytest.raises(Exception, match="changed while they were read"):
+            numbered.select("line_no").collect()
+    finally:
+        for n, v in zip(names, old):
+            spark.conf.set(n, v)
+
+
 def test_line_numbers_over_splits_and_files(spark, tmp_path):
     paths, want = [], []
     for name, n in (("z.txt", 4_000), ("a.txt", 1_500), ("m.txt", 1)):
