@@ -6,15 +6,17 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from markspark.functions import codec, marks
-from markspark.operators.lookup import with_row_id
-from markspark.operators.windows import stitch_parts, windows_text
+from markspark.operators.windows import plan_windows
 from markspark.language import ROMANIAN, MarkProfile
 
+BATCH_CHARS = 1 << 20
+
 Predict = Callable[[Sequence[str]], Sequence[np.ndarray]]
 """Texts of at most one window in, one `(len(text), 3)` array of probabilities each out."""
 
@@ -64,6 +66,78 @@ def score_windows(
     return windows.mapInArrow(score, schema)
 
 
+def _scored(held: list[pa.RecordBatch], predict: Predict, batch_size: int, text: int, plan: int) -> pa.Table:
+    """These rows with `pred` and `confidence` per character: each from the window that keeps it."""
+    rows = pa.Table.from_batches(held)
+    texts = [t or "" for t in rows.column(text).to_pylist()]
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    windows = [
+        (w["end"] - w["start"], i, w)
+        for i, planned in enumerate(rows.column(plan).to_pylist())
+        for w in planned or ()
+    ]
+    windows.sort(key=lambda w: w[0])
+    labels, best = np.zeros(offsets[-1], np.int8), np.zeros(offsets[-1])
+    for at in range(0, len(windows), batch_size):
+        chosen = windows[at : at + batch_size]
+        given = predict([texts[i][w["start"] : w["end"]] for _, i, w in chosen])
+        for (n, i, w), answer in zip(chosen, given, strict=True):
+            if len(answer) != n:
+                raise ValueError(f"a text of length {n} got {len(answer)} predictions")
+            kept = answer[w["keep_from"] - w["start"] : w["keep_to"] - w["start"]]
+            to = slice(offsets[i] + w["keep_from"], offsets[i] + w["keep_to"])
+            labels[to], best[to] = kept.argmax(axis=1), kept.max(axis=1)
+    ends = pa.array(offsets, pa.int32())
+    scored = rows.append_column("pred", pa.ListArray.from_arrays(ends, pa.array(labels)))
+    return scored.append_column("confidence", pa.ListArray.from_arrays(ends, pa.array(best)))
+
+
+def score_texts(
+    documents: DataFrame,
+    load: Callable[[], Predict],
+    window: int = 256,
+    overlap: int = 32,
+    text: str = "text",
+    batch_size: int = 64,
+    batch_chars: int = BATCH_CHARS,
+) -> DataFrame:
+    """Adds `pred` and `confidence`, two arrays with one value per character of `text`.
+
+    A text's windows are cut, scored and put together in one task, so nothing is shuffled. Rows are
+    gathered, over several Arrow batches if need be, until they have some `batch_chars` characters;
+    their windows are then scored by length, `batch_size` at a time.
+    """
+    planned = documents.withColumn("_plan", plan_windows(F.length(text), window, overlap))
+    schema = T.StructType(
+        [
+            *planned.schema.fields,
+            T.StructField("pred", T.ArrayType(T.ByteType())),
+            T.StructField("confidence", T.ArrayType(T.DoubleType())),
+        ]
+    )
+    place, plan = planned.columns.index(text), planned.columns.index("_plan")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = load()
+        held, size = [], 0
+        for batch in batches:
+            begin = 0
+            chars = pc.fill_null(pc.utf8_length(batch.column(place)), 0).to_pylist()
+            for i, n in enumerate(chars):
+                size += n
+                if size >= batch_chars:
+                    held.append(batch.slice(begin, i + 1 - begin))
+                    yield from _scored(held, predict, batch_size, place, plan).to_batches()
+                    held, size, begin = [], 0, i + 1
+            if begin < batch.num_rows:
+                held.append(batch.slice(begin))
+        if held:
+            yield from _scored(held, predict, batch_size, place, plan).to_batches()
+
+    return planned.mapInArrow(score, schema).drop("_plan")
+
+
 def restore_scored(
     documents: DataFrame,
     load: Callable[[], Predict],
@@ -75,25 +149,14 @@ def restore_scored(
     output: str = "restored",
     profile: MarkProfile = ROMANIAN,
 ) -> DataFrame:
-    """`key, output`: strip, window, score, decode the kept part of every window, stitch the parts.
+    """`key, output`: strip, score by windows, decode. Texts stay where they are.
 
-    Rows are numbered, so that one comes out for every row that goes in; `key` may repeat. An
-    empty text stays empty, a missing one missing.
+    One row comes out for every row that goes in; `key` may repeat. An empty text stays empty, a
+    missing one missing.
     """
     stripped = documents.select(key, marks.fix_and_strip(F.col(text), profile).alias(text))
-    rows = with_row_id(stripped, "_row")
-    scored = score_windows(windows_text(rows.select("_row", text), window, overlap, text), load)
-    first = F.col("keep_from") - F.col("start") + 1
-    count = F.col("keep_to") - F.col("keep_from")
-    predictions = F.arrays_zip(
-        F.slice("pred", first, count).alias("label"),
-        F.slice("confidence", first, count).alias("confidence"),
-    )
-    part = codec.decode_restore(
-        F.substring("piece", first, count), predictions, threshold, profile
-    )
-    parts = scored.select("_row", "win_no", part.alias("part"))
-    whole = stitch_parts(rows, parts, "_row", "part")
-    # without any window, the text is empty or missing
-    restored = F.coalesce(F.array_join("part", ""), F.col(text))
-    return whole.select(key, restored.alias(output))
+    scored = score_texts(stripped, load, window, overlap, text)
+    predictions = F.arrays_zip(F.col("pred").alias("label"), F.col("confidence"))
+    decoded = codec.decode_restore(F.col(text), predictions, threshold, profile)
+    restored = F.when(F.length(text) > 0, decoded).otherwise(F.col(text))
+    return scored.select(key, restored.alias(output))

@@ -86,6 +86,16 @@ def crc(x: str) -> str:
     )
 
 
+def crc_bytes(x: str) -> str:
+    """The same for texts beyond ASCII."""
+    return (
+        "xor(list_reduce(list_concat([4294967295::bigint], "
+        f"list_transform(range(0, strlen({x})), lambda i: "
+        f"('0x' || substr(hex(encode({x})), (2 * i + 1)::bigint, 2))::bigint)), "
+        "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::bigint)"
+    )
+
+
 RO = f"ro as (select doc_id::varchar as doc_id, doc_id as ord, lang, source, {ROMANISED} as text from documents)"
 CLEAN = f"cl as (select doc_id, ord, lang, source, {fix('nfc_normalize(text)')} as text from ro)"
 USABLE = f"""{RO}, {CLEAN}, {CRC_TABLE},
@@ -522,6 +532,33 @@ ORACLES: dict[str, str] = {
       ma as (select lang, count(*) filter (label <> 0) as marked from sc group by lang)
       select lang, round(be.confidence, 9) as threshold, placed, correct, round(lower, 9) as lower, marked
       from ma left join be using (lang) left join bo using (lang, confidence)""",
+    "count_letter_classifier": f"""with {USABLE}, {contexts('us', 'cx', 'not valid')},
+      {contexts('us', 'vx', 'valid')},
+      fe(name, lo, n) as (values ('f_self', 7, 1), ('f_l1', 6, 2), ('f_r1', 7, 2), ('f_l2', 5, 3),
+        ('f_r2', 7, 3), ('f_l3', 4, 4), ('f_r3', 7, 4), ('f_c1', 6, 3), ('f_c2', 5, 5), ('f_c3', 4, 7)),
+      vo as (select distinct name || '=' || substr(c6, lo, n) as f from
+        (select c6 from cx_l union select c6 from vx_l), fe),
+      bu as (select f, {crc_bytes('f')} % 262144 as bucket from vo, crct),
+      co as (select bucket, count(*) filter (label = 0) as n0, count(*) filter (label = 1) as n1,
+          count(*) filter (label = 2) as n2
+        from cx_l, fe, bu where f = name || '=' || substr(c6, lo, n) group by bucket),
+      tt as (select count(*) filter (label = 0) as t0, count(*) filter (label = 1) as t1,
+        count(*) filter (label = 2) as t2 from cx_l),
+      lg as (select bucket, ln((n0 + 1) / (t0 * 10 + 262144)) as l0,
+          ln((n1 + 1) / (t1 * 10 + 262144)) as l1, ln((n2 + 1) / (t2 * 10 + 262144)) as l2
+        from (select * from co union all select -1, 0, 0, 0), tt),
+      un as (select l1 - l0 as u1, l2 - l0 as u2 from lg where bucket = -1),
+      su as (select c6, ln((t1 + 1) / (t0 + 1)) + 0.5::double * sum(coalesce(l1 - l0, u1)) as s1,
+          ln((t2 + 1) / (t0 + 1)) + 0.5::double * sum(coalesce(l2 - l0, u2)) as s2
+        from (select distinct c6 from vx_l) x cross join fe
+          join bu on f = name || '=' || substr(c6, lo, n) left join lg using (bucket), un, tt
+        group by c6, t0, t1, t2),
+      an as (select c6, case when 0 >= s1 and 0 >= s2 then 0 when s1 >= s2 then 1 else 2 end as pred,
+          1 / (exp(-greatest(0, s1, s2)) + exp(s1 - greatest(0, s1, s2))
+            + exp(s2 - greatest(0, s1, s2))) as confidence from su)
+      select lang, label::bigint as label, pred::bigint as pred, count(*) as n,
+        round(avg(confidence), 6) as confidence
+      from vx_l join an using (c6) group by all""",
     "score_windows": f"""with {RO}, c as (select doc_id, {strip('text')} as t,
         unnest(string_split({strip('text')}, '')) as c,
         unnest(list_concat(['x'], string_split({strip('text')}, '')[1:-2])) as before,

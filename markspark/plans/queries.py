@@ -676,6 +676,19 @@ def train_letter_classifier(spark, sf_dir):
     return rounded(evaluation.metrics_summary(counts, ["lang"]).drop("word_accuracy"))
 
 
+def count_letter_classifier(spark, sf_dir):
+    """The model of counts, learnt from every training letter."""
+    docs = usable_table(spark, sf_dir).select("doc_id", "lang", "text")
+    train = context.context_rows(corpus.training(docs, VALID_EVERY))
+    counts = materialize(classifier.letter_counts(train), "letter-counts")
+    rows = context.context_rows(corpus.validation(docs, VALID_EVERY))
+    scored = classifier.classify_by_counts(rows, counts)
+    tallies = scored.groupBy("lang", "label", "pred").agg(
+        F.count("*").alias("n"), F.avg("confidence").alias("confidence")
+    )
+    return rounded(longs(tallies), 6)
+
+
 def score_windows(spark, sf_dir):
     """A stand-in for a network: marks letters in front of a space or after one."""
 
@@ -776,7 +789,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         still_wrong, corrections_summary, split_counts, corrections_accuracy, best_on_validation,
         windows_train, windows_plan, window_stitch,
         restore_frequent, identity, train_context, restore_context, candidate_log_loss,
-        threshold_sweep, train_letter_classifier, score_windows, vector_quantize, quantization_error,
+        threshold_sweep, train_letter_classifier, count_letter_classifier, score_windows, vector_quantize, quantization_error,
         stream_filter, stream_restore, stream_metrics,
     )
 }

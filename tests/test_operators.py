@@ -598,3 +598,37 @@ def test_choose_threshold(spark, precision):
             assert (r.threshold, r.placed, r.correct, r.lower) == (None,) * 4
         else:
             assert (r.threshold, r.placed, r.correct) == best[:3] and abs(r.lower - best[3]) < 1e-12
+
+
+def test_a_model_of_counts(spark, docs):
+    """Counts of two halves add up to those of the whole; learning beats never marking; weights are
+    what the counts say; contexts that nothing has told about get the most frequent label."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["casă", "țară", "masă", "sat", "tot", "asta"]) for _ in range(60)) for _ in range(8)]
+    rows = context.context_rows(docs(*texts).select("doc_id", "text"))
+    whole = classifier.letter_counts(rows)
+    parts = [classifier.letter_counts(rows.filter(f"doc_id % 2 = {k}")) for k in (0, 1)]
+    columns = ("bucket", "n0", "n1", "n2")
+    assert pairs(classifier.merged_counts(*parts), *columns) == pairs(whole, *columns)
+    got = classifier.classify_by_counts(rows, whole).collect()
+    assert len(got) == rows.count() and all(1 / 3 <= r.confidence <= 1 for r in got)
+    right = sum(r.pred == r.label for r in got)
+    assert right > 0.95 * len(got) > sum(r.label == 0 for r in got)
+    weights = {r.bucket: (r.w1, r.w2) for r in classifier.log_odds(whole).collect()}
+    total = next(r for r in whole.collect() if r.bucket == -1)
+    assert weights[-1][0] == pytest.approx(math.log((total.n1 + 1) / (total.n0 + 1)))
+    none = classifier.letter_counts(rows.limit(0))
+    assert {r.pred for r in classifier.classify_by_counts(rows, none).collect()} <= {0, None}
+
+
+def test_windows_are_put_together_in_their_row(docs):
+    """Small budgets of characters, several Arrow batches: the same result and no shuffle."""
+    texts = docs("casa mare" * 30, "", "a", "xyz" * 11, "sat la casa " * 9)
+    want = pairs(scoring.restore_scored(texts, lambda: marking_a, 32, 8, 0.5), "doc_id", "restored")
+    scored = scoring.score_texts(texts, lambda: marking_a, 32, 8, batch_size=3, batch_chars=10)
+    for r in scored.collect():
+        assert len(r.pred) == len(r.confidence) == len(r.text)
+        assert [p == 1 for p in r.pred] == [c in "ast" for c in r.text]
+    out = scoring.restore_scored(texts, lambda: marking_a, 32, 8, 0.5)
+    assert pairs(out, "doc_id", "restored") == want
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
