@@ -6,6 +6,7 @@ import gc
 import os
 from urllib.parse import unquote, urlsplit
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,15 @@ def shared_files(spark: SparkSession, name: str) -> str:
     return path
 
 
+def mapped(path: str, dtype: str, entries: int) -> np.ndarray:
+    """A file of so many entries that another task wrote, mapped. One that is missing or has another
+    size, because the folder is not shared or was cleared, is an error, and not an empty file."""
+    size = os.path.getsize(path) if os.path.exists(path) else 0
+    if size != entries * np.dtype(dtype).itemsize:
+        raise FileNotFoundError(f"{path} holds {size} bytes, not {entries} entries of {dtype}")
+    return np.memmap(path, dtype, "r") if entries else np.empty(0, dtype)
+
+
 def write_file(path: str, content: bytes) -> None:
     """All or nothing, so that a repeated task leaves the same file."""
     temporary = f"{path}.{os.getpid()}.{os.urandom(4).hex()}"

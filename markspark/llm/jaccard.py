@@ -15,15 +15,10 @@ both tell its number.
 Candidates of a block are not paired with each other but with a few centres. Links join texts to
 classes; only texts of one block that are still in different classes meet again, with the next
 centres, until there are none. Texts with equal sets are one node from the start.
-
-The number of links of a text is another matter: linked texts are of one class, so within classes
-all sets meet, bucket by bucket, as products of small matrices. That grows with the square of a
-class, and is left out where only classes are wanted.
 """
 
 from __future__ import annotations
 
-import os
 import shutil
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from markspark.llm import runs
-from markspark.llm.common import forget_shuffles, join_groups, shared_files, write_file
+from markspark.llm.common import forget_shuffles, join_groups, mapped, shared_files, write_file
 from markspark.llm.components import components
 from markspark.llm.wordhash import mix, words_of
 from markspark.storage import materialize
@@ -47,12 +42,9 @@ SPARE = 2
 """One spare block for so many that may differ."""
 BROADCAST_IDS = 500_000
 PAIRS_PER_SALT = 500
-RANGE_BLOCKS = 4_000_000
+RANGE_BLOCKS = 2_000_000
 """Blocks of sketches behind one range of their numbers."""
-BUCKET_ELEMENTS = 500_000
-"""Elements of sets, about, in one of the buckets of a class that meet in pairs."""
-PRODUCT_CELLS = 4_000_000
-KEPT = 2_000_000
+KEPT = 500_000
 """Numbers that a task collects before it sends them."""
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -283,7 +275,7 @@ def _shared_blocks(sketches: DataFrame) -> DataFrame:
         )
         keys = keys[sums > 1]
         write_file(f"{path}/{key[0].as_py()}", keys.astype("<u8").tobytes())
-        return pa.table({"shared": [len(keys)]})
+        return pa.table({"part": [key[0].as_py()], "shared": [len(keys)]})
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps: dict[int, np.ndarray] = {}
@@ -295,9 +287,7 @@ def _shared_blocks(sketches: DataFrame) -> DataFrame:
             names, first = np.unique(part(ordered), return_index=True)
             for name, a, b in zip(names.tolist(), first, [*first[1:], len(keys)]):
                 if name not in maps:
-                    file = f"{path}/{name}"
-                    there = os.path.exists(file) and os.path.getsize(file)
-                    maps[name] = np.memmap(file, "<u8", "r") if there else np.empty(0, "<u8")
+                    maps[name] = mapped(f"{path}/{name}", "<u8", int(shared[name]))
                 known = maps[name]
                 if len(known):
                     at = np.minimum(np.searchsorted(known, ordered[a:b]), len(known) - 1)
@@ -313,7 +303,9 @@ def _shared_blocks(sketches: DataFrame) -> DataFrame:
             )
 
     sent = sketches.select("keys").mapInArrow(count, "part LONG, run BINARY").groupBy("part")
-    sent.applyInArrow(merge, "shared LONG").agg(F.sum("shared")).first()
+    sizes = sent.applyInArrow(merge, "part LONG, shared LONG").toArrow()  # one row per range
+    shared = np.zeros(ranges, np.int64)
+    shared[sizes.column("part").to_numpy()] = sizes.column("shared").to_numpy()
     kind = sketches.schema["id"].dataType.simpleString()
     rows = sketches.select("id", "band", "keys").mapInArrow(keep, f"id {kind}, band INT, key LONG")
     rows = materialize(rows, "block-members")
@@ -371,86 +363,6 @@ def _linked(pairs: DataFrame, docs: DataFrame, n: int, threshold: Threshold) ->
     return linked.select("a", "b").distinct()
 
 
-def _shared_elements(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """How many elements each set of `a` shares with each of `b`."""
-    all_a, all_b = np.concatenate(a), np.concatenate(b)
-    both = np.intersect1d(all_a, all_b)
-    out = np.zeros((len(a), len(b)), np.int64)
-    cells = []
-    for sets, flat in ((a, all_a), (b, all_b)):
-        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        kept = np.isin(flat, both)
-        column = np.searchsorted(both, flat[kept])
-        order = np.argsort(column, kind="stable")
-        cells.append((row[kept][order], column[order]))
-    most = max(1, PRODUCT_CELLS // (len(a) + len(b)))
-    for at in range(0, len(both), most):
-        width = min(most, len(both) - at)
-        sides = []
-        for sets, (row, column) in zip((a, b), cells):
-            x, y = np.searchsorted(column, [at, at + width])
-            side = np.zeros((len(sets), width), np.float32)  # whole numbers, at most `width`
-            side[row[x:y], column[x:y] - at] = 1
-            sides.append(side)
-        out += (sides[0] @ sides[1].T).astype(np.int64)
-    return out
-
-
-def _links_of(
-    classes: DataFrame, groups: DataFrame, texts: DataFrame, n: int, threshold: Threshold
-) -> DataFrame:
-    """`node, links_found`: rows with another set that are linked to the node, by all pairs of
-    each class. Sets are dealt into buckets, and every two buckets of a class are one group."""
-    nodes = classes.join(
-        groups.select(F.col("node").alias("id"), "set_copies", "n_shingles"), "id"
-    )
-    nodes = materialize(nodes, "class-nodes")
-    sums = nodes.groupBy("component").agg(F.sum("n_shingles").alias("elements"))
-    buckets = F.ceil(F.col("elements") / BUCKET_ELEMENTS).cast("int").alias("buckets")
-    sums = materialize(sums.select("component", buckets), "class-buckets")
-    total = nodes.count()
-    sized = nodes.groupBy("component").agg(F.count("*").alias("_n")).join(sums, "component")
-    dealt = join_groups(nodes, sized, ["component"], "_n", total)
-    own = F.pmod(F.xxhash64("id"), F.col("buckets")).cast("int")
-    dealt = dealt.select("id", "component", "set_copies", "buckets", own.alias("own"))
-    elements = _sets(texts.join(nodes.select("id"), "id", "left_semi"), n, threshold)
-    # rows with one id and different sets: the class has the node's set
-    elements = elements.select("id", "elements").withColumn("n_shingles", F.size("elements"))
-    elements = elements.join(nodes.select("id", "n_shingles"), ["id", "n_shingles"], "left_semi")
-    dealt = dealt.join(elements.select("id", "elements").dropDuplicates(["id"]), "id")
-    dealt = materialize(dealt, "class-sets")
-    other = F.explode(F.sequence(F.lit(0), F.col("buckets") - 1))
-    sent = dealt.withColumn("other", other).select(
-        "id", "component", "set_copies", "elements", "own",
-        F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-    )
-
-    def meet(table: pa.Table) -> pa.Table:
-        own, low = table.column("own").to_numpy(), table.column("low")[0].as_py()
-        high = table.column("high")[0].as_py()
-        sets = [x.values.to_numpy().view(np.uint64) for x in table.column("elements")]
-        copies = table.column("set_copies").to_numpy()
-        a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        found = np.zeros(len(sets), np.int64)
-        if len(a) and len(b):
-            shared = _shared_elements([sets[i] for i in a], [sets[i] for i in b])
-            either = sizes[a][:, None] + sizes[b][None, :] - shared
-            linked = shared * threshold.of >= threshold.least * either
-            linked &= a[:, None] != b[None, :]
-            found[a] += linked @ copies[b]
-            if low != high:
-                found[b] += copies[a] @ linked
-        return pa.table({"node": table.column("id"), "links": pa.array(found)})
-
-    kind = nodes.schema["id"].dataType.simpleString()
-    counted = sent.groupBy("component", "low", "high").applyInArrow(
-        meet, f"node {kind}, links LONG"
-    )
-    counted = counted.groupBy("node").agg(F.sum("links").alias("links_found"))
-    return materialize(counted, "link-counts")
-
-
 def _ordered() -> tuple[Column, Column]:
     """A pair's ids, the smaller one first."""
     return F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
@@ -476,17 +388,15 @@ def similar_texts(
     threshold: Threshold = Threshold(),
     id_col: str = "doc_id",
     text_col: str = "text",
-    count_links: bool = True,
 ) -> DataFrame:
-    """One row per row of `docs`: `id_col, n_shingles, component_id, set_copies, links_found`
-    (the last one only with `count_links`).
+    """One row per row of `docs`: `id_col, n_shingles, component_id, set_copies, partner_id`.
 
     Words are runs of bytes other than `[\\x20\\x09-\\x0D]`, A-Z in lower case; a text's set holds
     its distinct n-grams of words, one for all words if they are fewer. `component_id` is the
     smallest id reachable by links, the row's own included. `set_copies` counts rows with an equal
-    set; `links_found` counts the rows with another set that are linked to the row's own. It takes
-    all pairs of a class, however large that is.
-    Where rows with one id have different sets, it is not exact for them and what is linked to them.
+    set. `partner_id` names a confirmed link of the row: the first row of its own set, or, for that
+    first row, the smallest id that was tested and is linked to it; null where there is none. So each
+    class comes as its rows and links that hold it together, and copies are not expanded into pairs.
 
     Null and empty texts, and texts of white space, have empty sets and no links. Rows with the
     same id are one node. Rows with a null id have a null component and no links. An empty table
@@ -567,12 +477,10 @@ def similar_texts(
         tested = tested.unionByName(new.select("low", "high"))
         members = materialize(met.filter(~F.col("is_centre")).select("id", "band", "key"), "members")
 
-    if count_links:
-        counts = _links_of(classes, groups, texts, n, threshold)
     classes = classes.select(F.col("id").alias("node"), "component")
-    groups = groups.join(classes, "node", "left")
-    if count_links:
-        groups = groups.join(counts, "node", "left")
+    ends = links.select("a", "b").unionByName(links.select(F.col("a").alias("b"), F.col("b").alias("a")))
+    partners = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("partner"))
+    groups = groups.join(classes, "node", "left").join(partners, "node", "left")
     # an id on rows with different sets joins them
     several = sets.groupBy("id").agg(F.min("key_a").alias("x"), F.max("key_a").alias("y"))
     if not several.filter("x <> y").isEmpty():
@@ -583,13 +491,13 @@ def similar_texts(
         "id", "n_shingles", F.col("id").alias("component_id"), F.lit(1).cast("long").alias("set_copies"),
     )
     every = found.unionByName(alone, allowMissingColumns=True)
-    found = [F.coalesce("links_found", F.lit(0)).cast("long").alias("links_found")]
+    own = F.when(F.col("id") != F.col("node"), F.col("node")).otherwise(F.col("partner"))
     return every.select(
         F.col("id").alias(id_col),
         "n_shingles",
         "component_id",
         "set_copies",
-        *(found if count_links else []),
+        own.alias("partner_id"),
     )
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markspark.llm import runs
-from markspark.llm.common import shared_files, write_file
+from markspark.llm.common import mapped, shared_files, write_file
 from markspark.llm.wordhash import words_of
 from markspark.storage import materialize
 
@@ -144,6 +144,10 @@ class Vocabulary:
         key = (kind, part)
         if key not in self.maps:
             name = f"{self.path}/{kind}-{part}"
+            if kind in ("words", "counts"):
+                entries = self.firsts[part + 1] - self.firsts[part]
+                self.maps[key] = mapped(name, dtype, entries)
+                return self.maps[key]
             there = os.path.exists(name) and os.path.getsize(name)
             self.maps[key] = np.memmap(name, dtype, "r") if there else np.empty(0, dtype)
         return self.maps[key]
@@ -274,7 +278,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Lang
         first = np.flatnonzero(np.concatenate([[True], np.diff(keys >> np.uint64(32)) > 0]))
         kept = [np.add.reduceat(x.astype(np.int64), first) for x in (sums, sums == 1, sums == 2, sums >= 3)]
         write_file(f"{path}/pairs-{part}", keys.astype("<u8").tobytes())
-        write_file(f"{path}/times-{part}", np.minimum(sums, (1 << 32) - 1).astype("<u4").tobytes())
+        write_file(f"{path}/times-{part}", sums.astype("<i8").tobytes())
         write_file(f"{path}/contexts-{part}", (keys[first] >> np.uint64(32)).astype("<u8").tobytes())
         write_file(f"{path}/sums-{part}", np.column_stack(kept).astype("<i8").tobytes())
         seconds, n = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
@@ -344,7 +348,7 @@ def _pair_lookup(model: LanguageModel, vocabulary: Vocabulary, codes: np.ndarray
             continue
         place = np.minimum(np.searchsorted(pairs, codes[at]), len(pairs) - 1)
         hit = pairs[place] == codes[at]
-        times[at] = np.where(hit, vocabulary.array("times", part, "<u4")[place], 0)
+        times[at] = np.where(hit, vocabulary.array("times", part, "<i8")[place], 0)
         contexts = vocabulary.array("contexts", part, "<u8")
         place = np.minimum(np.searchsorted(contexts, firsts[at]), len(contexts) - 1)
         hit = contexts[place] == firsts[at]

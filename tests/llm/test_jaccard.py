@@ -6,7 +6,9 @@ import pytest
 
 import corpus_pipeline
 from markspark.llm import jaccard
+from markspark.llm.common import mapped
 from markspark.llm.components import components
+from markspark.llm.language_model import Vocabulary
 from tests.llm import samples
 
 
@@ -120,10 +122,7 @@ def test_linked_sets_agree_in_a_number_they_both_tell(least):
             )
 
 
-@pytest.mark.parametrize("elements", [500, 500_000])
-def test_links_are_counted_within_classes(spark, monkeypatch, elements):
-    monkeypatch.setattr(jaccard, "BUCKET_ELEMENTS", elements, raising=False)
-    monkeypatch.setattr(jaccard, "PRODUCT_CELLS", 3_000, raising=False)
+def test_partners_are_links_and_hold_classes_together(spark):
     rnd = random.Random(11)
     rows = []
     for size in (60, 150):
@@ -138,14 +137,42 @@ def test_links_are_counted_within_classes(spark, monkeypatch, elements):
     for i, t in rows[:-1]:
         w = samples.words(t)
         sets[i] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
-    want = {
-        i: sum(s != o and 100 * len(s & o) >= 90 * len(s | o) for o in sets.values())
-        for i, s in sets.items()
-    }
-    assert max(want.values()) > 20
     docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(3)
-    got = {r.doc_id: r.links_found for r in jaccard.similar_texts(docs).collect()}
-    assert got == want | {None: 0}
+    got = jaccard.similar_texts(docs).collect()
+    linked = 0
+    for r in got:
+        if r.doc_id is None or not r.n_shingles:
+            assert r.partner_id is None
+        elif r.partner_id is not None:
+            a, b = sets[r.doc_id], sets[r.partner_id]
+            assert r.doc_id != r.partner_id and 100 * len(a & b) >= 90 * len(a | b)
+            linked += 1
+        else:
+            others = [i for i, s in sets.items() if i != r.doc_id and s != sets[r.doc_id]]
+            near = [i for i in others if 100 * len(sets[i] & sets[r.doc_id]) >= 90 * len(sets[i] | sets[r.doc_id])]
+            assert not near and r.component_id == r.doc_id
+    assert linked > 40
+
+
+def test_rows_with_one_id_and_two_texts(spark):
+    """1 has two different texts; 2 is near the one and 3 near the other."""
+    first, second = ([f"{c}{k}" for k in range(100)] for c in "xy")
+    rows = [(1, " ".join(first)), (1, " ".join(second)), (2, " ".join([*first, "z"])), (3, " ".join([*second, "z"]))]
+    got = jaccard.similar_texts(spark.createDataFrame(rows, "doc_id LONG, text STRING")).collect()
+    assert {r.component_id for r in got} == {1}
+    assert {r.partner_id for r in got if r.doc_id > 1} == {1}
+
+
+def test_a_missing_file_is_an_error(tmp_path):
+    np.arange(5, dtype="<u8").tofile(tmp_path / "0")
+    assert mapped(str(tmp_path / "0"), "<u8", 5).tolist() == [0, 1, 2, 3, 4]
+    assert not len(mapped(str(tmp_path / "1"), "<u8", 0))
+    for name, entries in (("0", 4), ("0", 6), ("1", 1)):
+        with pytest.raises(FileNotFoundError):
+            mapped(str(tmp_path / name), "<u8", entries)
+    gone = Vocabulary(str(tmp_path / "nowhere"), 1, (0, 7))
+    with pytest.raises(FileNotFoundError):
+        gone.ids(np.array([3, 4], np.uint64))
 
 
 @pytest.mark.parametrize("least", [70, 75, 80, 90])
