@@ -12,13 +12,17 @@ quiet about its `spare` blocks with the fewest n-grams, which agree by chance th
 in which two linked texts agree, the fullest has at least `spare` others below it in either text, so
 both tell its number.
 
-Candidates of a block are not paired with each other but with a few centres. Links join texts to
-classes; only texts of one block that are still in different classes meet again, with the next
-centres, until there are none. Texts with equal sets are one node from the start.
+Candidates of a block are not paired with each other but with a few centres: one at first, more in
+later rounds. Links join texts to classes; only texts of one block that are still in different
+classes meet again, with the next centres, until there are none. A member carries its set's size and
+a parity sketch of `FOLD_WORDS` words, which bounds the difference from below as well: a member
+meets only those centres that size and bound allow, so most texts that share a block by chance
+never become a pair. Texts with equal sets are one node from the start.
 """
 
 from __future__ import annotations
 
+import itertools
 import shutil
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,13 +35,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from markspark.llm import runs
-from markspark.llm.common import forget_shuffles, join_groups, mapped, shared_files, write_file
+from markspark.llm.common import (
+    forget_shuffles,
+    join_groups,
+    mapped,
+    shared_files,
+    without,
+    write_file,
+)
 from markspark.llm.components import components
 from markspark.llm.wordhash import mix, words_of
 from markspark.storage import materialize
 
 BATCH_BYTES = 4 << 20
-MORE_CENTRES = 64
+CENTRES = (1, 16, 128, 1024)
+"""Centres of a block in the first rounds; the last number holds for all further ones."""
+FOLD_WORDS = 4
 SPARE = 2
 """One spare block for so many that may differ."""
 BROADCAST_IDS = 500_000
@@ -46,6 +59,7 @@ RANGE_BLOCKS = 2_000_000
 """Blocks of sketches behind one range of their numbers."""
 KEPT = 500_000
 """Numbers that a task collects before it sends them."""
+MEMBER = ["id", "band", "n_shingles", "fold"]
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -155,18 +169,20 @@ def _bands_of(size: int, threshold: Threshold) -> list[int]:
 
 
 def _sketches(docs: DataFrame, n: int, threshold: Threshold) -> DataFrame:
-    """`id, n_shingles, key_a, key_b, sketches` (band and numbers of its blocks)."""
+    """`id, n_shingles, key_a, key_b, fold` (the short sketch), `sketches` (band and numbers of its
+    blocks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("band", pa.int32()), ("keys", pa.list_(pa.int64()))]))
         for batch in batches:
             for first, texts in _batches(batch.column(1)):
-                sizes, key_a, key_b, sketches = [], [], [], []
+                sizes, key_a, key_b, folds, sketches = [], [], [], [], []
                 for s in shingle_sets(texts, n):
                     sizes.append(len(s))
                     mixed = mix(s + _MULTIPLIERS[2])
                     key_a.append(int(np.bitwise_xor.reduce(mixed).astype(np.int64)) if len(s) else 0)
                     key_b.append(int(s.sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
+                    folds.append(sketch(s, FOLD_WORDS))
                     sketches.append(
                         [
                             {"band": b, "keys": block_numbers(s, b, threshold).view(np.int64)}
@@ -179,15 +195,16 @@ def _sketches(docs: DataFrame, n: int, threshold: Threshold) -> DataFrame:
                         pa.array(sizes, pa.int64()),
                         pa.array(key_a, pa.int64()),
                         pa.array(key_b, pa.int64()),
+                        pa.array(folds, pa.list_(pa.int64())),
                         pa.array(sketches, kind),
                     ],
-                    ["id", "n_shingles", "key_a", "key_b", "sketches"],
+                    ["id", "n_shingles", "key_a", "key_b", "fold", "sketches"],
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(
         run,
-        f"id {kind}, n_shingles LONG, key_a LONG, key_b LONG, "
+        f"id {kind}, n_shingles LONG, key_a LONG, key_b LONG, fold ARRAY<LONG>, "
         "sketches ARRAY<STRUCT<band: INT, keys: ARRAY<LONG>>>",
     )
 
@@ -232,7 +249,7 @@ def _block_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared_blocks(sketches: DataFrame) -> DataFrame:
-    """`id, band, key` of the blocks that two or more rows of `sketches` agree in.
+    """`id, band, n_shingles, fold, key` of the blocks that two or more rows of `sketches` agree in.
 
     Tasks count the numbers of their blocks and send them as sorted runs, by ranges; a number that
     comes up twice in its range goes into the range's file. Tasks then map these files and keep
@@ -295,11 +312,10 @@ def _shared_blocks(sketches: DataFrame) -> DataFrame:
             row = pa.array(row[kept])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(row),
-                    batch.column(1).take(row),
+                    *[batch.column(name).take(row) for name in MEMBER],
                     pa.array(keys[kept].view(np.int64)),
                 ],
-                ["id", "band", "key"],
+                [*MEMBER, "key"],
             )
 
     sent = sketches.select("keys").mapInArrow(count, "part LONG, run BINARY").groupBy("part")
@@ -307,7 +323,9 @@ def _shared_blocks(sketches: DataFrame) -> DataFrame:
     shared = np.zeros(ranges, np.int64)
     shared[sizes.column("part").to_numpy()] = sizes.column("shared").to_numpy()
     kind = sketches.schema["id"].dataType.simpleString()
-    rows = sketches.select("id", "band", "keys").mapInArrow(keep, f"id {kind}, band INT, key LONG")
+    rows = sketches.select(*MEMBER, "keys").mapInArrow(
+        keep, f"id {kind}, band INT, n_shingles LONG, fold ARRAY<LONG>, key LONG"
+    )
     rows = materialize(rows, "block-members")
     shutil.rmtree(path, ignore_errors=True)
     return rows
@@ -363,6 +381,17 @@ def _linked(pairs: DataFrame, docs: DataFrame, n: int, threshold: Threshold) ->
     return linked.select("a", "b").distinct()
 
 
+def _may_link(a: Column, b: Column, threshold: Threshold) -> Column:
+    """Whether the sizes and short sketches of two members leave room for a link; a null sketch does."""
+    sizes = a["n_shingles"] + b["n_shingles"]
+    most = F.floor(sizes * (threshold.of - threshold.least) / (threshold.of + threshold.least))
+    bits = F.lit(0)
+    for i in range(FOLD_WORDS):
+        bits = bits + F.bit_count(a["fold"][i].bitwiseXOR(b["fold"][i]))
+    fits = (F.abs(a["n_shingles"] - b["n_shingles"]) <= most) & (bits <= most)
+    return F.coalesce(fits, F.lit(True))
+
+
 def _ordered() -> tuple[Column, Column]:
     """A pair's ids, the smaller one first."""
     return F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
@@ -413,26 +442,34 @@ def similar_texts(
     nodes = sets.join(
         groups.select(*keys, F.col("node").alias("id")), [*keys, "id"], "left_semi"
     ).dropDuplicates(["id", *keys])
-    sketches = nodes.select("id", F.explode("sketches").alias("s"))
-    sketches = materialize(sketches.select("id", "s.band", "s.keys"), "nodes")
+    # an id on rows with different sets: which of them a member stands for can't be told by the id
+    twice = sets.groupBy("id").agg(F.min("key_a").alias("x"), F.max("key_a").alias("y"))
+    twice = materialize(twice.filter("x <> y").select("id"), "ids-of-several-sets")
+    ids_of_several = not twice.isEmpty()
+    if ids_of_several:
+        alike = without(nodes, twice, ["id"])
+        unlike = nodes.join(twice, "id", "left_semi").withColumn(
+            "fold", F.lit(None).cast("array<bigint>")
+        )
+        unlike = unlike.withColumn("n_shingles", F.lit(None).cast("long"))
+        nodes = alike.unionByName(unlike)
+    sketches = nodes.select("id", "n_shingles", "fold", F.explode("sketches").alias("s"))
+    sketches = materialize(
+        sketches.select("id", "s.band", "n_shingles", "fold", "s.keys"), "nodes"
+    )
     forget_shuffles(docs.sparkSession)
     members = _shared_blocks(sketches)
-    shared = members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("b"))
-    shared = materialize(shared.filter("size > 1"), "shared-blocks")
-    n_rows = shared.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
-    members = join_groups(members, shared, ["key"], "size", n_rows).filter("id <> b")
-    members = materialize(members, "members")
-    tested = materialize(_one_band(members.select(F.col("id").alias("a"), "b", "band")), "pairs")
-    links = materialize(_linked(tested, texts, n, threshold), "links")
-    forget_shuffles(docs.sparkSession)
-    members = members.drop("b", "size")
-    tested = tested.select(*_ordered())
-    classes = _classes(links)
+    node, none = F.col("node"), groups.limit(0)
+    tested = none.select(node.alias("low"), node.alias("high"))
+    links = none.select(node.alias("a"), node.alias("b"))
+    classes = none.select(
+        node.alias("id"), node.alias("component"), F.col("set_copies").alias("class_size")
+    )
 
-    while True:
+    for turn in itertools.count():
         # members in their classes; blocks with a single class are done
         labelled = members.join(classes, "id", "left").select(
-            "id", "band", "key",
+            *MEMBER, "key",
             F.coalesce("component", "id").alias("class"),
             F.coalesce("class_size", F.lit(1)).alias("class_size"),
         )
@@ -445,23 +482,26 @@ def similar_texts(
             break
         members = join_groups(labelled, several, ["key"], "size", n_rows).filter("size IS NOT NULL")
         members = materialize(members, "open-members")
+        n_centres = CENTRES[min(turn, len(CENTRES) - 1)]
         # the members of small classes: once they have met all others, one class is left
         smallest = Window.partitionBy("key").orderBy("class_size", "id")
         centres = members.withColumn("rank", F.row_number().over(smallest))
-        centres = centres.filter(F.col("rank") <= MORE_CENTRES).groupBy("key", "size").agg(
-            F.collect_list(  # at most MORE_CENTRES
-                F.struct(F.col("id").alias("b"), F.col("class").alias("b_class"))
-            ).alias("centres")
+        centres = centres.filter(F.col("rank") <= n_centres).groupBy("key", "size").agg(
+            F.collect_list(  # at most n_centres
+                F.struct(F.col("id").alias("b"), F.col("class").alias("b_class"), "n_shingles", "fold")
+            ).alias("centres"),
+            F.max(F.struct("class_size", "id")).alias("last"),
         )
         centres = materialize(centres, "centres")
         met = join_groups(members.drop("size"), centres, ["key"], "size", n_rows)
-        is_centre = F.exists("centres", lambda c: c["b"] == F.col("id"))
-        met = met.withColumn("is_centre", is_centre)
-        # every member meets the centres of other classes, two centres meet once
+        met = met.withColumn("is_centre", F.struct("class_size", "id") <= F.col("last"))
+        # every member meets the centres of other classes that may be linked to it, two centres once
+        own = F.struct("n_shingles", "fold")
         others = F.filter(
             "centres",
             lambda c: (c["b_class"] != F.col("class"))
-            & (~F.col("is_centre") | (c["b"] < F.col("id"))),
+            & (~F.col("is_centre") | (c["b"] < F.col("id")))
+            & _may_link(own, c, threshold),
         )
         pairs = met.select("id", "band", F.explode(others).alias("c"))
         pairs = _one_band(pairs.select(F.col("id").alias("a"), F.col("c.b").alias("b"), "band"))
@@ -475,15 +515,13 @@ def similar_texts(
             links = materialize(links.unionByName(found), "links")
             classes = _classes(links)
         tested = tested.unionByName(new.select("low", "high"))
-        members = materialize(met.filter(~F.col("is_centre")).select("id", "band", "key"), "members")
+        members = materialize(met.filter(~F.col("is_centre")).select(*MEMBER, "key"), "members")
 
     classes = classes.select(F.col("id").alias("node"), "component")
     ends = links.select("a", "b").unionByName(links.select(F.col("a").alias("b"), F.col("b").alias("a")))
     partners = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("partner"))
     groups = groups.join(classes, "node", "left").join(partners, "node", "left")
-    # an id on rows with different sets joins them
-    several = sets.groupBy("id").agg(F.min("key_a").alias("x"), F.max("key_a").alias("y"))
-    if not several.filter("x <> y").isEmpty():
+    if ids_of_several:  # such an id joins its sets
         groups = _joined_by_id(sets, groups, keys, total)
     found = join_groups(sets.select("id", *keys), groups, keys, "set_copies", total)
     found = found.withColumn("component_id", F.coalesce("component", "node"))
