@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markspark.llm.common import join_groups, unused, without
+from markspark.llm.common import BROADCAST_KEYS, join_groups, unused, without
 from markspark.storage import materialize
 
 SPACES = " \t\n\x0b\f\r"
@@ -46,6 +46,14 @@ def exact_duplicates(
     table gives an empty result; other columns of `docs` are ignored. `text_sha256` is null where
     the full text never had to be hashed, unless `every_digest`.
     """
+    decided = _decisions(docs, id_col, text_col, every_digest)
+    return decided.select(
+        F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256"
+    )
+
+
+def _decisions(docs: DataFrame, id_col: str, text_col: str, every_digest: bool) -> DataFrame:
+    """`id, n_chars, keep_id, group_size, kept, text_sha256`: see `exact_duplicates`."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     plain = normalised(F.col("text"))
     columns = [
@@ -80,7 +88,7 @@ def exact_duplicates(
         )
         several = known.filter("shas > 1")
         if not several.isEmpty():  # one id with texts alike in length and prefix: hash every row
-            return exact_duplicates(docs, id_col, text_col, every_digest=True)
+            return _decisions(docs, id_col, text_col, every_digest=True)
         joined = facts.alias("f").join(
             known.alias("k"), [F.col(f"f.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys], "left"
         )
@@ -99,7 +107,8 @@ def exact_duplicates(
     rows = grouped.unionByName(alone, allowMissingColumns=True)
     in_group = F.col("size").isNotNull()
     return rows.select(
-        F.col("id").alias(id_col),
+        "id",
+        "n_chars",
         F.when(in_group, F.col("keep")).otherwise(F.col("id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
         (~in_group | (F.col("id").eqNullSafe(F.col("keep")) & (F.col("n_chars") == F.col("most"))))
@@ -111,21 +120,38 @@ def exact_duplicates(
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns.
 
-    Of rows that repeat both id and text, one stays. Otherwise as `exact_duplicates` says.
+    Of rows that repeat both id and text, one stays. Otherwise as `exact_duplicates` says. Full texts
+    are hashed only for rows that agree with another one in length and prefix, and once more for
+    rows whose id is to go; only where an id is on several rows of which some go, every row is.
     """
-    decided = exact_duplicates(docs, id_col, text_col, every_digest=True)
-    decided = materialize(decided, "decisions")
-    sha = unused(docs, "_digest")
-    marked = docs.withColumn(sha, digest(F.col(text_col)))
-    keys = [F.col(id_col), F.col("text_sha256").alias(sha)]
+    decided = materialize(_decisions(docs, id_col, text_col, every_digest=False), "decisions")
+    keys = ["id", "n_chars", "text_sha256"]
     dropped = decided.filter("NOT kept").select(*keys).distinct()
-    stay = without(marked, dropped, [id_col, sha])
-    alike = decided.filter("kept AND group_size > 1").select(*keys)
-    twice = alike.groupBy(id_col, sha).count().filter("count > 1").select(id_col, sha)
-    if not twice.isEmpty():
-        twice = materialize(twice, "repeated-rows")
-        same = [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in (id_col, sha)]
+    alike = decided.filter("kept AND group_size > 1").groupBy(*keys).count().filter("count > 1")
+    by_id = dropped.groupBy("id").agg(
+        F.count("*").alias("texts"), *[F.min(k).alias(k) for k in keys[1:]]
+    )
+    by_id = materialize(by_id, "dropped-ids")
+    n_chars = F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
+    if alike.isEmpty() and by_id.filter("texts > 1").isEmpty():
+        names = [unused(docs, f"gone_{k}") for k in keys]
+        gone = by_id.select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+        if gone.count() <= BROADCAST_KEYS:
+            gone = F.broadcast(gone)
+        marked = docs.join(gone, F.col(id_col).eqNullSafe(F.col(names[0])), "left")
+        goes = F.when(F.col(names[1]) == n_chars, digest(F.col(text_col)) == F.col(names[2]))
+        return marked.filter(~F.coalesce(goes, F.lit(False))).drop(*names)
+    sha, size = unused(docs, "_digest"), unused(docs, "_n_chars")
+    marked = docs.withColumns({size: n_chars, sha: digest(F.col(text_col))})
+    own = [id_col, size, sha]
+    stay = without(marked, _renamed(dropped, keys, own), own)
+    if not alike.isEmpty():
+        twice = materialize(_renamed(alike, keys, own), "repeated-rows")
+        same = [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in own]
         several = stay.alias("s").join(twice.alias("t"), same, "left_semi")
-        once = several.dropDuplicates([id_col, sha])
-        stay = without(stay, twice, [id_col, sha]).unionByName(once)
-    return stay.drop(sha)
+        stay = without(stay, twice, own).unionByName(several.dropDuplicates(own))
+    return stay.drop(size, sha)
+
+
+def _renamed(rows: DataFrame, names: list[str], others: list[str]) -> DataFrame:
+    return rows.select(*[F.col(a).alias(b) for a, b in zip(names, others)])

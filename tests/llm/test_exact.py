@@ -65,6 +65,19 @@ def test_keep_first_keeps_all_columns_and_one_of_equal_rows(spark):
     assert len({(r.text or "").translate({ord(c): None for c in exact.SPACES}) for r in got}) == len(got)
 
 
+def test_keep_first_with_copies_under_one_id(spark):
+    rows = [(5, "a b"), (5, "ab"), (6, "ab"), (7, "other"), (7, "ot her "), (8, None), (9, " ")]
+    kept = exact.keep_first(samples.documents(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(5, "a b"), (7, "ot her "), (9, " ")]
+
+
+def test_keep_first_where_one_text_of_an_id_goes(spark):
+    rows = [(1, "long text"), (2, "longtext"), (2, "a second text"), (3, "long text"), (None, "x"), (4, "x")]
+    kept = exact.keep_first(samples.documents(spark, rows)).collect()
+    got = sorted((r.doc_id, r.text) for r in kept)
+    assert got == [(1, "long text"), (2, "a second text"), (4, "x")]
+
+
 def test_empty(spark):
     empty = samples.documents(spark).limit(0)
     assert exact.exact_duplicates(empty).count() == 0 and exact.keep_first(empty).count() == 0
