@@ -9,6 +9,7 @@ from markspark.functions import marks, quality
 from markspark.operators.ordering import first_rows
 from markspark.language import ROMANIAN, MarkProfile
 from markspark.settings import CorpusSettings
+from markspark.storage import materialize
 
 
 def filtered(
@@ -18,10 +19,14 @@ def filtered(
     limit: int = 0,
     profile: MarkProfile = ROMANIAN,
 ) -> DataFrame:
-    """Cleaned documents that pass the quality rules; the first `limit` of them when > 0."""
+    """Cleaned documents that pass the quality rules; the first `limit` of them when > 0.
+
+    With a limit, the documents are cleaned and filtered in one pass that writes those that pass; the
+    n-th key is found among the written keys.
+    """
     cleaned = documents.withColumn("text", marks.clean_text(F.col("text"), profile))
     kept = cleaned.filter(quality.keep_document(F.col("text"), min_chars, min_ratio, profile))
-    return first_rows(kept, limit)
+    return first_rows(materialize(kept, "kept"), limit) if limit > 0 else kept
 
 
 def usable(

@@ -12,7 +12,7 @@ from markspark.storage import materialize
 
 ARRIVAL = ("source_rank", "ord")
 SMALL_TOP = 1_000
-_ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its lower 33 bits
+ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its lower 33 bits
 
 
 def arrival(rank: str = "source_rank", ord_: str = "ord") -> Column:
@@ -56,12 +56,12 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_no") -> Da
         .withColumn("_mid", F.monotonically_increasing_id())
     )
     ordered = materialize(ordered, "numbered").withColumn(
-        "_part", F.shiftrightunsigned("_mid", _ROW_BITS)
+        "_part", F.shiftrightunsigned("_mid", ROW_BITS)
     )
     sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    row = F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    row = F.col("_mid").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     return (
         ordered.join(F.broadcast(firsts), "_part")  # one row per partition
         .withColumn(name, F.col("_first") + row)

@@ -12,6 +12,8 @@ from markspark.language import QUANT_GROUP
 SMALLEST_SCALE = 1e-8
 LEVELS = 7
 GROUPS = "array<struct<scale:double,codes:array<tinyint>>>"
+HALF_GROUPS = "array<struct<bits:int,codes:array<tinyint>>>"
+HALF_INFINITY = 31 << 10
 
 
 def quantize(vector: Column, group: int = QUANT_GROUP) -> Column:
@@ -45,6 +47,122 @@ def quantize(vector: Column, group: int = QUANT_GROUP) -> Column:
     return F.transform(F.array(vector.cast("array<double>")), grouped)[0]
 
 
+def half(x: Column) -> Column:
+    """`struct<bits, value>`: the IEEE half-precision number nearest to `x`, ties to even.
+
+    `x` is not negative. What rounds to more than the largest half number, 65,504, is infinite.
+    """
+
+    def rounded(unit: Column) -> Column:
+        steps = F.rint(unit.x / F.pow(F.lit(2.0), unit.e - 10))
+        bits = ((unit.e + 14) * 1024 + steps).cast("int")
+        fits = bits < HALF_INFINITY
+        return F.struct(
+            F.when(fits, bits).otherwise(HALF_INFINITY).alias("bits"),
+            F.when(fits, steps * F.pow(F.lit(2.0), unit.e - 10))
+            .otherwise(F.lit(float("inf")))
+            .alias("value"),
+        )
+
+    def exponent(v: Column) -> Column:
+        # the logarithm may be off by one next to a power of two
+        guess = F.floor(F.log2(v)).cast("double")
+        low = F.when(F.pow(F.lit(2.0), guess) > v, guess - 1).otherwise(guess)
+        e = F.when(F.pow(F.lit(2.0), low + 1) <= v, low + 1).otherwise(low)
+        return F.struct(
+            v.alias("x"), F.greatest(F.coalesce(e, F.lit(-14.0)), F.lit(-14.0)).alias("e")
+        )
+
+    number = F.transform(F.array(x.cast("double")), exponent)
+    return F.transform(number, rounded)[0]
+
+
+def stored_vector(vector: Column, group: int = QUANT_GROUP) -> Column:
+    """`struct<packed, scales>` as weight files hold a vector: half a byte per value, and two bytes
+    (half precision, low byte first) per group of values.
+
+    The scale is rounded to half precision *before* the values are divided by it, in single
+    precision as there. A group whose scale rounds to zero has code 8, zero, for all its values;
+    one whose scale is beyond half precision is an error.
+    """
+
+    def one(part: Column) -> Column:
+        top = F.array_max(F.transform(part, lambda w: F.abs(w))).cast("double") / LEVELS
+        scale = half(F.greatest(top, F.lit(SMALLEST_SCALE)).cast("float"))
+        return F.transform(F.array(scale), lambda s: F.struct(checked(s), codes(part, s)))[0]
+
+    def checked(scale: Column) -> Column:
+        message = F.lit("values beyond 7 * 65,504 have no scale in half precision")
+        fits = scale.bits < HALF_INFINITY
+        return F.when(fits, scale.bits).otherwise(F.raise_error(message).cast("int")).alias("bits")
+
+    def codes(part: Column, scale: Column) -> Column:
+        def code(w: Column) -> Column:
+            quotient = F.try_divide(w.cast("double"), scale.value).cast("float")
+            step = F.greatest(F.lit(-7.0), F.least(F.lit(7.0), F.rint(F.coalesce(quotient, F.lit(0.0)))))
+            return (step + LEVELS + 1).cast("tinyint")
+
+        return F.transform(part, code).alias("codes")
+
+    def whole(values: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(values), F.lit(group))
+        message = F.format_string(f"%d values are no multiple of {group}", F.size(values))
+        return (
+            F.when(F.size(values) == 0, F.array().cast(HALF_GROUPS))
+            .when(
+                F.size(values) % group == 0,
+                F.transform(starts, lambda at: one(F.slice(values, at, group))),
+            )
+            .otherwise(F.raise_error(message).cast(HALF_GROUPS))
+        )
+
+    def low_first(g: Column) -> Column:
+        return F.concat(_two_digits(g.bits % 256), _two_digits(F.floor(g.bits / 256)))
+
+    def as_bytes(groups: Column) -> Column:
+        pairs = F.transform(
+            groups, lambda g: F.array_join(F.transform(pack_codes(g.codes), _two_digits), "")
+        )
+        return F.struct(
+            F.unhex(F.array_join(pairs, "")).alias("packed"),
+            F.unhex(F.array_join(F.transform(groups, low_first), "")).alias("scales"),
+        )
+
+    groups = F.transform(F.array(vector.cast("array<float>")), whole)
+    return F.when(vector.isNotNull(), F.transform(groups, as_bytes)[0])
+
+
+def _two_digits(byte: Column) -> Column:
+    return F.lpad(F.hex(byte.cast("long")), 2, "0")
+
+
+def loaded_vector(stored: Column, group: int = QUANT_GROUP) -> Column:
+    """`array<float>`: the values of `stored_vector`."""
+
+    def number(digits: Column, at: Column, n: int) -> Column:
+        return F.conv(F.substring(digits, at, n), 16, 10).cast("int")
+
+    def scale(digits: Column, at: Column) -> Column:
+        bits = number(digits, at, 2) + number(digits, at + 2, 2) * 256
+        e = F.greatest(F.floor(bits / 1024).cast("int"), F.lit(1))
+        return (bits - (e - 1) * 1024) * F.pow(F.lit(2.0), e - 25)
+
+    def value(packed: Column, scales: Column, i: Column) -> Column:
+        # the even place is in the lower four bits, hence the second digit of its byte
+        digit = number(packed, i + 2 - (i % 2) * 2, 1)
+        at = F.floor(i / group).cast("int") * 4 + 1
+        return ((digit - (LEVELS + 1)) * scale(scales, at)).cast("float")
+
+    def values(s: Column) -> Column:
+        places = F.sequence(F.lit(0), F.length(s.packed) - 1)
+        return F.when(F.length(s.packed) == 0, F.array().cast("array<float>")).otherwise(
+            F.transform(places, lambda i: value(s.packed, s.scales, i))
+        )
+
+    digits = F.struct(F.hex(stored["packed"]).alias("packed"), F.hex(stored["scales"]).alias("scales"))
+    return F.when(stored.isNotNull(), F.transform(F.array(digits), values)[0])
+
+
 def pack_codes(codes: Column) -> Column:
     """Two codes per byte, the even place in the lower four bits."""
     pairs = F.sequence(F.lit(0), F.size(codes) - 2, F.lit(2))

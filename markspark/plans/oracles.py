@@ -577,6 +577,25 @@ ORACLES: dict[str, str] = {
       select vec_id, round(scale, 12) as scale, array_to_string(c, ',') as codes,
         array_to_string([c[i] + 16 * c[i + 1] for i in range(1, len(c), 2)], ',') as packed
       from q""",
+    "stored_vector": """with g as (select vec_id, embedding,
+        unnest(range(0, len(embedding) // 32)) as k from embeddings),
+      w as (select vec_id, k, list_transform(embedding[32 * k + 1:32 * k + 32],
+        lambda x: x::double) as w from g),
+      s as (select *, greatest(list_max(list_transform(w, lambda x: abs(x))) / 7,
+        1e-8::double)::float::double as top from w),
+      e as (select *, greatest(floor(log2(top)) - (pow(2, floor(log2(top))) > top)::int
+        + (pow(2, floor(log2(top)) + 1) <= top)::int, -14) as e from s),
+      h as (select *, round_even(top / pow(2, e - 10), 0) as steps from e),
+      q as (select vec_id, k, w, ((e + 14) * 1024 + steps)::int as bits,
+        steps * pow(2, e - 10) as scale from h),
+      c as (select *, list_transform(w, lambda x: (greatest(-7, least(7,
+        round_even((x / scale)::float::double, 0))) + 8)::int) as c from q)
+      select vec_id, string_agg(array_to_string([printf('%02x', c[i] + 16 * c[i + 1])
+          for i in range(1, 32, 2)], ''), '' order by k) as packed,
+        string_agg(printf('%02x%02x', bits % 256, bits // 256), '' order by k) as scales,
+        round(max(list_max([abs(w[i] - ((c[i] - 8) * scale)::float::double)
+          for i in range(1, 33)])), 9) as worst
+      from c group by vec_id""",
     "quantization_error": """with v as (select vec_id, label, list_transform(embedding,
         lambda x: x::double) as e from embeddings),
       g as (select vec_id, label, unnest([e[i:i+31] for i in range(1, len(e), 32)]) as w from v),
@@ -596,4 +615,14 @@ ORACLES: dict[str, str] = {
     "stream_metrics": f"""with {RO}, st as (select lang, text, {strip('text')} as restored from ro),
       {tallies('st', 'lang')} select lang, {metrics()} from ta group by lang""",
 }
+ORACLES["stream_running_metrics"] = ORACLES["stream_metrics"]
+ORACLES["stream_lines"] = f"""with {USABLE}, {FORMS}, li as (select doc_id, concat_ws(chr(9), doc_id,
+    translate(text, chr(13) || chr(10), '  ')) as text from ro),
+  {restored('li', 'doc_id')},
+  r as (select {crc('doc_id')} % 2 as run, ('0x' || substr(md5(restored), 1, 7))::bigint as h
+    from re, crct),
+  g as (select run, count(*) as n, sum(h) as s from r group by run)
+  select run::bigint as run, (sum(n) over (order by run) - n)::bigint as first_no,
+    (sum(n) over (order by run) - 1)::bigint as last_no, n as numbers, s::bigint as restored_sum
+  from g"""
 ORACLES["restore_context_large"] = ORACLES["restore_context"]

@@ -724,6 +724,22 @@ def vector_quantize(spark, sf_dir):
     )
 
 
+def stored_vector(spark, sf_dir):
+    """Vectors as weight files hold them, and the error of reading them back."""
+    vecs = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
+    stored = vecs.withColumn("s", vectors.stored_vector(F.col("embedding")))
+    back = stored.withColumn("back", vectors.loaded_vector(F.col("s")))
+    worst = F.array_max(
+        F.zip_with("embedding", "back", lambda a, b: F.abs(a.cast("double") - b.cast("double")))
+    )
+    return back.select(
+        "vec_id",
+        F.lower(F.hex("s.packed")).alias("packed"),
+        F.lower(F.hex("s.scales")).alias("scales"),
+        F.round(worst, 9).alias("worst"),
+    )
+
+
 def quantization_error(spark, sf_dir):
     vecs = spread(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), "vec_id")
     return longs(rounded(vectors.quantization_error(vecs, "embedding", ["label"])))
@@ -773,6 +789,42 @@ def stream_metrics(spark, sf_dir):
     return rounded(evaluation.metrics_summary(counts, ["lang"]))
 
 
+def stream_running_metrics(spark, sf_dir):
+    """Two runs with a restart: the counts of the first go on in the second."""
+    out = new_path(spark, "stream")
+    docs = romanised(spark, sf_dir).withColumn("restored", marks.strip_marks(F.col("text")))
+    for rest in (0, 1):
+        some = docs.filter(F.crc32("doc_id") % 2 == rest)
+        some.select("lang", "text", "restored").write.mode("append").parquet(f"{out}/in")
+        stream = spark.readStream.schema("lang STRING, text STRING, restored STRING").parquet(f"{out}/in")
+        _finish(
+            jobs.running_metrics_stream(stream, f"{out}/data", f"{out}/checkpoint", by=["lang"])
+        )
+    counts = jobs.running_tallies(spark, f"{out}/data", ["lang"])
+    return rounded(evaluation.metrics_summary(counts, ["lang"]))
+
+
+def stream_lines(spark, sf_dir):
+    """Two runs with a restart, a line per document: numbers go on where the first run ended."""
+    out = new_path(spark, "stream")
+    forms = dictionary(spark, sf_dir)
+    docs = romanised(spark, sf_dir).select("doc_id", F.translate("text", "\r\n", "  ").alias("text"))
+    for rest in (0, 1):
+        some = docs.filter(F.crc32("doc_id") % 2 == rest)
+        some.select(F.concat_ws("\t", "doc_id", "text")).write.mode("append").text(f"{out}/in")
+        lines_in = jobs.line_stream(spark, f"{out}/in")
+        _finish(jobs.restore_line_stream(lines_in, forms, f"{out}/data", f"{out}/checkpoint"))
+    found = jobs.restored_lines(spark, f"{out}/data")
+    run = F.crc32(F.substring_index("value", "\t", 1)) % 2
+    totals = found.groupBy(run.alias("run")).agg(
+        F.min("line_no").alias("first_no"),
+        F.max("line_no").alias("last_no"),
+        F.countDistinct("line_no").alias("numbers"),
+        F.sum(F.conv(F.substring(F.md5("restored"), 1, 7), 16, 10).cast("long")).alias("restored_sum"),
+    )
+    return longs(totals)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__.rstrip("_"): q
     for q in (
@@ -790,7 +842,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         windows_train, windows_plan, window_stitch,
         restore_frequent, identity, train_context, restore_context, candidate_log_loss,
         threshold_sweep, train_letter_classifier, count_letter_classifier, score_windows, vector_quantize, quantization_error,
-        stream_filter, stream_restore, stream_metrics,
+        stored_vector, stream_filter, stream_restore, stream_metrics, stream_running_metrics,
+        stream_lines,
     )
 }
 QUERIES |= {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -14,10 +14,13 @@ from markspark.operators.corpus import hash_sample
 from markspark.operators.lookup import lookup
 from markspark.operators.ordering import number_rows
 from markspark.language import ROMANIAN, MarkProfile
+from markspark.storage import materialize
 
 COLUMNS = ("doc_id", "text", "source_rank", "ord")
 COMMENT = "#"
 RANKS = "ranks"
+FILES_AT_ONCE = 4_000_000
+"""Files whose places are broadcast, 64 MB in all; beyond, `lookup` goes by the keys."""
 _ROWS_PER_FILE_BITS = 36
 _LINES_PER_FILE_BITS = 31
 
@@ -37,7 +40,8 @@ def parquet_documents(
     """Documents of Parquet shards in path order, one in `every` by id hash.
 
     Arrival order is the file's place in the list and the row's place in its file. Columns
-    other than id and text are never read.
+    other than id and text are never read. Files are known by a hash of their names, so that a
+    file's place takes 16 bytes of a broadcast: enough for `FILES_AT_ONCE` files.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     try:
@@ -45,14 +49,11 @@ def parquet_documents(
             id_col,
             text_col,
             F.col("_metadata.row_index").alias("_row"),
-            uri("_metadata.file_path").alias("_file"),
+            file_key().alias("_key"),
         )
-        if len(paths) == 1 and len(shards.inputFiles()) == 1:
-            shards = shards.withColumn("rank", F.lit(0).cast("long"))
-        else:
-            ranks = file_ranks(spark, paths, spark.read.parquet)
-            shards = lookup(shards, ranks, ["_file"])
-        documents = shards.select(
+        ranks = file_ranks(spark, paths)
+        placed = lookup(shards, ranks, ["_key"], FILES_AT_ONCE, 16 * FILES_AT_ONCE)
+        documents = placed.select(
             F.col(id_col).cast("string").alias("doc_id"),
             F.col(text_col).alias("text"),
             F.lit(rank).alias("source_rank"),
@@ -63,16 +64,39 @@ def parquet_documents(
     return hash_sample(documents, every)
 
 
-def file_ranks(
-    spark: SparkSession, paths: Sequence[str], read: Callable[[str], DataFrame]
-) -> DataFrame:
-    """`(_file, rank)`: each input file's place, paths as listed, files in one path by name."""
-    files: dict[str, int] = {}
-    for path in paths:
-        for file in sorted(read(path).inputFiles()):
-            files.setdefault(file, len(files))
-    ranks = spark.createDataFrame(list(files.items()), "_file STRING, rank LONG")
-    return ranks.select(uri("_file").alias("_file"), "rank")
+def file_ranks(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """`(_key, rank)`: each input file's place, paths as listed, files in one path by name.
+
+    Names alone are listed, without opening a file, and numbered in parallel. None of them gets to
+    the driver's Python.
+    """
+    listed = [
+        spark.read.format("binaryFile")
+        .load(path)
+        .select(F.lit(i).alias("path_no"), uri("_metadata.file_path").alias("name"))
+        for i, path in enumerate(paths)
+    ]
+    return ranked_names(reduce(DataFrame.unionByName, listed))
+
+
+def ranked_names(listed: DataFrame) -> DataFrame:
+    """`file_ranks` of `(path_no, name)`; a name that several paths hold counts with the first."""
+    first = listed.groupBy("name").agg(F.min("path_no").alias("path_no"))
+    places = number_rows(first, ["path_no", "name"], "rank")
+    ranks = materialize(places.select(name_key("name").alias("_key"), "rank"), "file-ranks")
+    twice = ranks.groupBy("_key").count().filter("count > 1")
+    if not twice.isEmpty():
+        raise ValueError("two files have the same hash; rename one, or read them one after another")
+    return ranks
+
+
+def file_key() -> Column:
+    """What `file_ranks` knows the file of a row by."""
+    return name_key("_metadata.file_path")
+
+
+def name_key(name: str) -> Column:
+    return F.xxhash64(uri(name))
 
 
 def uri(column: str) -> Column:

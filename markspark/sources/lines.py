@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from markspark.functions import quality, words
 from markspark.language import LINES_PER_DOCUMENT
 from markspark.operators.lookup import lookup
-from markspark.sources.documents import SourceUnavailable, file_ranks, uri
+from markspark.sources.documents import SourceUnavailable, file_key, file_ranks
 
 
 def text_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -69,9 +69,9 @@ def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         _split_key().alias("key"),
+        file_key().alias("_key"),
     ).agg(F.count("*").alias("n"))
-    ranks = file_ranks(spark, paths, spark.read.text)
-    ranked = lookup(splits.withColumn("_file", uri("file")), ranks, ["_file"])
+    ranked = lookup(splits, file_ranks(spark, paths), ["_key"])
     before = Window.orderBy("rank", "block").rowsBetween(Window.unboundedPreceding, -1)
     firsts = ranked.select("key", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     table = firsts.toArrow()  # one row per split

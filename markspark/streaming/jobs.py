@@ -3,21 +3,29 @@
 Every job takes a streaming DataFrame and writes to folders that the caller names on shared
 storage. Filtering needs no state at all. Restoring and measuring run per micro-batch with
 the batch operators, and each batch writes its own folder, so that a batch that is run again
-after a failure replaces its earlier output instead of adding to it.
+after a failure replaces its earlier output instead of adding to it. What has to be known of
+earlier batches is state: running counts lie in the query's state store, and the number of lines
+so far lies beside each batch's output. Both go on where they were after a restart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from markspark.operators import corpus, evaluation, lexicon
+from markspark.operators.lookup import lookup
+from markspark.operators.ordering import ROW_BITS
 from markspark.language import ROMANIAN, MarkProfile
 from markspark.settings import CorpusSettings
 
+STATE = "_firsts"
+"""Names with a leading underscore are no data to Spark's readers."""
+FIRSTS = "part LONG, first LONG"
+
 
 def line_stream(spark: SparkSession, directory: str, max_files: int | None = None) -> DataFrame:
     """`value, file`: lines of text files that arrive in a directory."""
@@ -99,17 +107,55 @@ def restore_line_stream(
     """Line in, restored line out: the columns stay, `restored` and `line_no` are added.
 
     `model` is a dictionary, or any function from documents (`text`) to documents with `restored`,
-    such as `models.load_restorer` gives. Lines are restored where they lie; inside a batch, `line_no` ascends in the order in which
-    they were read (file by file, without being consecutive).
+    such as `models.load_restorer` gives. Lines are restored where they lie; inside a batch, `line_no`
+    ascends in the order in which they were read (file by file, without being consecutive).
+    `restored_lines` reads the output with consecutive numbers over all batches and restarts.
     """
     restore = model if callable(model) else word_restorer(model, "text", profile)
 
-    def step(batch: DataFrame) -> DataFrame:
+    def run(batch: DataFrame, batch_id: int) -> None:
         numbered = batch.withColumn("line_no", F.monotonically_increasing_id())
         restored = restore(numbered.withColumnRenamed("value", "text"))
-        return restored.withColumnRenamed("text", "value")
+        path = f"{output}/batch={batch_id}"
+        restored.withColumnRenamed("text", "value").write.mode("overwrite").parquet(path)
+        _write_firsts(batch.sparkSession, output, batch_id)
 
-    return _per_batch(lines, step, output, checkpoint)
+    return (
+        lines.writeStream.foreachBatch(run)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def _write_firsts(spark: SparkSession, output: str, batch_id: int) -> None:
+    """Notes which number the first line of each of a batch's partitions has, and in a row without
+    partition, which the next batch's first line has. Of earlier batches only the last is read."""
+    so_far = 0
+    if batch_id > 0:
+        before = spark.read.schema(FIRSTS).parquet(f"{output}/{STATE}/batch={batch_id - 1}")
+        so_far = before.filter("part is null").first()["first"]
+    written = spark.read.parquet(f"{output}/batch={batch_id}")
+    sizes = written.groupBy(F.shiftrightunsigned("line_no", ROW_BITS).alias("part")).agg(
+        F.count("*").alias("n")
+    )
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    firsts = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    end = sizes.agg(F.lit(None).cast("long").alias("part"), F.coalesce(F.sum("n"), F.lit(0)).alias("first"))
+    state = firsts.unionByName(end).withColumn("first", F.col("first") + so_far)
+    state.coalesce(1).write.mode("overwrite").parquet(f"{output}/{STATE}/batch={batch_id}")
+
+
+def restored_lines(spark: SparkSession, output: str) -> DataFrame:
+    """The output of `restore_line_stream`, its lines numbered from 0 over all batches, in the order
+    of the batches. Repeated and restarted batches do not change the numbers of others."""
+    firsts = spark.read.schema(f"{FIRSTS}, batch LONG").parquet(f"{output}/{STATE}")
+    firsts = firsts.filter("part is not null").withColumnRenamed("part", "_part")
+    rows = spark.read.parquet(output).withColumn("batch", F.col("batch").cast("long"))
+    rows = rows.withColumn("_part", F.shiftrightunsigned("line_no", ROW_BITS))
+    row = F.col("line_no").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    numbered = lookup(rows, firsts, ["batch", "_part"])
+    return numbered.withColumn("line_no", F.col("first") + row).drop("_part", "first")
 
 
 def metrics_stream(
@@ -125,6 +171,38 @@ def metrics_stream(
     )
 
 
+def running_metrics_stream(
+    texts: DataFrame,
+    output: str,
+    checkpoint: str,
+    by: Sequence[str] = (),
+    profile: MarkProfile = ROMANIAN,
+) -> StreamingQuery:
+    """Tallies over everything read so far, kept in the state store by group and code.
+
+    Each batch writes the totals that it changed; `running_tallies` gives the last one of each. The
+    state is at most eleven numbers a group, however much was read.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+
+    return (
+        evaluation.tallies(texts, by=by, profile=profile)
+        .writeStream.foreachBatch(run)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def running_tallies(spark: SparkSession, output: str, by: Sequence[str] = ()) -> DataFrame:
+    """The totals after the last batch."""
+    parts = spark.read.parquet(output)
+    return parts.groupBy(*by, "code").agg(F.max_by("n", "batch").alias("n"))
+
+
 def merged_tallies(spark: SparkSession, output: str, by: Sequence[str] = ()) -> DataFrame:
     parts = spark.read.parquet(output)
     return parts.groupBy(*by, "code").agg(F.sum("n").alias("n"))

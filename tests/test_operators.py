@@ -46,6 +46,15 @@ def test_first_rows(spark, n):
     assert pairs(first_rows(df, n), "source_rank", "ord", "text") == want
 
 
+def test_filtered_with_a_limit_reads_the_corpus_once(spark, docs, tmp_path):
+    good = "și dacă fără după " * 30
+    docs(*[good + str(i) for i in range(30)], "bare").write.parquet(str(tmp_path / "c"))
+    first = corpus.filtered(spark.read.parquet(str(tmp_path / "c")), limit=7)
+    # what comes back was filtered by the pass that wrote it
+    assert not [f for f in first.inputFiles() if str(tmp_path / "c") in f]
+    assert sorted(r.ord for r in first.collect()) == list(range(7))
+
+
 def test_filtered_limit_counts_kept_documents(docs):
     good = "Și dacă țara după așa, fără casă când și ea. " * 8
     d = docs(good, "fara nimic " * 40, good, start=1)
@@ -445,6 +454,51 @@ def test_quantization_error_bound(spark):
     assert all(r.groups == r.again and [len(g.codes) for g in r.p] == [16, 16] for r in back)
 
 
+def test_half_precision_rounds_as_numpy_does(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    patterns = np.arange(0, 31 << 10, 7, dtype=np.uint16).view(np.float16).astype(np.float64)
+    middles = (patterns[:-1] + patterns[1:]) / 2
+    powers = [2.0**e * f for e in range(-26, 17) for f in (1 - 2**-23, 1.0, 1 + 2**-23, 1 + 2**-11)]
+    values = [*patterns, *middles, *powers, *np.exp(rng.uniform(-20, 12, 2000)), 0.0, 65519.9, 65520.0]
+    values = np.array(values).astype(np.float32)
+    df = spark.createDataFrame([(float(v),) for v in values], "x DOUBLE")
+    out = df.select("x", vectors.half(F.col("x")).alias("h")).collect()
+    with np.errstate(over="ignore"):
+        for r in out:
+            wanted = np.float16(np.float32(r.x))
+            assert (r.h.bits, r.h.value) == (int(wanted.view(np.uint16)), float(wanted)), r.x
+
+
+def test_stored_vectors_hold_the_bytes_of_single_precision_arithmetic(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    scales = [1e-6, 1e-3, 1.0, 40.0, 3e4]
+    rows = [(i, (rng.normal(size=64) * scales[i % 5]).astype(np.float32).tolist()) for i in range(60)]
+    rows += [(99, [0.0] * 64), (100, []), (101, None)]
+    df = spark.createDataFrame(rows, "id INT, v ARRAY<FLOAT>")
+    stored = df.withColumn("s", vectors.stored_vector(F.col("v")))
+    out = {r.id: r for r in stored.withColumn("back", vectors.loaded_vector(F.col("s"))).collect()}
+    for i, v in rows[:60]:
+        groups = np.array(v, np.float32).reshape(-1, 32)
+        scale = np.maximum(np.abs(groups).max(axis=1) / np.float32(7), np.float32(1e-8)).astype(np.float16)
+        wide = scale.astype(np.float32)[:, None]
+        codes = (np.rint(groups / wide).clip(-7, 7) + 8).astype(np.uint8).ravel()
+        assert bytes(out[i].s.packed) == (codes[0::2] | (codes[1::2] << 4)).tobytes()
+        assert bytes(out[i].s.scales) == scale.astype("<f2").tobytes()
+        again = ((codes.astype(np.float32) - 8).reshape(-1, 32) * wide).ravel()
+        assert out[i].back == again.tolist()
+    assert (bytes(out[99].s.packed), out[99].back) == (b"\x88" * 32, [0.0] * 64)
+    assert (bytes(out[100].s.packed), bytes(out[100].s.scales), out[100].back) == (b"", b"", [])
+    assert out[101].s is None and out[101].back is None
+    with pytest.raises(Exception, match="no multiple of 32"):
+        df.select(vectors.stored_vector(F.array(F.lit(1.0)))).collect()
+    with pytest.raises(Exception, match="no scale in half precision"):
+        df.select(vectors.stored_vector(F.array_repeat(F.lit(5e5), 32))).collect()
+
+
 def test_quantize_an_empty_vector(spark):
     df = spark.createDataFrame([([],)], "v ARRAY<DOUBLE>")
     assert vectors.vector_quantize(df, "v").first().groups == []

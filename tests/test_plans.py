@@ -282,6 +282,39 @@ def test_metrics_stream_merges_batches(spark, docs, tmp_path):
     assert metrics_summary(merged).first() == summary_of(texts).first()
 
 
+def test_running_metrics_go_on_after_a_restart(spark, docs, tmp_path):
+    from markspark.operators.evaluation import tallies
+
+    texts = docs("casă în țara", "așa", "fără apă", "țară").withColumn("lang", F.col("ord") % 2)
+    texts = texts.withColumn("restored", F.translate("text", "ăâîșț", "ăaist"))
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    for i in range(4):  # a run of its own for each text
+        texts.filter(F.col("ord") == i).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(texts.schema).parquet(str(tmp_path / "in"))
+        jobs.running_metrics_stream(stream, out, checkpoint, ["lang"]).awaitTermination()
+        so_far = tallies(texts.filter(F.col("ord") <= i), by=["lang"])
+        found = jobs.running_tallies(spark, out, ["lang"])
+        assert sorted(found.collect()) == sorted(so_far.select("lang", "code", "n").collect())
+
+
+def test_line_numbers_go_on_after_a_restart(spark, corpus_docs, tmp_path):
+    forms = lexicon.fit(corpus_docs)
+    folder, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    folder.mkdir()
+    texts = {"1": "dupa masa\n\nsi\n", "2": "Tara si casa\ndupa masa\n", "3": "asa\n", "4": ""}
+    for name, text in texts.items():
+        (folder / f"{name}.txt").write_text(text)
+        stream = jobs.line_stream(spark, str(folder))
+        jobs.restore_line_stream(stream, forms, out, checkpoint).awaitTermination()
+    found = [r.value for r in jobs.restored_lines(spark, out).orderBy("line_no").collect()]
+    assert found == ["dupa masa", "", "si", "Tara si casa", "dupa masa", "asa"]
+    numbers = [r.line_no for r in jobs.restored_lines(spark, out).collect()]
+    assert sorted(numbers) == list(range(6))
+    # the batch before has to be there, or numbers would start at 0 again
+    with pytest.raises(Exception):
+        jobs._write_firsts(spark, out, 9)
+
+
 # --- models -----------------------------------------------------------------------------------
 
 

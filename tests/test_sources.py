@@ -34,6 +34,33 @@ def test_parquet_documents_sample_by_id(spark, tmp_path):
     assert {r.doc_id for r in docs.collect()} == want
 
 
+def test_a_million_file_names_are_ranked_and_sent(spark, tmp_path):
+    """Names are numbered in parallel; texts are not moved to learn their file's place."""
+    n = 1_000_000
+    names = spark.range(n, numPartitions=8).select(
+        (F.col("id") % 3).cast("int").alias("path_no"),
+        F.format_string("s3a:/corpus/part=%d/%012d.parquet", F.col("id") % 3, F.col("id")).alias("name"),
+    )
+    ranks = sources.ranked_names(names.unionByName(names.withColumn("path_no", F.lit(9))))
+    texts = names.select(sources.name_key("name").alias("_key"), "name")
+    placed = sources.lookup(texts, ranks, ["_key"], sources.FILES_AT_ONCE, 16 * sources.FILES_AT_ONCE)
+    assert "Exchange hashpartitioning" not in placed._jdf.queryExecution().executedPlan().toString()
+    number = F.substring_index(F.substring_index("name", "/", -1), ".", 1).cast("long")
+    thirds = F.floor(number / 3) + F.when(number % 3 == 0, 0).when(
+        number % 3 == 1, (n + 2) // 3
+    ).otherwise((n + 2) // 3 + (n + 1) // 3)
+    assert placed.filter(F.coalesce(F.col("rank"), F.lit(-1)) != thirds).isEmpty()
+
+
+def test_odd_file_names_keep_their_order(spark, tmp_path):
+    folder = tmp_path / "a b%20c"
+    for name in ("z+1", "é 2", "a%"):
+        rows = spark.createDataFrame([(name, "t")], "id STRING, text STRING")
+        rows.coalesce(1).write.parquet(str(folder / name))
+    docs = sources.parquet_documents(spark, [str(folder / n) for n in ("é 2", "a%", "z+1")])
+    assert [r.doc_id for r in docs.orderBy("ord").collect()] == ["é 2", "a%", "z+1"]
+
+
 def test_missing_sources(spark, tmp_path):
     with pytest.raises(SourceUnavailable):
         sources.parquet_documents(spark, str(tmp_path / "none"))
