@@ -79,3 +79,19 @@ def split_metrics(
     """Letter accuracy of several splits (validation, corrections) side by side."""
     summary = evaluation.summary_of(restored, by=[by], profile=profile)
     return summary.select(by, F.col("candidate_accuracy"))
+
+
+def split_report(
+    usable: DataFrame,
+    corrections: DataFrame,
+    restore: Restore,
+    valid_every: int,
+    profile: MarkProfile = ROMANIAN,
+) -> DataFrame:
+    """Letter accuracy on the corrections beside that on the validation documents: how well a model
+    holds what it was corrected in, and whether it pays for that elsewhere. Both are restored in
+    one job. Without corrections there is no row for them."""
+    valid = corpus.validation(usable, valid_every).select("doc_id", "text")
+    known = corrections.select("doc_id", "text").withColumn("split", F.lit("corrections"))
+    texts = valid.withColumn("split", F.lit("valid")).unionByName(known)
+    return split_metrics(restore(texts), profile=profile)

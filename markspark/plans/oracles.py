@@ -615,6 +615,17 @@ ORACLES: dict[str, str] = {
     "stream_metrics": f"""with {RO}, st as (select lang, text, {strip('text')} as restored from ro),
       {tallies('st', 'lang')} select lang, {metrics()} from ta group by lang""",
 }
+ORACLES["corrections_beside_validation"] = f"""with {USABLE},
+  kn as (select item_id, {fix(f'nfc_normalize({ROMANISED_PLAIN})')} as text from benchmark),
+  tr as (select ord, text from us where not valid
+    union all select 1000000000 + item_id, text from kn, range(2)),
+  {FORMS.replace('from us where not valid', 'from tr')},
+  al as (select doc_id, 'valid' as split, text from us where valid
+    union all select 'c' || item_id, 'corrections', text from kn),
+  {restored('al', 'doc_id', 're0')},
+  re as (select split, text, restored from al join re0 using (doc_id)),
+  {tallies('re', 'split')}
+  select split, {metrics(['candidate_accuracy'])} from ta group by split"""
 ORACLES["stream_running_metrics"] = ORACLES["stream_metrics"]
 ORACLES["stream_lines"] = f"""with {USABLE}, {FORMS}, li as (select doc_id, concat_ws(chr(9), doc_id,
     translate(text, chr(13) || chr(10), '  ')) as text from ro),

@@ -547,6 +547,21 @@ def corrections_accuracy(spark, sf_dir):
     return rounded(evaluate.split_metrics(restored))
 
 
+def corrections_beside_validation(spark, sf_dir):
+    """A model that learned benchmark sentences as corrections, twice each, judged on both."""
+    docs = usable_table(spark, sf_dir)
+    sentences = table(spark, sf_dir, "benchmark").withColumn("text", F.expr(ROMANISED_PLAIN))
+    known = sources.table_documents(sentences, "item_id", rank=1).withColumn(
+        "text", marks.clean_text(F.col("text"))
+    )
+    train = corpus.training(docs, VALID_EVERY).select(*known.columns)
+    forms = lexicon.fit(corpus.mix_corrections(train, known, 2))
+    report = evaluate.split_report(
+        docs, known, lambda texts: lexicon.restore_frequent(texts, forms), VALID_EVERY
+    )
+    return rounded(report)
+
+
 def best_on_validation(spark, sf_dir):
     """Identity and most-frequent-form model, the better one on validation documents."""
     docs = corpus.with_split(usable_table(spark, sf_dir), VALID_EVERY)
@@ -838,7 +853,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         cross_repeat, corrections_mix,
         char_counts, alphabet_build, form_counts, fit_dictionary, dictionary_size, confusion,
         word_accuracy, precision_recall, candidate_accuracy, metrics_summary, eval_sample,
-        still_wrong, corrections_summary, split_counts, corrections_accuracy, best_on_validation,
+        still_wrong, corrections_summary, split_counts, corrections_accuracy,
+        corrections_beside_validation, best_on_validation,
         windows_train, windows_plan, window_stitch,
         restore_frequent, identity, train_context, restore_context, candidate_log_loss,
         threshold_sweep, train_letter_classifier, count_letter_classifier, score_windows, vector_quantize, quantization_error,

@@ -232,6 +232,19 @@ def test_a_hot_key_is_spread_over_the_partitions(spark):
     assert len(by_part) >= 8 and max(r["count"] for r in by_part) <= 2 * 36_000 / 8
 
 
+def test_split_report_sets_corrections_beside_validation(corpus_docs, docs):
+    known = docs("fără", "țară", start=900)
+    bare = lambda texts: texts.withColumn("restored", F.translate("text", "ăâîșț", "aaist"))
+    as_is = lambda texts: texts.withColumn("restored", F.col("text"))
+    report = lambda restore, sentences: {
+        r.split: r.candidate_accuracy
+        for r in evaluate.split_report(corpus_docs, sentences, restore, 2).collect()
+    }
+    assert report(as_is, known) == {"valid": 1.0, "corrections": 1.0}
+    assert report(bare, known)["corrections"] == 1 / 5  # of ă ă, ț a ă, the a alone
+    assert set(report(as_is, known.limit(0))) == {"valid"}
+
+
 # --- streams ----------------------------------------------------------------------------------
 
 
