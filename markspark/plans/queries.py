@@ -765,7 +765,8 @@ def quantization_error(spark, sf_dir):
 
 def _document_stream(spark, sf_dir) -> DataFrame:
     schema = table(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(schema).parquet(sf_dir, pathGlobFilter="documents.parquet")
+    # a pattern, since a stream takes a single file by no other path; a folder of files fits as well
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/[d]ocuments.parquet")
     # The table is one file, hence one partition of one batch.
     stream = stream.repartition(spark.sparkContext.defaultParallelism, "doc_id")
     return sources.table_documents(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from markspark.operators import context, lexicon
 from markspark.operators.lookup import lookup
-from markspark.plans import dataset, evaluate
+from markspark.plans import dataset, evaluate, queries
 from markspark.settings import CorpusSettings, ModelSettings, Settings, WindowSettings
 from markspark.sources import documents as sources
 from markspark.sources import sinks
@@ -377,3 +377,21 @@ def test_reports_of_any_restorer(spark, corpus_docs, docs):
     wrong, totals = evaluate.corrections_report(docs("fără", "bine"), identity)
     assert [tuple(r) for r in wrong.collect()] == [("0", "fara", "fără")]
     assert (totals.first().sentences, totals.first().still_wrong) == (2, 1)
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_streams_read_a_file_and_a_folder_of_files(spark, tmp_path, files):
+    """The table of documents may be one file, or a folder that Spark wrote."""
+    rows = [(i, "Și dacă așa țara " * 20, "ro", "web") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, source STRING")
+    df.repartition(files).write.parquet(str(tmp_path / "written"))
+    table = tmp_path / "t" / "documents.parquet"
+    table.parent.mkdir()
+    if files == 1:
+        next((tmp_path / "written").glob("*.parquet")).rename(table)
+    else:
+        (tmp_path / "written").rename(table)
+    (table.parent / "other.parquet").write_text("no table")
+    for name in ("stream_restore", "stream_filter"):
+        assert queries.QUERIES[name](spark, str(table.parent)).count() == 12
+    assert queries.QUERIES["stream_metrics"](spark, str(table.parent)).count() == 1
