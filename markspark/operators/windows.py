@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from markspark.language import FIRST_CHAR_ID, LABEL_NONE, PAD_ID, ROMANIAN, UNK_ID, MarkProfile
 
@@ -186,19 +187,23 @@ def windows_text(
 def window_stitch(
     scored: DataFrame, key: str, value: str, output: str, rows: DataFrame | None = None
 ) -> DataFrame:
-    """Per `key`, which names a row, the kept part of every window's array `value`, in order.
+    """Per `key`, which names a row, the kept part of every window's `value`, in order.
 
-    `scored` holds `win_no`, `start`, `keep_from`, `keep_to` and one array per window; the
-    arrays are cut before they are grouped, so only kept positions are shuffled. With `rows`,
-    the table the windows were made from, rows without a window (of empty or missing texts) are
-    in the result as well, with a null.
+    `scored` holds `win_no`, `start`, `keep_from`, `keep_to` and one value per window: an array, or
+    a text, which takes a fraction of an array of its characters when it is shuffled. Values are
+    cut before they are grouped, so only kept positions are shuffled. With `rows`, the table the
+    windows were made from, rows without a window (of empty or missing texts) are in the result as
+    well, with a null.
     """
-    kept = F.slice(
+    is_text = isinstance(scored.schema[value].dataType, StringType)
+    cut = F.substring if is_text else F.slice
+    kept = cut(
         F.col(value), F.col("keep_from") - F.col("start") + 1, F.col("keep_to") - F.col("keep_from")
     )
     parts = scored.select(key, "win_no", kept.alias("part"))
     whole = stitch_parts(parts.select(key).distinct() if rows is None else rows, parts, key, "part")
-    return whole.withColumn("part", F.flatten("part")).withColumnRenamed("part", output)
+    joined = F.array_join("part", "") if is_text else F.flatten("part")
+    return whole.withColumn("part", joined).withColumnRenamed("part", output)
 
 
 def stitch_parts(rows: DataFrame, parts: DataFrame, row_id: str, part: str) -> DataFrame:

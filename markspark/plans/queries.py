@@ -608,9 +608,8 @@ def window_stitch(spark, sf_dir):
     """The kept parts of all windows, put together, are the text."""
     docs = romanised(spark, sf_dir).select("doc_id", "text")
     pieces = windows.windows_text(docs, WINDOW, OVERLAP)
-    letters = pieces.withColumn("letters", marks.chars(F.col("piece")))
-    whole = windows.window_stitch(letters, "doc_id", "letters", "letters", docs)
-    return whole.select("doc_id", F.coalesce(joined("letters", ""), "text").alias("text"))
+    whole = windows.window_stitch(pieces, "doc_id", "piece", "whole", docs)
+    return whole.select("doc_id", F.coalesce("whole", "text").alias("text"))
 
 
 # --- models -----------------------------------------------------------------------------------
