@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,16 +135,37 @@ def diff_chars(texts: DataFrame, before: str, after: str) -> DataFrame:
     """One row per position where two texts of equal length differ: the other columns,
     `pos`, `from_ch`, `to_ch`. Only differing positions are exploded."""
     others = [c for c in texts.columns if c not in (before, after)]
-    pairs = F.zip_with(
-        marks.chars(F.col(before)),
-        marks.chars(F.col(after)),
-        lambda a, b: F.struct(a.alias("a"), b.alias("b")),
-    )
-    placed = F.transform(
-        pairs, lambda p, i: F.struct(i.alias("pos"), p.a.alias("from_ch"), p.b.alias("to_ch"))
-    )
-    changed = F.filter(placed, lambda p: ~p.from_ch.eqNullSafe(p.to_ch))
-    return texts.select(*others, F.inline(changed))
+    found = F.arrow_udf(_differences, "array<struct<pos:int,from_ch:string,to_ch:string>>")
+    found = found.asNondeterministic()  # or Spark works it out a second time, to leave out empty arrays
+    return texts.select(*others, found(before, after).alias("_found")).select(*others, F.inline("_found"))
+
+
+def _differences(before: pa.Array, after: pa.Array) -> pa.Array:
+    """Text by text the positions that differ, compared as arrays of code points. Where one text is
+    longer, its other characters differ from nothing (null)."""
+    none = 0xFFFFFFFF
+    places, old, new = [np.empty(0, np.int32)], [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
+    counts = np.zeros(len(before), np.int32)
+    for i, texts in enumerate(zip(before.to_pylist(), after.to_pylist())):
+        if None in texts or texts[0] == texts[1]:
+            continue
+        a, b = (np.frombuffer(t.encode("utf-32-le"), "<u4") for t in texts)
+        n = max(len(a), len(b))
+        a, b = (np.pad(x, (0, n - len(x)), constant_values=none) for x in (a, b))
+        at = np.flatnonzero(a != b)
+        counts[i] = len(at)
+        places.append(at.astype(np.int32))
+        old.append(a[at])
+        new.append(b[at])
+
+    def characters(points: np.ndarray) -> pa.Array:
+        known, which = np.unique(points, return_inverse=True)
+        names = pa.array([None if c == none else chr(c) for c in known], pa.string())
+        return names.take(pa.array(which))
+
+    columns = [pa.array(np.concatenate(places)), *(characters(np.concatenate(x)) for x in (old, new))]
+    ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, ["pos", "from_ch", "to_ch"]))
 
 
 def restore_grouped(

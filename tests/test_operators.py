@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from markspark.functions import marks
+from markspark.functions import codec, marks
 from markspark.operators import (
     alphabet,
     classifier,
@@ -686,3 +686,47 @@ def test_windows_are_put_together_in_their_row(docs):
     out = scoring.restore_scored(texts, lambda: marking_a, 32, 8, 0.5)
     assert pairs(out, "doc_id", "restored") == want
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_stitched_as_texts(docs):
+    """The same as by arrays of characters, without one element a character in the shuffle."""
+    rows = docs("abcdefgh🙃jklmnopqrstuvwxyz" * 3, "short", "", None, "ăș\n" * 20)
+    pieces = windows.windows_text(rows.select("doc_id", "text"), 16, 4)
+    whole = windows.window_stitch(pieces, "doc_id", "piece", "whole", rows)
+    assert whole.schema["whole"].dataType.typeName() == "string"
+    assert {r.doc_id: r.whole for r in whole.collect()} == {
+        r.doc_id: r.text or None for r in rows.collect()
+    }
+
+
+def test_diffs_of_other_lengths_and_wide_characters(spark):
+    rows = [(1, "a🙃b", "a🙂b"), (2, "ab", "abcd"), (3, "abc", "x"), (4, None, "a"), (5, "a", None),
+            (6, "", ""), (7, "", "q"), (8, "same", "same"), (2, "\x00a", "\x00b")]
+    df = spark.createDataFrame(rows, "id INT, a STRING, b STRING").repartition(2)
+    got = longtext.diff_chars(df, "a", "b")
+    found = sorted(map(tuple, got.select("id", "pos", "from_ch", "to_ch").collect()), key=repr)
+    assert found == sorted(
+        [(1, 1, "🙃", "🙂"), (2, 2, None, "c"), (2, 3, None, "d"), (3, 0, "a", "x"), (3, 1, "b", None),
+         (3, 2, "c", None), (7, 0, None, "q"), (2, 1, "a", "b")], key=repr
+    )
+    # characters are compared in Arrow batches, once, and not one by one in lambdas
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambdafunction" not in plan
+
+
+def test_scored_texts_are_decoded_where_they_are_scored(docs):
+    """The same letters as by `decode_restore`, but labels and confidences do not leave the task."""
+    def steady(texts):
+        return [np.array([[(ord(c) * 7 + k * 5) % 11 / 10 for k in range(3)] for c in t]).reshape(-1, 3) for t in texts]
+
+    texts = docs("aist AIST ăâîșț 🙃" * 30, "", None, "tsia", "ÎȘŢţ xyz")
+    stripped = texts.withColumn("text", marks.fix_and_strip(F.col("text")))
+    scored = scoring.score_texts(stripped.filter("text <> ''"), lambda: steady, 32, 8)
+    predictions = F.arrays_zip(F.col("pred").alias("label"), F.col("confidence"))
+    for least in (0.0, 0.7, 1.0):
+        want = scored.select("doc_id", codec.decode_restore(F.col("text"), predictions, least).alias("r"))
+        out = scoring.restore_scored(texts, lambda: steady, 32, 8, least)
+        assert pairs(out.filter("restored <> ''"), "doc_id", "restored") == pairs(want, "doc_id", "r")
+    assert {r.doc_id: r.restored for r in out.collect() if not r.restored} == {"1": "", "2": None}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan
