@@ -27,8 +27,12 @@ BITS_PER_KEY = 10
 HASHES = 4
 FREQUENT = 100_000
 """Entries that are answered in place."""
-PART_BYTES = 16 * 1024 * 1024
+PART_BYTES = 1024 * 1024
+"""A part is in a Python task's memory as a whole, with some thirty times these bytes: its texts, their keys
+of all levels, and the answers."""
 MOST_BUCKETS = 10_000
+SOURCE = "_source"
+"""What keys are made from, where that is not a column."""
 _PART_BITS = 24  # parts of one task; the task's number lies above
 
 
@@ -149,13 +153,15 @@ def lookup_in_place(
     size: Column,
     frequent: int = FREQUENT,
     filter_bytes: int = FILTER_BYTES,
+    source: Column | None = None,
 ) -> DataFrame:
     """What `lookup.lookup_in_rows` does, for a table (`key` unique, and values) of any size.
 
     `keys` are arrays of equal lengths, tried in turn; `output` is an array with a struct of the values
     for each place, null where no key is known. `size` tells a row's bytes, about. Rows are written
     once and otherwise stay where they are; there is one row out for every row in, and a row whose
-    arrays are null gets an empty array. Null keys are known to no table.
+    arrays are null gets an empty array. Null keys are known to no table. `source` is what keys may
+    use under the name of `SOURCE`; it is worked out once for all of them, and not stored.
     """
     levels = len(keys)
     values = [c for c in table.columns if c != "key"]
@@ -167,10 +173,15 @@ def lookup_in_place(
 
     key_columns = [f"_keys{i}" for i in range(levels)]
     hash_columns = [f"_hashes{i}" for i in range(levels)]
-    keyed = rows.select(part, row, *[k.alias(n) for k, n in zip(keys, key_columns)])
 
-    def asking(known: lookups.InMemory, source: DataFrame) -> DataFrame:
-        hashed = source.withColumns(
+    def with_keys(*columns: str) -> DataFrame:
+        found = rows if source is None else rows.select(*columns, source.alias(SOURCE))
+        return found.select(*columns, *[k.alias(n) for k, n in zip(keys, key_columns)])
+
+    keyed = with_keys(part, row)
+
+    def asking(known: lookups.InMemory, rows: DataFrame) -> DataFrame:
+        hashed = rows.withColumns(
             {
                 h: F.transform(k, lambda x: F.xxhash64(x))
                 for h, k in zip(hash_columns, key_columns)
@@ -179,8 +190,8 @@ def lookup_in_place(
         find = _asking(known, words, levels)
         return hashed.withColumn("_ask", find(*key_columns, *hash_columns)).drop(*hash_columns)
 
-    def exploded(source: DataFrame) -> DataFrame:
-        asks = source.select(part, row, *key_columns, F.explode("_ask").alias("a"))
+    def exploded(rows: DataFrame) -> DataFrame:
+        asks = rows.select(part, row, *key_columns, F.explode("_ask").alias("a"))
         of_level = [
             F.when(F.col("a.level") == i, F.get(k, F.col("a.nth"))) for i, k in enumerate(key_columns)
         ]
@@ -192,7 +203,8 @@ def lookup_in_place(
     known = table.join(counts, "key").orderBy(F.desc("_n"), "key").limit(frequent)
     known = lookups.in_memory(materialize(known.select(*table.columns), "frequent"))
 
-    asked = exploded(asking(known, keyed))
+    # written, since the look-up reads them three times, and keys take longer to work out than to read
+    asked = materialize(exploded(asking(known, keyed)), "asked")
     found = lookups.lookup(
         asked, table.withColumn("value", F.struct(*values)).select("key", "value"), ["key"], fits=False
     )
@@ -200,7 +212,7 @@ def lookup_in_place(
         F.col(part).alias("_to_part"), F.col(row).alias("_to_row"), "nth", "level", "value"
     )
 
-    full = rows.select(*kept, part, row, *[k.alias(n) for k, n in zip(keys, key_columns)])
+    full = with_keys(*kept, part, row)
     shared, kind = known.arrays, found.schema["value"].dataType
     schema = T.StructType([*df.schema.fields, T.StructField(output, T.ArrayType(kind))])
 

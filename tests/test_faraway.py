@@ -49,3 +49,25 @@ def test_no_rows(spark):
     one = spark.createDataFrame([(["a"],)], "w ARRAY<STRING>")
     found = faraway.lookup_in_place(one, [F.col("w")], table.limit(0), "found", F.lit(1)).first().found
     assert found == [None]
+
+
+def test_a_part_is_a_bounded_share_of_a_task(spark):
+    """Parts come into a Python task whole, with several keys for each letter: they have to be small."""
+    texts = spark.range(12).select("id", F.repeat(F.lit("x"), 400_000).alias("text")).repartition(1)
+    parts = faraway.in_parts(texts, F.octet_length("text"), "part", "row")
+    sizes = [r.n for r in parts.groupBy("part").agg(F.sum(F.length("text")).alias("n")).collect()]
+    assert len(sizes) >= 4 and max(sizes) <= 2 << 20 and sum(sizes) == 12 * 400_000
+
+
+def test_what_is_asked_is_worked_out_once_for_the_look_up(spark, monkeypatch):
+    """Questions are written before the look-up, which reads them three times."""
+    names = []
+    kept = faraway.materialize
+    monkeypatch.setattr(faraway, "materialize", lambda df, name: names.append(name) or kept(df, name))
+    df = spark.createDataFrame([("a b",), ("b c",), (None,)], "text STRING")
+    table = spark.createDataFrame([("a", 1), ("c", 2)], "key STRING, n LONG")
+    got = faraway.lookup_in_place(
+        df, [F.col(faraway.SOURCE)], table, "found", F.lit(1), source=F.split("text", " ")
+    )
+    assert got.columns == ["text", "found"] and "asked" in names
+    assert {r.text: [f and f.n for f in r.found] for r in got.collect()} == {"a b": [1, None], "b c": [None, 2], None: []}
