@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markspark.operators.lookup import lookup
+from markspark.operators.lookup import in_memory, lookup, lookup_in_rows
 from markspark.storage import materialize
 
 FEATURES = ("f_self", "f_l1", "f_r1", "f_l2", "f_r2", "f_l3", "f_r3", "f_c1", "f_c2", "f_c3")
@@ -153,17 +153,22 @@ def classify_by_counts(
     """Adds `pred` and `confidence`; equal odds give the lowest label.
 
     Features of one letter overlap, so each counts by `shrink` only. Distinct contexts are scored, and
-    their answers looked up for the rows; weights are at most `buckets` rows, and broadcast.
+    their answers looked up for the rows; weights are at most `buckets` rows, and looked up by Arrow
+    where the contexts lie.
     """
     weights = log_odds(counts, alpha, buckets)
     unseen = unseen_weights(counts, alpha, buckets)
     contexts = rows.select("ctx").distinct()
     featured = with_features(contexts, size)
-    featured = featured.select("ctx", F.explode(_buckets(buckets)).alias("bucket"))
-    known = featured.join(F.broadcast(weights.filter("bucket >= 0")), "bucket", "left")
-    sums = known.groupBy("ctx").agg(
-        *[F.sum(F.coalesce(f"w{k}", F.lit(unseen[k - 1]))).alias(f"s{k}") for k in LABELS[1:]]
-    )
+    known = in_memory(weights.filter("bucket >= 0").withColumnRenamed("bucket", "key"))
+    featured = featured.select("ctx", _buckets(buckets).alias("_buckets"))
+    found = lookup_in_rows(featured, [F.col("_buckets")], known, "_found")
+
+    def total(k: int) -> Column:
+        add = lambda s, w: s + F.coalesce(w[f"w{k}"], F.lit(unseen[k - 1]))
+        return F.aggregate("_found", F.lit(0.0), add).alias(f"s{k}")
+
+    sums = found.select("ctx", *[total(k) for k in LABELS[1:]])
     bias = weights.filter("bucket = -1").select(F.col("w1").alias("b1"), F.col("w2").alias("b2"))
     scored = sums.join(F.broadcast(bias))  # one row
     odds = [F.lit(0.0), *[F.col(f"b{k}") + shrink * F.col(f"s{k}") for k in LABELS[1:]]]

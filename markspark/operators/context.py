@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from markspark.functions import codec, marks
 from markspark.operators import lookup as lookups
-from markspark.operators.faraway import lookup_in_place
+from markspark.operators.faraway import SOURCE, lookup_in_place
 from markspark.operators.evaluation import metrics_summary
 from markspark.operators.lexicon import woven
 from markspark.language import ROMANIAN, MarkProfile
@@ -75,6 +75,14 @@ def context_rows(
     )
 
 
+def counted_rows(rows: DataFrame, by: Sequence[str] = (), name: str = "n") -> DataFrame:
+    """`by..., letter, label, ctx, name`: equal letters of `context_rows` counted, in each task before
+    the shuffle, and written once. What is worked out for a letter then is worked out once for all
+    its equals, and the texts are taken apart once, however often the rows are read."""
+    counts = rows.groupBy(*by, "letter", "label", "ctx").agg(F.count("*").alias(name))
+    return materialize(counts, "counted-letters")
+
+
 def _shorter(ctx: Column, size: int, k: int) -> Column:
     return F.substring(ctx, size - k + 1, 2 * k + 1)
 
@@ -164,7 +172,20 @@ def _found_by_shuffle(
     answers = lookups.lookup(
         asked, table.withColumnRenamed("ctx", "_ctx"), ["k", "_ctx"], fits=False
     )
-    best = answers.filter(F.col("hit").isNotNull()).groupBy("ctx").agg(F.max("hit").alias("_hit"))
+    # numbers per length instead of the greatest struct, which would make Spark sort all answers
+    known = [
+        F.max(F.when(F.col("k") == k, F.col(f"hit.n{i}"))).alias(f"n{i}_{k}") for k in sizes for i in range(3)
+    ]
+    best = answers.filter(F.col("hit").isNotNull()).groupBy("ctx").agg(*known)
+    kind = table.schema["k"].dataType
+    of_length = [
+        F.when(
+            F.col(f"n0_{k}").isNotNull(),
+            F.struct(F.lit(k).cast(kind).alias("k"), *[F.col(f"n{i}_{k}").alias(f"n{i}") for i in range(3)]),
+        )
+        for k in sorted(sizes, reverse=True)
+    ]
+    best = best.select("ctx", F.coalesce(*of_length).alias("_hit"))
     return lookups.lookup(rows, materialize(best, "contexts"), ["ctx"], counts=counts)
 
 
@@ -216,14 +237,14 @@ def restore_context(
     contexts = _contexts(fixed, size, profile)
     table = model.select("k", "ctx", "n0", "n1", "n2")
     # a context's length tells its level
-    keys = [_all_shorter(contexts, size, k) for k in sizes]
+    keys = [_all_shorter(F.col(SOURCE), size, k) for k in sizes]
     levels = table.filter(F.col("k").isin(*sizes))
     levels = levels.select(F.col("ctx").alias("key"), "n0", "n1", "n2")
     known = known or loaded(model, sizes, max_rows, max_bytes)
     if known is not None:
-        found = lookups.lookup_in_rows(documents, keys, known, "_hits")
+        found = lookups.lookup_in_rows(documents.withColumn(SOURCE, contexts), keys, known, "_hits")
     else:
-        found = lookup_in_place(documents, keys, levels, "_hits", F.octet_length(text))
+        found = lookup_in_place(documents, keys, levels, "_hits", F.octet_length(text), source=contexts)
     letters = F.transform(_letters(fixed, profile), lambda c: marks.strip_marks(c, profile))
     decoded = F.zip_with(letters, F.col("_hits"), lambda c, h: _decoded(c, h, threshold, profile))
     restored = woven(F.split(fixed, _letter_class(profile), -1), decoded)
@@ -261,20 +282,22 @@ def threshold_sweep(
     steps: int = 10,
     by: Sequence[str] = (),
     profile: MarkProfile = ROMANIAN,
+    weight: str | None = None,
 ) -> DataFrame:
     """Metrics for every threshold 0, 1/steps, ... 1 from rows with `letter`, `label`, `pred`
     and `confidence`.
 
     Letters are first counted by how many thresholds they pass; only those few counts are
-    multiplied by the thresholds.
+    multiplied by the thresholds. `weight` names a column by which a row counts more than once.
     """
+    unit = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     thresholds = F.array(*[F.lit(i / steps) for i in range(steps + 1)])
     passed = F.size(F.filter(thresholds, lambda t: t <= F.col("confidence")))
     fits = codec.mark_letter(F.col("letter"), F.col("pred"), profile) != F.col("letter")
     pred = F.when(fits, F.col("pred")).otherwise(F.lit(0).cast("tinyint"))
     counts = scored.groupBy(
         *by, "label", pred.alias("pred"), passed.alias("passed")
-    ).agg(F.count("*").alias("n"))
+    ).agg(F.sum(unit).alias("n"))
     per_threshold = counts.select(
         *by, "label", "pred", "passed", "n", F.posexplode(thresholds).alias("i", "threshold")
     )

@@ -123,10 +123,14 @@ def tallies(
     return exploded.groupBy(*by, "code").agg(F.sum("n").alias("n"))
 
 
-def pair_tallies(rows: DataFrame, true: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
-    """`tallies` from rows that hold one true and one predicted label each."""
+def pair_tallies(
+    rows: DataFrame, true: str, pred: str, by: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
+    """`tallies` from rows that hold one true and one predicted label each. `weight` names a column
+    by which a row counts more than once."""
     code = (F.col(true) * N_LABELS + F.col(pred)).cast("int")
-    return rows.groupBy(*by, code.alias("code")).agg(F.count("*").alias("n"))
+    unit = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    return rows.groupBy(*by, code.alias("code")).agg(F.sum(unit).alias("n"))
 
 
 def _cell(true: int, pred: int) -> Column:
@@ -235,10 +239,16 @@ def corrections_summary(
 
 
 def candidate_log_loss(
-    rows: DataFrame, p_true: str = "p_true", by: Sequence[str] = ()
+    rows: DataFrame, p_true: str = "p_true", by: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
-    """Mean cross-entropy over candidate rows; 0 when there are none."""
-    loss = F.coalesce(F.avg(-F.log(F.col(p_true))), F.lit(0.0))
+    """Mean cross-entropy over candidate rows; 0 when there are none. `weight` names a column by which
+    a row counts more than once."""
+    lost = -F.log(F.col(p_true))
+    mean = F.avg(lost)
+    if weight:
+        given = F.sum(F.when(lost.isNotNull(), F.col(weight)))
+        mean = F.try_divide(F.sum(lost * F.col(weight)), given.cast("double"))
+    loss = F.coalesce(mean, F.lit(0.0))
     return rows.groupBy(*by).agg(loss.alias("log_loss"))
 
 

@@ -23,20 +23,25 @@ def lower_bound(hits: Column, n: Column, z: float = Z) -> Column:
 
 
 def precision_curve(
-    scored: DataFrame, by: Sequence[str] = (), profile: MarkProfile = ROMANIAN
+    scored: DataFrame,
+    by: Sequence[str] = (),
+    profile: MarkProfile = ROMANIAN,
+    weight: str | None = None,
 ) -> DataFrame:
     """`by..., confidence, placed, correct`: the marks that would be set, and rightly set, if each
     confidence that occurs were the threshold.
 
     From rows with `letter`, `label`, `pred` and `confidence`. Rows are counted by confidence first;
     the sums from the top down are taken by ranges of confidences, with one row of totals for each
-    range and group, so that a group with any number of confidences is no single task's.
+    range and group, so that a group with any number of confidences is no single task's. `weight`
+    names a column by which a row counts more than once.
     """
     by = list(by)
+    unit = F.col(weight) if weight else F.lit(1)
     sets = codec.mark_letter(F.col("letter"), F.col("pred"), profile) != F.col("letter")
     right = F.col("pred") == F.col("label")
     counts = scored.filter(sets).groupBy(*by, "confidence").agg(
-        F.count("*").alias("n"), F.sum(right.cast("long")).alias("hits")
+        F.sum(unit.cast("long")).alias("n"), F.sum(right.cast("long") * unit).alias("hits")
     )
     ranges = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = counts.repartitionByRange(ranges, F.desc("confidence"))
@@ -67,17 +72,27 @@ def choose_threshold(
     by: Sequence[str] = (),
     z: float = Z,
     profile: MarkProfile = ROMANIAN,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per group: `threshold`, the smallest confidence with which the precision is `precision`
     or more even at the lower end of its confidence interval, `placed`, `correct`, `lower` and
     `marked`, the letters that carry a mark. Where no threshold is good enough, the first four are null.
+
+    Rows are counted once, by all that matters here; `weight` names a column by which a row counts
+    more than once.
     """
     by = list(by)
-    curve = precision_curve(scored, by, profile)
+    unit = F.col(weight) if weight else F.lit(1)
+    counted = scored.groupBy(*by, "letter", "label", "pred", "confidence").agg(
+        F.sum(unit.cast("long")).alias("_times")
+    )
+    counted = materialize(counted, "scored-letters")
+    curve = precision_curve(counted, by, profile, "_times")
     curve = curve.withColumn("lower", lower_bound(F.col("correct"), F.col("placed"), z))
     good = F.struct("confidence", "placed", "correct", "lower")
     best = curve.filter(F.col("lower") >= precision).groupBy(*by).agg(F.min(good).alias("best"))
-    marked = scored.groupBy(*by).agg(F.sum((F.col("label") != 0).cast("long")).alias("marked"))
+    has_mark = (F.col("label") != 0).cast("long")
+    marked = counted.groupBy(*by).agg(F.sum(has_mark * F.col("_times")).alias("marked"))
     best = best.select(*[F.col(c).alias(f"_{c}") for c in by], "best")
     same = F.lit(True)
     for c in by:

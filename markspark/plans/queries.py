@@ -659,34 +659,37 @@ def restore_context_large(spark, sf_dir):
 
 
 def choose_threshold(spark, sf_dir):
-    chosen = threshold.choose_threshold(_scored_letters(spark, sf_dir), 0.6, ["lang"])
+    chosen = threshold.choose_threshold(
+        _scored_letters(spark, sf_dir), 0.6, ["lang"], weight="times"
+    )
     return rounded(longs(chosen))
 
 
 def _scored_letters(spark, sf_dir) -> DataFrame:
+    """Validation letters, equal ones as one row that stands for `times` letters, scored."""
     docs = usable_table(spark, sf_dir)
     valid = corpus.validation(docs, VALID_EVERY).select("doc_id", "lang", "text")
-    return context.score(context.context_rows(valid), _context_model(docs))
+    rows = context.counted_rows(context.context_rows(valid), ["lang"], "times")
+    return context.score(rows, _context_model(docs))
 
 
 def candidate_log_loss(spark, sf_dir):
     scored = _scored_letters(spark, sf_dir)
     rows = scored.withColumn("p_true", context.label_probability(F.col("label")))
-    return rounded(evaluation.candidate_log_loss(rows, by=["lang"]), 6)
+    return rounded(evaluation.candidate_log_loss(rows, by=["lang"], weight="times"), 6)
 
 
 def threshold_sweep(spark, sf_dir):
-    return rounded(context.threshold_sweep(_scored_letters(spark, sf_dir)))
+    return rounded(context.threshold_sweep(_scored_letters(spark, sf_dir), weight="times"))
 
 
 def train_letter_classifier(spark, sf_dir):
     docs = usable_table(spark, sf_dir).select("doc_id", "lang", "text")
     train = context.context_rows(corpus.training(docs, VALID_EVERY))
     model = classifier.train_letter_classifier(train, max_iter=8)
-    rows = classifier.classify_letters(
-        context.context_rows(corpus.validation(docs, VALID_EVERY)), model
-    )
-    counts = evaluation.pair_tallies(rows, "label", "pred", ["lang"])
+    valid = context.context_rows(corpus.validation(docs, VALID_EVERY))
+    rows = classifier.classify_letters(context.counted_rows(valid, ["lang"], "times"), model)
+    counts = evaluation.pair_tallies(rows, "label", "pred", ["lang"], "times")
     return rounded(evaluation.metrics_summary(counts, ["lang"]).drop("word_accuracy"))
 
 
@@ -696,9 +699,10 @@ def count_letter_classifier(spark, sf_dir):
     train = context.context_rows(corpus.training(docs, VALID_EVERY))
     counts = materialize(classifier.letter_counts(train), "letter-counts")
     rows = context.context_rows(corpus.validation(docs, VALID_EVERY))
-    scored = classifier.classify_by_counts(rows, counts)
+    scored = classifier.classify_by_counts(context.counted_rows(rows, ["lang"], "times"), counts)
     tallies = scored.groupBy("lang", "label", "pred").agg(
-        F.count("*").alias("n"), F.avg("confidence").alias("confidence")
+        F.sum("times").alias("n"),
+        (F.sum(F.col("confidence") * F.col("times")) / F.sum("times")).alias("confidence"),
     )
     return rounded(longs(tallies), 6)
 

@@ -730,3 +730,47 @@ def test_scored_texts_are_decoded_where_they_are_scored(docs):
     assert {r.doc_id: r.restored for r in out.collect() if not r.restored} == {"1": "", "2": None}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "zip_with" not in plan
+
+
+def test_counted_letters_give_what_letters_give(docs):
+    """A row that stands for several equal letters: the same thresholds, losses, sweeps and tallies."""
+    train = docs("casă și masă", "țara și casa", "așa și așa", "masa și așă")
+    model = context.train(context.context_rows(train.select("doc_id", "text"))).cache()
+    texts = docs("casă și masa", "așa și țara", "casa și așă", "casă și masa", "", "xyz").withColumn("lang", F.col("ord") % 2)
+    rows = context.context_rows(texts.select("doc_id", "lang", "text"))
+    counted = context.counted_rows(rows, ["lang"], "times")
+    assert counted.count() < rows.count() == counted.agg(F.sum("times")).first()[0]
+    for fits in (True, False):
+        one, many = (context.score(r, model, fits=fits) for r in (rows, counted))
+        assert sorted(threshold.choose_threshold(one, 0.3, ["lang"]).collect()) == sorted(
+            threshold.choose_threshold(many, 0.3, ["lang"], weight="times").collect()
+        )
+        assert sorted(context.threshold_sweep(one).collect()) == sorted(
+            context.threshold_sweep(many, weight="times").collect()
+        )
+        assert sorted(evaluation.pair_tallies(one, "label", "pred", ["lang"]).collect()) == sorted(
+            evaluation.pair_tallies(many, "label", "pred", ["lang"], "times").collect()
+        )
+        one, many = (s.withColumn("p_true", context.label_probability(F.col("label"))) for s in (one, many))
+        want = {r.lang: r.log_loss for r in evaluation.candidate_log_loss(one, by=["lang"]).collect()}
+        got = {r.lang: r.log_loss for r in evaluation.candidate_log_loss(many, by=["lang"], weight="times").collect()}
+        assert got == pytest.approx(want)
+
+
+def test_contexts_are_classified_where_they_lie(docs):
+    """Weights are looked up in arrays: one row per context on the way, not one per feature."""
+    rows = context.context_rows(docs("casă și masă", "țara și casa").select("doc_id", "text"))
+    counts = classifier.letter_counts(rows)
+    names = []
+    kept = classifier.materialize
+
+    def noted(df, name):
+        names.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df, name)
+
+    classifier.materialize = noted
+    try:
+        assert classifier.classify_by_counts(rows, counts).count() == rows.count()
+    finally:
+        classifier.materialize = kept
+    assert "ArrowEvalPython" in names[0] and "Generate explode(" not in names[0]
