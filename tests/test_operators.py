@@ -760,9 +760,9 @@ def test_counted_letters_give_what_letters_give(docs):
 def test_contexts_are_classified_where_they_lie(docs):
     """Weights are looked up in arrays: one row per context on the way, not one per feature."""
     rows = context.context_rows(docs("casă și masă", "țara și casa").select("doc_id", "text"))
-    counts = classifier.letter_counts(rows)
     names = []
     kept = classifier.materialize
+    counts = kept(classifier.letter_counts(rows), "counts")
 
     def noted(df, name):
         names.append(df._jdf.queryExecution().optimizedPlan().toString())
