@@ -45,7 +45,7 @@ from markspark.llm.common import (
 )
 from markspark.llm.components import components
 from markspark.llm.wordhash import mix, words_of
-from markspark.storage import materialize
+from markspark.storage import discard, materialize
 
 BATCH_BYTES = 4 << 20
 CENTRES = (1, 16, 128, 1024)
@@ -355,13 +355,14 @@ def _both_sides(pairs: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, n: int, threshold: Threshold) -> DataFrame:
-    """The pairs (`a, b, band`) whose sets are similar enough, as `a, b`."""
+    """The pairs (`a, b, band`) whose sets are similar enough, as `a, b` (written)."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     ids = ids.distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     chosen = docs.join(ids, "id", "left_semi").select("id", "text")
-    both = _both_sides(pairs, materialize(_sets(chosen, n, threshold), "sets"))
+    sets = materialize(_sets(chosen, n, threshold), "sets")
+    both = _both_sides(pairs, sets)
 
     def words(side: str) -> Column:
         same = F.filter(F.col(f"{side}.sketches"), lambda s: s["band"] == F.col("band"))
@@ -378,7 +379,9 @@ def _linked(pairs: DataFrame, docs: DataFrame, n: int, threshold: Threshold) ->
     shared = F.size(F.array_intersect("_a.elements", "_b.elements"))
     similar = shared * threshold.of >= (sizes - shared) * threshold.least
     linked = both.filter(F.when(bits <= most, similar).otherwise(F.lit(False)))
-    return linked.select("a", "b").distinct()
+    links = materialize(linked.select("a", "b").distinct(), "links")
+    discard(sets)
+    return links
 
 
 def _may_link(a: Column, b: Column, threshold: Threshold) -> Column:
@@ -432,14 +435,15 @@ def similar_texts(
     gives an empty result; other columns are ignored.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    facts = materialize(_sketches(texts, n, threshold), "sketches")
+    sketched = materialize(_sketches(texts, n, threshold), "sketches")
+    facts = materialize(sketched.drop("fold", "sketches"), "facts")
     sets = facts.filter("n_shingles > 0 AND id IS NOT NULL")
     keys = ["n_shingles", "key_a", "key_b"]
     groups = sets.groupBy(*keys).agg(F.min("id").alias("node"), F.count("*").alias("set_copies"))
     groups = materialize(groups, "equal-sets")
     total = facts.count()
     # the first row of each set stands for it
-    nodes = sets.join(
+    nodes = sketched.join(
         groups.select(*keys, F.col("node").alias("id")), [*keys, "id"], "left_semi"
     ).dropDuplicates(["id", *keys])
     # an id on rows with different sets: which of them a member stands for can't be told by the id
@@ -457,8 +461,11 @@ def similar_texts(
     sketches = materialize(
         sketches.select("id", "s.band", "n_shingles", "fold", "s.keys"), "nodes"
     )
+    discard(sketched)
     forget_shuffles(docs.sparkSession)
     members = _shared_blocks(sketches)
+    discard(sketches)
+    forget_shuffles(docs.sparkSession)
     node, none = F.col("node"), groups.limit(0)
     tested = none.select(node.alias("low"), node.alias("high"))
     links = none.select(node.alias("a"), node.alias("b"))
@@ -480,8 +487,11 @@ def similar_texts(
         n_rows = several.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
         if not n_rows:
             break
+        before = members
         members = join_groups(labelled, several, ["key"], "size", n_rows).filter("size IS NOT NULL")
         members = materialize(members, "open-members")
+        discard(before)
+        forget_shuffles(docs.sparkSession)
         n_centres = CENTRES[min(turn, len(CENTRES) - 1)]
         # the members of small classes: once they have met all others, one class is left
         smallest = Window.partitionBy("key").orderBy("class_size", "id")
@@ -509,14 +519,19 @@ def similar_texts(
         # a pair that was tested is linked, and then of one class, or it is not
         new = pairs.join(tested, ["low", "high"], "left_anti").dropDuplicates(["low", "high"])
         new = materialize(new, "pairs")
-        found = materialize(_linked(new.drop("low", "high"), texts, n, threshold), "links")
+        forget_shuffles(docs.sparkSession)
+        found = _linked(new.drop("low", "high"), texts, n, threshold)
         forget_shuffles(docs.sparkSession)
         if not found.isEmpty():
             links = materialize(links.unionByName(found), "links")
             classes = _classes(links)
         tested = tested.unionByName(new.select("low", "high"))
+        before = members
         members = materialize(met.filter(~F.col("is_centre")).select(*MEMBER, "key"), "members")
+        discard(before)
+        discard(centres)
 
+    discard(members)
     classes = classes.select(F.col("id").alias("node"), "component")
     ends = links.select("a", "b").unionByName(links.select(F.col("a").alias("b"), F.col("b").alias("a")))
     partners = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("partner"))

@@ -1,5 +1,7 @@
+import os
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ from markspark.llm import jaccard
 from markspark.llm.common import mapped
 from markspark.llm.components import components
 from markspark.llm.language_model import Vocabulary
+from markspark.storage import _own_folder, discard, materialize
 from tests.llm import samples
 
 
@@ -215,3 +218,31 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     got = components(spark.createDataFrame(edges, "a LONG, b LONG")).collect()
     assert {r.id: r.component for r in got} == {x: find(x) for x in parent} and len(got) == len(parent)
+
+
+def test_tables_that_are_done_with_leave_the_disk(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(40):
+        base = [f"w{rng.randrange(500)}" for _ in range(60)]
+        rows.append((3 * i, " ".join(base)))
+        rows.append((3 * i + 1, " ".join([*base[:-1], "end"])))
+        rows.append((3 * i + 2, " ".join(["start", *base[1:]])))
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    folder = Path(_own_folder(spark).removeprefix("file:"))
+    before = set(os.listdir(folder)) if folder.exists() else set()
+    assert result(jaccard.similar_texts(docs)) == brute(rows, 3, 90, 100)
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert left.isdisjoint(
+        {"sketches", "nodes", "block-members", "open-members", "members", "centres", "sets"}
+    )
+
+
+def test_only_tables_of_the_session_are_discarded(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a")], "doc_id LONG, text STRING")
+    docs.write.parquet(str(tmp_path / "input"))
+    discard(spark.read.parquet(str(tmp_path / "input")))
+    assert spark.read.parquet(str(tmp_path / "input")).count() == 1
+    written = materialize(docs, "some table")
+    discard(written)
+    assert not any(name.startswith("some table") for name in os.listdir(_own_folder(spark)))
