@@ -97,7 +97,17 @@ def keep_document(
         lambda count: (_ratio(count, profile) >= F.lit(float(min_ratio)))
         & _every_letter(count, profile),
     )
-    return (F.length(text) >= min_chars) & well_marked & ~drops_marks(text, profile)
+    long_enough = F.length(text) >= min_chars
+    if min_ratio > 0:  # without any mark the ratio is 0; that is seen without counting letters
+        long_enough = long_enough & _has_marks(text, profile)
+    return long_enough & well_marked & ~drops_marks(text, profile)
+
+
+def _has_marks(text: Column, profile: MarkProfile) -> Column:
+    found = F.lit(False)
+    for letter in profile.marked + profile.legacy:
+        found = found | text.contains(letter)
+    return found
 
 
 def hash_bucket(doc_id: Column, every: int) -> Column:

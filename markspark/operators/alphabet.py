@@ -22,20 +22,24 @@ def char_counts(documents: DataFrame, profile: MarkProfile = ROMANIAN) -> DataFr
     """`(ch, n, first_seen)` over the mark-free texts; `first_seen` orders ties by arrival.
 
     Characters are counted batch by batch as arrays of code points, so that one row per distinct
-    character leaves a batch: its number, and its first place in the batch's first document.
+    character leaves a batch: its number, and its first place in the batch's first document. Marks
+    are taken off these code points, not off the texts.
     """
-    stripped = documents.select(
-        "source_rank", "ord", marks.strip_marks(F.col("text"), profile).alias("text")
-    )
-    counted = stripped.mapInArrow(
-        _count_batches, "ch STRING, n LONG, source_rank INT, ord LONG, nth INT"
+    bases = {ord(c): ord(b) for c, b in zip(profile.marked, profile.marked_base, strict=True)}
+    counted = documents.select("source_rank", "ord", "text").mapInArrow(
+        lambda batches: _count_batches(batches, bases),
+        "ch STRING, n LONG, source_rank INT, ord LONG, nth INT",
     )
     place = F.struct(F.struct("source_rank", "ord").alias("doc"), "nth")
     found = counted.groupBy("ch").agg(F.sum("n").alias("n"), F.min(place).alias("first_seen"))
     return materialize(found, "characters")  # one row per distinct character
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_batches(
+    batches: Iterator[pa.RecordBatch], bases: dict[int, int]
+) -> Iterator[pa.RecordBatch]:
+    base_of = np.arange(max(bases, default=0) + 1, dtype=np.uint32)
+    base_of[list(bases)] = list(bases.values())
     for batch in batches:
         ranks, ords = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         texts = batch.column(2)
@@ -46,14 +50,18 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 chosen.append((i, text))
                 size += len(text)
             if size > BATCH_CHARS:
-                yield _counted(chosen, ranks, ords)
+                yield _counted(chosen, ranks, ords, base_of)
                 chosen, size = [], 0
         if chosen:
-            yield _counted(chosen, ranks, ords)
+            yield _counted(chosen, ranks, ords, base_of)
 
 
-def _counted(chosen: list[tuple[int, str]], ranks: np.ndarray, ords: np.ndarray) -> pa.RecordBatch:
+def _counted(
+    chosen: list[tuple[int, str]], ranks: np.ndarray, ords: np.ndarray, base_of: np.ndarray
+) -> pa.RecordBatch:
     points = np.frombuffer("".join(t for _, t in chosen).encode("utf-32-le"), "<u4")
+    last = np.uint32(len(base_of) - 1)
+    points = np.where(points <= last, base_of[np.minimum(points, last)], points)
     counts = np.bincount(points)
     seen = np.flatnonzero(counts)
     first = np.empty(len(counts), np.int64)

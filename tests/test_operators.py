@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from markspark.functions import codec, marks
+from markspark.functions import codec, marks, quality
 from markspark.operators import (
     alphabet,
     classifier,
@@ -21,6 +21,7 @@ from markspark.operators import (
 )
 from markspark.operators.lookup import fits_broadcast, lookup
 from markspark.operators.ordering import first_rows, number_rows
+from markspark.plans import queries
 
 
 def pairs(df, *columns):
@@ -106,6 +107,37 @@ def test_alphabet_ties_go_to_the_first_seen(docs):
     assert alphabet.alphabet_string(kept) == "yz"
 
 
+def test_marks_are_taken_off_while_characters_are_counted(docs):
+    texts = docs("bă", "aâ Ș", "😀ș")
+    counted = alphabet.char_counts(texts)
+    got = {r.ch: (r.n, r.first_seen.doc.ord, r.first_seen.nth) for r in counted.collect()}
+    assert got == {
+        "b": (1, 0, 0), "a": (3, 0, 1), " ": (1, 1, 2), "S": (1, 1, 3), "😀": (1, 2, 0), "s": (1, 2, 1)
+    }
+
+
+def test_no_text_is_translated_or_written_to_count_characters(spark, monkeypatch, tmp_path):
+    rows = [(k, "en", "web", "romana si fara dupa asa cand " * 12) for k in range(12)]
+    documents = spark.createDataFrame(rows, "doc_id LONG, lang STRING, source STRING, text STRING")
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    written = []
+    monkeypatch.setattr(queries, "materialize", lambda df, name="t": (written.append(name), df)[1])
+    queries.sink_alphabet(spark, str(tmp_path)).collect()
+    assert "usable" not in written
+
+
+@pytest.mark.parametrize("min_ratio", [0.0, 0.05])
+def test_texts_without_marks_are_dropped_before_letters_are_counted(docs, min_ratio):
+    texts = ["plain words only " * 20, "băț și dacă fără " * 20, None, "ţară şi după " * 20, "ă"]
+    found = docs(*texts).withColumn("keep", quality.keep_document(F.col("text"), 200, min_ratio))
+    ratio = quality.mark_ratio(F.col("text")) >= min_ratio
+    slow = ratio & quality.marks_every_letter(F.col("text")) & ~quality.drops_marks(F.col("text"))
+    wanted = docs(*texts).withColumn("keep", (F.length("text") >= 200) & slow)
+    assert pairs(found, "doc_id", "keep") == pairs(wanted, "doc_id", "keep")
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert ("Contains" in plan or "contains" in plan) == (min_ratio > 0)
+
+
 def test_alphabet_json_round_trip(spark):
     text = alphabet.alphabet_json(" aș")
     assert text == '{"pad_id": 0, "unk_id": 1, "chars": " aș"}'
