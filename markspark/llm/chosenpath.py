@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markspark.llm.common import join_groups
+from markspark.llm.common import forget_shuffles, join_groups
 from markspark.llm.components import components
 from markspark.llm.jaccard import Threshold, shingle_sets
 from markspark.llm.wordhash import mix
@@ -343,6 +343,8 @@ class _Search:
         rows = rows.repartition(F.col("part")).sortWithinPartitions("part")
         links = rows.mapInArrow(lambda batches: _confirmed(batches, threshold), "a LONG, b LONG")
         links = materialize(links, "links")
+        # shuffles and broadcasts of a level would stay in the driver's care until the end
+        forget_shuffles(links.sparkSession)
         if links.isEmpty():
             return
         self.links = self.links.unionByName(links)
@@ -362,11 +364,13 @@ class _Search:
             labels = labels.join(up, "label").select("node", F.col("up").alias("label"))
             labels = materialize(labels, "labels")
         self.labels = labels
+        forget_shuffles(labels.sparkSession)
 
     def run(self, rows: DataFrame) -> None:
         """Links between all nodes that meet in the cells of `rows` (`cell, node`)."""
         while True:
             members = materialize(self.cells(rows), "open-members")
+            forget_shuffles(members.sparkSession)
             few = members.filter(F.col("others") <= SMALL)
             many = members.filter(F.col("others") > SMALL)
             pairs = self.other_pairs(few)

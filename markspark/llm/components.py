@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markspark.llm.common import join_groups
+from markspark.llm.common import forget_shuffles, join_groups
 from markspark.storage import materialize
 
 
@@ -53,7 +53,10 @@ def components(edges: DataFrame) -> DataFrame:
             labels = _parents_of(labels, "component", parents, labels.count())
         labels = materialize(labels, "labels")
         total = rest.count()
-        drawn = _parents_of(_parents_of(rest, "a", parents, total), "b", parents, total)
+        # written in between: a plan of both steps would hold the first one several times over
+        drawn = materialize(_parents_of(rest, "a", parents, total), "drawn")
+        drawn = _parents_of(drawn, "b", parents, total)
         rest = materialize(drawn.filter("a <> b").distinct(), "edges")
+        forget_shuffles(edges.sparkSession)
         if rest.isEmpty():
             return labels

@@ -4,8 +4,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from markspark.llm import chosenpath
+from markspark.llm import chosenpath, components
 from markspark.llm.jaccard import Threshold
+from markspark.storage import materialize
 from tests.llm import samples
 from tests.llm.test_jaccard import brute
 
@@ -110,3 +111,32 @@ def test_trees_alone_find_what_brute_force_finds(spark):
                 linked += 1
                 found += classes[i] == classes[j]
     assert linked > 50 and found >= 0.9 * linked
+
+
+def test_each_level_is_cleaned_up_after(spark, monkeypatch):
+    levels, cleaned = [], []
+    confirm, forget = chosenpath._Search.confirm, chosenpath.forget_shuffles
+    monkeypatch.setattr(
+        chosenpath._Search, "confirm", lambda self, pairs: (levels.append(1), confirm(self, pairs))[1]
+    )
+    monkeypatch.setattr(chosenpath, "forget_shuffles", lambda s: (cleaned.append(1), forget(s))[1])
+    words = [f"w{k}" for k in range(80)]
+    rows = [(k, " ".join([*words, f"x{k}"])) for k in range(6)] + [(9, "another text")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    assert result(chosenpath.similar_texts(docs)) == brute(rows, 5, 85, 100)
+    assert len(cleaned) >= len(levels) >= 1
+
+
+def test_classes_are_contracted_one_end_at_a_time(spark, monkeypatch):
+    """No plan holds the steps for both ends of an edge: that made it several times as large."""
+    joins = []
+
+    def written(df, name="table"):
+        joins.append(df._jdf.queryExecution().analyzed().toString().count("Join "))
+        return materialize(df, name)
+
+    monkeypatch.setattr(components, "materialize", written)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4)], "a LONG, b LONG")
+    got = {r.id: r.component for r in components.components(edges).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+    assert max(joins) <= 10
