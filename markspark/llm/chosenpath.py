@@ -1,24 +1,27 @@
 """Near duplicates by chosen paths: a randomised similarity join of word n-gram sets.
 
 Each tree deals the sets out by a minwise token, the smallest element of the set under a hash of the
-tree's own; similar sets mostly choose the same one. A cell of the tree with few sets left is compared
-exhaustively. A larger one branches: the cell's path picks one or two of 64 further minwise tokens, and
-its sets follow the tokens they have there. As the expected number of picks is one over the threshold,
-a linked pair is expected to stay together in one child at least, and unlike sets part. Trees are
-independent, and as many as the recall wants.
-
-Comparing means: sets of unequal size and sets that agree in too few of the 64 tokens are ruled out,
-the others are confirmed on their full sets, which travel once per group of pairs, not once per pair.
-Links join sets to classes, and pairs of one class need no comparison any more, so a cell counts as
-small when few of its sets are outside its largest class: these few meet all others. In a large cell
-all sets meet one of them, drawn by hash, before it branches. No cell, however large, has all its
-pairs tested or written.
+tree's own; similar sets mostly choose the same one. A cell of the tree with at most `LEAF` sets is a
+leaf and compared exhaustively, by sketches in one task. A larger one branches: the cell's path picks one
+or two of 64 further minwise tokens, and its sets follow the tokens they have there. As the expected
+number of picks is one over the threshold, a linked pair is expected to stay together in one child at
+least, and unlike sets part. Trees are independent, and as many as the recall wants.
+
+Comparing means: sets of unequal size, sets whose parity sketches differ in more bits than linked sets
+can, and sets that agree in too few of the 64 tokens are ruled out, the others are confirmed on their
+full sets, which travel once per group of pairs, not once per pair. Links join sets to classes, and pairs
+of one class need no comparison any more. So each set of a leaf first names a few of the others that it
+may be linked to, and names more of them, in the end all, only while they are of other classes. A large
+cell does not branch if few of its sets are outside its largest class: these few meet all others. Else
+all its sets meet one of them, drawn by hash, before it branches. No cell, however large, has all its
+pairs written as rows.
 
 Rows with equal sets are one node from the start.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -29,21 +32,27 @@ from pyspark.sql import functions as F
 
 from markspark.llm.common import forget_shuffles, join_groups
 from markspark.llm.components import components
-from markspark.llm.jaccard import Threshold, shingle_sets
+from markspark.llm.jaccard import Threshold, shingle_sets, sketch
 from markspark.llm.wordhash import mix
 from markspark.storage import materialize
 
 BATCH_BYTES = 2 << 20
 GROUP_SETS = 1_000
 """Sets of one group, about, that are in a task at once to be confirmed."""
+LEAF = 8_192
+"""Sets of a cell that is compared in one task."""
+NAMED = (8,)
+"""Others that a set of a leaf names at most, the first times its cell is compared; then all."""
 SMALL = 128
-"""Sets outside its largest class that a cell may have to be compared exhaustively."""
+"""Sets outside its largest class that a cell beyond `LEAF` may have to be compared exhaustively."""
 DEPTH = 4
 """Levels below the first that the recall is worked out for."""
 BROADCAST_IDS = 500_000
 LABEL_ROUNDS = 3
 LANES, TOKENS = 8, 64
 """Tokens are kept as bytes, eight to a number."""
+FOLD_WORDS = 8
+"""Numbers of 64 bits in a set's parity sketch."""
 MISSED = 1e-5
 """Chance that a linked pair agrees in too few tokens."""
 _LOW_BITS = 0x0101010101010101
@@ -116,10 +125,13 @@ def _set_keys(sets: list[np.ndarray]) -> list[pa.Array]:
 
 KEYS = ["n_shingles", "key_a", "key_b"]
 LANE_COLUMNS = [f"s{i}" for i in range(LANES)]
+FOLD_COLUMNS = [f"f{i}" for i in range(FOLD_WORDS)]
+SKETCH_COLUMNS = ["n_shingles", *LANE_COLUMNS, *FOLD_COLUMNS]
 
 
 def _facts(texts: DataFrame, n: int, trees: int) -> DataFrame:
-    """`id`, `KEYS`, the first tokens of all trees (`r0`...) and the lanes of further tokens (`s0`...)."""
+    """`id`, `KEYS`, the first tokens of all trees (`r0`...), the lanes of further tokens (`s0`...) and
+    the parity sketch (`f0`...)."""
     roots = [f"r{t}" for t in range(trees)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,18 +148,20 @@ def _facts(texts: DataFrame, n: int, trees: int) -> DataFrame:
                     columns.append(column)
                 tokens = np.array(columns[trees:]).astype(np.uint8).reshape(LANES, TOKENS // LANES, -1)
                 lanes = np.ascontiguousarray(tokens.transpose(0, 2, 1)).view("<i8")[..., 0]
+                folds = np.array([sketch(s, FOLD_WORDS) for s in sets]).T
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(found)),
                         *_set_keys(sets),
                         *[pa.array(c.view(np.int64)) for c in columns[:trees]],
                         *[pa.array(c) for c in lanes],
+                        *[pa.array(np.ascontiguousarray(c)) for c in folds],
                     ],
-                    ["id", *KEYS, *roots, *LANE_COLUMNS],
+                    ["id", *KEYS, *roots, *LANE_COLUMNS, *FOLD_COLUMNS],
                 )
 
     kind = texts.schema["id"].dataType.simpleString()
-    longs = ", ".join(f"{c} LONG" for c in [*KEYS, *roots, *LANE_COLUMNS])
+    longs = ", ".join(f"{c} LONG" for c in [*KEYS, *roots, *LANE_COLUMNS, *FOLD_COLUMNS])
     return texts.mapInArrow(run, f"id {kind}, {longs}")
 
 
@@ -166,22 +180,71 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
     )
 
 
-def _may_link(
-    size_a: Column, lanes_a: list[Column], size_b: Column, lanes_b: list[Column], threshold: Threshold
-) -> Column:
-    """False where sizes or tokens rule a link out."""
+def _may_link(a: dict[str, Column], b: dict[str, Column], threshold: Threshold) -> Column:
+    """False where sizes, parities or tokens rule a link out."""
     differing = F.lit(0)
-    for x, y in zip(lanes_a, lanes_b):
-        bits = x.bitwiseXOR(y)
+    for c in LANE_COLUMNS:
+        bits = a[c].bitwiseXOR(b[c])
         for shift in (4, 2, 1):  # the lowest bit of each byte gathers the byte's bits
             bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift))
         differing = differing + F.bit_count(bits.bitwiseAND(F.lit(_LOW_BITS)))
-    smaller, larger = F.least(size_a, size_b), F.greatest(size_a, size_b)
-    return (smaller * threshold.of >= larger * threshold.least) & (
-        differing <= TOKENS - least_agreeing(threshold)
+    odd = F.lit(0)
+    for c in FOLD_COLUMNS:
+        odd = odd + F.bit_count(a[c].bitwiseXOR(b[c]))
+    sizes = a["n_shingles"], b["n_shingles"]
+    return (
+        (F.least(*sizes) * threshold.of >= F.greatest(*sizes) * threshold.least)
+        & (odd * (threshold.of + threshold.least) <= (sizes[0] + sizes[1]) * (threshold.of - threshold.least))
+        & (differing <= TOKENS - least_agreeing(threshold))
     )
 
 
+LEAF_COLUMNS = ["cell", "node", "label", "size", *SKETCH_COLUMNS]
+
+
+def _near(rows: np.ndarray, named: int, threshold: Threshold) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """Of the rows (`LEAF_COLUMNS`) of a cell: a node, at most so many nodes with other labels that it may
+    be linked to, those with the smallest numbers, and whether there are more. Each pair comes up once."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 4]))]
+    nodes, labels, sizes = rows[:, 1], rows[:, 2], rows[:, 4]
+    tokens = np.ascontiguousarray(rows[:, 5 : 5 + LANES]).view(np.uint8)
+    folds = np.ascontiguousarray(rows[:, 5 + LANES :]).view(np.uint64)
+    least = least_agreeing(threshold)
+    # sets that are not too small for a link stand from here on
+    firsts = np.searchsorted(sizes, -(-sizes * threshold.least // threshold.of))
+    for k, first in enumerate(firsts.tolist()):
+        at = np.flatnonzero(labels[first:k] != labels[k]) + first
+        # sets differ in no fewer elements than their parities in bits
+        odd = np.bitwise_count(folds[at] ^ folds[k]).sum(axis=1, dtype=np.int64)
+        at = at[odd * (threshold.of + threshold.least) <= (sizes[at] + sizes[k]) * (threshold.of - threshold.least)]
+        at = at[(tokens[at] == tokens[k]).sum(axis=1) >= least]
+        if len(at):
+            yield int(nodes[k]), np.sort(nodes[at])[:named], len(at) > named
+
+
+def _compared(
+    batches: Iterator[pa.RecordBatch], named: int, threshold: Threshold
+) -> Iterator[pa.RecordBatch]:
+    """`cell, node, size, others, more` of the leaves in `batches` (`LEAF_COLUMNS`; cells in a row)."""
+
+    def table(cells: list[np.ndarray]) -> pa.RecordBatch:
+        found = [(*rows[0, [0, 3]].tolist(), *x) for rows in cells for x in _near(rows, named, threshold)]
+        columns = [[x[i] for x in found] for i in (0, 2, 1, 3, 4)]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds)], ["cell", "node", "size", "others", "more"]
+        )
+
+    held = np.empty((0, len(LEAF_COLUMNS)), np.int64)
+    for batch in batches:
+        rows = np.concatenate([held, np.column_stack([c.to_numpy() for c in batch.columns])])
+        cells = np.split(rows, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1)
+        held = cells.pop()
+        yield table(cells)
+    if len(held):
+        yield table([held])
+
+
 def _part(of: str) -> Column:
     """The group in which a member's pairs are confirmed: one of its cell's (or lead's) groups of
     some `GROUP_SETS` members."""
@@ -236,7 +299,7 @@ class _Search:
 
     def __init__(self, texts: DataFrame, nodes: DataFrame, n: int, threshold: Threshold) -> None:
         self.texts, self.nodes, self.n, self.threshold = texts, nodes, n, threshold
-        self.sketches = nodes.select("node", "n_shingles", *LANE_COLUMNS)
+        self.sketches = nodes.select("node", *SKETCH_COLUMNS)
         self.links = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
         self.labels: DataFrame | None = None
 
@@ -267,33 +330,45 @@ class _Search:
         pairs = members.filter("label <> lead AND node <> lead")
         pairs = pairs.select("node", "lead", _part("lead").alias("part"))
         pairs = pairs.groupBy("node", "lead").agg(F.min("part").alias("part"))
-        own = [F.col(c).alias(f"lead_{c}") for c in ("n_shingles", *LANE_COLUMNS)]
+        own = [F.col(c).alias(f"lead_{c}") for c in SKETCH_COLUMNS]
         leads = self.sketches.select(F.col("node").alias("lead"), *own)
         both = pairs.join(self.sketches, "node").join(leads, "lead")
         near = _may_link(
-            F.col("n_shingles"),
-            [F.col(c) for c in LANE_COLUMNS],
-            F.col("lead_n_shingles"),
-            [F.col(f"lead_{c}") for c in LANE_COLUMNS],
+            {c: F.col(c) for c in SKETCH_COLUMNS},
+            {c: F.col(f"lead_{c}") for c in SKETCH_COLUMNS},
             self.threshold,
         )
         return both.filter(near).select(F.col("node").alias("a"), F.col("lead").alias("b"), "part")
 
+    def leaves(self, members: DataFrame, named: int) -> DataFrame:
+        """`cell, node, size, others, more` (written): nodes that members of leaves may be linked to."""
+        rows = members.join(self.sketches, "node").select(*LEAF_COLUMNS)
+        rows = rows.repartition(F.col("cell")).sortWithinPartitions("cell")
+        threshold = self.threshold
+        found = rows.mapInArrow(
+            lambda batches: _compared(batches, named, threshold),
+            "cell LONG, node LONG, size LONG, others ARRAY<LONG>, more BOOLEAN",
+        )
+        return materialize(found, "near")
+
+    def leaf_pairs(self, found: DataFrame) -> DataFrame:
+        """`a, b, part` of what `leaves` found; what came up in several trees is one pair."""
+        rows = found.groupBy("node").agg(
+            F.min(_part("cell")).alias("part"),
+            F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"),
+        )
+        return rows.select(F.col("node").alias("a"), F.explode("others").alias("b"), "part")
+
     def other_pairs(self, members: DataFrame) -> DataFrame:
-        """`a, b, part`: members of small cells against the few outside the most frequent label."""
+        """`a, b, part`: members of cells against the few outside the most frequent label."""
         rows = materialize(members.join(self.sketches, "node"), "compared")
         few = rows.filter("label <> main").groupBy("cell").agg(  # at most SMALL entries
-            F.collect_list(F.struct("node", "label", "n_shingles", *LANE_COLUMNS)).alias("few")
+            F.collect_list(F.struct("node", "label", *SKETCH_COLUMNS)).alias("few")
         )
 
         def worth(x: Column) -> Column:
-            near = _may_link(
-                F.col("n_shingles"),
-                [F.col(c) for c in LANE_COLUMNS],
-                x["n_shingles"],
-                [x[c] for c in LANE_COLUMNS],
-                self.threshold,
-            )
+            own = {c: F.col(c) for c in SKETCH_COLUMNS}
+            near = _may_link(own, {c: x[c] for c in SKETCH_COLUMNS}, self.threshold)
             once = (F.col("label") == F.col("main")) | (x["node"] < F.col("node"))
             return F.when((x["label"] != F.col("label")) & once, near).otherwise(F.lit(False))
 
@@ -345,12 +420,9 @@ class _Search:
         links = materialize(links, "links")
         # shuffles and broadcasts of a level would stay in the driver's care until the end
         forget_shuffles(links.sparkSession)
-        if links.isEmpty():
-            return
         self.links = self.links.unionByName(links)
-        self._label()
 
-    def _label(self) -> None:
+    def label(self) -> None:
         """Labels from links: the smallest label of all neighbours, and that label's own, a few times."""
         ends = self.links.unionByName(self.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         ends = materialize(ends, "ends")
@@ -368,16 +440,27 @@ class _Search:
 
     def run(self, rows: DataFrame) -> None:
         """Links between all nodes that meet in the cells of `rows` (`cell, node`)."""
-        while True:
+        for turn in itertools.count():
             members = materialize(self.cells(rows), "open-members")
             forget_shuffles(members.sparkSession)
-            few = members.filter(F.col("others") <= SMALL)
-            many = members.filter(F.col("others") > SMALL)
-            pairs = self.other_pairs(few)
-            if many.isEmpty():
-                return self.confirm(pairs)
-            self.confirm(pairs.unionByName(self.lead_pairs(many)))
-            rows = materialize(self.children(many), "children")
+            if members.isEmpty():
+                return
+            small, large = members.filter(F.col("size") <= LEAF), members.filter(F.col("size") > LEAF)
+            found = self.leaves(small, NAMED[turn] if turn < len(NAMED) else LEAF)
+            pairs = self.leaf_pairs(found)
+            # once labels are known, leaves are compared again where sets had more to name
+            again = found.filter("more").select("cell").distinct()
+            rows = small.select("cell", "node").join(again, "cell", "left_semi")
+            if not large.isEmpty():
+                few = large.filter(F.col("others") <= SMALL)
+                many = large.filter(F.col("others") > SMALL)
+                pairs = pairs.unionByName(self.other_pairs(few)).unionByName(self.lead_pairs(many))
+                rows = rows.unionByName(self.children(many))
+            rows = materialize(rows, "next-cells")
+            self.confirm(pairs)
+            if rows.isEmpty():
+                return
+            self.label()
 
 
 def similar_texts(
@@ -405,7 +488,7 @@ def similar_texts(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     facts = materialize(_facts(texts, n, trees), "facts")
     sets = facts.filter("n_shingles > 0 AND id IS NOT NULL")
-    carried = [*(f"r{t}" for t in range(trees)), *LANE_COLUMNS]
+    carried = [*(f"r{t}" for t in range(trees)), *LANE_COLUMNS, *FOLD_COLUMNS]
     nodes = sets.groupBy(*KEYS).agg(
         F.min("id").alias("id"),
         F.count("*").alias("set_copies"),

@@ -140,3 +140,52 @@ def test_classes_are_contracted_one_end_at_a_time(spark, monkeypatch):
     got = {r.id: r.component for r in components.components(edges).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
     assert max(joins) <= 10
+
+
+@pytest.mark.parametrize("leaf, small, named", [(4, 32, (1, 2)), (30, 4, (1, 2)), (8_192, 128, (1,))])
+def test_leaves_and_branches_of_any_size(spark, monkeypatch, leaf, small, named):
+    monkeypatch.setattr(chosenpath, "LEAF", leaf)
+    monkeypatch.setattr(chosenpath, "SMALL", small)
+    monkeypatch.setattr(chosenpath, "NAMED", named)
+    rnd = random.Random(11)
+    vocabulary = [f"v{k}" for k in range(400)]
+    rows = []
+    for _ in range(3):
+        text = [rnd.choice(vocabulary) for _ in range(rnd.choice([12, 90, 250]))]
+        for _ in range(12):
+            rows.append((len(rows), " ".join(text)))
+            for _ in range(rnd.choice([0, 1, 1, 2])):
+                text[rnd.randrange(len(text))] = rnd.choice(vocabulary)
+    passage = " ".join(rnd.choice(vocabulary) for _ in range(60))
+    for _ in range(20):
+        rows.append((len(rows), passage + " " + " ".join(rnd.choice(vocabulary) for _ in range(30))))
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    assert result(chosenpath.similar_texts(docs)) == brute(rows, 5, 85, 100)
+
+
+def test_unlinked_near_copies_need_one_comparison_of_their_cells(spark, monkeypatch):
+    """Texts alike by some 0.7 share cells without being linked. They used to stay together, level after
+    level, and every pair of a small cell became a candidate; parities rule the pairs out at once."""
+    cells, tested = [], []
+    open_cells, confirm = chosenpath._Search.cells, chosenpath._Search.confirm
+
+    def counted(self, pairs):
+        tested.append(pairs.count())
+        confirm(self, pairs)
+
+    monkeypatch.setattr(
+        chosenpath._Search, "cells", lambda self, rows: (cells.append(1), open_cells(self, rows))[1]
+    )
+    monkeypatch.setattr(chosenpath._Search, "confirm", counted)
+    rnd = random.Random(3)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(300):
+        text = list(base)
+        for place in rnd.sample(range(200), 7):
+            text[place] = f"x{k}-{place}"
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    got = result(chosenpath.similar_texts(docs))
+    assert got == brute(rows, 5, 85, 100)
+    assert len(cells) <= 3 and sum(tested) < 3_000
