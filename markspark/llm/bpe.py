@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from markspark.llm.common import kept_by_worker
 from markspark.llm.wordhash import words_of
 
 CACHED = 400_000
@@ -282,6 +283,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+kept_by_worker(encoder.cache_clear)
+
+
 def encode(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:

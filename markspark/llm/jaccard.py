@@ -38,6 +38,7 @@ from markspark.llm import runs
 from markspark.llm.common import (
     forget_shuffles,
     join_groups,
+    leave_earlier_work,
     mapped,
     shared_files,
     without,
@@ -47,7 +48,7 @@ from markspark.llm.components import components
 from markspark.llm.wordhash import mix, words_of
 from markspark.storage import discard, materialize
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 CENTRES = (1, 16, 128, 1024)
 """Centres of a block in the first rounds; the last number holds for all further ones."""
 FOLD_WORDS = 4
@@ -173,6 +174,7 @@ def _sketches(docs: DataFrame, n: int, threshold: Threshold) -> DataFrame:
     blocks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave_earlier_work()
         kind = pa.list_(pa.struct([("band", pa.int32()), ("keys", pa.list_(pa.int64()))]))
         for batch in batches:
             for first, texts in _batches(batch.column(1)):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from markspark.llm.common import unused
+from markspark.llm.common import leave_earlier_work, unused
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
@@ -238,6 +238,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str, score_col: str) ->
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave_earlier_work()
         model = shared.value
         distance = Distance(model) if len(model.weights) else None
         for batch in batches:

@@ -2,10 +2,12 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
-from markspark.llm import bpe
+from markspark.llm import bpe, jaccard, toxicity
 from tests.llm import samples
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -77,3 +79,25 @@ def test_null_ids_decode_to_nothing(spark):
     rows = spark.createDataFrame([(1, None), (2, [])], "doc_id LONG, ids ARRAY<INT>")
     assert [r.text for r in bpe.decode(rows, PATH).collect()] == ["", ""]
     assert bpe.Encoder(PATH).spell(np.array([3, 40], np.uint16)) == "3 40"
+
+
+def test_other_operators_leave_no_caches_in_their_worker(spark):
+    """A worker that scored or sketched texts after tokenizing used to keep the tokenizer's caches."""
+    batch = pa.RecordBatch.from_pydict({"id": [1], "text": ["some words of a text"]})
+    runs = []
+
+    class Docs:
+        schema = StructType.fromDDL("id LONG, text STRING")
+        columns = ["id", "text"]
+        sparkSession = spark
+
+        def mapInArrow(self, run, schema):
+            runs.append(run)
+
+    jaccard._sketches(Docs(), 3, jaccard.Threshold())
+    toxicity.with_score(Docs(), toxicity.Model(0.0), "text", "score")
+    for run in runs:
+        list(bpe.encoder(PATH).encode_all(["a text"]))
+        assert bpe.encoder.cache_info().currsize
+        assert sum(b.num_rows for b in run(iter([batch]))) == 1
+        assert not bpe.encoder.cache_info().currsize
