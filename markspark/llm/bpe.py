@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 
@@ -47,16 +47,16 @@ def byte_symbols() -> dict[str, int]:
 class Recent(dict):
     """A cache in two generations: when the young one is full, the old one goes."""
 
-    def __init__(self, make) -> None:
+    def __init__(self, make, most: int) -> None:
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key: str) -> bytes:
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
         if len(key) <= LONG_CHUNK:
-            if len(self) >= CACHED:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[key] = found
@@ -64,9 +64,13 @@ class Recent(dict):
 
 
 class Encoder:
-    """Encodes texts to ids, and ids back to the tokenizer's joined tokens."""
+    """Encodes texts to ids, and ids back to the tokenizer's joined tokens.
 
-    def __init__(self, path: str) -> None:
+    A generation of its caches holds `cached` entries: fewer take less memory and more time.
+    """
+
+    def __init__(self, path: str, cached: int | None = None) -> None:
+        cached = CACHED if cached is None else cached
         with open(path, encoding="utf-8") as f:
             settings = json.load(f)
         model = settings["model"]
@@ -111,8 +115,8 @@ class Encoder:
         self.symbols = symbols
         self.library = Tokenizer.from_file(path)
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")")
-        self.of_word = Recent(lambda w: array("H", self.encode_word(w)).tobytes())
-        self.of_chunk = Recent(self._chunk)
+        self.of_word = Recent(lambda w: array("H", self.encode_word(w)).tobytes(), cached)
+        self.of_chunk = Recent(self._chunk, cached)
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """Tokens along one edge, innermost first, each with the rank at which it was merged on."""
@@ -233,7 +237,7 @@ class Encoder:
                 out.append(self._plain_text(piece))
         return np.frombuffer(b"".join(out), np.uint16)
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids of many texts. Equal words of a batch are looked up once."""
         batch: list[str] = []
         size = 0
@@ -278,9 +282,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
-    return Encoder(path)
+def encoder(path: str, cached: int | None = None) -> Encoder:
+    """One encoder per worker process, file and size of its caches."""
+    return Encoder(path, cached)
 
 
 kept_by_worker(encoder.cache_clear)

@@ -143,6 +143,7 @@ def pack(
     window: int = WINDOW,
     open_windows: int = OPEN_WINDOWS,
     keep_ids: bool = False,
+    cached: int | None = None,
 ) -> DataFrame:
     """One row per piece: `id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset`,
     and `ids` (little-endian, four bytes each) if `keep_ids`.
@@ -153,6 +154,7 @@ def pack(
 
     Null, empty and blank texts are one end id. Rows that repeat are packed each for itself. Null
     ids of documents stay null. An empty table gives no pieces; other columns are ignored.
+    `cached` is the size of the tokenizer's caches, where memory is scarcer than time.
     """
     if window & (window - 1):
         raise ValueError("the window is a power of two")
@@ -161,13 +163,13 @@ def pack(
     schema = f"doc_id {kind}, {PIECE_SCHEMA}"
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rows = encoder(tokenizer), None
+        known, rows = encoder(tokenizer, cached), None
         for batch in batches:
             if rows is None:
                 task = TaskContext.get().partitionId()
                 rows = _Rows(0, task, batch.schema.field(0).type, keep_ids)
                 packer = Packer(rows.emit, window, open_windows)
-            all_ids = known.encode_all(batch.column(1).to_pylist())
+            all_ids = known.encode_all(t.as_py() for t in batch.column(1))
             for doc, ids in zip(batch.column(0).to_pylist(), all_ids):
                 ids = np.append(ids, np.uint16(END_ID))
                 packer.add(doc, 0, ids, len(ids))

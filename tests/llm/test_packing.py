@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from markspark.llm import packing
+from markspark.llm import bpe, packing
 from tests.llm import samples
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -80,3 +80,15 @@ def test_empty_and_window(spark):
     assert packing.pack(samples.documents(spark).limit(0), PATH).count() == 0
     with pytest.raises(ValueError):
         packing.pack(samples.documents(spark), PATH, window=100)
+
+
+def test_small_caches_give_the_same_pieces(spark):
+    """Packing had no way to bound what the tokenizer keeps in a worker."""
+    docs = samples.documents(spark).coalesce(1)
+    whole = packing.pack(docs, PATH).collect()
+    small = packing.pack(docs, PATH, cached=10).collect()
+    assert sorted(small, key=repr) == sorted(whole, key=repr)
+    known = bpe.Encoder(PATH, 10)
+    list(known.encode_all(f"word{i} and another{i}" for i in range(100)))
+    for cache in (known.of_word, known.of_chunk):
+        assert len(cache) <= 10 and len(cache.old) <= 10
