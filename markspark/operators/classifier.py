@@ -30,17 +30,18 @@ def with_features(rows: DataFrame, size: int = 6) -> DataFrame:
     return rows.withColumns(features)
 
 
-MAX_ROWS = 5_000_000
-"""Labelled letters to fit on; the regression reads them once per iteration."""
+REACH = 3
+"""The features look at so many characters on either side of the letter."""
 
 
-def labelled_sample(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """About `max_rows` of the rows, chosen by a hash of all their columns; all if they are fewer."""
-    total = rows.count()
-    if total <= max_rows:
-        return rows
-    share = F.lit(int(max_rows / total * (1 << 30)))
-    return rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) < share)
+def counted_letters(rows: DataFrame, size: int = 6) -> DataFrame:
+    """`ctx, label, n`: letters with equal features and labels counted, in each task before the
+    shuffle, and written once. `ctx` is what the features look at, `min(size, REACH)` characters on
+    either side."""
+    if size > REACH:
+        rows = rows.withColumn("ctx", F.substring("ctx", size - REACH + 1, 2 * REACH + 1))
+    counts = rows.groupBy("ctx", "label").agg(F.count("*").alias("n"))
+    return materialize(counts, "training-letters")
 
 
 def train_letter_classifier(
@@ -48,24 +49,24 @@ def train_letter_classifier(
     size: int = 6,
     num_features: int = 1 << 14,
     max_iter: int = 15,
-    max_rows: int = MAX_ROWS,
 ) -> PipelineModel:
-    """Fit on a bounded sample of candidate letters. Save the result with
-    `model.write().save(path)`."""
-    rows = labelled_sample(rows, max_rows)
+    """Fit on all candidate letters: equal ones are one row that weighs as much as they do, so an
+    iteration reads distinct letters only. Save the result with `model.write().save(path)`."""
+    letters = counted_letters(rows, size)
     hasher = FeatureHasher(
         inputCols=list(FEATURES), outputCol="features", numFeatures=num_features
     )
     regression = LogisticRegression(
         featuresCol="features",
         labelCol="y",
+        weightCol="n",
         family="multinomial",
         maxIter=max_iter,
         regParam=1e-6,
         standardization=False,
     )
-    train = with_features(rows, size).withColumn("y", F.col("label").cast("double"))
-    return Pipeline(stages=[hasher, regression]).fit(train.select("y", *FEATURES))
+    train = with_features(letters, min(size, REACH)).withColumn("y", F.col("label").cast("double"))
+    return Pipeline(stages=[hasher, regression]).fit(train.select("y", "n", *FEATURES))
 
 
 def classify_letters(rows: DataFrame, model: PipelineModel, size: int = 6) -> DataFrame:
